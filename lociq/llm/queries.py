@@ -6,24 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import block_names, host_rules
+from lociq.llm import block_names, codes, host_rules, packing, set_join
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_groups(_read(spark, sf_dir, "documents"), width=4, t=85)
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.token_files(_read(spark, sf_dir, "documents"), end=2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), end=1)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.quality_rules(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_binary": op6_token_binary,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 

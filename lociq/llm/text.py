@@ -102,13 +102,14 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nda
     count = np.bincount(row, minlength=rows)
     at = np.concatenate([[0], np.cumsum(count)])
     full = max(0, len(h) - width + 1)
-    joined = np.full(full, U64(width) * U64(0xD6E8FEB86659FD93))
+    seed = [U64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1) for k in range(width + 1)]
+    joined = np.full(full, seed[width])
     for k in range(width):
         joined = mix(joined ^ h[k : k + full])
     inside = np.flatnonzero(row[:full] == row[width - 1 : width - 1 + full]) if full else np.zeros(0, np.int64)
     values, owner = [joined[inside]], [row[:full][inside]]
     for r in np.flatnonzero((count > 0) & (count < width)):
-        x = np.array([U64(int(count[r])) * U64(0xD6E8FEB86659FD93)])
+        x = seed[count[r]][None]
         for y in h[at[r] : at[r + 1]]:
             x = mix(x ^ y)
         values.append(x)
