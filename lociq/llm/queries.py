@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import block_names, codes, host_rules, packing, set_join
+from lociq.llm import block_names, codes, host_rules, packing, repeats, set_join
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.token_files(_read(spark, sf_dir, "documents"), end=2)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_read(spark, sf_dir, "documents"), length=100)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_binary": op6_token_binary,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
