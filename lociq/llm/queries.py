@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import block_names, codes, host_rules, packing, repeats, set_join
+from lociq.llm import block_names, class_lm, codes, host_rules, packing, repeats, set_join
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(_read(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_groups(_read(spark, sf_dir, "documents"), width=4, t=85)
 
@@ -39,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_class_lm_scoring": op1_class_lm_scoring,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_binary": op6_token_binary,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
