@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import block_names, class_lm, codes, host_rules, packing, repeats, set_join
+from lociq.llm import block_names, class_lm, codes, host_rules, packing, quality_qda, repeats, set_join, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_groups(_read(spark, sf_dir, "documents"), width=4, t=85)
 
@@ -44,6 +53,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_class_lm_scoring": op1_class_lm_scoring,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_binary": op6_token_binary,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
