@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lociq.llm.session import by_key, keep
 from lociq.llm.set_join import _runs
@@ -285,6 +286,9 @@ def _cut(docs: DataFrame, spans: DataFrame, text: bool) -> DataFrame:
                 np.add.at(gone, base + start, 1)
                 np.add.at(gone, base + start + size, -1)
             gone = np.cumsum(gone)[:-1] > 0
+            if text and len(data):  # a character of which bytes stay stays whole
+                head = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, head), np.diff(np.concatenate([head, [len(data)]])))
             row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
             opens = gone.copy()
             opens[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
@@ -294,14 +298,25 @@ def _cut(docs: DataFrame, spans: DataFrame, text: bool) -> DataFrame:
             parts = [kept[s:e] for s, e in zip(left[:-1], left[1:])]
             out = {"key": batch.column("key"), "n_bytes": np.diff(offs), "n_removed": np.bincount(row[gone], minlength=rows), "n_spans": np.bincount(row[opens], minlength=rows)}
             if text:
-                yield table(**out, text=pa.array([x.decode("utf-8", "ignore") for x in parts], pa.string()))
+                yield pa.RecordBatch.from_arrays([out["key"], batch.column("_rest"), pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())], schema=to_arrow_schema(shape))
             else:
                 yield table(**out, kept_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()))
 
-    joined = docs.join(per, "key", "left").select("key", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,size:bigint>>")).alias("spans"))
-    return joined.mapInArrow(work, "key long, n_bytes long, n_removed long, n_spans long, " + ("text string" if text else "kept_sha256 string"))
+    joined = docs.join(per, "key", "left").select("key", "text", *(["_rest"] if text else []), F.coalesce("spans", F.array().cast("array<struct<start:bigint,size:bigint>>")).alias("spans"))
+    shape = joined.select("key", "_rest", "text").schema if text else "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(work, shape)
 
 
 def repeat_report(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     return by_key(docs, lambda keyed: _cut(keyed, removed_spans(keyed, length, most), False))
+
+
+def cut_repeats(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
+    """docs with repeated passages cut from their texts, and n_chars, where it is a column, counted anew.
+
+    A character that loses only some of its bytes stays. Documents stay even if little text is left.
+    """
+    out = by_key(docs, lambda keyed: _cut(keyed, removed_spans(keyed, length, most), True), carry=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

@@ -45,19 +45,21 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, max_ro
     return big.join(small, on, how)
 
 
-def by_key(docs: DataFrame, work: Callable[[DataFrame], DataFrame], refers: tuple[str, ...] = ()) -> DataFrame:
+def by_key(docs: DataFrame, work: Callable[[DataFrame], DataFrame], refers: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
     """Run work on (key, text, id_text), key a unique non-null long, and return its result with doc_id for key.
 
     doc_id itself is the key where it is unique and not null. Otherwise rows are ordered by
     (doc_id, text), nulls first, and numbered, so that repeated ids are documents of their own.
-    Columns named in `refers` hold keys of other documents and are mapped back too.
+    Columns named in `refers` hold keys of other documents and are mapped back too. With `carry`, work also
+    gets the other columns of docs, as the struct _rest.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_text"),
+                      *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")] if carry else []))
     counted = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("gap")).first()
     if (counted["most"] or 0) <= 1 and not counted["gap"]:
         return work(ids.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")
     numbered = keep(ids.sort("doc_id", "text").withColumn("key", F.monotonically_increasing_id()), "keyed")
-    out = work(numbered.select("key", "text", "id_text"))
+    out = work(numbered.drop("doc_id"))
     for column in ("key", *refers):
         names = numbered.select(F.col("key").alias(column), F.col("doc_id").alias("_named"))
         out = out.join(names, column, "left").drop(column).withColumnRenamed("_named", "doc_id" if column == "key" else column)
