@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.llm import block_names, class_lm, codes, host_rules, packing, quality_qda, repeats, set_join, toxicity
+from lociq.llm import block_names, class_lm, codes, host_rules, packing, pieces, quality_qda, repeats, set_join, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_class_lm_scoring": op1_class_lm_scoring,
     "op2_toxicity": op2_toxicity,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_binary": op6_token_binary,
