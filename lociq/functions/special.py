@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -55,6 +57,8 @@ def gammainc_upper(a, x):
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     safe = np.maximum(x, 1e-300)
     front = np.exp(-safe + a * np.log(safe) - lgamma(a))
+    low = safe < a + 1
+    every, safe = safe, np.where(low, safe, a)  # each expansion sees only the side where it converges soon
     term, total = 1 / a, 1 / a
     for n in range(1, 1000):
         term = term * safe / (a + n)
@@ -62,6 +66,7 @@ def gammainc_upper(a, x):
         if np.all(np.abs(term) <= np.abs(total) * 1e-16):
             break
     lower = front * total
+    safe = np.where(low, a + 2, every)
     b = safe + 1 - a
     c, d = np.full_like(safe, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
     h = d.copy()
@@ -75,7 +80,7 @@ def gammainc_upper(a, x):
         h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
-    return np.where(x <= 0, 1.0, np.where(safe < a + 1, 1 - lower, front * h))
+    return np.where(x <= 0, 1.0, np.where(low, 1 - lower, front * h))
 
 
 def t_sf2(t, df):
@@ -112,10 +117,11 @@ def binom_sf(k, n, p):
     return np.where(k < 0, 1.0, np.where(k >= n, 0.0, betainc(np.maximum(k, 0) + 1, np.maximum(n - k, 1e-9), p)))
 
 
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
 def norm_sf(x):
-    x = np.asarray(x, float)
-    tail = 0.5 * gammainc_upper(0.5, x * x / 2)
-    return np.where(x >= 0, tail, 1 - tail)
+    return 0.5 * np.asarray(_erfc(np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def norm_pdf(x, mean=0.0, sd=1.0):
