@@ -138,7 +138,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: i
     def work(keyed: DataFrame) -> DataFrame:
         sample = labelled_sample(keyed, labels, label, folds, held, limit)
         rows = sample.select("text", "y").mapInArrow(measure, "y int, x array<double>").toArrow()  # bounded by `limit`
-        x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1)
+        x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1 if rows.num_rows else 1)
         model = fit(x, rows.column("y").to_numpy())
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
