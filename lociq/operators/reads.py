@@ -50,12 +50,6 @@ def trim_transposon_prefix(reads: DataFrame, prefix: str = PREFIX_HIMAR1, lo: in
     return found.withColumn("insert", insert).withColumn("kept", F.coalesce(F.length("insert") >= shortest, F.lit(False))).drop("_at", "_rest", "_cut")
 
 
-def _between(seq: Column, before: str, after: str, most: int) -> tuple[Column, Column]:
-    """Start of what follows `before`, and place of `after` in the rest; both -1-based as find_with_mismatches."""
-    first = find_with_mismatches(seq, before, most)
-    return first + len(before), find_with_mismatches(F.when(first >= 0, F.substring(seq, first + len(before) + 1, F.length(seq))).otherwise(F.lit("")), after, most)
-
-
 def extract_template_barcodes(reads: DataFrame, const1: str, const2: str, const3: str, mismatches: int = 1) -> DataFrame:
     """Layout const1 - barcode - const2 - genomic - const3: barcode of 5 to 15 bases, else X..., and the genomic part."""
     a = reads.withColumn("_a", find_with_mismatches(F.col("seq"), const1, mismatches))
