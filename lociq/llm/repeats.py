@@ -228,9 +228,13 @@ def removed_around_anchors(found: DataFrame, length: int) -> DataFrame:
             hi = np.minimum(head, distance[row])
             use = (age[row] != oldest[number]) & (lo <= hi)
             if use.any():
-                r = row[use]
-                spans = np.stack([run["key"][r], start[r] + distance[r] - hi[use], hi[use] - lo[use] + length], 1)
-                spans = np.unique(spans, axis=0)
+                # Every such span holds the anchor, so those of one context make one span.
+                order = np.argsort(row[use], kind="stable")
+                r = row[use][order]
+                edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                far, near = np.maximum.reduceat(hi[use][order], edge), np.minimum.reduceat(lo[use][order], edge)
+                r = r[edge]
+                spans = np.stack([run["key"][r], start[r] + distance[r] - far, far - near + length], 1)
                 yield table(key=spans[:, 0], start=spans[:, 1], size=spans[:, 2])
 
     return found.repartition("anchor").sortWithinPartitions("anchor", "after").mapInArrow(work, "key long, start long, size long")
