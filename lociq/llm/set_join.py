@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.components import components
-from lociq.llm.session import by_key, keep
+from lociq.llm.session import by_key, keep, release
 from lociq.llm.text import U64, mix, pieces, row_sums, shingle_sets, signed, table
 
 HOME, NEEDY = U64(1) << U64(63), U64(1) << U64(62)
@@ -113,13 +113,13 @@ def _identity(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(key, n, entity, sketch): set size, the set's name, and its parity sketch of about a bit a shingle."""
+    """(key, n, entity, sketch): set size, the set's name, and its parity sketch of four to eight bits a shingle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in pieces(batches):
             values, at = shingle_sets(data, offs, width)
             n = np.diff(at)
-            bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+            bits = 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64)
             place = np.concatenate([[0], np.cumsum(bits)])
             row = np.repeat(np.arange(len(n)), n)
             odd = np.bincount(place[:-1][row] + (mix(values) & (bits[row] - 1).astype(U64)).astype(np.int64), minlength=int(place[-1])) & 1
@@ -241,24 +241,57 @@ def candidates(index: DataFrame, whole: int) -> DataFrame:
     return index.repartition("bucket").sortWithinPartitions("bucket", "tag").mapInArrow(work, "kind int, a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within each large bucket (bucket, tag, component)."""
+def _widths(width: np.ndarray, sketch: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By sketch width in words: the sets at least that wide, and their sketches folded to it."""
+    out = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width >= w)
+        out[w] = at, np.stack([np.bitwise_xor.reduce(np.frombuffer(sketch[i], U64).reshape(-1, w), axis=0) for i in at.tolist()])
+    return out
+
+
+def cross_pairs(members: DataFrame, t: int, nearest: bool) -> DataFrame:
+    """Pairs of different components within each large bucket (bucket, tag, component, n, sketch) that sizes and sketches allow.
+
+    nearest: of each set outside the bucket's largest component, only the pair whose sketches are least apart.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "bucket"):
             start = np.flatnonzero(np.concatenate([[True], run["bucket"][1:] != run["bucket"][:-1]])).tolist()
+            left, right = [], []
             for s, e in zip(start, [*start[1:], len(run["bucket"])]):
-                tag, comp = run["tag"][s:e].view(U64), run["component"][s:e]
+                tag, comp, n = run["tag"][s:e].view(U64), run["component"][s:e], run["n"][s:e]
                 values, count = np.unique(comp, return_counts=True)
                 if len(values) < 2:
                     continue
                 home, main = (tag & HOME) > 0, comp == values[count.argmax()]
-                rest = np.flatnonzero(~main)
-                for i in rest.tolist():
-                    use = (comp != comp[i]) & (home | home[i]) & (main | (np.arange(len(tag)) > i))
-                    a, b = _pairs(np.full(int(use.sum()), tag[i]), tag[use])
-                    if len(a):
-                        yield table(a=signed(a), b=signed(b))
+                sketches = run["sketch"][s:e].tolist()
+                width = np.array([len(x) // 8 for x in sketches])
+                by_width = _widths(width, sketches)
+                later = np.arange(len(tag))
+                for i in np.flatnonzero(~main).tolist():
+                    use = (comp != comp[i]) & (home | home[i]) & (main | nearest | (later > i))
+                    use &= np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * t
+                    close, gaps = [], []
+                    for w, (at, folded) in by_width.items():
+                        if w > width[i]:
+                            continue
+                        pick = use[at] if w == width[i] else use[at] & (width[at] == w)
+                        j = at[pick]
+                        apart = np.bitwise_count(folded[pick] ^ folded[np.searchsorted(at, i)]).sum(1)
+                        ok = apart <= (100 - t) * (n[i] + n[j]) // (100 + t)
+                        close.append(j[ok])
+                        gaps.append(apart[ok] / (n[i] + n[j[ok]]))
+                    j = np.concatenate(close)
+                    if nearest and len(j):
+                        j = j[[np.concatenate(gaps).argmin()]]
+                    left.append(np.full(len(j), tag[i]))
+                    right.append(tag[j])
+            if left:
+                a, b = _pairs(np.concatenate(left), np.concatenate(right))
+                if len(a):
+                    yield table(a=signed(a), b=signed(b))
 
     return members.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(work, "a long, b long")
 
@@ -326,10 +359,16 @@ def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8) -> t
     texts = keep(docs.select("key", "text").join(wanted, "key").select("entity", "text"), "texts")
     links = keep(verify(pairs, texts, width, t), "links")
     if not members.isEmpty():
-        found_so_far = components(links)
-        placed = members.join(found_so_far.withColumnRenamed("node", "entity"), "entity", "left").select("bucket", "tag", F.coalesce("component", "entity").alias("component"))
-        more = cross_pairs(placed).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(keep(verify(prune(more, entities, t), texts, width, t), "more-links"))
+        # Sets that a star left apart first try their nearest neighbour of another component, twice; what is
+        # still apart then is compared in full.
+        for nearest in (True, True, False):
+            placed = keep(members.join(components(links).withColumnRenamed("node", "entity"), "entity", "left").select("bucket", "tag", "entity", F.coalesce("component", "entity").alias("component")), "placed")
+            several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
+            apart = placed.join(several, "bucket", "left_semi").join(entities.select("entity", "n", "sketch"), "entity").select("bucket", "tag", "component", "n", "sketch")
+            more = keep(cross_pairs(apart, t, nearest).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            release(placed)
+            pairs = pairs.union(more)
+            links = links.union(keep(verify(more, texts, width, t), "more-links"))
     return described.drop("sketch"), links
 
 
