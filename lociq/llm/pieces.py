@@ -261,7 +261,7 @@ class PieceEncoder:
 
     _shared: dict[str, PieceEncoder] = {}
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.model, self.most = PieceModel.of(path), most
         self._clear()
 

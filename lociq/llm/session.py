@@ -1,4 +1,4 @@
-"""Scratch tables, document keys and size-checked joins shared by the text operators."""
+"""Scratch tables and document keys shared by the text operators."""
 
 from __future__ import annotations
 
@@ -38,13 +38,6 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast `small` only when a count shows it has at most max_rows rows; otherwise a shuffle join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
-
-
 def by_key(docs: DataFrame, work: Callable[[DataFrame], DataFrame], refers: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
     """Run work on (key, text, id_text), key a unique non-null long, and return its result with doc_id for key.
 

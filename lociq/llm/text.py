@@ -40,7 +40,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into runs of whole rows of about `most` text bytes, with their bytes and offsets."""
     for batch in batches:
         data, offs = text_bytes(batch.column(batch.schema.get_field_index(column)))

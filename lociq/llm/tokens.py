@@ -23,7 +23,7 @@ class WordEncoder:
 
     _shared: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._clear()
 
