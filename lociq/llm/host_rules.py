@@ -18,37 +18,36 @@ WORD = r"[^\\x20\\x09-\\x0D]+"
 WINDOW = 8
 
 
-def rule_columns(text: str = "text") -> dict[str, Column]:
-    """Columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text column, in one row's reach."""
+def rule_struct(text: str = "text") -> Column:
+    """One struct of a text's counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and of base_failed and rule_failed.
+
+    Each one-element transform names a value, so that it is computed once.
+    """
     t = f"coalesce(`{text}`, '')"
-    found = f"""transform(array(regexp_extract_all({t}, '{WORD}', 0)), w -> struct(
-        size(w) AS n_words,
-        length(array_join(w, '')) AS word_chars,
-        transform(array(transform(w, x -> xxhash64(x))), a ->
-          if(size(a) < {WINDOW}, array(), transform(sequence(1, size(a) - {WINDOW - 1}), i -> xxhash64(slice(a, i, {WINDOW})))))[0] AS windows))[0]"""
-    repeat = f"""transform(array(_found.windows), h -> if(size(array_distinct(h)) = size(h), 0L,
+    windows = f"""transform(array(transform(w, x -> xxhash64(x))), a ->
+        if(size(a) < {WINDOW}, array(), transform(sequence(1, size(a) - {WINDOW - 1}), i -> xxhash64(slice(a, i, {WINDOW})))))[0]"""
+    repeat = f"""transform(array({windows}), h -> if(size(array_distinct(h)) = size(h), 0L,
         transform(array(sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))), s ->
           transform(array(sort_array(transform(filter(s, (x, j) -> (j > 0 AND s[greatest(j - 1, 0)].h = x.h)
                 OR (j < size(s) - 1 AND s[least(j + 1, size(s) - 1)].h = x.h)), x -> x.i))), p ->
             aggregate(transform(p, (x, j) -> if(j = size(p) - 1, {WINDOW}, least({WINDOW}, p[least(j + 1, size(p) - 1)] - x))), 0L, (a, x) -> a + x))[0])[0]))[0]"""
     lines = f"""transform(array(filter(split({t}, '\\n'), x -> x rlike '{WORD}')), l -> size(l) - size(array_distinct(l)))[0]"""
-    return {
-        "_found": F.expr(found),
-        "n_words": F.expr("cast(_found.n_words as long)"),
-        "word_chars": F.expr("cast(_found.word_chars as long)"),
-        "n_symbols": F.expr(f"cast(length({t}) - length(regexp_replace({t}, '[#*$%&|<>]', '')) as long)"),
-        "n_dup_lines": F.expr(f"cast({lines} as long)"),
-        "n_repeat_words": F.expr(repeat),
-    }
+    counts = f"""transform(array(regexp_extract_all({t}, '{WORD}', 0)), w -> struct(
+        cast(size(w) as long) AS n_words, cast(length(array_join(w, '')) as long) AS word_chars,
+        cast(length({t}) - length(regexp_replace({t}, '[#*$%&|<>]', '')) as long) AS n_symbols,
+        cast({lines} as long) AS n_dup_lines, {repeat} AS n_repeat_words))[0]"""
+    base = "(r.n_words < 20 OR 100 * r.n_repeat_words > 30 * r.n_words)"
+    soft = f"({base} OR 10 * r.n_symbols > r.word_chars OR 10 * r.n_dup_lines > 3 * r.n_words OR NOT r.word_chars BETWEEN 2 * r.n_words AND 20 * r.n_words)"
+    return F.expr(f"""transform(array({counts}), r -> struct(r.n_words AS n_words, r.word_chars AS word_chars, r.n_symbols AS n_symbols,
+        r.n_dup_lines AS n_dup_lines, r.n_repeat_words AS n_repeat_words, {base} AS base_failed, {soft} AS rule_failed))[0]""")
 
 
 def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the rule counts and base_failed; rules_failed counts the soft rules that feed the host rates."""
-    columns = rule_columns(text)
-    out = docs.withColumn("_found", columns.pop("_found")).withColumns(columns).drop("_found")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    soft = base | (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_words")) | ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words"))
-    return out.withColumns({"base_failed": base, "rule_failed": soft})
+    """docs with the rule counts, base_failed, and rule_failed, which feeds the host rates.
+
+    The generator keeps Spark from repeating the expression for each of its columns and in filters.
+    """
+    return docs.select("*", F.inline(F.array(rule_struct(text))))
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
