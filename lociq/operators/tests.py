@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +92,8 @@ def _permute(counts: np.ndarray, site: np.ndarray, library: np.ndarray, mode: st
 def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mode: str = "site", adaptive: bool = False, pseudo: float = 1.0, seed: int = 0, batch: int = 500, statistic: Callable = mean_difference) -> DataFrame:
     """Permutation test of the mean difference per gene; groups is (sample_id, is_exp[, library]).
 
-    A gene's block is permuted in batches, each a row of its own with a seed from gene, batch and seed, so results do
-    not depend on partitions. Adaptive: 1 %, 10 % and 100 % of the permutations; genes with round(times / 1000) exceedances stop.
+    A gene's block is permuted in batches, each with a seed from gene, batch and seed, so results do not depend on
+    partitions. Adaptive: 1 %, 10 % and 100 % of the permutations; genes with round(times / 1000) exceedances, one at least, stop.
     """
     if "library" not in groups.columns:
         groups = groups.withColumn("library", F.lit("A"))
@@ -102,36 +103,37 @@ def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mod
         F.sum(F.when(F.col("is_exp"), F.col("count"))).alias("sum_exp"), F.avg(F.when(~F.col("is_exp"), F.col("count"))).alias("mean_ctrl"), F.avg(F.when(F.col("is_exp"), F.col("count"))).alias("mean_exp"),
     )  # a gene's sites and samples
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for orf, b, part, size in zip(frame["orf"], frame["b"], frame["part"], frame["size"]):
-                counts = np.array([x["count"] for x in b], float)
-                exp = np.array([x["is_exp"] for x in b], bool)
-                site, library = np.array([x["position"] for x in b]), np.array([x["library"] for x in b])
-                rng = np.random.default_rng([seed, part, *orf.encode()])
-                observed = statistic(counts[~exp], counts[exp])
-                seen = _permute(counts, site, library, mode, int(size), rng)
-                null = statistic(seen[:, ~exp], seen[:, exp])
-                rows.append((orf, int(size), int((np.abs(null) >= abs(observed) - 1e-12).sum()), int((null <= observed + 1e-12).sum()), int((null >= observed - 1e-12).sum())))
-            yield pd.DataFrame(rows, columns=["orf", "done", "two", "low", "high"])
-
-    def run(todo: DataFrame, first: int, last: int) -> DataFrame:
-        parts = [(i, min(batch, last - lo)) for i, lo in enumerate(range(first, last, batch), first // batch)]
-        listed = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(n).alias("size")) for i, n in parts])
-        cut = todo.withColumn("_p", F.explode(listed)).select("orf", "b", "_p.*").repartition("orf", "part")
-        return cut.mapInPandas(work, "orf string, done long, two long, low long, high long")
+    def run(todo: DataFrame, first: int, last: int, used: int) -> DataFrame:
+        parts = [(i, min(batch, last - lo)) for i, lo in enumerate(range(first, last, batch), used)]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in batches:
+                rows = []
+                for orf, b in zip(found.column("orf").to_pylist(), found.column("b")):  # a gene at a time leaves Arrow
+                    counts, exp, site, library = (np.array(b.values.field(c).to_pylist()) for c in ("count", "is_exp", "position", "library"))
+                    counts = counts.astype(float)
+                    observed, sums = statistic(counts[~exp], counts[exp]), np.zeros(4, int)
+                    for part, size in parts:
+                        seen = _permute(counts, site, library, mode, size, np.random.default_rng([seed, part, *orf.encode()]))
+                        null = statistic(seen[:, ~exp], seen[:, exp])
+                        sums += [size, (np.abs(null) >= abs(observed) - 1e-12).sum(), (null <= observed + 1e-12).sum(), (null >= observed - 1e-12).sum()]
+                    rows.append({"orf": orf, **dict(zip(("done", "two", "low", "high"), sums.tolist()))})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("orf", pa.string()), *[(c, pa.int64()) for c in ("done", "two", "low", "high")]]))
+
+        return todo.select("orf", "b").mapInArrow(work, "orf string, done long, two long, low long, high long")
 
     live = blocks.filter("sum_ctrl + sum_exp > 0 AND sum_ctrl IS NOT NULL AND sum_exp IS NOT NULL")
     total = None
+    used = 0  # parts are numbered on from stage to stage: a number used twice would repeat its permutations
     bounds = [0, max(times // 100, 1), max(times // 10, 1), times] if adaptive else [0, times]
     for first, last in zip(bounds[:-1], bounds[1:]):
         if first == last:
             continue
         todo = live
         if total is not None:
-            todo = live.join(total.filter(F.col("two") >= round(times * 0.001)).select("orf"), "orf", "left_anti")
-        new = run(todo, first, last)
+            todo = live.join(total.filter(F.col("two") >= max(1, round(times * 0.001))).select("orf"), "orf", "left_anti")
+        new = run(todo, first, last, used)
+        used += len(range(first, last, batch))
         total = (new if total is None else total.union(new)).groupBy("orf").agg(*[F.sum(c).alias(c) for c in ("done", "two", "low", "high")])
     tested = blocks.drop("b").join(total, "orf", "left")
     p = lambda c: F.coalesce(F.col(c) / F.col("done"), F.lit(1.0))

@@ -43,7 +43,7 @@ def m2_resampling(spark, d):
 
 @query(None)
 def m2_resampling_adaptive(spark, d):
-    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=400, mode="library", adaptive=True, batch=100)
+    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=10_000, mode="library", adaptive=True)
 
 
 @query(""", g AS (SELECT orf, count, s.condition = 'A' AS x FROM site_gene_a JOIN samples s USING (sample_id) WHERE s.condition IN ('N', 'A')), r AS (SELECT *, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS rk FROM g)

@@ -112,6 +112,28 @@ def test_resampling(spark):
     assert own.count() == 12
 
 
+def test_adaptive_resampling_goes_on_with_new_permutations(spark):
+    sg, samples, _ = blocks_of(spark, lift=9.0, genes=8)
+    groups = samples.select("sample_id", (F.col("condition") == "exp").alias("is_exp"))
+    got = {r.orf: r for r in tests.resampling(sg, groups, 400, "pooled", adaptive=True, batch=100).collect()}
+    assert all(got[f"g{i}"].done == 400 and got[f"g{i}"].pval < 0.01 for i in range(5)) and all(r.done in (4, 40, 400) for r in got.values())
+    # Counted again by hand: 20, 180, 500, 500, 500 and 300 permutations, each part with a seed of its own.
+    got = {r.orf: r for r in tests.resampling(sg, groups, 2000, "pooled", adaptive=True).collect()}
+    exp = {r.sample_id: r.is_exp for r in groups.collect()}
+    reached = set()
+    for orf, rows in sg.toPandas().sort_values(["position", "sample_id"]).groupby("orf"):
+        counts, x = rows["count"].to_numpy(), rows["sample_id"].map(exp).to_numpy(bool)
+        observed, done, two = abs(counts[x].mean() - counts[~x].mean()), 0, 0
+        for part, size in enumerate((20, 180, 500, 500, 500, 300)):
+            seen = tests._permute(counts, x, x, "pooled", size, np.random.default_rng([0, part, *orf.encode()]))
+            done, two = done + size, two + int((abs(seen[:, x].mean(axis=1) - seen[:, ~x].mean(axis=1)) >= observed - 1e-12).sum())
+            if done in (20, 200) and two >= 2:
+                break
+        reached.add(done)
+        assert got[orf].done == done and math.isclose(got[orf].pval, two / done), orf
+    assert {20, 2000} <= reached
+
+
 def test_permutations_stay_in_their_cells():
     counts, site = np.arange(12.0), np.repeat([0, 1, 2], 4)
     out = tests._permute(counts, site, site, "site", 50, np.random.default_rng(0))
