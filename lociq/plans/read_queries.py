@@ -56,6 +56,9 @@ def rd8_select_cycles(spark, d):
     return rd.select_cycles(t.reads(spark, d), 4, 20)
 
 
+# The SQL of the four queries on sites has those up to 5,199 only; the queries named _whole report every site of the grid.
+
+
 def _sites(spark, d):
     return spark.range(1, 5200).select(F.lit("c1").alias("contig"), F.col("id").alias("position")).join(t.grid(spark, d), ["contig", "position"], "left_semi")
 
@@ -69,12 +72,22 @@ def rd9_read_counts(spark, d):
     return rd.read_counts(t.alignments(spark, d), _sites(spark, d)).drop("contig")
 
 
+@query(None)
+def rd9_read_counts_whole(spark, d):
+    return rd.read_counts(t.alignments(spark, d), t.grid(spark, d)).drop("contig")
+
+
 @query(SITES_SQL + """, e AS (SELECT unnest([pos + (CASE WHEN flag = 0 THEN seq_len ELSE 1 END) - 2, pos + (CASE WHEN flag = 0 THEN seq_len ELSE 1 END) - 1]) AS position, flag FROM alignments WHERE flag IN (0, 16)),
  c AS (SELECT position, sum((flag = 0)::int) AS fwd, sum((flag = 16)::int) AS rev FROM e GROUP BY 1) SELECT s.position, coalesce(fwd, 0)::bigint AS fwd, coalesce(rev, 0)::bigint AS rev, coalesce(fwd + rev, 0)::bigint AS total FROM sites s LEFT JOIN c USING (position)""")
 def rd9_read_counts_mme1(spark, d):
     return rd.read_counts(t.alignments(spark, d), _sites(spark, d), "mme1").drop("contig")
 
 
+@query(None)
+def rd9_read_counts_mme1_whole(spark, d):
+    return rd.read_counts(t.alignments(spark, d), t.grid(spark, d), "mme1").drop("contig")
+
+
 TEMPLATES_SQL = SITES_SQL + """, k AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN 'R' ELSE 'F' END AS strand, CASE WHEN flag & 16 <> 0 THEN pos + seq_len ELSE pos - 2 END AS position FROM alignments WHERE flag & 64 <> 0 AND flag & 2 <> 0 AND cigar NOT LIKE '%S%' AND barcode <> 'XXXXXXXXXX'),
  c AS (SELECT position, count(*) FILTER (strand = 'F') AS fr, count(DISTINCT tlen || '/' || barcode) FILTER (strand = 'F') AS ft, count(*) FILTER (strand = 'R') AS rr, count(DISTINCT tlen || '/' || barcode) FILTER (strand = 'R') AS rt FROM k GROUP BY 1),
  tc AS (SELECT s.position, coalesce(fr, 0) AS fwd_rd_ct, coalesce(ft, 0) AS fwd_templ_ct, coalesce(rr, 0) AS rev_rd_ct, coalesce(rt, 0) AS rev_templ_ct, coalesce(fr + rr, 0) AS tot_rd_ct, coalesce(ft + rt, 0) AS tot_templ_ct FROM sites s LEFT JOIN c USING (position)) """
@@ -85,6 +98,11 @@ def rd10_template_counts(spark, d):
     return rd.template_counts(t.alignments(spark, d), _sites(spark, d)).drop("contig")
 
 
+@query(None)
+def rd10_template_counts_whole(spark, d):
+    return rd.template_counts(t.alignments(spark, d), t.grid(spark, d)).drop("contig")
+
+
 @query("SELECT read_id AS contig, i AS position FROM (SELECT read_id, seq, unnest(range(1, length(seq))) AS i FROM reads) WHERE substr(seq, i, 2) = 'TA'")
 def rd11_ta_sites(spark, d):
     return rd.ta_sites(t.reads(spark, d).select(F.col("read_id").alias("contig"), F.lit(1).cast("long").alias("chunk_start"), "seq"))
@@ -93,7 +111,16 @@ def rd11_ta_sites(spark, d):
 @query(TEMPLATES_SQL + """SELECT sum(tot_rd_ct)::bigint AS read_count, sum(tot_templ_ct)::bigint AS template_count, count(*) AS sites, count(*) FILTER (tot_templ_ct > 0) AS sites_hit, max(tot_templ_ct) AS max_count,
  round(avg(tot_templ_ct) FILTER (tot_templ_ct > 0), 6) + 0 AS nz_mean, round(corr(fwd_templ_ct, rev_templ_ct), 6) + 0 AS fr_corr, round(corr(tot_rd_ct, tot_templ_ct), 6) + 0 AS rt_corr, (SELECT count(*) FROM reads) AS total_reads FROM tc""")
 def rd12_preprocess_stats(spark, d):
-    counts = rd.template_counts(t.alignments(spark, d), _sites(spark, d))
+    return _preprocess_stats(spark, d, _sites(spark, d))
+
+
+@query(None)
+def rd12_preprocess_stats_whole(spark, d):
+    return _preprocess_stats(spark, d, t.grid(spark, d))
+
+
+def _preprocess_stats(spark, d, sites):
+    counts = rd.template_counts(t.alignments(spark, d), sites)
     trimmed = rd.trim_transposon_prefix(t.reads(spark, d), "TTA", 0, 40, 0)
     return rd.preprocess_stats(counts, trimmed).select("read_count", "template_count", "sites", "sites_hit", "max_count", *r6("nz_mean", "fr_corr", "rt_corr"), "total_reads")
 

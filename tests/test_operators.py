@@ -262,3 +262,17 @@ def test_normalisations(spark):
     ranks = normalise.normalize(counts, "quantile").groupBy("sample_id").agg(F.countDistinct("count").alias("n")).join(counts.groupBy("sample_id").agg(F.countDistinct("count").alias("m")), "sample_id")
     assert ranks.filter("n <> m").isEmpty()
     assert normalise.normalize(counts, "what").exceptAll(counts).isEmpty()
+
+
+def test_site_reports_have_every_site(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.01"
+    grid = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("position")).distinct()
+    want, queries = {r.position for r in grid.collect()}, e.queries()
+    assert max(want) > 5199
+    for name in ("rd9_read_counts", "rd9_read_counts_mme1", "rd10_template_counts"):
+        got = {r.position: tuple(r) for r in queries[f"{name}_whole"](spark, d).collect()}
+        assert set(got) == want and all(got[r.position] == tuple(r) for r in queries[name](spark, d).collect()), name
+    stats = queries["rd12_preprocess_stats_whole"](spark, d).first()
+    assert stats.sites == len(want) > queries["rd12_preprocess_stats"](spark, d).first().sites
