@@ -47,9 +47,9 @@ def overlaps(left: DataFrame, genes: DataFrame, bin_size: int = BIN) -> DataFram
     return a.join(b, ["contig", "_bin"]).filter((F.col("start_pos") <= F.col("end")) & (F.col("start") <= F.col("end_pos")) & (begins == F.col("_bin"))).drop("_bin")
 
 
-def genes_in_ranges(ranges: DataFrame, genes: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """(run_id, orfs): the sorted set of genes that overlap each range."""
-    return overlaps(ranges, genes, bin_size).groupBy("run_id").agg(F.array_sort(F.collect_set("orf")).alias("orfs"))
+def genes_in_ranges(ranges: DataFrame, genes: DataFrame, bin_size: int = BIN, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """(keys, orfs): the sorted set of genes that overlap each range."""
+    return overlaps(ranges, genes, bin_size).groupBy(*keys).agg(F.array_sort(F.collect_set("orf")).alias("orfs"))
 
 
 def overlap_columns(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.operators import aggregates as agg
@@ -11,6 +13,12 @@ from lociq.plans import tables as t
 from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, query, r6, site_gene
 
 
+def _each_sample(spark, d, f):
+    """f(sample_id) of every sample, one below the other, with sample_id in front; samples are metadata."""
+    names = sorted(r["sample_id"] for r in t.samples(spark, d).select("sample_id").collect())
+    return reduce(DataFrame.unionByName, [f(n).select(F.lit(n).alias("sample_id"), "*") for n in names])
+
+
 def _groups(spark, d):
     """Samples of conditions N (control) and A."""
     return t.samples(spark, d).filter("condition IN ('N', 'A')").select("sample_id", (F.col("condition") == "A").alias("is_exp"), F.col("status").alias("library"))
@@ -89,7 +97,16 @@ GAPS_SQL = RUNS_SQL + """, g AS (SELECT avg((count > 0)::int) AS p, count(*) AS
 
 @query(GAPS_SQL + "SELECT ge.orf, b.run_id, coalesce(b.length, 0) AS run_length, coalesce(ov, 0) AS overlap, coalesce(round(1 - exp(-exp((ln(n * p) / ln(1 / (1 - p)) - b.length) * ln(1 / (1 - p)))), 6) + 0, 1) AS pval FROM genes ge CROSS JOIN g LEFT JOIN b ON b.orf = ge.orf AND b.k = 1")
 def m7_tn5gaps(spark, d):
-    track = t.site_counts(spark, d).filter("sample_id = 'NO_1'")
+    return _gaps(spark, d, "NO_1")
+
+
+@query(None)
+def m7_tn5gaps_whole(spark, d):
+    return _each_sample(spark, d, lambda sample: _gaps(spark, d, sample))
+
+
+def _gaps(spark, d, sample):
+    track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
     one = track.agg(F.avg((F.col("count") > 0).cast("double")).alias("p"), F.count("*").alias("n")).first()
     return essentiality.gaps(windows.runs(track, ["sample_id", "contig"]), t.genes(spark, d), one["n"], one["p"]).select("orf", "run_id", "run_length", "overlap", *r6("pval"))
 
@@ -126,8 +143,17 @@ def m10_hmm_confidence(spark, d):
  c AS (SELECT orf, count(*) AS n, count(*) FILTER (state = 'ES') AS es, count(*) FILTER (state = 'GD') AS gd, count(*) FILTER (state = 'NE') AS ne, count(*) FILTER (state = 'GA') AS ga FROM st GROUP BY 1)
  SELECT g.orf, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'N/A' WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM genes g LEFT JOIN c USING (orf)""")
 def m9_hmm_gene_calls(spark, d):
+    return _gene_calls(spark, d, "NO_1")
+
+
+@query(None)
+def m9_hmm_gene_calls_whole(spark, d):
+    return _each_sample(spark, d, lambda sample: _gene_calls(spark, d, sample))
+
+
+def _gene_calls(spark, d, sample):
     x = F.col("count")
-    states = site_gene(spark, d).filter("sample_id = 'NO_1'").withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
+    states = site_gene(spark, d).filter(F.col("sample_id") == sample).withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
     return essentiality.hmm_genes(states, t.genes(spark, d)).select("orf", "n", "call")
 
 
@@ -137,20 +163,20 @@ def m11_genetic_interactions(spark, d):
     return interactions.genetic_interactions(site_gene(spark, d), cells.select("sample_id", "cell"), samples=2000)
 
 
-def _ttn_rows(spark, d):
+def _ttn_rows(spark, d, sample):
     from lociq.operators import joins
 
     letters = F.array(*[F.lit(c) for c in "ACGT"])
     base = lambda k: F.get(letters, F.pmod(F.xxhash64((F.col("position") + k)), F.lit(4)).cast("int"))
     context = F.concat(*[base(k) for k in (-4, -3, -2, -1)], F.lit("TA"), *[base(k) for k in (2, 3, 4, 5)])
-    sites = t.site_counts(spark, d).filter("sample_id = 'NO_1'").withColumn("context", context)
+    sites = t.site_counts(spark, d).filter(F.col("sample_id") == sample).withColumn("context", context)
     assigned = joins.assign_sites(sites, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
     return ttn.ttn_features(assigned).select("orf", "count", "up", "down")
 
 
 @query(None)
 def m12_ttn_fitness(spark, d):
-    return ttn.ttn_fitness(_ttn_rows(spark, d))[0]
+    return _each_sample(spark, d, lambda sample: ttn.ttn_fitness(_ttn_rows(spark, d, sample))[0])
 
 
 @query("""SELECT read_id, (instr('ACGT', substr(seq, 1, 1)) - 1) * 64 + (instr('ACGT', substr(seq, 2, 1)) - 1) * 16 + (instr('ACGT', substr(seq, 3, 1)) - 1) * 4 + instr('ACGT', substr(seq, 4, 1)) - 1 AS up,
@@ -161,9 +187,13 @@ def m12_ttn_features(spark, d):
 
 @query(None)
 def m13_fitness_defect(spark, d):
-    track = t.site_counts(spark, d).filter("sample_id = 'NO_1'")
+    return _each_sample(spark, d, lambda sample: _fitness_defect(spark, d, sample))
+
+
+def _fitness_defect(spark, d, sample):
+    track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
     background = windows.state_runs(track, ["sample_id"]).filter("state = 'NE'").groupBy("count").agg(F.count("*").alias("n"))
-    blocks = site_gene(spark, d).filter("sample_id = 'NO_1'").groupBy("orf").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
+    blocks = site_gene(spark, d).filter(F.col("sample_id") == sample).groupBy("orf").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
     return tests.fitness_defect(blocks, background, draws=2000)
 
 

@@ -140,6 +140,13 @@ def j4_genes_in_ranges(spark, d):
     return found.select("run_id", F.size("orfs").cast("long").alias("n_genes"), F.get("orfs", F.lit(0)).alias("first_orf"))
 
 
+@query(None)
+def j4_genes_in_ranges_whole(spark, d):
+    """Runs of every sample and length."""
+    found = joins.genes_in_ranges(_runs(spark, d), t.genes(spark, d), keys=("sample_id", "run_id"))
+    return found.select("sample_id", "run_id", F.size("orfs").cast("long").alias("n_genes"), F.get("orfs", F.lit(0)).alias("first_orf"))
+
+
 @query(RUNS_SQL + """SELECT r.run_id, g.orf, greatest(least(r.end_pos, g."end") - greatest(r.start_pos, g.start), 0) AS overlap,
  round(CASE WHEN (g.start >= r.start_pos AND g."end" <= r.end_pos) OR (r.start_pos >= g.start AND r.end_pos <= g."end") THEN 1.0 ELSE greatest(least(r.end_pos, g."end") - greatest(r.start_pos, g.start), 0) / (g."end" - g.start) END, 6) + 0 AS overlap_fraction
  FROM runs r JOIN genes g ON r.start_pos <= g."end" AND g.start <= r.end_pos WHERE r.sample_id = 'NO_1' AND r.length >= 5""")
@@ -148,6 +155,13 @@ def j5_overlap(spark, d):
     return found.select("run_id", "orf", "overlap", *r6("overlap_fraction"))
 
 
+@query(None)
+def j5_overlap_whole(spark, d):
+    """Runs of every sample and length."""
+    found = joins.overlap_columns(joins.overlaps(_runs(spark, d), t.genes(spark, d)))
+    return found.select("sample_id", "run_id", "orf", "overlap", *r6("overlap_fraction"))
+
+
 @query(", m AS (SELECT orf, sample_id, avg(count) AS mean FROM site_gene_a GROUP BY 1, 2) SELECT a.orf, round(a.mean, 6) + 0 AS ctrl, round(b.mean, 6) + 0 AS exp FROM m a JOIN m b ON a.orf = b.orf WHERE a.sample_id = 'NO_0' AND b.sample_id = 'AF_0'")
 def j6_join_strains(spark, d):
     means = site_gene(spark, d).groupBy("orf", "sample_id").agg(F.avg("count").alias("mean"))
@@ -365,6 +379,12 @@ def w10_average_ranks(spark, d):
     return windows.average_ranks(site_gene(spark, d).join(small, "orf", "left_semi"), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
 
 
+@query(None)
+def w10_average_ranks_whole(spark, d):
+    """Every gene, not the short ones alone."""
+    return windows.average_ranks(site_gene(spark, d), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
+
+
 @query("SELECT sample_id, bucket, min(position) AS position, sum(count) AS count FROM (SELECT *, cast((row_number() OVER (PARTITION BY sample_id ORDER BY position) - 1) // 100 AS bigint) AS bucket FROM site_counts) GROUP BY 1, 2")
 def w13_bucket_sums(spark, d):
     return windows.bucket_sums(t.site_counts(spark, d), ["sample_id"]).select("sample_id", "bucket", "position", "count")

@@ -276,3 +276,26 @@ def test_site_reports_have_every_site(spark):
         assert set(got) == want and all(got[r.position] == tuple(r) for r in queries[name](spark, d).collect()), name
     stats = queries["rd12_preprocess_stats_whole"](spark, d).first()
     assert stats.sites == len(want) > queries["rd12_preprocess_stats"](spark, d).first().sites
+
+
+def test_queries_take_every_sample_and_gene(spark, monkeypatch):
+    import __spark_entry__ as e
+    from lociq.plans import model_queries
+
+    d, queries = "/root/testdata/sf0.001", e.queries()
+    rows = lambda name: {tuple(r) for r in queries[name](spark, d).collect()}
+    samples = {r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus", F.lit("_"), (F.col("l_linenumber") % 2).cast("string"))).distinct().collect()}
+    assert len(samples) > 1
+    for name in ("j4_genes_in_ranges", "j5_overlap"):
+        got, part = rows(f"{name}_whole"), rows(name)
+        assert {r[0] for r in got} == samples and part < {r[1:] for r in got if r[0] == "NO_1"}, name
+    assert rows("w10_average_ranks") < rows("w10_average_ranks_whole")
+    # The models themselves are tested above; here each sample must reach them.
+    seen = []
+    one = lambda sample: spark.range(1).select(F.lit("g").alias("orf"))
+    for name in ("_gaps", "_gene_calls", "_fitness_defect", "_ttn_rows"):
+        monkeypatch.setattr(model_queries, name, lambda spark, d, sample, name=name: seen.append((name, sample)) or one(sample))
+    monkeypatch.setattr(model_queries.ttn, "ttn_fitness", lambda rows: (rows, None))
+    for name in ("m7_tn5gaps_whole", "m9_hmm_gene_calls_whole", "m12_ttn_fitness", "m13_fitness_defect"):
+        assert {r.sample_id for r in queries[name](spark, d).collect()} == samples, name
+    assert len(set(seen)) == 4 * len(samples)
