@@ -59,16 +59,14 @@ def gsea(ranked: DataFrame, associations: DataFrame, p: float = 0.0, n_perm: int
     return bh_fdr(found.join(tested, "term").join(ranks, "term"))
 
 
-def ancestors(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(term, ancestor) closure of (child, parent), itself included; steps double, so depth d takes log2 d joins."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(term, ancestor) closure of (child, parent), itself included; steps double until it grows no more, so depth d takes log2 d joins."""
     nodes = edges.select(F.col("child").alias("term")).union(edges.select("parent")).distinct()
     closure = nodes.select("term", F.col("term").alias("ancestor")).union(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"))).distinct()
-    reach = 1
     before = closure.count()
-    while reach < depth:
+    while True:
         next_step = closure.select(F.col("term").alias("_m"), F.col("ancestor").alias("_a"))
         closure = closure.join(next_step, closure["ancestor"] == next_step["_m"]).select("term", F.col("_a").alias("ancestor")).distinct()
-        reach *= 2
         now = closure.count()
         if now == before:
             break

@@ -146,7 +146,7 @@ def fitness_defect(blocks: DataFrame, background: DataFrame, draws: int = 10_000
 
     blocks is (orf, n, sum); background is a histogram (count, n). The null depends on n alone: one kernel per distinct n.
     """
-    histogram = background.groupBy("count").agg(F.sum("n").alias("n")).orderBy("count").limit(1_000_000).toPandas()  # a row a distinct count
+    histogram = background.groupBy("count").agg(F.sum("n").alias("n")).orderBy("count").toPandas()  # a row a distinct count
     values, weights = histogram["count"].to_numpy(float), histogram["n"].to_numpy(np.int64)
 
     def null(rows: pd.DataFrame) -> pd.DataFrame:

@@ -46,7 +46,7 @@ def m1_anova(spark, d):
 
 @query(None)
 def m2_resampling(spark, d):
-    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=200, mode="site", batch=100)
+    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=10_000, mode="site")
 
 
 @query(None)
@@ -80,7 +80,7 @@ def _blocks(spark, d):
 @query(None)
 def m5_gumbel(spark, d):
     blocks = _blocks(spark, d).select("orf", "k", "n", F.col("max_run").cast("long").alias("max_run"), F.col("gap_span").cast("long").alias("gap_span"), F.col("span").cast("long").alias("span"), "theta")
-    return essentiality.gumbel(blocks, samples=200, burnin=50, chains=2)
+    return essentiality.gumbel(blocks, samples=10_000, burnin=500)
 
 
 @query(BLOCKS_SQL + """, th AS (SELECT sum(k) / sum(n) AS p FROM blocks), u AS (SELECT *, CASE WHEN n >= 20 THEN ln(n * p) / ln(1 / (1 - p)) + 0.5772156649015329 / ln(1 / (1 - p)) - 0.5 + 0.000016 + 0.01 END AS e FROM blocks, th)
@@ -160,7 +160,7 @@ def _gene_calls(spark, d, sample):
 @query(None)
 def m11_genetic_interactions(spark, d):
     cells = t.samples(spark, d).filter("condition IN ('N', 'A', 'R')").withColumn("cell", F.when(F.col("condition") == "N", F.concat(F.lit("A"), F.col("replicate").cast("int") + 1)).otherwise(F.concat(F.lit("B"), F.col("replicate").cast("int") + 1)))
-    return interactions.genetic_interactions(site_gene(spark, d), cells.select("sample_id", "cell"), samples=2000)
+    return interactions.genetic_interactions(site_gene(spark, d), cells.select("sample_id", "cell"), samples=10_000)
 
 
 def _ttn_rows(spark, d, sample):
@@ -194,7 +194,7 @@ def _fitness_defect(spark, d, sample):
     track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
     background = windows.state_runs(track, ["sample_id"]).filter("state = 'NE'").groupBy("count").agg(F.count("*").alias("n"))
     blocks = site_gene(spark, d).filter(F.col("sample_id") == sample).groupBy("orf").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
-    return tests.fitness_defect(blocks, background, draws=2000)
+    return tests.fitness_defect(blocks, background, draws=10_000)
 
 
 HITS_SQL = ", res AS (SELECT DISTINCT orf FROM site_gene_a), hits AS (SELECT DISTINCT orf FROM site_gene_a WHERE count > 45) "
@@ -229,7 +229,7 @@ def w5_rank_scores(spark, d):
 
 @query(None)
 def m15_gsea(spark, d):
-    return genesets.gsea(_ranked(spark, d), t.associations(spark, d), n_perm=500)
+    return genesets.gsea(_ranked(spark, d), t.associations(spark, d), n_perm=10_000)
 
 
 RANK_SQL = ", m AS (SELECT orf, avg(count) AS score FROM site_gene_a GROUP BY 1), rk AS (SELECT orf, score, row_number() OVER (ORDER BY score DESC, orf) AS rank FROM m)"

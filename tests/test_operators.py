@@ -299,3 +299,25 @@ def test_queries_take_every_sample_and_gene(spark, monkeypatch):
     for name in ("m7_tn5gaps_whole", "m9_hmm_gene_calls_whole", "m12_ttn_fitness", "m13_fitness_defect"):
         assert {r.sample_id for r in queries[name](spark, d).collect()} == samples, name
     assert len(set(seen)) == 4 * len(samples)
+
+
+def test_models_use_all_draws_counts_and_depths(spark, monkeypatch):
+    from lociq.plans import model_queries as m
+
+    given = {}
+    for module, name in ((m.tests, "resampling"), (m.essentiality, "gumbel"), (m.interactions, "genetic_interactions"), (m.tests, "fitness_defect"), (m.genesets, "gsea")):
+        monkeypatch.setattr(module, name, lambda *a, name=name, **k: given.update({name: k}) or spark.range(1))
+    for name in ("_blocks", "_ranked", "_groups", "site_gene"):
+        monkeypatch.setattr(m, name, lambda *a: spark.range(1).selectExpr("'N' sample_id", "'g' orf", "0 k", "0 n", "0 max_run", "0 gap_span", "0 span", "0 theta", "0D count"))
+    d = "/root/testdata/sf0.001"
+    for f in (m.m2_resampling, m.m5_gumbel, m.m11_genetic_interactions, m.m15_gsea):
+        f(spark, d)
+    m._fitness_defect(spark, d, "NO_1")
+    assert given["resampling"]["times"] == given["genetic_interactions"]["samples"] == given["fitness_defect"]["draws"] == given["gsea"]["n_perm"] == 10_000
+    assert given["gumbel"]["samples"] == 10_000 and given["gumbel"]["burnin"] == 500 and given["gumbel"].get("chains", 4) == 4
+    monkeypatch.undo()
+    counts = spark.range(1_000_000).select(F.col("id").cast("double").alias("count"), F.lit(1).alias("n")).union(frame(spark, [(2e6, 900_000_000)], "count double, n long"))
+    found = tests.fitness_defect(frame(spark, [("g", 1, 5.0)], "orf string, n long, sum double"), counts, draws=10).first()
+    assert found.expected > 1e6
+    chain = frame(spark, [(f"t{i}", f"t{i + 1}") for i in range(100)], "child string, parent string")
+    assert genesets.ancestors(chain).count() == 101 * 102 // 2
