@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from lociq.llm import codes, packing, pieces
+from lociq.llm import codes, packing, pieces, tokens
 from lociq.llm.text import pieces as cut
 from tokenizers import Tokenizer
 
@@ -19,6 +19,24 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_joined_words_have_the_librarys_ids():
+    """Whole texts, with words that the normaliser changes or splits and special strings in them, under a cache that must forget."""
+    rng = random.Random(3)
+    odd = ["don't", "İstanbul", "e\u0301t\u0301", "a\u00a0b\u3000c", "\u0301x", "ΣΑΣ", "ﬁn", "日本語", "😀😀", "x<|endoftext|>y", "<|startoftext|>", "\x1c", "\ufeff", "'s'll", "½³", "</w>", "a</w>b", "\x85", "Ǆ", "ß" * 40, ">\u0338", "<|endoftext|>\u0338"]
+    texts = ["", " \n\t ", *odd]
+    for _ in range(300):
+        texts.append(" ".join(rng.choice(odd) if rng.random() < 0.03 else "".join(rng.choice("abcdeéñжд'-.1Z") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 80))))
+    want = [x for _, x in sorted(ids_of(list(enumerate(texts))).items())]
+    for most, joined in ((1 << 19, 1000), (50, 7), (400, 3)):
+        encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most, joined)
+        for _ in range(2):
+            got = []
+            for _, data, offs in cut(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), most=2000):
+                ids, at = encoder.encode(data, offs)
+                got += [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:])]
+            assert got == want
+
+
 def test_codes_give_every_id():
     rng = np.random.default_rng(0)
     for top in (10, 300, 50_000, 2**31):
