@@ -4,9 +4,10 @@ A full suffix array of a corpus does not fit one machine, so suffixes are sample
 of `length` bytes belongs to the smallest 16-byte gram hash in it (its anchor), and equal windows have
 equal anchors at equal distances. A document falls into segments, runs of windows with one anchor.
 
-1. Segments are dealt and sorted by anchor and content. Of segments equal in all their bytes, all but
-   the earliest repeat; this streams, whatever a group's size. Anchors that stand in different segments
-   are repeats that end nearby, and one occurrence of each such segment goes on.
+1. Of segments equal in all their bytes, all but the earliest repeat. A task settles this for the segments
+   it has itself, so that a passage sends on about one row a task; the rows left are dealt and sorted by
+   anchor and content, which streams. Anchors that stand in different segments are repeats that end
+   nearby, and one occurrence of each such segment goes on.
 2. Their contexts are dealt by anchor and sorted by the bytes that follow: the part of the enhanced
    suffix array that lies at the anchor. A stack scan over common-prefix lengths gives the tree of
    intervals (repeats that cannot grow to the right). In each interval the bytes before the anchor are
@@ -16,8 +17,12 @@ equal anchors at equal distances. A document falls into segments, runs of window
 An anchor with more than `most` segments is handled exactly without the tree: its windows are dealt by
 their own contents, and all but the earliest of each repeat, in constant memory.
 
-Positions are judged on the input, and matches never cross documents. Null text counts as empty. Null or
-repeated doc_ids: see by_key. Empty table: empty result. Other columns of the input are not touched.
+Positions are judged on the input, and matches never cross documents. Equal bytes are told by two 64-bit
+hashes of different kinds: among n segments two different ones are taken for equal with probability of about
+n^2 / 2^129. The intervals of step 2 compare the bytes themselves. Null text counts as empty. Very long texts:
+their segments stream; a text is held whole by the one task that reads it. Ties: the smaller doc_id, then the
+earlier start. Null or repeated doc_ids: see by_key. Empty table: empty result. Other columns of the input are
+not touched.
 """
 
 from __future__ import annotations
@@ -36,14 +41,16 @@ from lociq.llm.set_join import _runs
 from lociq.llm.text import U64, mix, pieces, signed, span_hash, table
 
 GRAM = 16
+LONGEST = 4000  # a segment's windows and its anchor's distance each fit in twelve bits
 
 
 def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, row, first window, number of windows and anchor distance of all segments."""
+    """Anchor hash, two content hashes, row, first window, number of windows and anchor distance of all segments."""
     n = len(data)
     width = length - GRAM + 1
+    none = tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64, np.int64, np.int64, np.int64))
     if n < length:
-        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
+        return none
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     view = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     h = mix(view[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15) + mix(view[8 : n - GRAM + 9] + U64(0x632BE59BD9B4E019)))
@@ -58,11 +65,12 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     valid = np.flatnonzero(offs[1:][row[: len(place)]] - np.arange(len(place)) >= length)
     if not len(valid):
-        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, np.int64))
+        return none
     place = place[valid]
     cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     start, count, anchor = valid[cut], np.diff(np.concatenate([cut, [len(valid)]])), place[cut]
-    return h[anchor], span_hash(data, start, count + length - 1), row[start], start, count, anchor - start
+    grams = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h), dtype=U64)])  # the second hash: the sum of a segment's gram hashes
+    return h[anchor], span_hash(data, start, count + length - 1), grams[start + count + length - GRAM] - grams[start], row[start], start, count, anchor - start
 
 
 def _pack(start: np.ndarray, count: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -73,17 +81,65 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 24, (at >> 12) & 4095, at & 4095
 
 
+SEGMENT = "deal long, again boolean, anchor long, content long, grams long, key long, at long"
+
+
+class _Earliest:
+    """The earliest segment of each content that a task has met; at most about `most` contents, those met again kept longest."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+        self.name, self.grams, self.key, self.at, self.met = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def later(self, name: np.ndarray, grams: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of these segments stand behind an equal one: of this run, or of an earlier run."""
+        order = np.lexsort((at, key, grams, name))
+        x, g = name[order], grams[order]
+        first = np.concatenate([[True], (x[1:] != x[:-1]) | (g[1:] != g[:-1])])
+        out = np.empty(len(name), bool)
+        out[order] = ~first
+        lead = order[first]
+        if len(lead) > 1:  # of contents that share the first hash, only one is remembered
+            lead = lead[np.concatenate([[True], name[lead[1:]] != name[lead[:-1]]])]
+        place = np.searchsorted(self.name, name[lead])
+        known = place < len(self.name)
+        known[known] = (self.name[place[known]] == name[lead[known]]) & (self.grams[place[known]] == grams[lead[known]])
+        k, old = lead[known], place[known]
+        behind = (self.key[old] < key[k]) | (self.key[old] == key[k]) & (self.at[old] < at[k])
+        out[k[behind]] = True
+        self.met[old] = True
+        ahead = old[~behind]
+        self.key[ahead], self.at[ahead] = key[k[~behind]], at[k[~behind]]
+        new, to = lead[~known], place[~known]
+        if len(new):
+            fresh = np.ones(len(new), bool)
+            inside = to < len(self.name)
+            fresh[inside] = self.name[to[inside]] != name[new[inside]]
+            new, to = new[fresh], to[fresh]
+            self.name, self.grams, self.key, self.at, self.met = (np.insert(o, to, v) for o, v in ((self.name, name[new]), (self.grams, grams[new]), (self.key, key[new]), (self.at, at[new]), (self.met, False)))
+        if len(self.name) > self.most:
+            stay = self.met if self.met.sum() <= self.most // 2 else np.zeros(len(self.met), bool)
+            self.name, self.grams, self.key, self.at, self.met = (o[stay] for o in (self.name, self.grams, self.key, self.at, np.zeros(len(self.met), bool)))
+        return out
+
+
+def _dealt(seen: _Earliest, anchor: np.ndarray, content: np.ndarray, grams: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of SEGMENT; those that repeat an earlier one of this task are dealt by document, the others by anchor."""
+    again = seen.later(content ^ mix(anchor), grams, key, at)
+    return table(deal=np.where(again, key, signed(anchor)), again=again, anchor=signed(anchor), content=signed(content), grams=signed(grams), key=key, at=at)
+
+
 def index_segments(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, key, at) of every segment of docs (key, text)."""
+    """Rows of SEGMENT for every segment of docs (key, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Earliest()
         for batch, data, offs in pieces(batches, most=1 << 20):
-            anchor, content, row, start, count, distance = segments(data, offs, length)
+            anchor, content, grams, row, start, count, distance = segments(data, offs, length)
             if len(row):
-                key = batch.column("key").to_numpy()[row]
-                yield table(anchor=signed(anchor), content=signed(content), key=key, at=_pack(start - offs[row], count, distance))
+                yield _dealt(seen, anchor, content, grams, batch.column("key").to_numpy()[row], _pack(start - offs[row], count, distance))
 
-    return docs.select("key", "text").mapInArrow(work, "anchor long, content long, key long, at long")
+    return docs.select("key", "text").mapInArrow(work, SEGMENT)
 
 
 def split_repeats(index: DataFrame) -> DataFrame:
@@ -91,16 +147,19 @@ def split_repeats(index: DataFrame) -> DataFrame:
     each segment whose anchor has several. Reads rows in order and keeps one of them in mind."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (anchor, content) of the row before
+        last = None  # (anchor, content, grams) of the row before
         held, several = None, False  # the last earliest row, and whether its anchor had one before it
         for b in batches:
-            if not b.num_rows:
+            again, anchor, content, grams, key, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            if again.any():
+                yield table(kind=np.zeros(int(again.sum()), np.int32), anchor=anchor[again], key=key[again], at=at[again])
+                anchor, content, grams, key, at = (x[~again] for x in (anchor, content, grams, key, at))
+            if not len(anchor):
                 continue
-            anchor, content, key, at = (b.column(i).to_numpy() for i in range(4))
             new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-            new[0] = last != (anchor[0], content[0])
-            last = (anchor[-1], content[-1])
+            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (grams[1:] != grams[:-1])
+            new[0] = last != (anchor[0], content[0], grams[0])
+            last = (anchor[-1], content[-1], grams[-1])
             again = np.flatnonzero(~new)
             if len(again):
                 yield table(kind=np.zeros(len(again), np.int32), anchor=anchor[again], key=key[again], at=at[again])
@@ -122,7 +181,8 @@ def split_repeats(index: DataFrame) -> DataFrame:
         if held and several:
             yield table(kind=np.ones(1, np.int32), anchor=np.array([held[0]]), key=np.array([held[1]]), at=np.array([held[2]]))
 
-    return index.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "at").mapInArrow(work, "kind int, anchor long, key long, at long")
+    dealt = index.repartition("deal").drop("deal").sortWithinPartitions("again", "anchor", "content", "grams", "key", "at")
+    return dealt.mapInArrow(work, "kind int, anchor long, key long, at long")
 
 
 def contexts(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
@@ -244,6 +304,7 @@ def single_windows(found: DataFrame, length: int) -> DataFrame:
     """Contexts as segments of one window each, dealt by content: for anchors with very many segments."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Earliest()
         for b in batches:
             for lo in range(0, b.num_rows, 4000):
                 part = b.slice(lo, 4000)
@@ -253,14 +314,17 @@ def single_windows(found: DataFrame, length: int) -> DataFrame:
                 base = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]]).astype(np.int64)
                 row = np.repeat(np.arange(len(count)), count)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                content = signed(span_hash(data, base[row] + step, np.full(len(row), length)))
-                yield table(anchor=content, content=content, key=part.column("key").to_numpy()[row], at=_pack(start[row] + step, np.ones(len(row), np.int64), np.zeros(len(row), np.int64)))
+                content = span_hash(data, base[row] + step, np.full(len(row), length))
+                other = span_hash(255 - data, base[row] + step, np.full(len(row), length))
+                yield _dealt(seen, content, content, other, part.column("key").to_numpy()[row], _pack(start[row] + step, np.ones(len(row), np.int64), np.zeros(len(row), np.int64)))
 
-    return found.mapInArrow(work, "anchor long, content long, key long, at long")
+    return found.mapInArrow(work, SEGMENT)
 
 
 def removed_spans(docs: DataFrame, length: int = 100, most: int = 20_000) -> DataFrame:
     """(key, start, size): spans of docs (key, text) whose windows all start earlier too; they may overlap."""
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be {GRAM} to {LONGEST}")
     found = keep(split_repeats(index_segments(docs, length)), "segments")
     at = F.col("at")
     whole = [F.shiftright(at, 24).alias("start"), (F.shiftright(at, 12).bitwiseAND(4095) + (length - 1)).alias("size")]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -128,6 +129,29 @@ def test_repeats(plain_df, plain, most):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(gone), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_within_and_across_tasks(spark):
+    """One line many times in some documents, copies, and passages that move; one row a content and task is sent on, whatever order ids come in."""
+    rng = random.Random(4)
+    line = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12)) + "\n"
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, "".join(rng.choice("qrstuvw ") for _ in range(rng.randint(0, 300))) + (line * rng.randint(1, 12) if i % 2 else "") + (passage[i % 7 :] if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(40)]
+    rng.shuffle(rows)
+    want = brute_cut(rows, 100)
+    for most in (20_000, 3):
+        for r in repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 100, most).collect():
+            gone, kept = want[r.doc_id]
+            assert (r.n_removed, r.kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    seen = repeats._Earliest(most=4)
+    u = lambda *x: np.array(x, np.uint64)
+    i = lambda *x: np.array(x, np.int64)
+    assert seen.later(u(1, 1, 2), u(0, 0, 0), i(5, 4, 9), i(0, 0, 0)).tolist() == [True, False, False]
+    assert seen.later(u(1, 2, 2), u(0, 1, 0), i(3, 1, 10), i(0, 0, 0)).tolist() == [False, False, True]  # earlier than any before; another content; later
+    assert seen.later(u(1, 3, 4, 5), u(0, 0, 0, 0), i(4, 1, 1, 1), i(0, 0, 0, 0)).tolist() == [True, False, False, False]
+    with pytest.raises(ValueError):
+        repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), 5000)
+
+
 def test_cut_keeps_rows_and_columns(hard, hard_rows, empty):
     got = repeats.cut_repeats(hard)
     assert got.columns == hard.columns and got.count() == len(hard_rows)
