@@ -106,9 +106,10 @@ def stats_for_gene(site_gene: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def global_stats_for_rep(site_counts: DataFrame) -> DataFrame:
-    """(sample_id, logit_z_perc, nz_mean)."""
+    """(sample_id, logit_z_perc, nz_mean): the logit is infinite for a sample of zeros alone or without zeros; the mean of no hits is 0."""
     zero = F.avg((F.col("count") == 0).cast("double"))
-    return site_counts.groupBy("sample_id").agg(F.log(zero / (1 - zero)).alias("logit_z_perc"), F.avg(_when_hit()).alias("nz_mean"))
+    logit = F.when(zero >= 1, F.lit(float("inf"))).when(zero <= 0, F.lit(float("-inf"))).otherwise(F.log(zero / F.nullif(1 - zero, F.lit(0.0))))
+    return site_counts.groupBy("sample_id").agg(logit.alias("logit_z_perc"), F.coalesce(F.avg(_when_hit()), F.lit(0.0)).alias("nz_mean"))
 
 
 def log_fold_change(means: DataFrame, refs: list[str] | None = None, pseudo: float = 5.0) -> DataFrame:

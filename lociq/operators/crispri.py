@@ -22,12 +22,15 @@ def relative_abundance(fractions: DataFrame, uninduced: DataFrame, eps: float =
     return fractions.join(uninduced, "sgrna").withColumn("abundance", (F.col("fraction") + eps) / (F.col("uninduced") + eps))
 
 
-def estimated_uninduced(fractions: DataFrame, pseudo: float = 1e-8) -> DataFrame:
-    """Without uninduced samples: the mean at dose 0 times exp(2 (sd + pc) / (mean + pc)), renormalised."""
-    each = fractions.filter("dose = 0").groupBy("sgrna").agg(F.avg("fraction").alias("m"), F.coalesce(F.stddev_samp("fraction"), F.lit(0.0)).alias("s"))
-    raw = each.withColumn("_u", F.col("m") * F.exp(2 * (F.col("s") + pseudo) / (F.col("m") + pseudo)))
-    total = raw.agg(F.sum("_u").alias("t")).first()["t"] or 1.0
-    return raw.select("sgrna", (F.col("_u") / total).alias("uninduced"))
+def estimated_uninduced(counts: DataFrame, pseudo: float = 1e-8) -> DataFrame:
+    """(sgrna, uninduced) without uninduced samples, from the counts (sgrna, sample, dose, count) of all samples: a guide's mean at
+    dose 0 times exp(2 (sd + pc) / (mean + pc)), sd and mean over all its samples, as shares that sum to 1.
+
+    A guide with one sample has a deviation of 0; one without a sample at dose 0 gets 0.
+    """
+    each = counts.groupBy("sgrna").agg(F.avg("count").alias("m"), F.coalesce(F.stddev_samp("count"), F.lit(0.0)).alias("s"), F.coalesce(F.avg(F.when(F.col("dose") == 0, F.col("count"))), F.lit(0.0)).alias("m0"))
+    raw = each.withColumn("_u", F.col("m0") * F.exp(2 * (F.col("s") + pseudo) / (F.col("m") + pseudo)))
+    return raw.select("sgrna", F.coalesce(F.col("_u") / F.nullif(F.sum("_u").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0)).alias("uninduced"))  # a row a guide
 
 
 def dose_response(points: DataFrame) -> DataFrame:

@@ -76,6 +76,15 @@ def winsorize_resampling(blocks: DataFrame, keys: list[str], count: str = "count
     return numbered.withColumn(count, F.when(use, second).otherwise(F.col(count))).drop("_n")
 
 
+def remove_empty_regions(site_counts: DataFrame, longest: int, keys: list[str] | None = None) -> DataFrame:
+    """Sites less those in runs of `longest` or more empty sites."""
+    keys = keys or ["sample_id", "contig"]
+    order = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    marked = site_counts.withColumn("_run", F.sum(F.when(F.col("count") == 0, 0).otherwise(1)).over(order))
+    size = F.count_if(F.col("count") == 0).over(Window.partitionBy(*keys, "_run"))
+    return marked.withColumn("_size", size).filter(~((F.col("count") == 0) & (F.col("_size") >= longest))).drop("_run", "_size")
+
+
 def cross_product_counts(samples: DataFrame, variables: list[str]) -> DataFrame:
     """How many samples each combination of the variables' values has, empty combinations included.
 
@@ -89,7 +98,7 @@ def cross_product_counts(samples: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def significant_rows(results: DataFrame, q: float = 0.05, topk: int = -1, low_mean: float = 0.0) -> DataFrame:
-    """Rows with padj < q, or with topk the first k by padj whatever it is, unless at least k are significant; then low means go."""
+    """Rows with padj < q, or with topk the first k by padj whatever it is; then low means go."""
     if topk < 0:
         kept = results.filter(F.col("padj") < q)
     else:

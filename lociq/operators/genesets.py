@@ -30,24 +30,30 @@ def fet(results: DataFrame, hits: DataFrame, associations: DataFrame, pseudo: in
     return bh_fdr(out.withColumn("pval", p))
 
 
-def gsea(ranked: DataFrame, associations: DataFrame, p: float = 0.0, n_perm: int = 10_000, seed: int = 0) -> DataFrame:
+def gsea(ranked: DataFrame, associations: DataFrame, p: float = 0.0, n_perm: int = 10_000, seed: int = 0, max_genes: int = 2_000_000) -> DataFrame:
     """(term, n_members, es, mean_rank, pval, padj): weighted Kolmogorov-Smirnov statistic against random sets of the same size.
 
     The null depends on the set's size and the ranking alone: one kernel per distinct size, shared by all terms of that size. It
-    stops after 100 draws or more once 10 exceed the largest statistic of that size.
+    stops after 100 draws or more once 10 exceed the largest statistic of that size. With p = 0 every gene weighs the same, and
+    only their number is taken to the driver; otherwise the kernels need all weights, of max_genes genes at most.
     """
     members = associations.select("orf", "term").distinct()
     found = running_enrichment(ranked, members, p).filter("n_members >= 2")
     ranks = members.join(ranked.select("orf", "rank"), "orf").groupBy("term").agg(F.avg("rank").alias("mean_rank"))
-    weights = np.abs(np.array([r["score"] for r in ranked.orderBy("rank").select("score").collect()], float)) ** p  # a value a gene
+    total = ranked.count()
+    weights = None
+    if p:
+        if total > max_genes:
+            raise ValueError(f"{total} ranked genes are more than max_genes = {max_genes}; with p = 0 their number does not matter")
+        weights = np.abs(ranked.orderBy("rank").select("score").toArrow().column(0).to_numpy().astype(float)) ** p
 
     def null(rows: pd.DataFrame) -> pd.DataFrame:
-        size, n = int(rows["n_members"].iloc[0]), len(weights)
+        size, n = int(rows["n_members"].iloc[0]), total
         rng = np.random.default_rng([seed, size])
         seen = []
         while sum(len(x) for x in seen) < n_perm:
             at = np.sort(np.argpartition(rng.random((100, n)), min(size, n - 1), axis=1)[:, :size], axis=1)
-            w = weights[at]
+            w = np.ones(at.shape) if weights is None else weights[at]
             gap = np.abs(np.cumsum(w, 1) / np.maximum(w.sum(1, keepdims=True), 1e-300) - (at + 1 - np.arange(1, size + 1)) / max(n - size, 1))
             seen.append(gap.max(1))
             if (np.concatenate(seen) >= rows["es"].max()).sum() > 10:

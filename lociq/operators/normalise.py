@@ -12,21 +12,26 @@ from lociq.operators.windows import bucket_sums, trimmed_mean
 METHODS = ("nonorm", "TTR", "nzmean", "totreads", "zinfnb", "quantile", "betageom", "aBGC", "emphist", "target")
 
 
-def _scaled(site_counts: DataFrame, factors: DataFrame) -> DataFrame:
-    """Counts times their sample's factor; factors has a row a sample."""
-    return site_counts.join(factors, "sample_id").withColumn("count", F.col("count") * F.col("factor")).drop("factor")
+def scaled(site_counts: DataFrame, factors: DataFrame) -> DataFrame:
+    """Counts times their sample's factor; factors has a row a sample. A sample without hits has no factor and keeps its zeros."""
+    return site_counts.join(factors, "sample_id", "left").withColumn("count", F.col("count") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
-def ttr_factors(site_counts: DataFrame, trim: float = 0.05, density: Column | None = None) -> DataFrame:
-    """100 / (density * trimmed mean of the non-zero counts)."""
+def ttr_factors(site_counts: DataFrame, trim: float = 0.05, density: Column | None = None, mean: Column | None = None, target: float = 100.0) -> DataFrame:
+    """target / (density * trimmed mean of the non-zero counts); null without hits.
+
+    density and mean may be other estimators: aggregates over a sample's rows (position, count).
+    """
     density = F.avg((F.col("count") > 0).cast("double")) if density is None else density
-    share = site_counts.groupBy("sample_id").agg(density.alias("_d"))
-    mean = trimmed_mean(site_counts.filter("count > 0"), ["sample_id"], "count", trim)
-    return share.join(mean, "sample_id").select("sample_id", (100 / (F.col("_d") * F.col("trimmed_mean"))).alias("factor"))
+    share = site_counts.groupBy("sample_id").agg(density.alias("_d"), (F.lit(None).cast("double") if mean is None else mean).alias("trimmed_mean"))
+    if mean is None:
+        share = share.drop("trimmed_mean").join(trimmed_mean(site_counts.filter("count > 0"), ["sample_id"], "count", trim), "sample_id", "left")
+    return share.select("sample_id", (target / F.nullif(F.col("_d") * F.col("trimmed_mean"), F.lit(0.0))).alias("factor"))
 
 
 def _to_grand_mean(site_counts: DataFrame, mean: Column) -> DataFrame:
-    each = site_counts.groupBy("sample_id").agg(mean.alias("_m"))
+    """The mean of the samples' means over each one's own; samples without hits take no part and get null."""
+    each = site_counts.groupBy("sample_id").agg(F.nullif(mean, F.lit(0.0)).alias("_m"))
     return each.select("sample_id", (F.avg("_m").over(Window.partitionBy()) / F.col("_m")).alias("factor"))  # a row a sample
 
 
@@ -39,7 +44,7 @@ def totreads_factors(site_counts: DataFrame) -> DataFrame:
 
 
 def target_factors(site_counts: DataFrame, target: float = 100.0) -> DataFrame:
-    return site_counts.groupBy("sample_id").agg((target / F.avg("count")).alias("factor"))
+    return site_counts.groupBy("sample_id").agg((target / F.nullif(F.avg("count"), F.lit(0.0))).alias("factor"))
 
 
 def zinfnb_factors(site_counts: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def zinfnb_factors(site_counts: DataFrame) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         x, w = rows["count"].to_numpy(float), rows["n"].to_numpy(float)
-        pi, r, mu = fit_zinb(np.rint(x), w)
+        pi, r, mu = fit_zinb(np.rint(x), w) if x.max() > 0 else (1.0, 1.0, 1.0)  # no hits: a factor of 1
         return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "factor": [1 / max(mu, 1e-9)], "pi": [pi], "r": [r]})
 
     histogram = site_counts.groupBy("sample_id", "count").agg(F.count("*").alias("n"))
@@ -122,6 +127,8 @@ def betageom(site_counts: DataFrame, nonzero_only: bool = False, trims: tuple[fl
         x, w = x[order], w[order]
         n, end = w.sum(), np.cumsum(w)
         mean = (x * w).sum() / n
+        if mean == 0:
+            return pd.DataFrame({"sample_id": name, "count": x, "mapped": x})
         middle = (end - w / 2) / n
         log_tail = np.log1p(-np.minimum(middle, 1 - 0.5 / n))
         best = None
@@ -145,7 +152,7 @@ def betageom(site_counts: DataFrame, nonzero_only: bool = False, trims: tuple[fl
     used = site_counts.filter("count > 0") if nonzero_only else site_counts
     table = used.groupBy("sample_id", "count").agg(F.count("*").alias("n")).groupBy("sample_id").applyInPandas(correct, "sample_id string, count double, mapped double")
     mapped = site_counts.join(table, ["sample_id", "count"], "left").withColumn("count", F.coalesce("mapped", F.lit(0.0))).drop("mapped")
-    return _scaled(mapped, ttr_factors(mapped))
+    return scaled(mapped, ttr_factors(mapped))
 
 
 def loess_correction(site_counts: DataFrame, h: float = 10_000, window: int = 100, weighted: bool = False) -> DataFrame:
@@ -162,9 +169,9 @@ def loess_correction(site_counts: DataFrame, h: float = 10_000, window: int = 10
     fit = near.groupBy("sample_id", "contig", "bucket", "position").agg(
         F.sum("w").alias("sw"), F.sum(F.expr("w * x")).alias("swx"), F.sum(F.expr("w * y")).alias("swy"), F.sum(F.expr("w * x * y")).alias("swxy"), square.alias("sxx"))
     fit = fit.withColumn("slope", F.expr("(sw * swxy - swx * swy) / nullif(sw * sxx - swx * swx, 0)")).withColumn("smooth", F.expr("(swy - coalesce(slope, 0) * swx) / sw + coalesce(slope, 0) * position"))
-    fit = fit.withColumn("factor", F.col("smooth") / F.avg("smooth").over(Window.partitionBy("sample_id", "contig")))
+    fit = fit.withColumn("factor", F.col("smooth") / F.nullif(F.avg("smooth").over(Window.partitionBy("sample_id", "contig")), F.lit(0.0)))
     numbered = site_counts.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy("sample_id", "contig").orderBy("position")) - 1) / window))
-    return numbered.join(fit.select("sample_id", "contig", "bucket", "factor"), ["sample_id", "contig", "bucket"]).withColumn("count", F.col("count") / F.col("factor")).drop("bucket", "factor")
+    return numbered.join(fit.select("sample_id", "contig", "bucket", "factor"), ["sample_id", "contig", "bucket"]).withColumn("count", F.coalesce(F.col("count") / F.nullif("factor", F.lit(0.0)), "count")).drop("bucket", "factor")
 
 
 def empirical_theta(site_counts: DataFrame) -> DataFrame:
@@ -176,14 +183,14 @@ def trimmed_empirical_mu(site_counts: DataFrame, trim: float = 0.05) -> DataFram
 
 
 def normalize(site_counts: DataFrame, method: str = "TTR", site_gene: DataFrame | None = None, reference: str | None = None, target: float = 100.0) -> DataFrame:
-    """Normalised counts; an unknown method leaves them as they are, as the command line warns."""
+    """Normalised counts; an unknown method leaves them as they are, as the command line warns. A sample without hits keeps its zeros under every method but quantile, which ranks it with the others."""
     factors = {"TTR": ttr_factors, "nzmean": nzmean_factors, "totreads": totreads_factors, "zinfnb": zinfnb_factors}
     if method in factors:
-        return _scaled(site_counts, factors[method](site_counts))
+        return scaled(site_counts, factors[method](site_counts))
     if method == "target":
-        return _scaled(site_counts, target_factors(site_counts, target))
+        return scaled(site_counts, target_factors(site_counts, target))
     if method == "emphist":
-        return _scaled(site_counts, emphist_factors(site_gene, reference))
+        return scaled(site_counts, emphist_factors(site_gene, reference))
     if method == "quantile":
         return quantile(site_counts)
     if method == "betageom":

@@ -45,7 +45,7 @@ def trim_transposon_prefix(reads: DataFrame, prefix: str = PREFIX_HIMAR1, lo: in
     """Reads with `insert` (the bases after the prefix, up to the adapter) and `kept`; failed reads stay, marked."""
     found = reads.withColumn("_at", find_with_mismatches(F.col("seq"), prefix, mismatches))
     rest = F.expr(f"substring(seq, _at + {len(prefix) + 1})")
-    found = found.withColumn("_rest", F.when(F.col("_at").between(lo, hi), rest)).withColumn("_cut", find_with_mismatches(F.coalesce("_rest", F.lit("")), adapter, 1 if mismatches else 0))
+    found = named(found, "_rest", F.when(F.col("_at").between(lo, hi), rest)).withColumn("_cut", find_with_mismatches(F.coalesce("_rest", F.lit("")), adapter, 1 if mismatches else 0))
     insert = F.when(F.col("_cut") >= 0, F.expr("substring(_rest, 1, _cut)")).otherwise(F.col("_rest"))
     return found.withColumn("insert", insert).withColumn("kept", F.coalesce(F.length("insert") >= shortest, F.lit(False))).drop("_at", "_rest", "_cut")
 
@@ -62,11 +62,16 @@ def extract_template_barcodes(reads: DataFrame, const1: str, const2: str, const3
     return c.withColumn("barcode", barcode).withColumn("genomic", genomic).drop("_a", "_b", "_c", "_tail", "_gen")
 
 
+def named(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: the generator keeps the optimiser from repeating its expression at each use."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def extract_between(reads: DataFrame, before: str, after: str, lo: int, hi: int, name: str = "barcode", missing: str | None = "XXXXXXXXXX") -> DataFrame:
     """The text between two constants if it has lo to hi bases, else `missing`. Built-in functions only."""
     a = F.instr("seq", before)
     tail = F.when(a > 0, F.expr(f"substring(seq, instr(seq, '{before}') + {len(before)})"))
-    found = reads.withColumn("_tail", tail).withColumn("_b", F.instr("_tail", after) - 1)
+    found = named(reads, "_tail", tail).withColumn("_b", F.instr("_tail", after) - 1)
     ok = F.col("_b").between(lo, hi)
     return found.withColumn(name, F.when(ok, F.expr("substring(_tail, 1, _b)")).otherwise(F.lit(missing))).drop("_tail", "_b")
 

@@ -7,47 +7,83 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions import special
-from lociq.operators.aggregates import log_fold_change
+from lociq.operators.aggregates import global_stats_for_rep, log_fold_change
+from lociq.operators.filters import winsorize, winsorize_resampling
+from lociq.operators.joins import assign_sites
 from lociq.operators.windows import average_ranks, bh_fdr
 
 
-def anova(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, alpha: float = 1000.0) -> DataFrame:
-    """(orf, n_sites, msr, mse_alpha, fstat, pval, padj, status) of all genes from n, sum and sum of squares per gene and condition."""
-    each = site_gene.join(F.broadcast(samples.select("sample_id", "condition")), "sample_id")  # a row a sample of metadata
+def with_metadata(rows: DataFrame, metadata: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows joined with metadata by sample_id: by a broadcast only where metadata has at most `most` samples."""
+    small = metadata.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(metadata) if small else metadata, "sample_id")
+
+
+def anova(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, alpha: float = 1000.0, winz: bool = False) -> DataFrame:
+    """(orf, n_sites, msr, mse_alpha, fstat, pval, padj, status) of all genes from n, sum and sum of squares per gene and condition.
+
+    Genes that cannot be tested have msr and mse_alpha 0, fstat -1 and p 1, and count among the tests of the correction.
+    winz: a gene's largest count becomes its second-largest one.
+    """
+    each = with_metadata(site_gene, samples.select("sample_id", "condition"))
+    if winz:
+        each = winsorize(each, ["orf"])
     sums = each.groupBy("orf", "condition").agg(F.count("*").alias("n"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("ss"), F.countDistinct("position").alias("sites"))
     total = sums.groupBy("orf").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.count("*").alias("k"), F.max("sites").alias("n_sites"))
     msr = (F.col("between") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1)
     mse = (F.col("ss") - F.col("between")) / (F.col("n") - F.col("k")) + alpha
     tested = genes.select("orf").join(total, "orf", "left").fillna(0, ["n_sites"]).withColumn("status", F.when(F.col("n_sites") <= 1, "TA sites <= 1").when(F.coalesce("s", F.lit(0.0)) == 0, "No counts in all conditions").otherwise("-"))
     ok = F.col("status") == "-"
-    tested = tested.withColumns({"msr": F.when(ok, msr), "mse_alpha": F.when(ok, mse)}).withColumn("fstat", F.col("msr") / F.col("mse_alpha"))
-    tested = tested.withColumn("pval", special.f_sf_column(F.col("fstat"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")))
-    out = bh_fdr(tested.select("orf", "n_sites", "msr", "mse_alpha", "fstat", "pval", "status"))
-    return out.withColumn("pval", F.coalesce("pval", F.lit(1.0))).withColumn("padj", F.coalesce("padj", F.lit(1.0)))
+    msr, mse = F.when(ok & (F.col("k") > 1), msr), F.when(ok & (F.col("n") > F.col("k")), mse)
+    tested = tested.withColumns({"msr": F.coalesce(msr, F.lit(0.0)), "mse_alpha": F.coalesce(mse, F.lit(0.0))}).withColumn("fstat", F.when(ok, F.col("msr") / F.nullif("mse_alpha", F.lit(0.0))))
+    tested = tested.withColumn("pval", F.coalesce(special.f_sf_column(F.col("fstat"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")), F.lit(1.0)))
+    return bh_fdr(tested.select("orf", "n_sites", "msr", "mse_alpha", F.coalesce("fstat", F.lit(-1.0)).alias("fstat"), "pval", "status"))
+
+
+def condition_table(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, conditions: list[str], refs: list[str] | None = None, pseudo: float = 5.0) -> DataFrame:
+    """orf, and for each condition "Mean <condition>" and "Log 2 FC <condition>" against the mean of the reference conditions' means, or of all.
+
+    Means are those of winsorised counts of a gene and condition; genes without sites have means of 0.
+    """
+    each = winsorize(with_metadata(site_gene, samples.select("sample_id", "condition")).filter(F.col("condition").isin(conditions)), ["orf", "condition"])
+    means = each.groupBy("orf").pivot("condition", conditions).agg(F.avg("count"))
+    wide = genes.select("orf").join(means, "orf", "left").fillna(0.0, conditions)
+    base = sum((F.col(f"`{c}`") for c in refs or conditions), F.lit(0.0)) / len(refs or conditions)
+    lfc = {c: F.log2((F.col(f"`{c}`") + pseudo) / (base + pseudo)) for c in conditions}
+    return wide.select("orf", *[F.col(f"`{c}`").alias(f"Mean {c}") for c in conditions], *[lfc[c].alias(f"Log 2 FC {c}") for c in conditions])
+
+
+def anova_report(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, conditions: list[str], refs: list[str] | None = None, alpha: float = 1000.0, pseudo: float = 5.0, winz: bool = False) -> DataFrame:
+    """The table of condition_table beside that of anova, in the order of the genes' ids."""
+    kept = samples.filter(F.col("condition").isin(conditions))
+    return condition_table(site_gene, kept, genes, conditions, refs, pseudo).join(anova(site_gene, kept, genes, alpha, winz), "orf").orderBy("orf")
 
 
 def condition_lfcs(site_gene: DataFrame, samples: DataFrame, refs: list[str] | None = None, pseudo: float = 5.0) -> DataFrame:
     """(orf, condition, mean, lfc)."""
-    means = site_gene.join(F.broadcast(samples.select("sample_id", "condition")), "sample_id").groupBy("orf", "condition").agg(F.avg("count").alias("mean"))
+    means = with_metadata(site_gene, samples.select("sample_id", "condition")).groupBy("orf", "condition").agg(F.avg("count").alias("mean"))
     return log_fold_change(means, refs, pseudo)
 
 
 def _exact_u(n1: int, n2: int, u: float) -> float:
-    """Two-sided exact p of the rank sum without ties."""
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1
-    for k in range(1, n2 + n1 + 1):
-        for i in range(min(k, n1), 0, -1):
-            # rank k taken by the i-th of the first group adds k - i pairs
-            if k - i <= n2:
-                ways[i, k - i :] += ways[i - 1, : ways.shape[1] - (k - i)]
-    dist = ways[n1] / ways[n1].sum()
-    low = min(u, n1 * n2 - u)
-    return float(min(1.0, 2 * dist[: int(np.floor(low)) + 1].sum()))
+    """Two-sided exact p of the rank sum without ties.
+
+    The numbers of orders with each U are the coefficients of the Gaussian binomial, the product of (1 - q^(b + i)) / (1 - q^i)
+    over i up to the smaller group a; only those up to the observed U are made.
+    """
+    a, b = sorted((n1, n2))
+    ways = np.zeros(int(np.floor(min(u, n1 * n2 - u))) + 1)
+    ways[0] = 1
+    for i in range(1, a + 1):
+        rows = -(-len(ways) // i)
+        ways = np.cumsum(np.append(ways, np.zeros(rows * i - len(ways))).reshape(rows, i), axis=0).ravel()[: len(ways)]
+        if b + i < len(ways):
+            ways[b + i :] -= ways[: len(ways) - b - i].copy()
+    return float(min(1.0, 2 * np.exp(np.log(ways.sum()) - special.log_choose(n1 + n2, n1))))
 
 
 def utest(site_gene: DataFrame, groups: DataFrame) -> DataFrame:
@@ -55,7 +91,7 @@ def utest(site_gene: DataFrame, groups: DataFrame) -> DataFrame:
 
     Normal approximation with ties and continuity; exact where a group has 8 values or fewer and there are no ties.
     """
-    ranked = average_ranks(site_gene.join(F.broadcast(groups), "sample_id"), ["orf"], "count")
+    ranked = average_ranks(with_metadata(site_gene, groups), ["orf"], "count")
     exp = F.col("is_exp")
     g = ranked.groupBy("orf").agg(
         F.countDistinct("position").alias("sites"), F.avg(F.when(~exp, F.col("count"))).alias("mean_ctrl"), F.avg(F.when(exp, F.col("count"))).alias("mean_exp"),
@@ -66,7 +102,7 @@ def utest(site_gene: DataFrame, groups: DataFrame) -> DataFrame:
     z = (F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5) / F.sqrt(F.nullif(var, F.lit(0.0)))
     g = g.withColumn("u", u).withColumn("_z", z)
     g = g.withColumn("pval", F.least(2 * special.norm_sf_column(F.col("_z")), F.lit(1.0)))
-    small = (F.least("n1", "n2") <= 8) & (F.col("tie_sum") == 0) & (F.col("n1") * F.col("n2") <= 4000)
+    small = (F.least("n1", "n2") <= 8) & (F.col("tie_sum") == 0)
     exact = special._column(np.vectorize(lambda a, b, x: _exact_u(int(a), int(b), x)), F.when(small, F.col("n1")), F.when(small, F.col("n2")), F.when(small, F.col("u")))
     g = g.withColumn("pval", F.when(F.col("top") == 0, 1.0).otherwise(F.coalesce(exact, "pval", F.lit(1.0))))
     lfc = F.when((F.col("mean_ctrl") > 0) & (F.col("mean_exp") > 0), F.log2(F.col("mean_exp") / F.col("mean_ctrl"))).otherwise(F.log2((F.col("mean_exp") + 1) / (F.col("mean_ctrl") + 1)))
@@ -89,15 +125,18 @@ def _permute(counts: np.ndarray, site: np.ndarray, library: np.ndarray, mode: st
     return out
 
 
-def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mode: str = "site", adaptive: bool = False, pseudo: float = 1.0, seed: int = 0, batch: int = 500, statistic: Callable = mean_difference) -> DataFrame:
+def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mode: str = "site", adaptive: bool = False, pseudo: float = 1.0, seed: int = 0, batch: int = 500, statistic: Callable = mean_difference, winz: bool = False) -> DataFrame:
     """Permutation test of the mean difference per gene; groups is (sample_id, is_exp[, library]).
 
     A gene's block is permuted in batches, each with a seed from gene, batch and seed, so results do not depend on
     partitions. Adaptive: 1 %, 10 % and 100 % of the permutations; genes with round(times / 1000) exceedances, one at least, stop.
+    winz: a gene's largest counts become the second, in each group. A gene's sites may differ between the groups (strain_sites).
     """
     if "library" not in groups.columns:
         groups = groups.withColumn("library", F.lit("A"))
-    joined = site_gene.join(F.broadcast(groups), "sample_id")
+    joined = with_metadata(site_gene, groups)
+    if winz:
+        joined = winsorize_resampling(joined, ["orf", "is_exp"])
     blocks = joined.groupBy("orf").agg(
         F.sort_array(F.collect_list(F.struct("position", "sample_id", "count", "is_exp", "library"))).alias("b"), F.countDistinct("position").alias("sites"), F.sum(F.when(~F.col("is_exp"), F.col("count"))).alias("sum_ctrl"),
         F.sum(F.when(F.col("is_exp"), F.col("count"))).alias("sum_exp"), F.avg(F.when(~F.col("is_exp"), F.col("count"))).alias("mean_ctrl"), F.avg(F.when(F.col("is_exp"), F.col("count"))).alias("mean_exp"),
@@ -141,6 +180,13 @@ def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mod
     return bh_fdr(out.drop("two", "low", "high"))
 
 
+def strain_sites(ctrl: DataFrame, ctrl_genes: DataFrame, exp: DataFrame, exp_genes: DataFrame, **bounds) -> DataFrame:
+    """(sample_id, contig, position, count, orf) of two strains, each by its own annotation; genes that only one of them has go."""
+    sides = [assign_sites(counts, genes.select("contig", "orf", "start", "end", "strand"), **bounds).select("sample_id", "contig", "position", "count", "orf") for counts, genes in ((ctrl, ctrl_genes), (exp, exp_genes))]
+    both = ctrl_genes.select("orf").intersect(exp_genes.select("orf"))
+    return sides[0].union(sides[1]).join(both, "orf", "left_semi")
+
+
 def fitness_defect(blocks: DataFrame, background: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """(orf, n, sum, expected, lfc, pval, padj): a gene's sum against draws of n sites from non-essential regions.
 
@@ -203,51 +249,115 @@ def _maximise(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: i
     return value, x
 
 
-def fit_zinb_pair(rows: pd.DataFrame, covars: list[str]) -> tuple[float, int, str]:
-    """Twice the log-likelihood ratio of the condition model to the null, its degrees of freedom, and a status."""
+def _columns(values: pd.Series) -> np.ndarray:
+    """A variable as model columns: numbers as they are, levels as indicators without the first."""
+    numbers = pd.to_numeric(values, errors="coerce")
+    return pd.get_dummies(values, drop_first=True).to_numpy(float) if numbers.isna().any() else numbers.to_numpy(float)[:, None]
+
+
+def _independent(design: np.ndarray) -> np.ndarray:
+    """The columns of a design that do not follow from those before them."""
+    kept: list[int] = []
+    for i in range(design.shape[1]):
+        if np.linalg.matrix_rank(design[:, [*kept, i]]) > len(kept):
+            kept.append(i)
+    return design[:, kept]
+
+
+def zinb_designs(rows: pd.DataFrame, covars: list[str], interactions: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Model columns of the null model and of the full one.
+
+    Without interactions the null has covariates alone and the full model the condition too; with them the null has
+    condition and interactions side by side, and the full model all their products.
+    """
+    one, extra = np.ones((len(rows), 1)), [_columns(rows[c]) for c in covars]
+    cond, inter = pd.get_dummies(rows["condition"], drop_first=True).to_numpy(float), [_columns(rows[c]) for c in interactions]
+    products = [cond]
+    for x in inter:
+        products += [x, *[(p[:, :, None] * x[:, None, :]).reshape(len(rows), -1) for p in products]]
+    base = np.column_stack([one, *([cond, *inter] if inter else []), *extra])
+    return _independent(base), _independent(np.column_stack([base, *products]))
+
+
+def fit_zinb_pair(rows: pd.DataFrame, covars: list[str], interactions: list[str] | None = None) -> tuple[float, int, str]:
+    """Twice the log-likelihood ratio of the full model to the null, its degrees of freedom, and a status."""
     y, w = rows["y"].to_numpy(float), rows["w"].to_numpy(float)
+    if rows["n_sites"].iloc[0] <= 1:
+        return 0.0, 1, "TA sites <= 1, not analyzed"
     if (y * w).sum() == 0:
-        return 0.0, 1, "No counts in all conditions"
+        return 0.0, 1, "pan-essential (no counts in all conditions) - not analyzed"
     if max(w[(rows["condition"] == c) & (y > 0)].sum() / w[rows["condition"] == c].sum() for c in rows["condition"].unique()) < 0.15:
-        return 0.0, 1, "low saturation (<15%) in all conditions"
-    cond = pd.get_dummies(rows["condition"], drop_first=True).to_numpy(float)
-    extra = [pd.get_dummies(rows[c], drop_first=True).to_numpy(float) if pd.to_numeric(rows[c], errors="coerce").isna().any() else pd.to_numeric(rows[c]).to_numpy(float)[:, None] for c in covars]
-    empty = [c for c in rows["condition"].unique() if y[rows["condition"] == c].sum() == 0]
-    if empty:  # a condition without reads has no finite mean: every condition gets a count of 1
+        return 0.0, 1, "low saturation (<15%) across all conditions (pan-growth-defect) - not analyzed"
+    if any(y[rows["condition"] == c].sum() == 0 for c in rows["condition"].unique()):
+        # A condition without reads has no finite mean: every condition gets a count of 1.
         pad = rows.drop_duplicates("condition").assign(y=1.0, w=1.0)
         rows = pd.concat([rows, pad], ignore_index=True)
-        return fit_zinb_pair(rows, covars)
-    one = np.ones((len(y), 1))
-    base = np.column_stack([one, *extra])
-    full = np.column_stack([one, cond, *extra])
-    mu_off, z_off = np.log(np.maximum(rows["nz_mean"].to_numpy(float), 1e-3)), np.clip(rows["logit_z"].to_numpy(float), -10, 10)
+        y, w = rows["y"].to_numpy(float), rows["w"].to_numpy(float)
     inflated = y.min() == 0
-    found, start = [], None
-    for design in (base, full):
+    mu_off, z_off = np.log(np.maximum(rows["nz_mean"].to_numpy(float), 1e-3)), np.clip(rows["logit_z"].to_numpy(float), -10, 10)
+    if not inflated:  # without zeros the models have no offsets
+        mu_off = np.zeros(len(y))
+    designs = zinb_designs(rows, covars, interactions or [])
+    if designs[0].shape[1] == designs[1].shape[1]:
+        return 0.0, 1, "the conditions cannot be told apart"
+    found = []
+    for design in designs:
         z = design if inflated else None
         first = np.zeros(design.shape[1] * (2 if inflated else 1) + 1)
+        if not inflated:
+            first[0] = np.log((y * w).sum() / w.sum())
         best, _ = _maximise(lambda p, d=design, z=z: _zinb_log_likelihood(p, d, z, y, w, mu_off, z_off), first)
         found.append(best)
-    df = cond.shape[1] * (2 if inflated else 1)
+    df = (designs[1].shape[1] - designs[0].shape[1]) * (2 if inflated else 1)
     return max(0.0, 2 * (found[1] - found[0])), df, "-"
 
 
-def zinb(site_gene: DataFrame, site_counts: DataFrame, samples: DataFrame, covars: list[str] | None = None) -> DataFrame:
+def zinb(site_gene: DataFrame, site_counts: DataFrame, samples: DataFrame, covars: list[str] | None = None, interactions: list[str] | None = None, genes: DataFrame | None = None, winz: bool = False) -> DataFrame:
     """Likelihood-ratio test of zero-inflated negative binomial models per gene: (orf, lrt, df, pval, padj, status).
 
     Counts are truncated to integers. Equal counts of a sample are one weighted row, so a gene's kernel sees distinct counts, not sites.
+    genes adds those without sites. winz: a gene's largest count becomes its second-largest one; the samples' offsets do not change.
     """
-    covars = covars or []
-    from lociq.operators.aggregates import global_stats_for_rep
-
-    reps = global_stats_for_rep(site_counts).join(samples.select("sample_id", "condition", *covars), "sample_id")
-    rows = site_gene.groupBy("orf", "sample_id", F.floor("count").alias("y")).agg(F.count("*").alias("w")).join(F.broadcast(reps), "sample_id")  # reps: a row a sample
+    covars, interactions = covars or [], interactions or []
+    reps = global_stats_for_rep(site_counts).join(samples.select("sample_id", "condition", *covars, *interactions), "sample_id")
+    if winz:
+        site_gene = winsorize(site_gene, ["orf"])
+    each = site_gene.groupBy("orf", "sample_id", F.floor("count").alias("y")).agg(F.count("*").alias("w"))
+    each = each.withColumn("n_sites", F.sum("w").over(Window.partitionBy("orf", "sample_id")))
+    rows = with_metadata(each, reps)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.rename(columns={"logit_z_perc": "logit_z"})
-        lrt, df, status = fit_zinb_pair(group, covars)
+        lrt, df, status = fit_zinb_pair(group, covars, interactions)
         return pd.DataFrame({"orf": [group["orf"].iloc[0]], "lrt": [lrt], "df": [df], "status": [status]})
 
     tested = rows.groupBy("orf").applyInPandas(fit, "orf string, lrt double, df int, status string")
-    tested = tested.withColumn("pval", F.when(F.col("status") == "-", special.chi2_sf_column(F.col("lrt"), F.col("df").cast("double"))))
-    return bh_fdr(tested).withColumn("padj", F.coalesce("padj", F.lit(1.0))).withColumn("pval", F.coalesce("pval", F.lit(1.0)))
+    if genes is not None:
+        tested = genes.select("orf").join(tested, "orf", "left").withColumn("status", F.coalesce("status", F.lit("TA sites <= 1, not analyzed")))
+    tested = tested.withColumn("pval", F.coalesce(F.when(F.col("status") == "-", special.chi2_sf_column(F.col("lrt"), F.col("df").cast("double"))), F.lit(1.0)))
+    return bh_fdr(tested)  # genes that are not analysed count with p 1
+
+
+def group_table(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, groups: list[str], refs: list[str] | None = None, pseudo: float = 5.0, winz: bool = False) -> DataFrame:
+    """orf, and for each group of samples (sample_id, group) its "Mean", "Log 2 FC" (to the mean of the groups' or references' means),
+    "Non Zero Mean" and "Non Zero Percentage"; 0 without sites."""
+    each = with_metadata(site_gene, samples.select("sample_id", "group")).filter(F.col("group").isin(groups))
+    if winz:
+        each = winsorize(each, ["orf", "group"])
+    hit = F.when(F.col("count") > 0, F.col("count"))
+    stats = each.groupBy("orf").pivot("group", groups).agg(F.avg("count").alias("mean"), F.avg(hit).alias("nz_mean"), F.avg((F.col("count") > 0).cast("double")).alias("nz_perc"))
+    wide = genes.select("orf").join(stats, "orf", "left").fillna(0.0)
+    base = sum((F.col(f"`{g}_mean`") for g in refs or groups), F.lit(0.0)) / len(refs or groups)
+    columns = [F.col(f"`{g}_mean`").alias(f"Mean {g}") for g in groups] + [F.log2((F.col(f"`{g}_mean`") + pseudo) / (base + pseudo)).alias(f"Log 2 FC {g}") for g in groups]
+    columns += [F.col(f"`{g}_nz_mean`").alias(f"Non Zero Mean {g}") for g in groups] + [F.col(f"`{g}_nz_perc`").alias(f"Non Zero Percentage {g}") for g in groups]
+    return wide.select("orf", *columns)
+
+
+def zinb_report(site_gene: DataFrame, site_counts: DataFrame, samples: DataFrame, genes: DataFrame, conditions: list[str], covars: list[str] | None = None, interactions: list[str] | None = None, refs: list[str] | None = None, pseudo: float = 5.0, winz: bool = False) -> DataFrame:
+    """The groups' columns beside the test, in the order of the genes' ids; groups are conditions, or "<interactions>_<condition>"."""
+    kept = samples.filter(F.col("condition").isin(conditions))
+    named = kept.withColumn("group", F.concat_ws("_", *(interactions or []), "condition"))
+    groups = sorted(r["group"] for r in named.select("group").distinct().collect())  # metadata: as many as groups of samples
+    table = group_table(site_gene, named, genes, groups if interactions else conditions, refs, pseudo, winz)
+    own = site_gene.join(kept.select("sample_id"), "sample_id", "left_semi")
+    return table.join(zinb(own, site_counts, kept, covars, interactions, genes, winz), "orf").orderBy("orf")

@@ -9,21 +9,13 @@ from pyspark.sql import functions as F
 def bh_fdr(df: DataFrame, p: str = "pval", q: str = "padj", keys: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg q values; null and NaN p take no part and get a null q. Ties share the value.
 
-    p values are first counted, so the ordered window runs over distinct p values of genes and not over rows.
+    Windows over the rows themselves (a row a gene), so that df is computed once.
     """
-    keys = keys or []
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    each = df.filter(ok).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_c").over(Window.partitionBy(*keys))
-    ranked = each.withColumn("_raw", F.col(p) * total / F.sum("_c").over(up))
-    ranked = ranked.select(*keys, F.col(p).alias("_p"), F.least(F.min("_raw").over(down), F.lit(1.0)).alias(q))
-    on = (df[p] == ranked["_p"])
-    for k in keys:
-        on &= df[k].eqNullSafe(ranked[k])
-    joined = df.join(ranked, on, "left")
-    return joined.drop("_p", *[ranked[k] for k in keys])
+    value = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.col(p))
+    whole = Window.partitionBy(*(keys or []))
+    counted = df.withColumn("_p", value).withColumn("_raw", F.col("_p") * F.count("_p").over(whole) / F.nullif(F.count("_p").over(whole.orderBy("_p")), F.lit(0)))  # ties stand in one range
+    best = F.min("_raw").over(whole.orderBy(F.desc("_p")))
+    return counted.withColumn(q, F.when(F.col("_p").isNotNull(), F.least(best, F.lit(1.0)))).drop("_p", "_raw")
 
 
 def runs(sites: DataFrame, keys: list[str], empty: Column | None = None) -> DataFrame:
@@ -54,20 +46,26 @@ def local_average(sites: DataFrame, keys: list[str], width: int = 5, pseudo: flo
     return sites.withColumn("local_mean", F.when(n > 0, total / n).otherwise(-1.0)).withColumn("local_lfc", F.log2((F.col("count") + pseudo) / (F.col("local_mean") + pseudo)))
 
 
-def rank_scores(results: DataFrame, ranking: str = "SLPV", seed: int = 0) -> DataFrame:
-    """Genes ranked by signed log p or by LFC, descending; ties in the order of a seeded hash."""
+def rank_scores(results: DataFrame, ranking: str = "SLPV", seed: int | None = 0) -> DataFrame:
+    """Genes ranked by signed log p or by LFC, descending; ties in the order of a seeded hash, or by gene where seed is None."""
     score = F.signum("lfc") * F.log10(F.col("pval") + 1e-6) if ranking == "SLPV" else F.col("lfc")
-    return results.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.xxhash64("orf", F.lit(seed)))))
+    tie = F.col("orf") if seed is None else F.xxhash64("orf", F.lit(seed))
+    return results.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), tie)))
 
 
 def running_enrichment(ranked: DataFrame, members: DataFrame, p: float = 0.0) -> DataFrame:
-    """(term, es): the largest gap between hit weight and miss fraction along the ranks."""
+    """(term, es, n_members): the largest gap between hit weight and miss fraction along the ranks.
+
+    A term whose members all weigh 0 has an es of 0; a term that holds every gene has no misses, and their fraction is 0.
+    """
     n = ranked.agg(F.count("*").alias("n_genes"))
     hits = members.distinct().join(ranked.select("orf", "rank", "score"), "orf")
     sized = hits.withColumns({"_w": F.pow(F.abs("score"), F.lit(p)), "_size": F.count("*").over(Window.partitionBy("term"))})
     upto = Window.partitionBy("term").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.sum("_w").over(upto) / F.sum("_w").over(Window.partitionBy("term")) - (F.col("rank") - F.row_number().over(upto.rowsBetween(Window.unboundedPreceding, 0))) / (F.lit(n.first()[0]) - F.col("_size"))
-    return sized.withColumn("_gap", F.abs(gap)).groupBy("term").agg(F.max("_gap").alias("es"), F.max("_size").alias("n_members"))
+    hit = F.sum("_w").over(upto) / F.nullif(F.sum("_w").over(Window.partitionBy("term")), F.lit(0.0))
+    miss = (F.col("rank") - F.row_number().over(upto.rowsBetween(Window.unboundedPreceding, 0))) / F.nullif(F.lit(n.first()[0]) - F.col("_size"), F.lit(0))
+    gap = F.when(hit.isNull(), 0.0).otherwise(F.abs(hit - F.coalesce(miss, F.lit(0.0))))
+    return sized.withColumn("_gap", gap).groupBy("term").agg(F.max("_gap").alias("es"), F.max("_size").alias("n_members"))
 
 
 def bfdr(df: DataFrame, p: str = "prob_null") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.operators import aggregates as agg
-from lociq.operators import crispri, essentiality, filters, genesets, interactions, normalise, tests, ttn, windows
+from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, tests, ttn, windows
+from lociq.operators import reads as rd
 from lociq.plans import tables as t
 from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, query, r6, site_gene
 
@@ -34,14 +35,38 @@ def m1_anova_statistics(spark, d):
     return found.filter("status = '-'").select("orf", "n_sites", *r6("msr", "mse_alpha"))
 
 
-@query(None)
+#: Benjamini-Hochberg over a table p with a column pval.
+BH_SQL = "bh AS (SELECT *, pval * count(*) OVER () / count(*) OVER (ORDER BY pval) AS raw FROM p), q AS (SELECT *, least(min(raw) OVER (ORDER BY pval DESC), 1) AS padj FROM bh) "
+
+
+def _ttr_site_gene(spark, d):
+    counts = normalise.normalize(t.site_counts(spark, d), "TTR")
+    return joins.assign_sites(counts, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
+
+
+# Three conditions: the F distribution with 2 and m degrees of freedom has the tail (1 + 2 f / m) ^ (-m / 2).
+M1_SQL = TTR_SQL + """, sg AS (SELECT orf, position, condition, b.count * factor AS c FROM site_gene_b b JOIN ttr USING (sample_id) JOIN samples USING (sample_id)),
+ e AS (SELECT orf, condition, count(*) AS n, sum(c) AS s, sum(c * c) AS ss, count(DISTINCT position) AS sites FROM sg GROUP BY 1, 2),
+ tot AS (SELECT orf, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS between_ss, count(*) AS k, max(sites) AS n_sites FROM e GROUP BY 1),
+ r AS (SELECT g.orf, coalesce(n_sites, 0) AS n_sites, n, k, CASE WHEN coalesce(n_sites, 0) <= 1 THEN 'TA sites <= 1' WHEN s = 0 THEN 'No counts in all conditions' ELSE '-' END AS status, (between_ss - s * s / n) / (k - 1) AS a, (ss - between_ss) / (n - k) + 1000 AS b FROM genes g LEFT JOIN tot USING (orf)),
+ p AS (SELECT orf, n_sites, status, CASE WHEN status = '-' THEN a ELSE 0 END AS msr, CASE WHEN status = '-' THEN b ELSE 0 END AS mse_alpha, CASE WHEN status = '-' THEN a / b ELSE -1 END AS fstat, CASE WHEN status = '-' THEN power(1 + 2 * a / b / (n - k), -(n - k) / 2) ELSE 1 END AS pval FROM r), """ + BH_SQL
+
+
+@query(M1_SQL + "SELECT orf, n_sites, status, round(msr, 3) + 0 AS msr, round(mse_alpha, 3) + 0 AS mse_alpha, round(fstat, 6) + 0 AS fstat, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q")
 def m1_anova(spark, d):
     """The flagship: TTR, sites to genes, moderated ANOVA and BH."""
-    counts = normalise.normalize(t.site_counts(spark, d), "TTR")
-    from lociq.operators import joins
+    found = tests.anova(_ttr_site_gene(spark, d), t.samples(spark, d), t.genes(spark, d))
+    return found.select("orf", "n_sites", "status", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("msr", "mse_alpha")], *r6("fstat", "pval", "padj"))
+
 
-    assigned = joins.assign_sites(counts, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
-    return tests.anova(assigned, t.samples(spark, d), t.genes(spark, d))
+@query(M1_SQL + """, wr AS (SELECT *, dense_rank() OVER (PARTITION BY orf, condition ORDER BY c DESC) AS rk FROM sg), ws AS (SELECT *, max(CASE WHEN rk = 2 THEN c END) OVER (PARTITION BY orf, condition) AS second FROM wr),
+ mm AS (SELECT orf, condition, avg(CASE WHEN rk = 1 AND second IS NOT NULL THEN second ELSE c END) AS m FROM ws GROUP BY 1, 2),
+ wide AS (SELECT g.orf, coalesce(max(m) FILTER (condition = 'N'), 0) AS n, coalesce(max(m) FILTER (condition = 'A'), 0) AS a, coalesce(max(m) FILTER (condition = 'R'), 0) AS r FROM genes g LEFT JOIN mm USING (orf) GROUP BY 1)
+ SELECT q.orf, round(n, 4) + 0 AS "Mean N", round(a, 4) + 0 AS "Mean A", round(r, 4) + 0 AS "Mean R", round(log2((n + 5) / (n + 5)), 6) + 0 AS "Log 2 FC N", round(log2((a + 5) / (n + 5)), 6) + 0 AS "Log 2 FC A", round(log2((r + 5) / (n + 5)), 6) + 0 AS "Log 2 FC R", n_sites, status, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q JOIN wide USING (orf)""")
+def m1_anova_report(spark, d):
+    """The whole result table, in gene order, with N as the reference."""
+    found = tests.anova_report(_ttr_site_gene(spark, d), t.samples(spark, d), t.genes(spark, d), ["N", "A", "R"], refs=["N"])
+    return found.select("orf", *[(F.round(f"Mean {c}", 4) + F.lit(0.0)).alias(f"Mean {c}") for c in "NAR"], *r6(*[f"Log 2 FC {c}" for c in "NAR"]), "n_sites", "status", *r6("pval", "padj"))
 
 
 @query(None)
@@ -66,6 +91,24 @@ def m3_utest(spark, d):
     return tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
 
 
+@query(""", gs AS (SELECT b.orf, s.status || '_' || s.condition AS g, count AS c FROM site_gene_b b JOIN samples s USING (sample_id)), rk AS (SELECT *, dense_rank() OVER (PARTITION BY orf, g ORDER BY c DESC) AS k FROM gs), w AS (SELECT *, max(CASE WHEN k = 2 THEN c END) OVER (PARTITION BY orf, g) AS second FROM rk),
+ v AS (SELECT orf, g, CASE WHEN k = 1 AND second IS NOT NULL THEN second ELSE c END AS c FROM w), st AS (SELECT orf, g, avg(c) AS m, coalesce(avg(c) FILTER (c > 0), 0) AS nz, avg((c > 0)::int) AS z FROM v GROUP BY 1, 2)
+ SELECT ge.orf, round(coalesce(a.m, 0), 6) + 0 AS "Mean F_A", round(coalesce(b.m, 0), 6) + 0 AS "Mean O_N", round(log2((coalesce(a.m, 0) + 5) / ((coalesce(a.m, 0) + coalesce(b.m, 0)) / 2 + 5)), 6) + 0 AS "Log 2 FC F_A", round(log2((coalesce(b.m, 0) + 5) / ((coalesce(a.m, 0) + coalesce(b.m, 0)) / 2 + 5)), 6) + 0 AS "Log 2 FC O_N",
+ round(coalesce(a.nz, 0), 6) + 0 AS "Non Zero Mean F_A", round(coalesce(b.nz, 0), 6) + 0 AS "Non Zero Mean O_N", round(coalesce(a.z, 0), 6) + 0 AS "Non Zero Percentage F_A", round(coalesce(b.z, 0), 6) + 0 AS "Non Zero Percentage O_N" FROM genes ge LEFT JOIN st a ON a.orf = ge.orf AND a.g = 'F_A' LEFT JOIN st b ON b.orf = ge.orf AND b.g = 'O_N'""")
+def m4_group_table(spark, d):
+    """The columns by group that stand beside the models, with winsorised counts."""
+    named = t.samples(spark, d).select("sample_id", F.concat_ws("_", "status", "condition").alias("group"))
+    found = tests.group_table(site_gene(spark, d, "B"), named, t.genes(spark, d), ["F_A", "O_N"], winz=True)
+    return found.select("orf", *r6(*[c for c in found.columns if c != "orf"]))
+
+
+@query(None)
+def m4_zinb_interactions(spark, d):
+    """Condition by status: samples with both levels of status in each condition do not exist here, so the test is on batches (replicates)."""
+    samples = t.samples(spark, d).filter("condition IN ('A', 'R', 'N')")
+    return tests.zinb_report(site_gene(spark, d, "B"), t.site_counts(spark, d), samples, t.genes(spark, d), ["N", "A", "R"], interactions=["replicate"])
+
+
 @query(None)
 def m4_zinb(spark, d):
     return tests.zinb(site_gene(spark, d, "B"), t.site_counts(spark, d), t.samples(spark, d))
@@ -83,32 +126,38 @@ def m5_gumbel(spark, d):
     return essentiality.gumbel(blocks, samples=10_000, burnin=500)
 
 
-@query(BLOCKS_SQL + """, th AS (SELECT sum(k) / sum(n) AS p FROM blocks), u AS (SELECT *, CASE WHEN n >= 20 THEN ln(n * p) / ln(1 / (1 - p)) + 0.5772156649015329 / ln(1 / (1 - p)) - 0.5 + 0.000016 + 0.01 END AS e FROM blocks, th)
- SELECT orf, round(e, 6) + 0 AS expected_run, round(1 - exp(-exp((e - 0.5772156649015329 / ln(1 / (1 - p)) - max_run) * ln(1 / (1 - p)))), 6) + 0 AS pval FROM u WHERE n >= 20""")
+# Up to 19 sites the expected longest run is exact: the sum over r of P(longest >= r), where P(longest < r) of n sites is b(n) - q^r b(n - r)
+# with b(n) = sum over l of (-1)^l C(n - l r, l) (p q^r)^l.
+EXPECTED_SQL = """, th AS (SELECT sum(k) / sum(n) AS p FROM blocks), nr AS (SELECT n, r, p, 1 - p AS q FROM range(1, 20) a(n), range(1, 20) b(r), th WHERE r <= n),
+ bt AS (SELECT n, r, q, list_sum(list_transform(range(0, n // (r + 1) + 1), lambda l: power(-1, l) * exp(lgamma(n - l * r + 1) - lgamma(l + 1) - lgamma(n - l * r - l + 1)) * power(p * power(q, r), l))) AS b0,
+   list_sum(list_transform(range(0, (n - r) // (r + 1) + 1), lambda l: power(-1, l) * exp(lgamma(n - r - l * r + 1) - lgamma(l + 1) - lgamma(n - r - l * r - l + 1)) * power(p * power(q, r), l))) AS b1 FROM nr),
+ sm AS (SELECT n, sum(1 - (b0 - power(q, r) * b1)) AS e FROM bt GROUP BY 1) """
+
+
+@query(BLOCKS_SQL + EXPECTED_SQL + """, u AS (SELECT b.orf, b.n, max_run, p, CASE WHEN b.n = 0 THEN 0 WHEN b.n < 20 THEN sm.e ELSE ln(b.n * p) / ln(1 / (1 - p)) + 0.5772156649015329 / ln(1 / (1 - p)) - 0.5 + 0.000016 + 0.01 END AS e FROM blocks b CROSS JOIN th LEFT JOIN sm ON sm.n = b.n)
+ SELECT orf, round(e, 6) + 0 AS expected_run, CASE WHEN n = 0 THEN 1 ELSE round(1 - exp(-exp((e - 0.5772156649015329 / ln(1 / (1 - p)) - max_run) * ln(1 / (1 - p)))), 6) + 0 END AS pval FROM u""")
 def m6_griffin(spark, d):
     blocks = agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d))
     theta = blocks.agg((F.sum("k") / F.sum("n")).alias("p")).first()["p"]
-    return essentiality.griffin(blocks, theta).filter("n >= 20").select("orf", *r6("expected_run", "pval"))
+    return essentiality.griffin(blocks, theta).select("orf", *r6("expected_run", "pval"))
 
 
-GAPS_SQL = RUNS_SQL + """, g AS (SELECT avg((count > 0)::int) AS p, count(*) AS n FROM site_counts WHERE sample_id = 'NO_1'), mt AS (SELECT ge.orf, r.run_id, r.length, greatest(least(r.end_pos, ge."end") - greatest(r.start_pos, ge.start), 0) AS ov FROM runs r JOIN genes ge ON r.start_pos <= ge."end" AND ge.start <= r.end_pos WHERE r.sample_id = 'NO_1'),
- b AS (SELECT *, row_number() OVER (PARTITION BY orf ORDER BY ov DESC, run_id) AS k FROM mt) """
+GAPS_SQL = RUNS_SQL + """, g AS (SELECT sample_id, avg((count > 0)::int) AS p, count(*) AS n FROM site_counts GROUP BY 1), mt AS (SELECT r.sample_id, ge.orf, r.run_id, r.length, greatest(least(r.end_pos, ge."end") - greatest(r.start_pos, ge.start), 0) AS ov FROM runs r JOIN genes ge ON r.start_pos <= ge."end" AND ge.start <= r.end_pos),
+ b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, orf ORDER BY ov DESC, run_id) AS k FROM mt),
+ pv AS (SELECT g.sample_id, ge.orf, b.run_id, coalesce(b.length, 0) AS run_length, coalesce(ov, 0) AS overlap, coalesce(1 - exp(-exp((ln(n * p) / ln(1 / (1 - p)) - b.length) * ln(1 / (1 - p)))), 1) AS pval FROM genes ge CROSS JOIN g LEFT JOIN b ON b.orf = ge.orf AND b.sample_id = g.sample_id AND b.k = 1),
+ raw AS (SELECT *, pval * count(*) OVER (PARTITION BY sample_id) / count(*) OVER (PARTITION BY sample_id ORDER BY pval) AS raw FROM pv), q AS (SELECT *, least(min(raw) OVER (PARTITION BY sample_id ORDER BY pval DESC), 1) AS padj FROM raw) """
 
 
-@query(GAPS_SQL + "SELECT ge.orf, b.run_id, coalesce(b.length, 0) AS run_length, coalesce(ov, 0) AS overlap, coalesce(round(1 - exp(-exp((ln(n * p) / ln(1 / (1 - p)) - b.length) * ln(1 / (1 - p)))), 6) + 0, 1) AS pval FROM genes ge CROSS JOIN g LEFT JOIN b ON b.orf = ge.orf AND b.k = 1")
+@query(GAPS_SQL + "SELECT sample_id, orf, run_id, run_length, overlap, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj, CASE WHEN padj < 0.05 THEN 'Essential' ELSE 'Non-essential' END AS call FROM q")
 def m7_tn5gaps(spark, d):
-    return _gaps(spark, d, "NO_1")
-
-
-@query(None)
-def m7_tn5gaps_whole(spark, d):
+    """Every sample by itself."""
     return _each_sample(spark, d, lambda sample: _gaps(spark, d, sample))
 
 
 def _gaps(spark, d, sample):
     track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
     one = track.agg(F.avg((F.col("count") > 0).cast("double")).alias("p"), F.count("*").alias("n")).first()
-    return essentiality.gaps(windows.runs(track, ["sample_id", "contig"]), t.genes(spark, d), one["n"], one["p"]).select("orf", "run_id", "run_length", "overlap", *r6("pval"))
+    return essentiality.gaps(windows.runs(track, ["sample_id", "contig"]), t.genes(spark, d), one["n"], one["p"]).select("orf", "run_id", "run_length", "overlap", *r6("pval", "padj"), "call")
 
 
 def _track(spark, d):
@@ -122,8 +171,6 @@ def m8_hmm(spark, d):
 
 
 def _hmm_genes(spark, d):
-    from lociq.operators import joins
-
     states = essentiality.hmm(_track(spark, d).filter("condition = 'N'"), block=2000)
     assigned = joins.assign_sites(states, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), ignore_codon=False)
     return essentiality.hmm_genes(assigned, t.genes(spark, d))
@@ -134,20 +181,30 @@ def m9_hmm_genes(spark, d):
     return _hmm_genes(spark, d)
 
 
+@query(""", st AS (SELECT orf, CASE WHEN count = 0 THEN 'ES' WHEN count < 20 THEN 'GD' WHEN count < 40 THEN 'NE' ELSE 'GA' END AS state, count FROM site_gene_a),
+ c AS (SELECT orf, count(*) AS n, count(*) FILTER (state = 'ES') AS es, count(*) FILTER (state = 'GD') AS gd, count(*) FILTER (state = 'NE') AS ne, count(*) FILTER (state = 'GA') AS ga, avg((count > 0)::int) * coalesce(avg(count) FILTER (count > 0), 0) AS v FROM st GROUP BY 1),
+ ca AS (SELECT *, CASE WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM c),
+ sp AS (SELECT call, quantile_cont(v, 0.5) AS mid, greatest(0.7314 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)), 1) AS sd FROM ca GROUP BY 1),
+ de AS (SELECT ca.orf, ca.call, sp.call AS s, exp(-0.5 * power((v - mid) / sd, 2)) / (sd * sqrt(2 * pi())) AS d FROM ca CROSS JOIN sp), pr AS (SELECT orf, s, call, coalesce(d / nullif(sum(d) OVER (PARTITION BY orf), 0), 0) AS p FROM de),
+ cf AS (SELECT orf, max(p) FILTER (s = call) AS confidence, max(p) AS best FROM pr GROUP BY 1)
+ SELECT ca.orf, call, round(CASE call WHEN 'ES' THEN es WHEN 'GD' THEN gd WHEN 'NE' THEN ne ELSE ga END / n, 6) + 0 AS consistency, round(confidence, 6) + 0 AS confidence, CASE WHEN confidence < 0.2 THEN 'low-confidence' WHEN confidence < best THEN 'ambiguous' ELSE '' END AS flag FROM ca JOIN cf USING (orf)""")
+def m10_confidence_of_calls(spark, d):
+    """Confidence of calls that stand on counts: every sample's sites."""
+    x = F.col("count")
+    states = site_gene(spark, d).withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
+    return essentiality.hmm_confidence(essentiality.hmm_genes(states, t.genes(spark, d))).select("orf", "call", *r6("consistency", "confidence"), "flag")
+
+
 @query(None)
 def m10_hmm_confidence(spark, d):
     return essentiality.hmm_confidence(_hmm_genes(spark, d))
 
 
-@query(""", st AS (SELECT orf, CASE WHEN count = 0 THEN 'ES' WHEN count < 20 THEN 'GD' WHEN count < 40 THEN 'NE' ELSE 'GA' END AS state, count FROM site_gene_a WHERE sample_id = 'NO_1'),
- c AS (SELECT orf, count(*) AS n, count(*) FILTER (state = 'ES') AS es, count(*) FILTER (state = 'GD') AS gd, count(*) FILTER (state = 'NE') AS ne, count(*) FILTER (state = 'GA') AS ga FROM st GROUP BY 1)
- SELECT g.orf, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'N/A' WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM genes g LEFT JOIN c USING (orf)""")
+@query(""", st AS (SELECT sample_id, orf, CASE WHEN count = 0 THEN 'ES' WHEN count < 20 THEN 'GD' WHEN count < 40 THEN 'NE' ELSE 'GA' END AS state, count FROM site_gene_a),
+ c AS (SELECT sample_id, orf, count(*) AS n, count(*) FILTER (state = 'ES') AS es, count(*) FILTER (state = 'GD') AS gd, count(*) FILTER (state = 'NE') AS ne, count(*) FILTER (state = 'GA') AS ga FROM st GROUP BY 1, 2)
+ SELECT s.sample_id, g.orf, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'N/A' WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM genes g CROSS JOIN samples s LEFT JOIN c ON c.orf = g.orf AND c.sample_id = s.sample_id""")
 def m9_hmm_gene_calls(spark, d):
-    return _gene_calls(spark, d, "NO_1")
-
-
-@query(None)
-def m9_hmm_gene_calls_whole(spark, d):
+    """Calls of every sample by itself."""
     return _each_sample(spark, d, lambda sample: _gene_calls(spark, d, sample))
 
 
@@ -164,8 +221,6 @@ def m11_genetic_interactions(spark, d):
 
 
 def _ttn_rows(spark, d, sample):
-    from lociq.operators import joins
-
     letters = F.array(*[F.lit(c) for c in "ACGT"])
     base = lambda k: F.get(letters, F.pmod(F.xxhash64((F.col("position") + k)), F.lit(4)).cast("int"))
     context = F.concat(*[base(k) for k in (-4, -3, -2, -1)], F.lit("TA"), *[base(k) for k in (2, 3, 4, 5)])
@@ -179,10 +234,15 @@ def m12_ttn_fitness(spark, d):
     return _each_sample(spark, d, lambda sample: ttn.ttn_fitness(_ttn_rows(spark, d, sample))[0])
 
 
-@query("""SELECT read_id, (instr('ACGT', substr(seq, 1, 1)) - 1) * 64 + (instr('ACGT', substr(seq, 2, 1)) - 1) * 16 + (instr('ACGT', substr(seq, 3, 1)) - 1) * 4 + instr('ACGT', substr(seq, 4, 1)) - 1 AS up,
- (instr('TGCA', substr(seq, 10, 1)) - 1) * 64 + (instr('TGCA', substr(seq, 9, 1)) - 1) * 16 + (instr('TGCA', substr(seq, 8, 1)) - 1) * 4 + instr('TGCA', substr(seq, 7, 1)) - 1 AS down FROM reads WHERE length(seq) >= 10""")
+@query(""", ta AS (SELECT read_id, i AS position, substr(seq, i::int - 4, 10) AS c FROM (SELECT read_id, seq, unnest(range(5, length(seq) - 4)) AS i FROM reads) WHERE substr(seq, i::int, 2) = 'TA')
+ SELECT read_id, position, (instr('ACGT', substr(c, 1, 1)) - 1) * 64 + (instr('ACGT', substr(c, 2, 1)) - 1) * 16 + (instr('ACGT', substr(c, 3, 1)) - 1) * 4 + instr('ACGT', substr(c, 4, 1)) - 1 AS up,
+ (instr('TGCA', substr(c, 10, 1)) - 1) * 64 + (instr('TGCA', substr(c, 9, 1)) - 1) * 16 + (instr('TGCA', substr(c, 8, 1)) - 1) * 4 + instr('TGCA', substr(c, 7, 1)) - 1 AS down FROM ta""")
 def m12_ttn_features(spark, d):
-    return ttn.ttn_features(t.reads(spark, d).filter("length(seq) >= 10"), "seq").select("read_id", F.col("up").cast("long").alias("up"), F.col("down").cast("long").alias("down"))
+    """The neighbourhoods of every TA that has four letters on either side."""
+    reads = t.reads(spark, d)
+    sites = rd.ta_sites(reads.select(F.col("read_id").alias("contig"), F.lit(1).cast("long").alias("chunk_start"), "seq")).withColumnRenamed("contig", "read_id")
+    at = sites.join(reads, "read_id").filter("position >= 5 AND position <= length(seq) - 5").withColumn("context", F.expr("substring(seq, cast(position AS int) - 4, 10)"))
+    return ttn.ttn_features(at).select("read_id", "position", F.col("up").cast("long").alias("up"), F.col("down").cast("long").alias("down"))
 
 
 @query(None)
@@ -197,12 +257,13 @@ def _fitness_defect(spark, d, sample):
     return tests.fitness_defect(blocks, background, draws=10_000)
 
 
-HITS_SQL = ", res AS (SELECT DISTINCT orf FROM site_gene_a), hits AS (SELECT DISTINCT orf FROM site_gene_a WHERE count > 45) "
+HITS_SQL = ", res AS (SELECT orf, avg(count) AS m FROM site_gene_a GROUP BY 1), hits AS (SELECT orf FROM res WHERE m > 8.5) "
 
 
 def _hits(spark, d):
-    sg = site_gene(spark, d)
-    return sg.select("orf").distinct(), sg.filter("count > 45").select("orf").distinct()
+    """All genes with sites, and those whose mean count is above 8.5."""
+    means = site_gene(spark, d).groupBy("orf").agg(F.avg("count").alias("m"))
+    return means.select("orf"), means.filter("m > 8.5").select("orf")
 
 
 @query(HITS_SQL + """SELECT a.term, count(*) AS n_term, count(h.orf) AS k, (SELECT count(*) FROM res) AS n_genes, (SELECT count(*) FROM hits) AS n_hits, round((SELECT count(*) FROM hits) * count(*) / (SELECT count(*) FROM res), 6) + 0 AS expected,
@@ -212,9 +273,23 @@ def m14_fet_statistics(spark, d):
     return found.select("term", "n_term", "k", F.col("n_genes").cast("long").alias("n_genes"), F.col("n_hits").cast("long").alias("n_hits"), *r6("expected", "enrichment"))
 
 
-@query(None)
+#: Choosing k of n, in logs.
+LOG_CHOOSE = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+def _hypergeom_sql(k: str, total: str, marked: str, drawn: str) -> str:
+    """P(X > k) of X marked among `drawn` of `total`, as SQL over columns."""
+    lo, hi = f"greatest({k} + 1, {drawn} + {marked} - {total}, 0)", f"least({drawn}, {marked})"
+    term = f"exp({LOG_CHOOSE.format(n=marked, k='x')} + {LOG_CHOOSE.format(n=f'({total} - {marked})', k=f'({drawn} - x)')} - {LOG_CHOOSE.format(n=total, k=drawn)})"
+    return f"least(1, coalesce(list_sum(list_transform(range(({lo})::bigint, ({hi})::bigint + 1), lambda x: {term})), 0))"
+
+
+@query(HITS_SQL + ", o AS (SELECT (SELECT count(*) FROM res) AS m, (SELECT count(*) FROM hits) AS h), te AS (SELECT a.term, count(*) AS n_term, count(h.orf) AS k FROM associations a JOIN res USING (orf) LEFT JOIN hits h ON h.orf = a.orf GROUP BY 1 HAVING count(*) > 1), "
+       "f AS (SELECT term, n_term, k, m, h, n_term + floor(m * 2 / h)::bigint AS marked, k + 2 AS kk FROM te, o), p AS (SELECT *, " + _hypergeom_sql("kk", "m", "marked", "h") + " AS pval FROM f), " + BH_SQL
+       + "SELECT term, m AS n_genes, n_term, h AS n_hits, k, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q")
 def m14_fet(spark, d):
-    return genesets.fet(*_hits(spark, d), t.associations(spark, d))
+    found = genesets.fet(*_hits(spark, d), t.associations(spark, d))
+    return found.select("term", F.col("n_genes").cast("long").alias("n_genes"), "n_term", F.col("n_hits").cast("long").alias("n_hits"), "k", *r6("pval", "padj"))
 
 
 def _ranked(spark, d):
@@ -222,9 +297,11 @@ def _ranked(spark, d):
     return windows.rank_scores(found, "LFC")
 
 
-@query(None)
+@query(""", g AS (SELECT orf, avg(count) FILTER (condition = 'N') AS c, avg(count) FILTER (condition = 'A') AS e FROM site_gene_a JOIN samples USING (sample_id) WHERE condition IN ('N', 'A') GROUP BY 1),
+ l AS (SELECT orf, CASE WHEN c > 0 AND e > 0 THEN log2(e / c) ELSE log2((e + 1) / (c + 1)) END AS score FROM g) SELECT orf, round(score, 6) + 0 AS score, cast(row_number() OVER (ORDER BY score DESC, orf) AS int) AS rank FROM l""")
 def w5_rank_scores(spark, d):
-    return _ranked(spark, d).select("orf", "score", "rank")
+    found = tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
+    return windows.rank_scores(found, "LFC", seed=None).select("orf", *r6("score"), "rank")
 
 
 @query(None)
@@ -248,9 +325,14 @@ def m16_ancestors(spark, d):
     return genesets.ancestors(t.term_edges(spark, d))
 
 
-@query(None)
+@query(HITS_SQL + """, cl AS (SELECT child AS term, parent AS ancestor FROM term_edges UNION SELECT c.term, e.parent FROM cl c JOIN term_edges e ON e.child = c.ancestor), ca AS (SELECT term, ancestor FROM cl UNION SELECT child, child FROM term_edges UNION SELECT parent, parent FROM term_edges),
+ mk AS (SELECT DISTINCT a.orf, c.ancestor AS term, h.orf IS NOT NULL AS hit FROM associations a JOIN ca c ON c.term = a.term LEFT JOIN hits h ON h.orf = a.orf), ow AS (SELECT term, count(*) AS m, count(*) FILTER (hit) AS b FROM mk GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (hit) >= 1),
+ un AS (SELECT child, count(*) AS q, count(*) FILTER (hit) AS p FROM (SELECT DISTINCT e.child, mk.orf, mk.hit FROM term_edges e JOIN mk ON mk.term = e.parent) GROUP BY 1), pc AS (SELECT child, count(*) AS n_parents FROM term_edges GROUP BY 1),
+ f AS (SELECT ow.term, n_parents, m, q AS total, p AS drawn, b, b - 1 AS kk FROM ow JOIN un ON un.child = ow.term JOIN pc ON pc.child = ow.term), p AS (SELECT *, """ + _hypergeom_sql("kk", "total", "m", "drawn") + " AS pval FROM f), " + BH_SQL
+       + "SELECT term, n_parents, m, total AS q, drawn AS p, b, round(pval, 6) + 0 AS pval, round((b + 1) / (drawn * m / total + 1), 6) + 0 AS enrichment, round(padj, 6) + 0 AS padj FROM q")
 def m16_ontology_enrichment(spark, d):
-    return genesets.ontology_enrichment(_hits(spark, d)[1], t.associations(spark, d), t.term_edges(spark, d), largest=1_000_000)
+    found = genesets.ontology_enrichment(_hits(spark, d)[1], t.associations(spark, d), t.term_edges(spark, d), largest=1_000_000)
+    return found.select("term", "n_parents", "m", "q", "p", "b", *r6("pval", "enrichment", "padj"))
 
 
 def _points(spark, d):
@@ -265,6 +347,12 @@ def m17_extract_abundance(spark, d):
     return crispri.extract_abundance(a, meta, "drug", 1).select("sgrna", "dose", (F.round("fraction", 8) + 0.0).alias("fraction"))
 
 
+@query(""", g AS (SELECT sgrna, avg(count) AS m, coalesce(stddev_samp(count), 0) AS s, coalesce(avg(count) FILTER (dose = 0), 0) AS m0 FROM abundances GROUP BY 1), u AS (SELECT sgrna, m0 * exp(2 * (s + 1e-8) / (m + 1e-8)) AS u FROM g)
+ SELECT sgrna, round(u / sum(u) OVER (), 9) + 0 AS uninduced FROM u""")
+def m17_no_uninduced(spark, d):
+    return crispri.estimated_uninduced(t.abundances(spark, d)).select("sgrna", (F.round("uninduced", 9) + F.lit(0.0)).alias("uninduced"))
+
+
 @query(""", ab AS (SELECT orf, efficacy AS a, log2(CASE WHEN dose = 0 THEN 0.125 ELSE dose END) AS b, count / max(count) OVER (PARTITION BY dose) AS x FROM abundances), y AS (SELECT orf, a, b, log10((0.01 + 0.99 * tanh(x)) / (1 - (0.01 + 0.99 * tanh(x)))) AS y FROM ab),
  m AS (SELECT orf, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM y GROUP BY 1), s AS (SELECT orf, n, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) AS bb, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS "by" FROM y JOIN m USING (orf) GROUP BY 1, 2)
  SELECT orf, n, round((bb * ay - ab * "by") / (aa * bb - ab * ab), 6) + 0 AS coef_efficacy, round((aa * "by" - ab * ay) / (aa * bb - ab * ab), 6) + 0 AS coef_dose FROM s""")
@@ -309,9 +397,10 @@ def w8_running_locfdr(spark, d):
     return windows.running_locfdr(_pvals(spark, d), "pval").select("orf", *r6("ebfdr"))
 
 
-@query(None)
+@query(P_SQL + """, s AS (SELECT pval AS z, count(*) OVER () AS n, row_number() OVER dn AS i, avg(1 - pval) OVER (dn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS above, row_number() OVER up AS j, avg(pval) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+ FROM p WINDOW dn AS (ORDER BY pval DESC, orf), up AS (ORDER BY pval, orf)) SELECT round(coalesce(arg_min(z, j) FILTER (j >= 2 AND z - below > 0.05 * j / n), 0), 6) + 0 AS lower, round(coalesce(arg_min(z, i) FILTER (i >= 3 AND (1 - z) - above > 0.05 * i / n), 1), 6) + 0 AS upper FROM s""")
 def w11_essentiality_thresholds(spark, d):
-    return windows.essentiality_thresholds(_pvals(spark, d), "pval")
+    return windows.essentiality_thresholds(_pvals(spark, d), "pval").select(*r6("lower", "upper"))
 
 
 RESULT_SQL = P_SQL + ", res AS (SELECT p.orf, pval AS padj, avg(count) AS mean_of_means, log2((avg(count) + 1) / 6) AS lfc FROM p JOIN site_gene_a USING (orf) GROUP BY 1, 2)"
@@ -355,7 +444,7 @@ def t2_top_k(spark, d):
     return t.genes(spark, d).orderBy(F.desc(F.col("end") - F.col("start")), "orf").limit(20).select("orf")
 
 
-@query("SELECT orf FROM associations WHERE term LIKE '%1' INTERSECT SELECT DISTINCT orf FROM site_gene_a WHERE count > 45")
+@query("SELECT orf FROM associations WHERE term LIKE '%1' INTERSECT SELECT orf FROM site_gene_a GROUP BY 1 HAVING avg(count) > 8.5")
 def set1_intersection(spark, d):
     return t.associations(spark, d).filter("term LIKE '%1'").select("orf").intersect(_hits(spark, d)[1])
 

@@ -105,10 +105,7 @@ RUNS_SQL = """, idx AS (SELECT sample_id, contig, position, count, row_number()
 
 @query(RUNS_SQL + "SELECT sample_id, count(*) AS n FROM site_counts s WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.sample_id = s.sample_id AND r.length >= 5 AND s.position BETWEEN r.start_pos AND r.end_pos) GROUP BY 1")
 def f11_remove_empty_regions(spark, d):
-    order = windows.Window.partitionBy("sample_id", "contig").orderBy("position").rowsBetween(windows.Window.unboundedPreceding, 0)
-    marked = t.site_counts(spark, d).withColumn("run_id", F.sum(F.when(F.col("count") == 0, 0).otherwise(1)).over(order))
-    size = F.sum(F.when(F.col("count") == 0, 1).otherwise(0)).over(windows.Window.partitionBy("sample_id", "contig", "run_id"))
-    return marked.withColumn("_size", size).filter("NOT (count = 0 AND _size >= 5)").groupBy("sample_id").agg(F.count("*").alias("n"))
+    return filters.remove_empty_regions(t.site_counts(spark, d), 5).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT sample_id, bool_or(count = 0) AS has_zero_sites, CASE WHEN bool_or(position = p + 1) THEN 'tn5' ELSE 'himar1' END AS transposon FROM (SELECT *, lag(position) OVER (PARTITION BY sample_id ORDER BY position) AS p FROM site_counts) GROUP BY 1")
@@ -134,29 +131,17 @@ def j3_attach_conditions(spark, d):
     return joins.attach_conditions(t.site_counts(spark, d), t.samples(spark, d).filter("condition <> 'R'")).groupBy("condition").agg(F.sum("count").alias("reads"))
 
 
-@query(RUNS_SQL + """SELECT r.run_id, count(DISTINCT g.orf) AS n_genes, min(g.orf) AS first_orf FROM runs r JOIN genes g ON r.start_pos <= g."end" AND g.start <= r.end_pos WHERE r.sample_id = 'NO_1' AND r.length >= 5 GROUP BY 1""")
+@query(RUNS_SQL + """SELECT r.sample_id, r.run_id, count(DISTINCT g.orf) AS n_genes, min(g.orf) AS first_orf FROM runs r JOIN genes g ON r.start_pos <= g."end" AND g.start <= r.end_pos GROUP BY 1, 2""")
 def j4_genes_in_ranges(spark, d):
-    found = joins.genes_in_ranges(_runs(spark, d).filter("sample_id = 'NO_1' AND length >= 5"), t.genes(spark, d))
-    return found.select("run_id", F.size("orfs").cast("long").alias("n_genes"), F.get("orfs", F.lit(0)).alias("first_orf"))
-
-
-@query(None)
-def j4_genes_in_ranges_whole(spark, d):
     """Runs of every sample and length."""
     found = joins.genes_in_ranges(_runs(spark, d), t.genes(spark, d), keys=("sample_id", "run_id"))
     return found.select("sample_id", "run_id", F.size("orfs").cast("long").alias("n_genes"), F.get("orfs", F.lit(0)).alias("first_orf"))
 
 
-@query(RUNS_SQL + """SELECT r.run_id, g.orf, greatest(least(r.end_pos, g."end") - greatest(r.start_pos, g.start), 0) AS overlap,
+@query(RUNS_SQL + """SELECT r.sample_id, r.run_id, g.orf, greatest(least(r.end_pos, g."end") - greatest(r.start_pos, g.start), 0) AS overlap,
  round(CASE WHEN (g.start >= r.start_pos AND g."end" <= r.end_pos) OR (r.start_pos >= g.start AND r.end_pos <= g."end") THEN 1.0 ELSE greatest(least(r.end_pos, g."end") - greatest(r.start_pos, g.start), 0) / (g."end" - g.start) END, 6) + 0 AS overlap_fraction
- FROM runs r JOIN genes g ON r.start_pos <= g."end" AND g.start <= r.end_pos WHERE r.sample_id = 'NO_1' AND r.length >= 5""")
+ FROM runs r JOIN genes g ON r.start_pos <= g."end" AND g.start <= r.end_pos""")
 def j5_overlap(spark, d):
-    found = joins.overlap_columns(joins.overlaps(_runs(spark, d).filter("sample_id = 'NO_1' AND length >= 5"), t.genes(spark, d)))
-    return found.select("run_id", "orf", "overlap", *r6("overlap_fraction"))
-
-
-@query(None)
-def j5_overlap_whole(spark, d):
     """Runs of every sample and length."""
     found = joins.overlap_columns(joins.overlaps(_runs(spark, d), t.genes(spark, d)))
     return found.select("sample_id", "run_id", "orf", "overlap", *r6("overlap_fraction"))
@@ -210,23 +195,29 @@ def j11_attach_calls(spark, d):
 # Aggregations
 
 
-@query("""SELECT sample_id, round(avg((count > 0)::int), 6) + 0 AS density, round(avg(count), 6) + 0 AS mean_count, round(avg(count) FILTER (count > 0), 6) + 0 AS nz_mean, round(quantile_cont(count, 0.5) FILTER (count > 0), 6) + 0 AS nz_median, max(count) AS max_count, sum(count) AS total_counts,
+STATS_SQL = """SELECT sample_id, round(avg((count > 0)::int), 6) + 0 AS density, round(avg(count), 6) + 0 AS mean_count, round(avg(count) FILTER (count > 0), 6) + 0 AS nz_mean, round(quantile_cont(count, 0.5) FILTER (count > 0), 6) + 0 AS nz_median, max(count) AS max_count, sum(count) AS total_counts,
  round(avg(power(count - m, 3)) FILTER (count > 0) / power(avg(power(count - m, 2)) FILTER (count > 0), 1.5), 6) + 0 AS skewness, round(avg(power(count - m, 4)) FILTER (count > 0) / power(avg(power(count - m, 2)) FILTER (count > 0), 2) - 3, 6) + 0 AS kurtosis
- FROM (SELECT *, avg(CASE WHEN count > 0 THEN count END) OVER (PARTITION BY sample_id) AS m FROM site_counts) GROUP BY 1""")
+ FROM (SELECT *, avg(CASE WHEN count > 0 THEN count END) OVER (PARTITION BY sample_id) AS m FROM site_counts) GROUP BY 1"""
+
+
+@query(STATS_SQL)
 def a1_track_stats(spark, d):
     return agg.track_stats(t.site_counts(spark, d)).select("sample_id", *r6("density", "mean_count", "nz_mean", "nz_median"), "max_count", "total_counts", *r6("skewness", "kurtosis"))
 
 
-@query(""", x AS (SELECT sample_id, list(count ORDER BY count DESC) AS x FROM site_counts GROUP BY 1),
- v AS (SELECT sample_id, log2((x[m+1] - x[2*m+1]) / nullif(x[2*m+1] - x[4*m+1], 0)) AS v FROM (SELECT sample_id, x, unnest(range(10, 100)) AS m FROM x) WHERE x[m+1] > x[2*m+1])
+TAIL_SQL = """, x AS (SELECT sample_id, list(count ORDER BY count DESC) AS x FROM site_counts GROUP BY 1),
+ v AS (SELECT sample_id, log2((x[m+1] - x[2*m+1]) / nullif(x[2*m+1] - x[4*m+1], 0)) AS v FROM (SELECT sample_id, x, unnest(range(10, 100)) AS m FROM x) WHERE x[m+1] > x[2*m+1])"""
+
+
+@query(TAIL_SQL + """
  SELECT s.sample_id, round(quantile_cont(v, 0.5), 6) + 0 AS tail_index FROM samples s LEFT JOIN v ON v.sample_id = s.sample_id GROUP BY 1""")
 def a2_pickands_tail_index(spark, d):
     return agg.pickands_tail_index(t.site_counts(spark, d)).select("sample_id", *r6("tail_index"))
 
 
-@query(None)
+@query(f"{TAIL_SQL} SELECT * FROM ({STATS_SQL}) JOIN (SELECT s.sample_id, round(quantile_cont(v, 0.5), 6) + 0 AS tail_index FROM samples s LEFT JOIN v ON v.sample_id = s.sample_id GROUP BY 1) USING (sample_id)")
 def a3_dataset_report(spark, d):
-    return agg.dataset_report(t.site_counts(spark, d))
+    return agg.dataset_report(t.site_counts(spark, d)).select("sample_id", *r6("density", "mean_count", "nz_mean", "nz_median"), "max_count", "total_counts", *r6("skewness", "kurtosis", "tail_index"))
 
 
 BLOCKS_SQL = """, toss AS (SELECT orf, position, sum(count) AS total, (sum(count) > 0)::int AS hit FROM site_gene_a GROUP BY 1, 2),
@@ -338,7 +329,7 @@ def a21_ranked_counts(spark, d):
     return agg.ranked_counts(t.site_counts(spark, d)).select("sample_id", "position", "count", "rank")
 
 
-@query("SELECT a.position, round(log10(a.count), 6) + 0 AS x, round(log10(b.count), 6) + 0 AS y FROM site_counts a JOIN site_counts b ON a.position = b.position WHERE a.sample_id = 'NO_0' AND b.sample_id = 'NO_1' AND a.count > 0 AND b.count > 0")
+@query("SELECT position, round(log10(x), 6) + 0 AS x, round(log10(y), 6) + 0 AS y FROM (SELECT position, max(CASE WHEN sample_id = 'NO_0' THEN count END) AS x, max(CASE WHEN sample_id = 'NO_1' THEN count END) AS y FROM raw_counts WHERE sample_id IN ('NO_0', 'NO_1') GROUP BY 1) WHERE x > 0 AND y > 0")
 def a22_pairwise_points(spark, d):
     return agg.pairwise_points(t.site_counts(spark, d), "NO_0", "NO_1", log=True).select("position", *r6("x", "y"))
 
@@ -373,15 +364,8 @@ def w9_trimmed_mean(spark, d):
     return windows.trimmed_mean(t.site_counts(spark, d).filter("count > 0"), ["sample_id"], "count", 0.05).select("sample_id", *r6("trimmed_mean"))
 
 
-@query("SELECT orf, sample_id, position, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS avg_rank FROM site_gene_a WHERE orf IN (SELECT 'g' || p_partkey FROM part WHERE p_size <= 5)")
+@query("SELECT orf, sample_id, position, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS avg_rank FROM site_gene_a")
 def w10_average_ranks(spark, d):
-    small = t.read(spark, d, "part").filter("p_size <= 5").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("orf"))
-    return windows.average_ranks(site_gene(spark, d).join(small, "orf", "left_semi"), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
-
-
-@query(None)
-def w10_average_ranks_whole(spark, d):
-    """Every gene, not the short ones alone."""
     return windows.average_ranks(site_gene(spark, d), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
 
 
@@ -416,6 +400,14 @@ def n2_ttr(spark, d):
     return _totals(normalise.normalize(t.site_counts(spark, d), "TTR"))
 
 
+@query(_norm_sql("SELECT sample_id, 50 / (avg((count > 10)::int) * quantile_cont(count, 0.5) FILTER (count > 0)) AS factor FROM site_counts GROUP BY 1"))
+def n2_ttr_with_estimators(spark, d):
+    """TTR with other estimators of density and mean, and another target."""
+    counts, hit = t.site_counts(spark, d), F.when(F.col("count") > 0, F.col("count"))
+    factors = normalise.ttr_factors(counts, density=F.avg((F.col("count") > 10).cast("double")), mean=F.percentile(hit, 0.5), target=50.0)
+    return _totals(normalise.scaled(counts, factors))
+
+
 @query(_norm_sql("SELECT sample_id, avg(m) OVER () / m AS factor FROM (SELECT sample_id, avg(count) AS m FROM site_counts WHERE count > 0 GROUP BY 1)"))
 def n3_nzmean(spark, d):
     return _totals(normalise.normalize(t.site_counts(spark, d), "nzmean"))

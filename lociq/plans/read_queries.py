@@ -28,7 +28,8 @@ def rd2_trim_prefix(spark, d):
     return rd.trim_transposon_prefix(t.reads(spark, d), "TTA", 0, 40, 0, 20, "TTT").select("read_id", "insert", "kept")
 
 
-@query(None)
+@query("""SELECT read_id, CASE WHEN b BETWEEN 5 AND 15 THEN substr(tail, 1, b) ELSE 'XXXXXXXXXX' END AS barcode, CASE WHEN instr(gen, 'GAA') > 0 THEN substr(gen, 1, instr(gen, 'GAA') - 1) ELSE gen END AS genomic
+ FROM (SELECT *, CASE WHEN b >= 0 THEN substr(tail, b + 4) ELSE '' END AS gen FROM (SELECT *, instr(tail, 'TTC') - 1 AS b FROM (SELECT read_id, CASE WHEN instr(seq, 'ACT') > 0 THEN substr(seq, instr(seq, 'ACT') + 3) ELSE '' END AS tail FROM reads)))""")
 def rd3_template_barcodes(spark, d):
     return rd.extract_template_barcodes(t.reads(spark, d), "ACT", "TTC", "GAA", 0).select("read_id", "barcode", "genomic")
 
@@ -45,9 +46,9 @@ def rd5_select_mates(spark, d):
     return rd.select_mates(mates, kept).select(rd.mate_id().alias("read_id"), F.length("seq").cast("long").alias("n"))
 
 
-@query("SELECT r.read_id, substr(r.seq, 3, 8) AS barcode FROM reads r WHERE length(seq) > 12")
+@query("SELECT read_id, translate(substr(md5(seq), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode FROM reads WHERE length(seq) > 12")
 def rd6_attach_barcodes(spark, d):
-    codes = t.reads(spark, d).filter(F.length("seq") > 12).select(F.concat("read_id", F.lit("/2")).alias("read_id"), F.substring("seq", 3, 8).alias("barcode"))
+    codes = t.reads(spark, d).filter(F.length("seq") > 12).select(F.concat("read_id", F.lit("/2")).alias("read_id"), t.letters_of("seq", 8).alias("barcode"))
     return rd.attach_barcodes(t.reads(spark, d).select("read_id"), codes)
 
 
@@ -56,35 +57,18 @@ def rd8_select_cycles(spark, d):
     return rd.select_cycles(t.reads(spark, d), 4, 20)
 
 
-# The SQL of the four queries on sites has those up to 5,199 only; the queries named _whole report every site of the grid.
-
-
-def _sites(spark, d):
-    return spark.range(1, 5200).select(F.lit("c1").alias("contig"), F.col("id").alias("position")).join(t.grid(spark, d), ["contig", "position"], "left_semi")
-
-
-SITES_SQL = ", sites AS (SELECT position FROM grid WHERE position BETWEEN 1 AND 5199)"
+SITES_SQL = ", sites AS (SELECT position FROM grid)"
 
 
 @query(SITES_SQL + """, c AS (SELECT CASE WHEN flag = 0 THEN pos - 2 ELSE pos + seq_len END AS position, sum((flag = 0)::int) AS fwd, sum((flag = 16)::int) AS rev FROM alignments WHERE flag IN (0, 16) GROUP BY 1)
  SELECT s.position, coalesce(fwd, 0)::bigint AS fwd, coalesce(rev, 0)::bigint AS rev, coalesce(fwd + rev, 0)::bigint AS total FROM sites s LEFT JOIN c USING (position)""")
 def rd9_read_counts(spark, d):
-    return rd.read_counts(t.alignments(spark, d), _sites(spark, d)).drop("contig")
-
-
-@query(None)
-def rd9_read_counts_whole(spark, d):
     return rd.read_counts(t.alignments(spark, d), t.grid(spark, d)).drop("contig")
 
 
 @query(SITES_SQL + """, e AS (SELECT unnest([pos + (CASE WHEN flag = 0 THEN seq_len ELSE 1 END) - 2, pos + (CASE WHEN flag = 0 THEN seq_len ELSE 1 END) - 1]) AS position, flag FROM alignments WHERE flag IN (0, 16)),
  c AS (SELECT position, sum((flag = 0)::int) AS fwd, sum((flag = 16)::int) AS rev FROM e GROUP BY 1) SELECT s.position, coalesce(fwd, 0)::bigint AS fwd, coalesce(rev, 0)::bigint AS rev, coalesce(fwd + rev, 0)::bigint AS total FROM sites s LEFT JOIN c USING (position)""")
 def rd9_read_counts_mme1(spark, d):
-    return rd.read_counts(t.alignments(spark, d), _sites(spark, d), "mme1").drop("contig")
-
-
-@query(None)
-def rd9_read_counts_mme1_whole(spark, d):
     return rd.read_counts(t.alignments(spark, d), t.grid(spark, d), "mme1").drop("contig")
 
 
@@ -95,11 +79,6 @@ TEMPLATES_SQL = SITES_SQL + """, k AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN '
 
 @query(TEMPLATES_SQL + "SELECT * FROM tc")
 def rd10_template_counts(spark, d):
-    return rd.template_counts(t.alignments(spark, d), _sites(spark, d)).drop("contig")
-
-
-@query(None)
-def rd10_template_counts_whole(spark, d):
     return rd.template_counts(t.alignments(spark, d), t.grid(spark, d)).drop("contig")
 
 
@@ -111,11 +90,6 @@ def rd11_ta_sites(spark, d):
 @query(TEMPLATES_SQL + """SELECT sum(tot_rd_ct)::bigint AS read_count, sum(tot_templ_ct)::bigint AS template_count, count(*) AS sites, count(*) FILTER (tot_templ_ct > 0) AS sites_hit, max(tot_templ_ct) AS max_count,
  round(avg(tot_templ_ct) FILTER (tot_templ_ct > 0), 6) + 0 AS nz_mean, round(corr(fwd_templ_ct, rev_templ_ct), 6) + 0 AS fr_corr, round(corr(tot_rd_ct, tot_templ_ct), 6) + 0 AS rt_corr, (SELECT count(*) FROM reads) AS total_reads FROM tc""")
 def rd12_preprocess_stats(spark, d):
-    return _preprocess_stats(spark, d, _sites(spark, d))
-
-
-@query(None)
-def rd12_preprocess_stats_whole(spark, d):
     return _preprocess_stats(spark, d, t.grid(spark, d))
 
 
@@ -139,14 +113,14 @@ def rd14_dataset_stats(spark, d):
 
 
 @query(""", b AS (SELECT 'u' || (p_partkey % 64) AS sgrna, p_partkey % 64 AS k FROM part GROUP BY ALL), g AS (SELECT sgrna, substr('ACGT', (k % 4 + 1)::int, 1) || substr('ACGT', (k // 4 % 4 + 1)::int, 1) || substr('ACGT', (k // 16 % 4 + 1)::int, 1) AS three FROM b),
- s AS (SELECT substr(seq, 4, 3) AS rc, count(*) AS n FROM reads GROUP BY 1) SELECT g.sgrna, coalesce(n, 0) AS count FROM g LEFT JOIN s ON s.rc = reverse(translate(g.three, 'ACGT', 'TGCA'))""")
+ s AS (SELECT translate(substr(md5(seq), 1, 3), '0123456789abcdef', 'ACGTACGTACGTACGT') AS rc, count(*) AS n FROM reads GROUP BY 1) SELECT g.sgrna, coalesce(n, 0) AS count FROM g LEFT JOIN s ON s.rc = reverse(translate(g.three, 'ACGT', 'TGCA'))""")
 def rd15_barcode_counts(spark, d):
     k = F.col("k")
     letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
     guides = t.read(spark, d, "part").select((F.col("p_partkey") % 64).alias("k")).distinct().select(F.concat(F.lit("u"), k.cast("string")).alias("sgrna"), F.concat(letter(k), letter(F.floor(k / 4)), letter(F.floor(k / 16))).alias("three"))
     guides = guides.select("sgrna", F.concat("three", "three", "three", "three").alias("barcode"))  # twelve bases
-    three = F.substring("seq", 4, 3)
-    made = t.reads(spark, d).filter(F.length("seq") >= 6).select(F.concat(F.lit(rd.GUIDE_BEFORE), three, three, three, three, F.lit(rd.GUIDE_AFTER)).alias("seq"))
+    three = t.letters_of("seq", 3)  # each read's barcode, from its whole text
+    made = t.reads(spark, d).select(F.concat(F.lit(rd.GUIDE_BEFORE), three, three, three, three, F.lit(rd.GUIDE_AFTER)).alias("seq"))
     return rd.barcode_counts(made, guides)
 
 

@@ -65,14 +65,21 @@ def term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as stand-in reads: letters A, C, G and T only, in their order."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    letters = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    return docs.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_id"), F.explode(F.array(letters)).alias("seq"))  # a generator: computed once a row
+
+
+def letters_of(column: str, n: int):
+    """n letters that stand for a whole text: the first hexadecimal digits of its digest, as A, C, G and T."""
+    return F.translate(F.substring(F.md5(column), 1, n), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    top = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     return e.select(
         F.concat(F.lit("r"), k.cast("string")).alias("read_id"), (F.when(k % 3 == 0, 83).when(k % 3 == 1, 99).otherwise(16 * (k % 2))).cast("int").alias("flag"), F.lit("c1").alias("contig"),
-        ((k * 37) % 5000 + 1).alias("pos"), F.when(k % 11 == 0, "5S45M").otherwise("50M").alias("cigar"), (k % 7 + 100).cast("int").alias("tlen"), (F.lit(30) + k % 5).cast("int").alias("seq_len"),
+        ((k * 37) % (top + 1) + 1).alias("pos"), F.when(k % 11 == 0, "5S45M").otherwise("50M").alias("cigar"), (k % 7 + 100).cast("int").alias("tlen"), (F.lit(30) + k % 5).cast("int").alias("seq_len"),
         F.when(k % 13 == 0, "XXXXXXXXXX").otherwise(F.concat(F.lit("AC"), (F.col("user_id") % 4).cast("string"))).alias("barcode"),
     )
 
@@ -104,8 +111,8 @@ associations AS (SELECT DISTINCT 'g' || p_partkey AS orf, p_brand AS term FROM p
 terms AS (SELECT term, 'term ' || term AS name FROM (SELECT p_brand AS term FROM part UNION SELECT p_type FROM part)),
 term_edges AS (SELECT p_brand AS child, p_type AS parent FROM part UNION SELECT p_type, 'root' FROM part),
 reads AS (SELECT 'r' || doc_id AS read_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
-alignments AS (SELECT 'r' || event_id AS read_id, CASE WHEN event_id % 3 = 0 THEN 83 WHEN event_id % 3 = 1 THEN 99 ELSE 16 * (event_id % 2) END AS flag, 'c1' AS contig, (event_id * 37) % 5000 + 1 AS pos,
-               CASE WHEN event_id % 11 = 0 THEN '5S45M' ELSE '50M' END AS cigar, event_id % 7 + 100 AS tlen, 30 + event_id % 5 AS seq_len, CASE WHEN event_id % 13 = 0 THEN 'XXXXXXXXXX' ELSE 'AC' || (user_id % 4) END AS barcode FROM events),
+alignments AS (SELECT 'r' || event_id AS read_id, CASE WHEN event_id % 3 = 0 THEN 83 WHEN event_id % 3 = 1 THEN 99 ELSE 16 * (event_id % 2) END AS flag, 'c1' AS contig, (event_id * 37) % (m + 1) + 1 AS pos,
+               CASE WHEN event_id % 11 = 0 THEN '5S45M' ELSE '50M' END AS cigar, event_id % 7 + 100 AS tlen, 30 + event_id % 5 AS seq_len, CASE WHEN event_id % 13 = 0 THEN 'XXXXXXXXXX' ELSE 'AC' || (user_id % 4) END AS barcode FROM events, top),
 guides AS (SELECT 's' || c_custkey AS sgrna, c_acctbal / 1000 AS efficacy, 'o' || c_nationkey AS orf FROM customer),
 abundances AS (SELECT g.sgrna, dose, count, efficacy, orf FROM (SELECT 's' || o_custkey AS sgrna, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0.0 WHEN '2' THEN 0.25 WHEN '3' THEN 0.5 ELSE 1.0 END AS dose, count(*) AS count FROM orders GROUP BY 1, 2) c JOIN guides g ON g.sgrna = c.sgrna),
 site_gene_a AS (SELECT s.*, g.orf FROM site_counts s JOIN genes g ON s.position BETWEEN g.start AND g."end" AND (CASE WHEN strand = '+' THEN s.position <= g."end" - 3 ELSE s.position >= g.start + 3 END)),

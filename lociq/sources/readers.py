@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-RESULT_NOTE = "#"
+from pyspark.sql import types as T
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.text(paths).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+    """Lines of files, or of all files in folders and the folders in them."""
+    return spark.read.option("recursiveFileLookup", True).text(paths).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
 def signature(site_counts: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def check_same_sites(site_counts: DataFrame) -> DataFrame:
     return site_counts
 
 
-def read_wig(spark: SparkSession, paths, contig: str = "c1", check: bool = True) -> DataFrame:
-    """(sample_id, contig, position, count) of wig tracks; the file name is the sample. Lines that do not begin with a digit are no data."""
+def read_wig(spark: SparkSession, paths, contig: str = "c1", check: bool = True, sample: str = r"([^/]+)$") -> DataFrame:
+    """(sample_id, contig, position, count) of wig tracks. Lines that do not begin with a digit are no data.
+
+    sample: the part of a file's path that names its sample, by default the file name; r"sample_id=([^/]+)/" for a folder a sample.
+    """
     cells = F.split(F.trim("value"), r"\s+")
-    out = _lines(spark, paths).filter(F.col("value").rlike("^[0-9]")).select(F.element_at(F.split("file", "/"), -1).alias("sample_id"), F.lit(contig).alias("contig"), cells[0].cast("long").alias("position"), cells[1].cast("double").alias("count"))
+    out = _lines(spark, paths).filter(F.col("value").rlike("^[0-9]")).select(F.regexp_extract("file", sample, 1).alias("sample_id"), F.lit(contig).alias("contig"), cells[0].cast("long").alias("position"), cells[1].cast("double").alias("count"))
     return check_same_sites(out) if check else out
 
 
@@ -136,14 +139,33 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows, refs
 
 
-def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    """A result table with the columns its last # line names, as strings, and the key: value pairs of the # lines before it."""
+def result_info(head: list[str]) -> dict[str, str]:
+    """What the # lines of a result file say: the kind (first line), and the key: value pairs after it, in a #yaml: block or by themselves."""
+    info = {"kind": head[0][1:].strip()} if head and ":" not in head[0] else {}
+    for line in head:
+        key, colon, value = line.lstrip("#").strip().partition(":")
+        if colon and key and value.strip():
+            info[key.strip()] = value.strip().strip("'\"")
+    return info
+
+
+def read_result(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """A result table with the columns its last # line names, and what the # lines before it say.
+
+    Cells are strings; with a schema (a DDL string) they are cast where they can be and null where not, and cells of
+    array, map and struct columns are read as JSON.
+    """
     head = [r["value"] for r in _lines(spark, path).filter(F.col("value").startswith("#")).select("value").collect()]
     names = head[-1].lstrip("#").split("\t")
-    info = dict(h.lstrip("#").strip().split(": ", 1) for h in head[:-1] if ": " in h)
     cells = F.split("value", "\t", -1)
     body = _lines(spark, path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return body.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)]), info
+    out = body.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if schema is not None:
+        for field in T.StructType.fromDDL(schema).fields:
+            cell = F.col(f"`{field.name}`")
+            nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+            out = out.withColumn(field.name, F.from_json(cell, field.dataType) if nested else F.nullif(cell, F.lit("")).try_cast(field.dataType))
+    return out, result_info(head[:-1])
 
 
 def read_associations(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:

@@ -12,11 +12,16 @@ from lociq.operators.normalise import normalize
 
 
 def write_result(df: DataFrame, kind: str, info: dict, path: str) -> None:
-    """A folder with the table as TSV and a one-row JSON of the run's kind, settings, columns and time."""
+    """A result file in parts: path/head with #kind, a #yaml: block of the run's settings and a # line of column names, and
+    path/rows with tab-separated rows. Put together in this order the parts are one result file; read_result takes the folder.
+
+    Nulls are empty cells; cells of array, map and struct columns are JSON; tabs and line breaks in cells become spaces.
+    """
     spark = df.sparkSession
-    df.select(*[F.to_json(F.col(f"`{c}`")) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string") for c, t in df.dtypes]).toDF(*df.columns).write.option("sep", "\t").option("header", True).option("nullValue", "").csv(f"{path}/table")
-    row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(json.dumps(info)).alias("info"), F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.current_timestamp().alias("written"))
-    row.write.json(f"{path}/run_info")
+    head = [f"#{kind}", "#yaml:", *[f"#  {k}: {v if isinstance(v, (str, int, float)) else json.dumps(v)}" for k, v in info.items()], "#" + "\t".join(df.columns)]
+    spark.range(1).select(F.lit("\n".join(head)).alias("value")).write.text(f"{path}/head")
+    cells = [F.to_json(F.col(f"`{c}`")) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string") for c, t in df.dtypes]
+    df.select(F.array_join(F.array(*[F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ") for c in cells]), "\t").alias("value")).write.text(f"{path}/rows")
 
 
 def _wide(site_counts: DataFrame, ids: list[str], decimals: str) -> DataFrame:

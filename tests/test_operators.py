@@ -96,6 +96,55 @@ def test_exact_u():
     observed = u(a)
     low = min(observed, 12 - observed)
     assert math.isclose(tests._exact_u(3, 4, observed), min(1, 2 * np.mean([x <= low for x in seen])))
+    for n1, n2 in ((1, 6), (2, 5), (4, 4), (5, 2)):
+        seen = [sum(x > y for x in c for y in set(range(n1 + n2)) - set(c)) for c in itertools.combinations(range(n1 + n2), n1)]
+        for at in range(n1 * n2 + 1):
+            assert math.isclose(tests._exact_u(n1, n2, at), min(1, 2 * np.mean([x <= min(at, n1 * n2 - at) for x in seen]))), (n1, n2, at)
+    # No size from which another formula is used: the exact tail of large groups agrees with the normal one.
+    n1, n2 = 8, 20_000
+    sd = math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    near = 2 * 0.5 * math.erfc((1.5 * sd - 0.5) / sd / math.sqrt(2))
+    assert math.isclose(tests._exact_u(n1, n2, n1 * n2 / 2 - 1.5 * sd), near, rel_tol=0.02)
+
+
+def test_anova_counts_every_gene_and_winsorises(spark):
+    sg, samples, genes = blocks_of(spark, lift=3.0, genes=12)
+    more = genes.union(frame(spark, [("none",), ("nothing",)], "orf string"))
+    got = {r.orf: r for r in tests.anova(sg, samples, more, alpha=10.0).collect()}
+    assert (got["none"].fstat, got["none"].pval, got["none"].msr, got["none"].status) == (-1.0, 1.0, 0.0, "TA sites <= 1")
+    p = sorted(r.pval for r in got.values())
+    for r in got.values():  # all genes are tests of the correction
+        assert math.isclose(r.padj, min(1, min(x * len(p) / (np.searchsorted(p, x, "right")) for x in p if x >= r.pval)))
+    pdf = sg.toPandas().merge(samples.toPandas(), on="sample_id")
+    own = pdf[pdf.orf == "g0"]
+    top, second = sorted(own["count"].unique())[-1:-3:-1]
+    own = own.assign(count=own["count"].where(own["count"] != top, second))
+    x = [v["count"].to_numpy() for _, v in own.groupby("condition")]
+    m = np.concatenate(x).mean()
+    winz = {r.orf: r for r in tests.anova(sg, samples, more, alpha=10.0, winz=True).collect()}["g0"]
+    assert math.isclose(winz.msr, sum(len(v) * (v.mean() - m) ** 2 for v in x), rel_tol=1e-9)
+    rows = tests.anova_report(sg, samples, more, ["ctrl", "exp"], refs=["ctrl"], alpha=10.0).collect()
+    assert [r.orf for r in rows] == sorted(got) and rows[0]["Log 2 FC ctrl"] == 0.0
+    r = {r.orf: r for r in rows}["g0"]
+    assert math.isclose(r["Log 2 FC exp"], math.log2((r["Mean exp"] + 5) / (r["Mean ctrl"] + 5))) and r["Mean exp"] > r["Mean ctrl"]
+
+
+def test_tests_between_strains(spark):
+    """Genes lie elsewhere in the second strain, and have another number of sites; genes of one strain only go."""
+    rng = np.random.default_rng(7)
+    genes = [("c1", f"g{i}", 100 * i, 100 * i + 90, "+") for i in range(6)]
+    other = [("c1", f"g{i}", 150 * i + 7, 150 * i + 120, "+") for i in range(1, 7)]
+    schema, rows = "contig string, orf string, start long, end long, strand string", "sample_id string, contig string, position long, count double"
+    ctrl = frame(spark, [(f"a{k}", "c1", p, float(rng.geometric(0.05))) for k in range(2) for p in range(0, 600, 5)], rows)
+    exp = frame(spark, [(f"b{k}", "c1", p, float(rng.geometric(0.05)) * (20 if 157 <= p <= 270 else 1)) for k in range(2) for p in range(0, 1200, 7)], rows)
+    sg = tests.strain_sites(ctrl, frame(spark, genes, schema), exp, frame(spark, other, schema))
+    assert {r.orf for r in sg.select("orf").distinct().collect()} == {f"g{i}" for i in range(1, 6)}
+    groups = frame(spark, [("a0", False), ("a1", False), ("b0", True), ("b1", True)], "sample_id string, is_exp boolean")
+    got = {r.orf: r for r in tests.resampling(sg, groups, 500, "pooled").collect()}
+    assert got["g1"].pval < 0.02 and got["g1"].lfc > 3 and np.mean([got[f"g{i}"].pval for i in range(2, 6)]) > 0.1
+    wild = frame(spark, [("g", p, s, float(c)) for s, x in (("a", (1, 2, 3, 900)), ("b", (4, 5, 6, 7))) for p, c in enumerate(x)], "orf string, position long, sample_id string, count double")
+    two = frame(spark, [("a", False), ("b", True)], "sample_id string, is_exp boolean")
+    assert tests.resampling(wild, two, 50, "pooled", winz=True).first()["mean_ctrl"] == 2.25
 
 
 def test_resampling(spark):
@@ -144,6 +193,15 @@ def test_zinb(spark):
     sg, samples, _ = blocks_of(spark, lift=4.0, genes=24)
     got = {r.orf: r for r in tests.zinb(sg, sg.filter("position >= 5000").select("sample_id", "position", "count"), samples).collect()}
     assert sum(got[f"g{i}"].padj < 0.05 for i in range(5)) >= 4 and all(r.lrt >= 0 for r in got.values()) and np.mean([got[f"g{i}"].padj < 0.05 for i in range(5, 24)]) < 0.3
+    genes = sg.select("orf").distinct().union(frame(spark, [("none",)], "orf string"))
+    rows = samples.withColumn("strain", F.when(F.col("k") % 3 == 0, "x").otherwise("y"))
+    counts = sg.filter("position >= 5000").select("sample_id", "position", "count")
+    report = {r.orf: r for r in tests.zinb_report(sg.filter("orf < 'g2'"), counts, rows, genes.filter("orf < 'g2' OR orf = 'none'"), ["ctrl", "exp"], interactions=["strain"]).collect()}
+    assert report["none"].status.startswith("TA sites <= 1") and report["none"].pval == 1 and all(r.df == 2 for r in report.values() if r.status == "-")
+    assert {c for c in report["none"].asDict() if c.startswith("Mean ")} == {"Mean x_ctrl", "Mean y_ctrl", "Mean x_exp", "Mean y_exp"}
+    pdf = pd.DataFrame({"condition": ["a", "a", "b", "b", "c", "c"], "batch": ["1", "2"] * 3, "size": [1, 5, 3, 4, 9, 6]})
+    shapes = [tuple(x.shape[1] for x in tests.zinb_designs(pdf, *args)) for args in (([], []), (["batch"], []), ([], ["batch"]), (["size"], ["batch"]))]
+    assert shapes == [(1, 3), (2, 4), (4, 6), (5, 6)]
     pi, r, mu = normalise.fit_zinb(np.array([0.0, 1, 2, 3, 4, 5]), np.array([600.0, 80, 90, 80, 60, 40]))
     assert 0.4 < pi < 0.65 and 1.5 < mu < 3.5 and r > 0
 
@@ -264,6 +322,51 @@ def test_normalisations(spark):
     assert normalise.normalize(counts, "what").exceptAll(counts).isEmpty()
 
 
+def test_empty_samples_stay(spark):
+    """A sample without hits keeps its rows and zeros under every method, and does not change the others' factors."""
+    rng = np.random.default_rng(6)
+    full = [(f"s{k}", "c1", 10 * i, float((rng.random() < 0.5) * rng.geometric(1 / (20 * (k + 1))))) for k in range(2) for i in range(300)]
+    both = frame(spark, full + [("none", "c1", 10 * i, 0.0) for i in range(300)], "sample_id string, contig string, position long, count double")
+    alone, genes = both.filter("sample_id <> 'none'"), both.withColumn("orf", F.concat(F.lit("g"), (F.col("position") / 300).cast("int").cast("string")))
+    for method in normalise.METHODS:
+        out = normalise.normalize(both, method, genes, "s0")
+        sums = {r.sample_id: (r.n, r.s) for r in out.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("count").alias("s")).collect()}
+        assert set(sums) == {"s0", "s1", "none"} and all(n == 300 for n, _ in sums.values()), method
+        if method != "quantile":
+            same = {r.sample_id: r.s for r in normalise.normalize(alone, method, genes.filter("sample_id <> 'none'"), "s0").groupBy("sample_id").agg(F.sum("count").alias("s")).collect()}
+            assert sums["none"][1] == 0 and all(math.isclose(sums[k][1], v, rel_tol=1e-9) for k, v in same.items()), method
+    loess = normalise.loess_correction(both).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("count").alias("s")).toPandas().set_index("sample_id")
+    assert (loess["n"] == 300).all() and loess["s"]["none"] == 0
+    stats = {r.sample_id: r for r in aggregates.global_stats_for_rep(both).collect()}
+    assert stats["none"].logit_z_perc == math.inf and stats["none"].nz_mean == 0
+
+
+def test_enrichment_without_weights_or_misses(spark):
+    ranked = frame(spark, [(f"g{i}", 0.0 if i < 3 else 5.0 - i, i + 1) for i in range(6)], "orf string, score double, rank int")
+    members = frame(spark, [(f"g{i}", "zero") for i in range(3)] + [(f"g{i}", "all") for i in range(6)], "orf string, term string")
+    got = {r.term: r.es for r in windows.running_enrichment(ranked, members, p=1.0).collect()}
+    assert got["zero"] == 0.0 and got["all"] == 1.0
+    try:
+        genesets.gsea(ranked, members, p=1.0, n_perm=100, max_genes=5)
+        raise AssertionError("too many genes were accepted")
+    except ValueError:
+        pass
+
+
+def test_uninduced_from_all_samples(spark):
+    counts = [("a", "d0", 0.0, 10), ("a", "d1", 1.0, 30), ("a", "d2", 2.0, 20), ("b", "d0", 0.0, 5), ("b", "d1", 1.0, 5), ("b", "d2", 2.0, 5), ("c", "d1", 1.0, 7)]
+    got = {r.sgrna: r.uninduced for r in crispri.estimated_uninduced(frame(spark, counts, "sgrna string, sample string, dose double, count long")).collect()}
+    raw = {"a": 10 * math.exp(2 * (10 + 1e-8) / (20 + 1e-8)), "b": 5 * math.exp(2 * 1e-8 / (5 + 1e-8)), "c": 0.0}
+    assert all(math.isclose(got[k], v / sum(raw.values()), rel_tol=1e-9) for k, v in raw.items())
+
+
+def test_derived_columns_are_computed_once(spark):
+    import __spark_entry__ as e
+
+    plan = e.queries()["rd15_barcode_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(upper") == 1
+
+
 def test_site_reports_have_every_site(spark):
     import __spark_entry__ as e
 
@@ -272,10 +375,8 @@ def test_site_reports_have_every_site(spark):
     want, queries = {r.position for r in grid.collect()}, e.queries()
     assert max(want) > 5199
     for name in ("rd9_read_counts", "rd9_read_counts_mme1", "rd10_template_counts"):
-        got = {r.position: tuple(r) for r in queries[f"{name}_whole"](spark, d).collect()}
-        assert set(got) == want and all(got[r.position] == tuple(r) for r in queries[name](spark, d).collect()), name
-    stats = queries["rd12_preprocess_stats_whole"](spark, d).first()
-    assert stats.sites == len(want) > queries["rd12_preprocess_stats"](spark, d).first().sites
+        assert {r.position for r in queries[name](spark, d).collect()} == want, name
+    assert queries["rd12_preprocess_stats"](spark, d).first().sites == len(want)
 
 
 def test_queries_take_every_sample_and_gene(spark, monkeypatch):
@@ -287,16 +388,15 @@ def test_queries_take_every_sample_and_gene(spark, monkeypatch):
     samples = {r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus", F.lit("_"), (F.col("l_linenumber") % 2).cast("string"))).distinct().collect()}
     assert len(samples) > 1
     for name in ("j4_genes_in_ranges", "j5_overlap"):
-        got, part = rows(f"{name}_whole"), rows(name)
-        assert {r[0] for r in got} == samples and part < {r[1:] for r in got if r[0] == "NO_1"}, name
-    assert rows("w10_average_ranks") < rows("w10_average_ranks_whole")
+        assert {r[0] for r in rows(name)} == samples, name
+    assert len({r[0] for r in rows("w10_average_ranks")}) == len({r[0] for r in rows("a5_tosses")})
     # The models themselves are tested above; here each sample must reach them.
     seen = []
     one = lambda sample: spark.range(1).select(F.lit("g").alias("orf"))
     for name in ("_gaps", "_gene_calls", "_fitness_defect", "_ttn_rows"):
         monkeypatch.setattr(model_queries, name, lambda spark, d, sample, name=name: seen.append((name, sample)) or one(sample))
     monkeypatch.setattr(model_queries.ttn, "ttn_fitness", lambda rows: (rows, None))
-    for name in ("m7_tn5gaps_whole", "m9_hmm_gene_calls_whole", "m12_ttn_fitness", "m13_fitness_defect"):
+    for name in ("m7_tn5gaps", "m9_hmm_gene_calls", "m12_ttn_fitness", "m13_fitness_defect"):
         assert {r.sample_id for r in queries[name](spark, d).collect()} == samples, name
     assert len(set(seen)) == 4 * len(samples)
 

@@ -64,7 +64,7 @@ def test_sequences(spark, tmp_path):
 def test_tables(spark, tmp_path):
     res = write(tmp_path / "x.result", "#kind\n#norm: TTR\n#Orf\tp\ng1\t0.5\ng2\t\n")
     rows, info = r.read_result(spark, res)
-    assert info == {"norm": "TTR"} and [tuple(x) for x in rows.orderBy("Orf").collect()] == [("g1", "0.5"), ("g2", "")]
+    assert info == {"kind": "kind", "norm": "TTR"} and [tuple(x) for x in rows.orderBy("Orf").collect()] == [("g1", "0.5"), ("g2", "")]
     obo = write(tmp_path / "o.obo", "format: 1\n\n[Term]\nid: A\nname: root term\n\n[Term]\nid: B\nname: b\nis_a: A ! root\n\n[Term]\nid: C\nname: c\nis_a: A\nis_a: B\n")
     edges, names = r.read_obo(spark, obo)
     assert sorted(tuple(x) for x in edges.collect()) == [("B", "A"), ("C", "A"), ("C", "B")] and names.count() == 3
@@ -74,8 +74,15 @@ def test_tables(spark, tmp_path):
     assert assoc.count() == 2
     galign = r.read_galign(spark, write(tmp_path / "ga", "1 5\n2 -1\n-1 7\n"))
     assert sorted(tuple(x) for x in galign.collect()) == [(1, 5), (2, -1)]
-    w.write_result(assoc, "demo", {"a": 1}, str(tmp_path / "w"))
-    assert spark.read.json(str(tmp_path / "w" / "run_info")).first()["kind"] == "demo"
+    nested = assoc.select("orf", "term", F.array(F.lit(1), F.lit(2)).alias("xs"), F.when(F.col("orf") == "g1", F.lit("a\tb")).alias("note"))
+    w.write_result(nested, "demo", {"a": 1, "refs": ["x"]}, str(tmp_path / "w"))
+    text = "".join(x.read_text() for part in ("head", "rows") for x in sorted((tmp_path / "w" / part).glob("part-*")))
+    assert text.startswith('#demo\n#yaml:\n#  a: 1\n#  refs: ["x"]\n#orf\tterm\txs\tnote\n')
+    for path in (str(tmp_path / "w"), write(tmp_path / "one.result", text)):  # in parts, or as one file
+        back, info = r.read_result(spark, path, "xs array<int>, note string")
+        assert info == {"kind": "demo", "a": "1", "refs": '["x"]'} and sorted((x.orf, x.term, x.xs, x.note) for x in back.collect()) == [("g1", "t1", [1, 2], "a b"), ("g2", "t1", [1, 2], None)]
+    odd, _ = r.read_result(spark, write(tmp_path / "odd.result", "#k\n#x\ty\n1\toops\n\t2.5\n"), "x int, y double")
+    assert sorted(((x.x, x.y) for x in odd.collect()), key=str) == [(1, None), (None, 2.5)]
 
 
 def test_igv_and_streams(spark, tmp_path):
