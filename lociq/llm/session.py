@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that every executor shares: spark.checkpoint.dir, or on a local master, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("lociq.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lociq-")
         spark.conf.set("lociq.scratch.dir", found)
     return found.rstrip("/")
@@ -25,7 +31,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # the table stands for the shuffles behind it, so their files can go at once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,10 +55,10 @@ def by_key(docs: DataFrame, work: Callable[[DataFrame], DataFrame], refers: tupl
     doc_id itself is the key where it is unique and not null. Otherwise rows are ordered by
     (doc_id, text), nulls first, and numbered, so that repeated ids are documents of their own.
     Columns named in `refers` hold keys of other documents and are mapped back too. With `carry`, work also
-    gets the other columns of docs, as the struct _rest.
+    gets the other columns of docs, as the struct _rest, and whether the text is null, as _void.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_text"),
-                      *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")] if carry else []))
+                      *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"), F.col("text").isNull().alias("_void")] if carry else []))
     counted = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("gap")).first()
     if (counted["most"] or 0) <= 1 and not counted["gap"]:
         return work(ids.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")

@@ -137,3 +137,35 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+class KeyCounter:
+    """Counts of long keys, merged now and then so that memory follows the distinct keys of a task, not its tokens."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most, self.parts, self.pending = most, [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.pending += len(self.parts[-1][0])
+
+    def full(self) -> bool:
+        return self.pending > self.most
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.parts = [(keys[first], np.add.reduceat(counts, first))]
+        self.pending = len(first)
+        return self.parts[0]
+
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.parts:
+            keys, counts = self.merge()
+            self.parts, self.pending = [], 0
+            for lo in range(0, len(keys), 200_000):
+                yield keys[lo : lo + 200_000], counts[lo : lo + 200_000]

@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.class_lm import _Counter
 from lociq.llm.labelled import fold_of, labelled_sample, logistic, probability
 from lociq.llm.session import by_key
-from lociq.llm.text import lower, pieces, span_hash, table, word_spans
+from lociq.llm.text import KeyCounter, lower, pieces, span_hash, table, word_spans
 
 PREFIX = 4
 
@@ -106,7 +105,7 @@ def learn(sample: DataFrame, drift: float = 1.0, strength: float = 10.0, prefix_
     """Fit the model on the sample (key, text, y); words met fewer than `least` times keep their prefix's score."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[_Counter(), _Counter()] for _ in range(2)]
+        held = [[KeyCounter(), KeyCounter()] for _ in range(2)]
         for batch, data, offs in pieces(batches):
             word, prefix, row, _, _ = _tokens(data, offs)
             y = batch.column("y").to_numpy()[row]

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from lociq.llm import class_lm, host_rules, quality_qda, toxicity
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -52,6 +53,79 @@ def test_language_model(plain_df, plain, hard, empty):
     assert class_lm.class_scores(hard, classes=8, seeds=64).count() == hard.count() and class_lm.class_scores(empty).count() == 0
 
 
+def test_class_counts_and_scores_by_hand(spark, plain):
+    """The sweeps' neighbour counts, the class bigrams and the score, counted again in Python from the classes found."""
+    rng = np.random.default_rng(8)
+    texts = {i: " ".join([t or "", *[f"{'ab'[k % 2]}{rng.integers(0, 12)}" for k in range(60)]]) for i, t in plain}
+    df = spark.createDataFrame(list(texts.items()), "key long, text string").repartition(3)
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    classes = 6
+    marked = df.select("key", "text", (F.crc32(F.col("key").cast("string").cast("binary")) % 10 == 0).alias("held_out"))
+    model = class_lm.learn(marked, classes, 20, 3, 0.0, 700)
+    assert all(b > a for a, b in zip(model.likelihoods[:-2], model.likelihoods[1:-1]))
+
+    def ids(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return class_lm.token_ids(data, np.array([0, len(data)]))[0].tolist()
+
+    tokens = {i: ids(t) for i, t in texts.items()}
+    counts = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    found = {r.word: r for r in class_lm.word_rows(model.words).collect()}
+    assert set(found) == {w for t in tokens.values() for w in t} and all(r.n == counts[w] and (r.cls < classes if r.n else r.cls == class_lm.UNKNOWN) for w, r in found.items())
+    cls = {w: r.cls for w, r in found.items()}
+    near, pairs = defaultdict(Counter), np.zeros((classes, classes))
+    for i, t in tokens.items():
+        if not held[i]:
+            for before, w, after in zip([0, *t[:-1]], t, [*t[1:], None]):
+                pairs[cls[before], cls[w]] += 1
+                near[w][cls[before]] += 1
+                if after is not None:
+                    near[w][classes + 1 + cls[after]] += 1
+    assert (pairs == model.pairs).all()
+    for w, r in found.items():
+        if w:  # what follows an end is not used
+            assert dict(zip(r.codes, np.frombuffer(r.counts, "<i8").tolist())) == dict(near[w])
+    n, v = sum(counts.values()), len(counts)
+    size, single = np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        size[cls[w]] += c
+        single[cls[w]] += c == 1
+    unseen = np.minimum((single + 0.5) / (size + 1), 0.9)
+    unseen[0] = 1e-12
+    prior = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * classes)
+    follow = (pairs + 2 * prior) / (pairs.sum(1, keepdims=True) + 2)
+    docs = df.withColumnRenamed("key", "doc_id")
+    for r in class_lm.class_scores(docs, 10, classes, 20, 3, 0.0, 700).collect():
+        context, score, base = 0, 0.0, 0.0
+        for w in tokens[r.doc_id]:
+            base += math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1)))
+            if counts[w]:
+                score += math.log10(follow[context, cls[w]] * (1 - unseen[cls[w]]) * counts[w] / size[cls[w]])
+                context = cls[w]
+            else:
+                score += math.log10(follow[context] @ unseen)
+        assert math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.held_out == held[r.doc_id]
+
+
+def test_exchange_around_other_words():
+    """Exchanging some words around fixed ones never lowers the likelihood of all bigrams, and its class bigrams stay true."""
+    rng = np.random.default_rng(9)
+    n, classes = 40, 5
+    bigrams = rng.poisson(1.0, (n, n)) * (rng.random((n, n)) < 0.4)
+    of = 1 + rng.integers(0, classes - 1, n)
+    of[0] = 0
+
+    def pairs(c):
+        one = np.eye(classes)[c]
+        return one.T @ bigrams @ one
+
+    some = np.arange(15)
+    one = np.eye(classes)[of[15:]]
+    moved = of.copy()
+    moved[:15] = class_lm.exchange(bigrams[:15, :15], 0, classes, 4, of[:15], (pairs(of), bigrams[:15, 15:] @ one, (one.T @ bigrams[15:, :15]).T))
+    assert class_lm.likelihood(pairs(moved)) > class_lm.likelihood(pairs(of)) and moved[0] == 0 and len(some) == 15
+
+
 def test_exchange_finds_classes():
     """Words of two languages that never mix fall into classes that do not mix."""
     n = 21
