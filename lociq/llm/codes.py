@@ -8,7 +8,8 @@ A file is a Parquet table whose rows are shards of whole documents, in ascending
 (range partition), before (ids of the partition ahead of the shard), keys, ends (of each document's ids
 in the shard), and the levels' chunks, bitmaps and ranks.
 
-Null or empty text: the end id alone. Null and repeated doc_ids: nulls first, then by text, each row a
+Null or empty text: the end id alone. Very long texts: a document is never split, so a shard may grow to hold
+one. Null and repeated doc_ids: nulls first, then by text, each row a
 document of its own. Empty table: no shards. Other columns of the input are not touched.
 """
 
@@ -121,6 +122,28 @@ def read_codes(spark, path: str) -> DataFrame:
     return files.select("part", "before", "keys", "ends", "chunks", "bitmaps").mapInArrow(documents, "key long, start long, n_tokens long, ids_crc32 long")
 
 
+def token_at(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(key, k, id) for wanted (key, k): the k-th id (from 0) of document key, read by direct access; null beyond its end or for no document.
+
+    A wanted pair meets the shard of its document by key, and a shard answers all that are asked of it at once.
+    """
+    files = spark.read.schema(SHARD).parquet(path)
+    asked = wanted.select(F.col("key").cast("long").alias("key"), F.col("k").cast("long").alias("k")).distinct()
+    homes = files.select("part", "before", F.posexplode("keys").alias("i", "key"), "ends")
+    homes = homes.select("key", "part", "before", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0).alias("lo"), F.get("ends", F.col("i")).alias("hi"))
+    placed = asked.join(homes, "key").filter(F.col("k").between(0, F.col("hi") - F.col("lo") - 1)).groupBy("part", "before").agg(F.collect_list(F.struct("key", "k", (F.col("lo") + F.col("k")).alias("at"))).alias("asked"))  # at most a shard's ids
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("chunks", "bitmaps", "ranks", "asked")}
+                ids = [id_at(row["chunks"], row["bitmaps"], row["ranks"], x["at"]) for x in row["asked"]]
+                yield table(key=np.array([x["key"] for x in row["asked"]], np.int64), k=np.array([x["k"] for x in row["asked"]], np.int64), id=np.array(ids, np.int64))
+
+    found = files.select("part", "before", "chunks", "bitmaps", "ranks").join(placed, ["part", "before"]).select("chunks", "bitmaps", "ranks", "asked").mapInArrow(read, "key long, k long, id long")
+    return asked.join(found, ["key", "k"], "left")
+
+
 def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = 2, path: str | None = None) -> DataFrame:
     """Write docs to files (in the shared scratch folder unless path is given) and describe them from what is read back."""
     spark = docs.sparkSession

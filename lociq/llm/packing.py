@@ -6,8 +6,9 @@ single, pair and triple sums that fill the gap exactly are looked up and used up
 allow; lengths without a complement are placed by best fit. A plan row says which ranks of a length go
 to which sequences and offset; pieces then find their place from their length and rank.
 
-Null or empty text: one piece with the end id. Null and repeated doc_ids: see by_key. Empty table: empty
-result. Other columns of the input are not touched.
+Null or empty text: one piece with the end id. Very long texts: pieces of `capacity` and a rest. Ties: pieces of
+one length are alike, and take their places in the order of partitions and rows. Null and repeated doc_ids: see
+by_key. Empty table: empty result. Other columns of the input are not touched.
 """
 
 from __future__ import annotations

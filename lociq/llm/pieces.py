@@ -6,12 +6,14 @@ together: substring hashes of all of them probe the sorted piece keys, and maxim
 pieces store backpointers (Viterbi, best sum of scores).
 
 A model trained by merges (BPE) has scores that rank merges, and its library's ids are not the
-best-scoring segmentation. For such a model the ids come from the same batches and probes, with the
+best-scoring segmentation: few merges of high rank against many of low rank. For such a model the ids come from the same batches and probes, with the
 vectorised maximum choosing the next merge of each unit; the Viterbi segmentation stays available.
 A character without a piece becomes its bytes' pieces.
 
-Null or empty text: no ids. Null and repeated doc_ids: see by_key. Empty table: empty result. Other
-columns of the input are not touched.
+Null or empty text: no ids. Very long texts and units: units of more than LONG characters are merged one by
+one. Ties: the leftmost merge; in Viterbi the longer last piece. Null and repeated doc_ids: see by_key. Empty
+table: empty result. Other columns of the input are not touched. Units are told apart by 64-bit hashes: among n
+distinct units two share one with probability n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from lociq.llm.text import U64, mix, pieces, span_hash, table
 
 _P = U64(0x9E3779B97F4A7C15 | 1)
 _SPACE = "▁"
+UNRANKED = -1e6
 LONG = 128  # units of more characters are merged one by one
 
 
@@ -56,7 +59,9 @@ class PieceModel:
         self.keys, self.ids = keys[order], ids[order]
         self.scores = np.array([sp.get_score(int(i)) for i in self.ids])
         self.score_of = {names[i]: sp.get_score(i) for i in plain}
-        self.unknown = float(self.scores.min()) - 10.0
+        # Pieces that training appended without a rank have scores of about -1e9; merges may use them, but as summands they would
+        # drown all others. For Viterbi, scores end ten below the lowest rank, and a character without a piece has that score too.
+        self.unknown = float(self.scores[self.scores > UNRANKED].min()) - 10.0
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.bytes_of = [names[i].replace(_SPACE, " ").encode() for i in range(n)]
         for i in range(n):
@@ -118,6 +123,7 @@ class PieceModel:
         for j in range(1, n + 1):
             m = np.arange(min(j, most), 0, -1)
             last = scores[:, j - m, m - 1]
+            last = np.where(np.isneginf(last), last, np.maximum(last, self.unknown))
             last[:, -1] = np.where(np.isneginf(last[:, -1]), self.unknown, last[:, -1])
             cand = best[:, j - m] + last
             pick = cand.argmax(1)

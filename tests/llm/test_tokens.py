@@ -45,16 +45,32 @@ def test_codes_give_every_id():
         assert (codes.decode_ids(c[0], c[1]) == ids).all() and all(codes.id_at(*c, k) == ids[k] for k in range(0, 3000, 7))
 
 
-def test_token_files(plain_df, plain, hard, empty):
+def test_token_files(plain_df, plain, hard, hard_rows, empty):
     want, start = ids_of(plain), 0
     for r in sorted(codes.token_files(plain_df).collect()):
         x = [*want[r.doc_id], 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(x), crc(x))
         start += len(x)
-    assert codes.token_files(hard).count() == hard.count() and codes.token_files(empty).count() == 0
-
-
-def test_packing(plain_df, plain, hard, empty):
+    by_text = {}
+    for r in codes.token_files(hard).collect():
+        by_text.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    expected = {}
+    for i, t in hard_rows:
+        x = [*ids_of([(0, t)])[0], 2]
+        expected.setdefault(i, []).append((len(x), crc(x)))
+    assert {i: sorted(v) for i, v in by_text.items()} == {i: sorted(v) for i, v in expected.items()} and codes.token_files(empty).count() == 0
+
+
+def test_any_token_of_a_file(spark, plain_df, plain, tmp_path):
+    """Direct access through the written files, beyond a document's end and without the document."""
+    path, want = str(tmp_path / "codes"), ids_of(plain)
+    codes.write_codes(plain_df.selectExpr("doc_id key", "coalesce(text, '') text"), path, shard_ids=500)
+    asked = [(i, k) for i, x in want.items() for k in (0, len(x) // 2, len(x), len(x) + 1, -1)] + [(999, 0)]
+    got = {(r.key, r.k): r.id for r in codes.token_at(spark, path, spark.createDataFrame(asked + asked[:3], "key long, k long")).collect()}
+    assert got == {(i, k): ([*want[i], 2][k] if i in want and 0 <= k <= len(want[i]) else None) for i, k in asked}
+
+
+def test_packing(plain_df, plain, hard, hard_rows, empty):
     want = ids_of(plain)
     rows = packing.pack(plain_df, capacity=64).collect()
     assert len(rows) == sum(-(-(len(x) + 1) // 64) for x in want.values())
@@ -69,7 +85,13 @@ def test_packing(plain_df, plain, hard, empty):
             assert offset == at
             at += length
         assert at <= 64
-    assert packing.pack(hard).count() >= hard.count() and packing.pack(empty).count() == 0
+    got, expected = {}, {}
+    for r in packing.pack(hard, capacity=64).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, t in hard_rows:
+        x = [*ids_of([(0, t)])[0], 1]
+        expected.setdefault(i, []).extend((s, min(64, len(x) - s), crc(x[s : s + 64])) for s in range(0, len(x), 64))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in expected.items()} and packing.pack(empty).count() == 0
 
 
 def test_plan_is_near_the_bound():
@@ -84,7 +106,7 @@ def test_plan_is_near_the_bound():
     assert max(s[3] + s[2] for s in slots) <= -(-total // 4096) + 3
 
 
-def test_pieces_are_the_librarys(plain_df, plain, hard, empty):
+def test_pieces_are_the_librarys(plain_df, plain, hard, hard_rows, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
     texts = [t or "" for _, t in plain] + ["  two  spaces ", "tab\tand\nline", "a" * 300, "日本語 😀", "a▁b", "<s> </s>"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
@@ -100,17 +122,25 @@ def test_pieces_are_the_librarys(plain_df, plain, hard, empty):
     back = {r.doc_id: r.text for r in pieces.decode(encoded).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in plain)
     assert pieces.encode(hard, method="viterbi").count() == hard.count() and pieces.digests(empty).count() == 0
+    got = sorted((r.doc_id or -1, r.n_ids, r.ids_crc32) for r in pieces.digests(hard).collect())
+    assert got == sorted((i or -1, len(x := sp.encode(t or "")), crc(x)) for i, t in hard_rows)
 
 
 def test_viterbi_is_the_best_segmentation():
     m = pieces.PieceModel.of(pieces.default_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
     rng = random.Random(0)
     for _ in range(60):
-        word = "▁" + "".join(rng.choice("theinganrzq") for _ in range(rng.randint(1, 9)))
+        word = "▁" + "".join(rng.choice("theinganrzq▁漢") for _ in range(rng.randint(1, 9)))
         best = [0.0] + [-np.inf] * len(word)
         for j in range(1, len(word) + 1):
             for i in range(j):
-                s = m.score_of.get(word[i:j], m.unknown if j - i == 1 else -np.inf)
+                s = m.score_of.get(word[i:j], -np.inf)
+                s = max(s, m.unknown) if np.isfinite(s) else m.unknown if j - i == 1 else s
                 best[j] = max(best[j], best[i] + s)
-        _, _, score = m.encode_units([word])
-        assert abs(score[0] - best[-1]) < 1e-6
+        flats, _, score = m.encode_units([word])
+        assert abs(score[0] - best[-1]) < 1e-6 * abs(best[-1]) and m.unknown > -1e6
+        own, names = 0.0, {i: w for w, i in zip(m.score_of, map(sp.piece_to_id, m.score_of))}
+        for i in flats[1].tolist():  # the score of the segmentation itself; bytes of a character without a piece count once
+            own += max(m.score_of[names[i]], m.unknown) if i in names else m.unknown if i == flats[1][0] or 0xC0 <= int(sp.id_to_piece(i)[3:5], 16) or int(sp.id_to_piece(i)[3:5], 16) < 0x80 else 0.0
+        assert abs(own - best[-1]) < 1e-6 * abs(best[-1])
