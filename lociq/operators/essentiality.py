@@ -15,18 +15,27 @@ from lociq.operators.windows import bh_fdr, essentiality_thresholds
 EULER = 0.5772156649015329
 
 
+SHORT = 20  # below so many sites the expected longest run is exact
+
+
+def short_runs(p: float) -> np.ndarray:
+    """Expected longest runs of non-insertions over 0 to SHORT - 1 sites with insertion probability p."""
+    q, k = 1 - p, np.arange(SHORT)
+    # at_most[i][k]: probability that the longest run of i sites has at most k; the recursion removes the runs that end at site i.
+    at_most = np.ones((SHORT, SHORT))
+    for i in range(1, SHORT):
+        ended = np.where(k < i - 1, at_most[np.maximum(i - k - 2, 0), k], 1.0) * p * q ** (k + 1)
+        at_most[i] = np.where(k >= i, 1.0, np.where(k == i - 1, 1 - q**i, at_most[i - 1] - ended))
+    return (1 - at_most).sum(1)  # the sum over k of P(longest > k)
+
+
 def expected_run(n: int, p: float) -> float:
     """Expected longest run of non-insertions over n sites with insertion probability p."""
     q = 1 - p
     if n == 0 or q <= 0:
         return 0.0
-    if n < 20:
-        # table[i][k]: probability that the longest of i sites has at most k
-        table = np.ones((n + 1, n + 1))
-        for k in range(n + 1):
-            for i in range(k + 1, n + 1):
-                table[i, k] = 1 - q ** (k + 1) if i == k + 1 else table[i - 1, k] - p * q ** (k + 1) * table[i - k - 2, k]
-        return float(sum(k * (table[n, k] - table[n, k - 1]) for k in range(1, n + 1)))
+    if n < SHORT:
+        return float(short_runs(p)[n])
     return float(np.log(n * p) / np.log(1 / q) + EULER / np.log(1 / q) - 0.5 + 0.000016 + 0.01)
 
 
@@ -38,10 +47,10 @@ def variance_run(q: float) -> float:
 def griffin(blocks: DataFrame, theta: float) -> DataFrame:
     """(orf, k, n, max_run, expected_run, pval): Gumbel tail of the longest run; exact expectations below 20 sites from a table of 20 values."""
     q = 1 - theta
-    table = F.array(*[F.lit(expected_run(n, theta)) for n in range(20)])
+    table = F.array(*[F.lit(float(x)) for x in (short_runs(theta) if q > 0 else np.zeros(SHORT))])
     beta = 1 / np.log(1 / q)
     closed = F.log(F.col("n") * theta) * beta + EULER * beta - 0.5 + 0.000016 + 0.01
-    out = blocks.withColumn("expected_run", F.when(F.col("n") < 20, F.get(table, F.col("n").cast("int"))).otherwise(closed))
+    out = blocks.withColumn("expected_run", F.when(F.col("n") < SHORT, F.get(table, F.col("n").cast("int"))).otherwise(closed))
     u = F.col("expected_run") - EULER * beta
     return out.withColumn("pval", F.when(F.col("n") > 0, 1 - F.exp(-F.exp((u - F.col("max_run")) / beta))).otherwise(1.0)).select("orf", "k", "n", "max_run", "expected_run", "pval")
 
@@ -58,16 +67,18 @@ def gaps(runs: DataFrame, genes: DataFrame, n_sites: int, p_insertion: float) ->
 
 
 def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma_s: float, sigma_r: float, samples: int, burnin: int, trim: int, seed: int) -> np.ndarray:
-    """Mean essential probability of each row (n, r, s, t) from a Metropolis-within-Gibbs chain."""
+    """Mean essential probability of each row (n, r, s, t, m) from a Metropolis-within-Gibbs chain.
+
+    A row stands for m genes with the same figures: how many of them are essential is drawn as one binomial.
+    """
     rng = np.random.default_rng(seed)
-    n, r, s, t = (rows[c].to_numpy(float) for c in ("n", "r", "s", "t"))
-    small = {int(k): None for k in np.unique(n[n < 20])}
+    n, r, s, t, m = (rows[c].to_numpy(float) for c in ("n", "r", "s", "t", "m"))
+    genes, short = m.astype(np.int64), np.flatnonzero(n < SHORT)
 
     def log_gumbel(p: float) -> np.ndarray:
         beta = 1 / np.log(1 / p)
-        for k in small:
-            small[k] = expected_run(k, 1 - p)
-        mu = np.where(n < 20, np.array([small.get(int(k), 0.0) or 0.0 for k in n]) - EULER * beta, np.log(np.maximum(n * (1 - p), 1e-12)) * beta)
+        mu = np.log(np.maximum(n * (1 - p), 1e-12)) * beta
+        mu[short] = short_runs(1 - p)[n[short].astype(int)] - EULER * beta
         z = (r - mu) / beta
         return -z - np.exp(np.clip(-z, -700, 700)) - np.log(beta)
 
@@ -76,21 +87,22 @@ def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma
     sig = 1 / (1 + np.exp(-np.clip(0.1 * (s - 300), -500, 500))) / sums[t.astype(int)]
     essential = sig * special.norm_pdf(r, mu_r * s, sigma_r)
     spread = special.norm_pdf(s, mu_s * r, sigma_s)
-    w1, z = 0.15, (rng.random(len(n)) < 0.5).astype(float)
+    w1, z = 0.15, rng.binomial(genes, 0.5)
     total, kept = np.zeros(len(n)), 0
     now = log_gumbel(phi)
     for i in range(samples * trim + burnin):
         new = phi + rng.normal(0, 0.01)
         if 0.01 < new < 0.99:
             other = log_gumbel(new)
-            if np.log(rng.random()) < ((1 - z) * (other - now)).sum():
+            if np.log(rng.random()) < ((m - z) * (other - now)).sum():
                 phi, now = new, other
         h0 = np.exp(now) * spread * (1 - w1) + 1e-10
         h1 = essential * w1 + 1e-10
-        z = (rng.random(len(n)) < h1 / (h0 + h1)).astype(float)
-        w1 = rng.beta(600 + z.sum(), 3400 + len(n) - z.sum())
+        share = h1 / (h0 + h1)
+        z = rng.binomial(genes, share)
+        w1 = rng.beta(600 + z.sum(), 3400 + m.sum() - z.sum())
         if i >= burnin and (i - burnin) % trim == 0:
-            total += h1 / (h0 + h1)
+            total += share
             kept += 1
     return total / max(kept, 1)
 
@@ -109,9 +121,9 @@ def gumbel(blocks: DataFrame, samples: int = 1000, burnin: int = 100, trim: int
     distinct = used.groupBy(F.col("n"), F.col("max_run").alias("r"), F.col("gap_span").alias("s"), F.col("span").alias("t")).agg(F.count("*").alias("m"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.loc[rows.index.repeat(rows["m"])].sort_values(["n", "r", "s", "t"])
-        wide["zbar"] = gumbel_chain(wide, float(min(max(phi, 0.02), 0.98)), mu_s, mu_r, sigma_s, sigma_r, samples, burnin, trim, seed + int(rows["chain"].iloc[0]))
-        return wide.groupby(["n", "r", "s", "t"], as_index=False)["zbar"].mean()
+        rows = rows.sort_values(["n", "r", "s", "t"])
+        zbar = gumbel_chain(rows, float(min(max(phi, 0.02), 0.98)), mu_s, mu_r, sigma_s, sigma_r, samples, burnin, trim, seed + int(rows["chain"].iloc[0]))
+        return rows[["n", "r", "s", "t"]].assign(zbar=zbar)
 
     chained = distinct.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))).groupBy("chain").applyInPandas(run, "n long, r long, s long, t long, zbar double")
     zbar = chained.groupBy("n", "r", "s", "t").agg(F.avg("zbar").alias("zbar"))
@@ -161,52 +173,93 @@ def _emissions(count: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (values[:, None] * np.log1p(-p) + np.log(p))[at]
 
 
+def _segmented(log_e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sites cut into about as many segments as a segment has sites, [segment, place, state], and which places hold a site."""
+    n = len(log_e)
+    length = max(1, int(np.ceil(np.sqrt(n))))
+    count = -(-n // length)
+    padded = np.zeros((count * length, 4))
+    padded[:n] = log_e
+    return padded.reshape(count, length, 4), (np.arange(count * length) < n).reshape(count, length)
+
+
+def _segment_transfers(cells: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum-product transfers of all segments (scaled, and the logs of their scales) and max-plus ones; all segments advance together."""
+    move, count = np.exp(a), len(cells)
+    total, scale = np.tile(np.eye(4), (count, 1, 1)), np.zeros(count)
+    best = np.tile(np.where(np.eye(4) > 0, 0.0, -np.inf), (count, 1, 1))
+    for i in range(cells.shape[1]):
+        e, ok = cells[:, i][:, None, :], real[:, i][:, None, None]
+        total = np.where(ok, (total @ move) * np.exp(e), total)
+        best = np.where(ok, (best[:, :, :, None] + a).max(2) + e, best)
+        top = total.max((1, 2))
+        total /= top[:, None, None]
+        scale += np.log(top)
+    return total, scale, best
+
+
 def block_transfer(log_e: np.ndarray, a: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Sum-product and max-plus 4x4 transfers of a block, in logs; with start, the first site has no transition."""
-    move = np.exp(a)
-    total = np.eye(4)
-    scale = 0.0
-    best = np.where(np.eye(4) > 0, 0.0, -np.inf)
-    for i, e in enumerate(log_e):
-        if i == 0 and start is not None:
-            total = np.tile(np.exp(start + e), (4, 1))
-            best = np.tile(start + e, (4, 1))
-        else:
-            total = (total @ move) * np.exp(e)
-            best = (best[:, :, None] + a[None]).max(1) + e
-        top = total.max()
-        total /= top
-        scale += np.log(top)
+    total, scale, best = np.eye(4), 0.0, np.where(np.eye(4) > 0, 0.0, -np.inf)
+    if start is not None:
+        total, best = np.tile(np.exp(start + log_e[0]), (4, 1)), np.tile(start + log_e[0], (4, 1))
+        log_e = log_e[1:]
+    if len(log_e):
+        for t, c, b in zip(*_segment_transfers(*_segmented(log_e), a)):
+            total, best = total @ t, (best[:, :, None] + b).max(1)
+            top = total.max()
+            total, scale = total / top, scale + c + np.log(top)
     with np.errstate(divide="ignore"):
         return np.log(total) + scale, best
 
 
 def block_states(log_e: np.ndarray, a: np.ndarray, start: np.ndarray | None, alpha: np.ndarray, delta: np.ndarray, beta: np.ndarray, exit_state: int) -> tuple[np.ndarray, np.ndarray]:
-    """Viterbi states and posteriors of a block, from what stands before it and after it."""
+    """Viterbi states and posteriors of a block, from what stands before it and after it.
+
+    Segment transfers give each segment what stands at its ends; then all segments are filled in together.
+    """
     n, move = len(log_e), np.exp(a)
+    f, head = np.exp(alpha - alpha.max()), 0
+    if start is not None:
+        f, delta, head = np.exp(start + log_e[0]), start + log_e[0], 1
+    f = f / f.sum()
     fwd, bwd, back = np.empty((n, 4)), np.empty((n, 4)), np.zeros((n, 4), int)
-    f = np.exp(alpha - alpha.max())
-    for i in range(n):
-        if i == 0 and start is not None:
-            f, delta = np.exp(start + log_e[0]), start + log_e[0]
-        else:
-            f = (f @ move) * np.exp(log_e[i])
-            score = delta[:, None] + a
-            back[i] = score.argmax(0)
-            delta = score.max(0) + log_e[i]
-        f = f / f.sum()
-        fwd[i] = f
     b = np.exp(beta - beta.max())
-    for i in range(n - 1, -1, -1):
-        bwd[i] = b
-        b = move @ (np.exp(log_e[i]) * b)
-        b = b / b.sum()
+    if n > head:
+        cells, real = _segmented(log_e[head:])
+        total, _, best = _segment_transfers(cells, real, a)
+        count, length = real.shape
+        into, reach, behind = np.empty((count, 4)), np.empty((count, 4)), np.empty((count, 4))
+        g, d = f, delta
+        for s in range(count):
+            into[s], reach[s] = g, d
+            g, d = g @ total[s], (d[:, None] + best[s]).max(0)
+            g = g / g.sum()
+        for s in range(count - 1, -1, -1):
+            behind[s] = b
+            b = total[s] @ b
+            b = b / b.sum()
+        forward, backward, came = np.empty((count, length, 4)), np.empty((count, length, 4)), np.zeros((count, length, 4), int)
+        for i in range(length):
+            e = cells[:, i]
+            into = (into @ move) * np.exp(e)
+            into /= into.sum(1, keepdims=True)
+            score = reach[:, :, None] + a
+            came[:, i], reach = score.argmax(1), score.max(1) + e
+            forward[:, i] = into
+        for i in range(length - 1, -1, -1):
+            backward[:, i] = behind
+            before = (np.exp(cells[:, i]) * behind) @ move.T
+            behind = np.where(real[:, i][:, None], before / before.sum(1, keepdims=True), behind)
+        for whole, parts in ((fwd, forward), (bwd, backward), (back, came)):
+            whole[head:] = parts.reshape(-1, 4)[: n - head]
+    if head:
+        fwd[0], bwd[0] = f, b
     post = fwd * bwd
-    states = np.empty(n, int)
-    states[-1] = exit_state
+    states, path = [exit_state], back.tolist()
     for i in range(n - 1, 0, -1):
-        states[i - 1] = back[i, states[i]]
-    return states, post / post.sum(1, keepdims=True)
+        states.append(path[i][states[-1]])
+    return np.array(states[::-1]), post / post.sum(1, keepdims=True)
 
 
 def hmm(track: DataFrame, block: int = 10_000) -> DataFrame:

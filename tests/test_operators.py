@@ -233,6 +233,16 @@ def test_blocked_hmm_is_the_sequential_one(spark):
         best = max(best, (s, path)) if best else (s, path)
     short = essentiality.block_states(e[:5], a, start, np.zeros(4), np.zeros(4), np.zeros(4), best[1][-1])[0]
     assert tuple(short) == best[1]
+    # One site at a time, for blocks of every small length with and without a start.
+    for n in (1, 2, 3, 7, 10, 23):
+        for s in (start, None):
+            total, top, steps = np.eye(4), np.where(np.eye(4) > 0, 0.0, -np.inf), range(n)
+            if s is not None:
+                total, top, steps = np.tile(np.exp(s + e[0]), (4, 1)), np.tile(s + e[0], (4, 1)), range(1, n)
+            for i in steps:
+                total, top = total @ np.exp(a) * np.exp(e[i]), (top[:, :, None] + a).max(1) + e[i]
+            got = essentiality.block_transfer(e[:n], a, s)
+            assert np.allclose(got[0], np.log(total)) and np.allclose(got[1], top)
 
 
 def test_gumbel_and_gaps(spark):
