@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions import special
+from lociq.operators.joins import with_metadata
 from lociq.operators.windows import bh_fdr, running_locfdr
 
 
 def extract_abundance(counts: DataFrame, samples: DataFrame, drug: str, days: int, control: str = "DMSO") -> DataFrame:
     """(sgrna, sample, dose, fraction) of the drug's and control's samples of one day; a sample's counts sum to 1."""
     kept = samples.filter(F.col("drug").isin(drug, control) & (F.col("days") == days)).withColumn("dose", F.when(F.col("drug") == control, 0.0).otherwise(F.col("dose")))
-    joined = counts.join(F.broadcast(kept.select("sample", "dose")), "sample")  # metadata
+    joined = with_metadata(counts, kept.select("sample", "dose"), "sample")
     return joined.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy("sample")))
 
 

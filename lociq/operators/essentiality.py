@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions import special
 from lociq.operators.aggregates import regress
-from lociq.operators.joins import overlap_columns, overlaps
+from lociq.operators.joins import overlap_columns, overlaps, with_metadata
 from lociq.operators.windows import bh_fdr, essentiality_thresholds
 
 EULER = 0.5772156649015329
@@ -268,7 +268,7 @@ def hmm(track: DataFrame, block: int = 10_000) -> DataFrame:
     Blocks of sites give their 4x4 transfers in parallel; a short pass over the blocks of a contig carries them
     along; each block is then filled in by itself. The result is that of one pass over the contig.
     """
-    sized = track.join(F.broadcast(hmm_parameters(track)), "condition")  # a row a condition
+    sized = with_metadata(track, hmm_parameters(track), "condition")  # a row a condition
     order = Window.partitionBy("condition", "contig").orderBy("position")
     cut = sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import special
+from lociq.operators.joins import with_metadata
 from lociq.operators.windows import bfdr, fwer_bayes, trimmed_mean
 
 
@@ -36,7 +37,7 @@ def genetic_interactions(site_gene: DataFrame, groups: DataFrame, samples: int =
 
     groups is (sample_id, cell) with cells A1, A2 (strain A in conditions 1 and 2), B1 and B2. Priors come from 1 % trimmed means over genes.
     """
-    each = site_gene.join(F.broadcast(groups), "sample_id").groupBy("orf", "cell").agg(F.count("*").alias("n"), F.avg("count").alias("m"), F.var_pop("count").alias("v"), F.countDistinct("position").alias("sites"))  # groups: a row a sample
+    each = with_metadata(site_gene, groups).groupBy("orf", "cell").agg(F.count("*").alias("n"), F.avg("count").alias("m"), F.var_pop("count").alias("v"), F.countDistinct("position").alias("sites"))
     many = each.filter("n > 1")
     prior_m = trimmed_mean(many, ["cell"], "m", 0.01).withColumnRenamed("trimmed_mean", "mu0")
     prior_v = trimmed_mean(many, ["cell"], "v", 0.01).withColumnRenamed("trimmed_mean", "s20")

@@ -31,6 +31,12 @@ def keep_empty_genes(genes: DataFrame, assigned: DataFrame) -> DataFrame:
     return genes.join(assigned.select(*new), "orf", "left")
 
 
+def with_metadata(rows: DataFrame, metadata: DataFrame, on: str = "sample_id", most: int = 100_000) -> DataFrame:
+    """rows joined with metadata: by a broadcast only where metadata has at most `most` rows."""
+    small = metadata.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(metadata) if small else metadata, on)
+
+
 def attach_conditions(site_counts: DataFrame, samples: DataFrame, flag: str = "FLAG-UNMAPPED-CONDITION-IN-WIG") -> DataFrame:
     """Counts with their sample's condition; samples without metadata are flagged."""
     return site_counts.join(samples.select("sample_id", "condition"), "sample_id", "left").withColumn("condition", F.coalesce("condition", F.lit(flag)))

@@ -13,16 +13,10 @@ from pyspark.sql import functions as F
 from lociq.functions import special
 from lociq.operators.aggregates import global_stats_for_rep, log_fold_change
 from lociq.operators.filters import winsorize, winsorize_resampling
-from lociq.operators.joins import assign_sites
+from lociq.operators.joins import assign_sites, with_metadata
 from lociq.operators.windows import average_ranks, bh_fdr
 
 
-def with_metadata(rows: DataFrame, metadata: DataFrame, most: int = 100_000) -> DataFrame:
-    """rows joined with metadata by sample_id: by a broadcast only where metadata has at most `most` samples."""
-    small = metadata.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(metadata) if small else metadata, "sample_id")
-
-
 def anova(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, alpha: float = 1000.0, winz: bool = False) -> DataFrame:
     """(orf, n_sites, msr, mse_alpha, fstat, pval, padj, status) of all genes from n, sum and sum of squares per gene and condition.
 

@@ -161,7 +161,7 @@ def _gaps(spark, d, sample):
 
 
 def _track(spark, d):
-    counts = t.site_counts(spark, d).join(F.broadcast(t.samples(spark, d).select("sample_id", "condition")), "sample_id")  # a row a sample
+    counts = joins.with_metadata(t.site_counts(spark, d), t.samples(spark, d).select("sample_id", "condition"))
     return agg.combine_replicates(counts, "Mean", ["condition", "contig", "position"])
 
 
