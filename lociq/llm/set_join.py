@@ -12,11 +12,17 @@ segments, and only they are joined in those buckets, so no link is lost.
 
 Buckets of up to `whole` sets give all their pairs. Larger buckets first give a star around their
 smallest set; after the star's links are verified, only pairs of different components are left to
-compare, so a group of near copies costs a row each, not a row a pair. Candidate pairs are pruned by size
-and by an exact bound from parity sketches, then verified on the whole texts.
-
-Null, empty or wordless text: no shingles, linked with nothing. Repeated rows: linked if not empty. Null
-or repeated doc_ids: see by_key. Empty table: empty result. Other columns of the input are not touched.
+compare, so a group of near copies costs a row each, not a row a pair. What is left of a large bucket, and
+large buckets of empty segments, are compared in tiles of at most about `tile` by `tile` sets, each a group
+of its own, so that no task holds a bucket; only pairs that sizes and sketches allow leave a tile.
+Candidate pairs are pruned by size and by an exact bound from parity sketches, then verified on the whole
+texts.
+
+Null, empty or wordless text: no shingles, linked with nothing. Very long texts: their sets are made one
+text at a time. Ties and repeated rows: rows of one text are linked if not empty, and the smallest doc_id
+names them. Null or repeated doc_ids: see by_key. Empty table: empty result. Other columns of the input are
+not touched. Shingles and sets are told apart by 64- and 62-bit hashes: among n different ones two share one
+with probability of about n^2 / 2^63.
 """
 
 from __future__ import annotations
@@ -225,8 +231,11 @@ def candidates(index: DataFrame, whole: int) -> DataFrame:
                 right.append(tag[s + 1 : s + n])
                 members.append((np.full(n, bucket[s]), tag[s : s + n]))
             needy = (tag & NEEDY) > 0
-            for g in np.flatnonzero(live & empty).tolist():
+            for g in np.flatnonzero(live & empty & (np.logical_or.reduceat(needy, start))).tolist():
                 s, n = int(start[g]), int(size[g])
+                if n > whole:
+                    members.append((np.full(n, bucket[s]), tag[s : s + n]))
+                    continue
                 for i in np.flatnonzero(needy[s : s + n]).tolist():
                     use = home[s : s + n] | home[s + i]
                     right.append(tag[s : s + n][use])
@@ -250,28 +259,40 @@ def _widths(width: np.ndarray, sketch: list[bytes]) -> dict[int, tuple[np.ndarra
     return out
 
 
+def crowded(placed: DataFrame, entities: DataFrame, tile: int) -> DataFrame:
+    """Members (bucket, tag, entity, component) of the large buckets that hold several components, with n, sketch and how their bucket
+    is tiled: first marks the sets that are compared with all others (those outside the largest component; in the buckets of empty
+    segments those that fall short), in `rows` tiles, and all sets stand in `columns` tiles."""
+    needy = F.col("tag").bitwiseAND(int(NEEDY)) != 0
+    shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(needy.cast("long")).alias("needy"))
+    sizes = shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"), F.sum("needy").alias("needy"), F.count("*").alias("several")).filter("several > 1")
+    empty = F.col("bucket").bitwiseAND(1) != 0
+    firsts = F.when(empty, F.col("needy")).otherwise(F.col("size") - F.col("main.n"))
+    sizes = keep(sizes.select("bucket", F.col("main.component").alias("main"), F.greatest(F.ceil(firsts / tile), F.lit(1)).alias("rows"), F.ceil(F.col("size") / tile).alias("columns")), "crowded")
+    joined = placed.join(sizes, "bucket").join(entities.select("entity", "n", "sketch"), "entity")
+    return joined.select("bucket", "tag", "component", "n", "sketch", "rows", "columns", F.when(empty, needy).otherwise(F.col("component") != F.col("main")).alias("first"))
+
+
 def cross_pairs(members: DataFrame, t: int, nearest: bool) -> DataFrame:
-    """Pairs of different components within each large bucket (bucket, tag, component, n, sketch) that sizes and sketches allow.
+    """Pairs (a, b) of different components within each large bucket that sizes and sketches allow.
 
-    nearest: of each set outside the bucket's largest component, only the pair whose sketches are least apart.
+    nearest: of each set that is compared with all others, only the pair whose sketches are least apart.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, "bucket"):
-            start = np.flatnonzero(np.concatenate([[True], run["bucket"][1:] != run["bucket"][:-1]])).tolist()
-            left, right = [], []
-            for s, e in zip(start, [*start[1:], len(run["bucket"])]):
-                tag, comp, n = run["tag"][s:e].view(U64), run["component"][s:e], run["n"][s:e]
-                values, count = np.unique(comp, return_counts=True)
-                if len(values) < 2:
-                    continue
-                home, main = (tag & HOME) > 0, comp == values[count.argmax()]
-                sketches = run["sketch"][s:e].tolist()
+        for run in _runs(batches, "cell"):
+            edge = np.flatnonzero(np.concatenate([[True], run["cell"][1:] != run["cell"][:-1]])).tolist()
+            found: dict[str, list[np.ndarray]] = {c: [] for c in ("bucket", "own", "other", "gap")}
+            for s, e in zip(edge, [*edge[1:], len(run["cell"])]):
+                side = run["side"][s:e]
+                tag, comp, n, first = run["tag"][s:e].view(U64), run["component"][s:e], run["n"][s:e], run["first"][s:e].astype(bool)
+                home, sketches = (tag & HOME) > 0, run["sketch"][s:e].tolist()
                 width = np.array([len(x) // 8 for x in sketches])
                 by_width = _widths(width, sketches)
-                later = np.arange(len(tag))
-                for i in np.flatnonzero(~main).tolist():
-                    use = (comp != comp[i]) & (home | home[i]) & (main | nearest | (later > i))
+                for i in np.flatnonzero(side == 0).tolist():
+                    use = (side == 1) & (comp != comp[i]) & (home | home[i])
+                    if not nearest:
+                        use &= ~first | (tag > tag[i])  # two sets that are both compared with all meet once
                     use &= np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * t
                     close, gaps = [], []
                     for w, (at, folded) in by_width.items():
@@ -283,17 +304,24 @@ def cross_pairs(members: DataFrame, t: int, nearest: bool) -> DataFrame:
                         ok = apart <= (100 - t) * (n[i] + n[j]) // (100 + t)
                         close.append(j[ok])
                         gaps.append(apart[ok] / (n[i] + n[j[ok]]))
-                    j = np.concatenate(close)
+                    j, gap = np.concatenate(close), np.concatenate(gaps)
                     if nearest and len(j):
-                        j = j[[np.concatenate(gaps).argmin()]]
-                    left.append(np.full(len(j), tag[i]))
-                    right.append(tag[j])
-            if left:
-                a, b = _pairs(np.concatenate(left), np.concatenate(right))
-                if len(a):
-                    yield table(a=signed(a), b=signed(b))
-
-    return members.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(work, "a long, b long")
+                        j, gap = j[[gap.argmin()]], gap[[gap.argmin()]]
+                    for c, x in (("bucket", np.full(len(j), run["bucket"][s])), ("own", np.full(len(j), tag[i])), ("other", tag[j]), ("gap", gap)):
+                        found[c].append(x)
+            out = {c: np.concatenate(v) for c, v in found.items() if v}
+            if out and len(out["gap"]):
+                yield table(bucket=out["bucket"], own=signed(out["own"]), other=signed(out["other"]), gap=out["gap"])
+
+    tile_of = lambda n: F.pmod(F.xxhash64("tag"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sides = [members.filter("first").select("*", F.lit(0).alias("side"), tile_of("rows").alias("row"), every("columns").alias("column")), members.select("*", F.lit(1).alias("side"), tile_of("columns").alias("column"), every("rows").alias("row"))]
+    cells = sides[0].unionByName(sides[1]).select(F.xxhash64("bucket", "row", "column").alias("cell"), "bucket", "side", "tag", "component", "n", "first", "sketch")
+    found = cells.repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(work, "bucket long, own long, other long, gap double")
+    if nearest:
+        found = found.groupBy("bucket", "own").agg(F.min_by("other", F.struct("gap", "other")).alias("other"))
+    a, b = F.col("own").bitwiseAND(int(ENTITY)), F.col("other").bitwiseAND(int(ENTITY))
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
 
 def prune(pairs: DataFrame, entities: DataFrame, t: int) -> DataFrame:
@@ -342,8 +370,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8) -> tuple[DataFrame, DataFrame]:
-    """The described documents (key, n, entity), and verified links (a, b) that connect all linked entities."""
+def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described documents (key, n, entity), verified links (a, b) that connect all linked entities, and the components (entity, component) they make."""
     described = keep(describe(docs, width), "sets")
     entities = keep(described.filter("n > 0").groupBy("entity").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "entities")
     largest = entities.agg(F.max("n")).first()[0] or 0
@@ -358,36 +386,55 @@ def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8) -> t
     wanted = entities.join(wanted, "entity").select("entity", "key")
     texts = keep(docs.select("key", "text").join(wanted, "key").select("entity", "text"), "texts")
     links = keep(verify(pairs, texts, width, t), "links")
+    tables, apart = [entities, found, texts, pairs], None
+    placed_by = components(links).withColumnRenamed("node", "entity")
     if not members.isEmpty():
         # Sets that a star left apart first try their nearest neighbour of another component, twice; what is
-        # still apart then is compared in full.
+        # still apart then is compared in full. Without a new link the nearest neighbours would be the same again.
         for nearest in (True, True, False):
-            placed = keep(members.join(components(links).withColumnRenamed("node", "entity"), "entity", "left").select("bucket", "tag", "entity", F.coalesce("component", "entity").alias("component")), "placed")
-            several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
-            apart = placed.join(several, "bucket", "left_semi").join(entities.select("entity", "n", "sketch"), "entity").select("bucket", "tag", "component", "n", "sketch")
-            more = keep(cross_pairs(apart, t, nearest).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-            release(placed)
+            if nearest and apart is not None:
+                continue
+            if apart is None:
+                placed = keep(members.join(placed_by, "entity", "left").select("bucket", "tag", "entity", F.coalesce("component", "entity").alias("component")), "placed")
+                apart = keep(crowded(placed, entities, tile), "apart")
+                release(placed)
+            more = keep(cross_pairs(apart, t, nearest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            new = keep(verify(more, texts, width, t), "more-links")
             pairs = pairs.union(more)
-            links = links.union(keep(verify(more, texts, width, t), "more-links"))
-    return described.drop("sketch"), links
-
-
-def near_groups(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8) -> DataFrame:
+            tables.append(more)
+            if not new.isEmpty():
+                links = links.union(new)
+                placed_by = components(links).withColumnRenamed("node", "entity")
+                release(apart)
+                apart = None
+    release(*tables, *([] if apart is None else [apart]))
+    return described.drop("sketch"), links, placed_by
+
+
+def _grouped(keyed: DataFrame, width: int, t: int, whole: int, tile: int) -> DataFrame:
+    """(key, n_shingles, component_id) of documents with unique keys."""
+    described, links, placed_by = set_links(keyed, width, t, whole, tile)
+    joined = described.join(placed_by, "entity", "left")
+    named = keep(joined.select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "entity")).alias("component")), "components")
+    release(described, links)
+    least = named.filter("n > 0").groupBy("component").agg(F.min("key").alias("component_id"))
+    return named.join(least, "component", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def near_groups(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return by_key(docs, lambda keyed: _grouped(keyed, width, t, whole, tile), ("component_id",))
 
-    def work(keyed: DataFrame) -> DataFrame:
-        described, links = set_links(keyed, width, t, whole)
-        joined = described.join(components(links).withColumnRenamed("node", "entity"), "entity", "left")
-        named = keep(joined.select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "entity")).alias("component")), "components")
-        least = named.filter("n > 0").groupBy("component").agg(F.min("key").alias("component_id"))
-        return named.join(least, "component", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
-    return by_key(docs, work, ("component_id",))
+def drop_near_copies(docs: DataFrame, width: int = 5, t: int = 80, whole: int = 8, tile: int = 1024) -> DataFrame:
+    """The rows of docs that lead their group, with the columns of docs.
+
+    The verdict is that of the row: among rows of one id, or without an id, each is judged by its own text (see by_key).
+    """
 
+    def work(keyed: DataFrame) -> DataFrame:
+        leads = _grouped(keyed.select("key", "text", "id_text"), width, t, whole, tile).filter("key = component_id").select("key")
+        return keyed.select("key", F.when(~F.col("_void"), F.col("text")).alias("text"), "_rest").join(leads, "key", "left_semi")
 
-def drop_near_copies(docs: DataFrame, width: int = 5, t: int = 80) -> DataFrame:
-    """The documents of docs whose doc_id leads its group, with the columns of docs; rows with a null doc_id stay."""
-    groups = near_groups(docs.filter("doc_id IS NOT NULL"), width, t)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return packed.join(gone, packed["doc_id"] == gone["_gone"], "left_anti").select("_doc.*")
+    kept = by_key(docs, work, carry=True)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
