@@ -89,6 +89,24 @@ judged AS (SELECT f.*, NOT base_failed AND NOT rejected AS kept FROM f JOIN v ON
 """
 
 SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, max(a.n) AS nx, max(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)), b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.c)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY 1, 2""",
+    "op7_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, p, substr(h, (2 * p + 1)::int, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+        g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
+        m AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM g WHERE again),
+        i AS (SELECT doc_id, p, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+        r AS (SELECT doc_id, run, min(p) AS lo, max(p) + 100 AS hi FROM i GROUP BY 1, 2),
+        k AS (SELECT doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+        t AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, string_agg(substr(d.h, (2 * before + 1)::int, (2 * (lo - before))::int), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+        SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0)::bigint AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::int))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
