@@ -6,7 +6,8 @@ log densities, from Mahalanobis distances by Cholesky factors that are computed
 probability of label 1.
 
 labels, lang, source and doc_id are no inputs of a score. Null, empty or wordless text: the statistics of no words.
-Null and repeated doc_ids: see by_key. Fewer than two labelled rows of a class: every score is the
+Very long texts: their statistics cover the whole text. Ties: equal statistics give equal scores; of several labels of a
+document the largest counts. Repeated rows: each is scored. Null and repeated doc_ids: see by_key. Fewer than two labelled rows of a class: every score is the
 share of label 1. Empty table: empty result. Other columns of the input are not touched.
 """
 

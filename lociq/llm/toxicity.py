@@ -8,6 +8,8 @@ E[exp(decay * score)] = 1 over clean tokens and its scale is fitted to clean doc
 A document's best and summed normalised scores are calibrated to a probability.
 
 labels, lang, source and doc_id are no inputs of a score. Null, empty or wordless text: no segment, score of none.
+Very long texts: scanned whole, in one row. Ties: of segments with equal scores the earlier one; of several labels of
+a document the largest. Repeated rows: each is scored.
 Null and repeated doc_ids: see by_key. No labelled rows: every score is 0. Empty table: empty result.
 Other columns of the input are not touched.
 """
