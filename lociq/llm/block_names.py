@@ -8,7 +8,8 @@ these blocks are looked up by their contents.
 
 Null text counts as empty; empty texts are equal to one another. Repeated rows are documents of their
 own. Of equal texts the row with the largest doc_id stays (null is smallest), and of rows that repeat
-that id too, one. Empty table: empty result. Other columns of the input are not touched.
+that id too, one. Very long texts: as many blocks as they need, in one row while they are cut. Empty
+table: empty result. Other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def identities(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
 def exact_groups(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     found = keep(identities(docs, block, bits), "identities")
-    groups = found.groupBy("depth", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best"))
+    groups = keep(found.groupBy("depth", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best")), "groups")  # a table, so that Spark can split a large group's rows in the join
     out = found.join(groups, ["depth", "name"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
 

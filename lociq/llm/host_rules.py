@@ -3,8 +3,9 @@
 Every document gets its rule counts, failures are summed by host, each host's failure rate is shrunk
 towards an empirical beta prior, and the host's verdict is joined back to its documents.
 
-Null or empty text: no words, so the base rule fails. Null host: a host of its own. Ties and repeated
-rows: judged one by one. Empty table: empty result. Other columns of the input are not touched.
+Null or empty text: no words, so the base rule fails. Very long texts: judged whole, in one row. Null host: a
+host of its own. Ties and repeated rows: judged one by one. Empty table: empty result. Other columns of the
+input are not touched. Windows of eight words are told apart by 64-bit hashes within a text.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", most: float = 0.5) ->
 def quality_rules(docs: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
     """One row a document: doc_id, host, the counts, base_failed, the host's rate and kept."""
     stats = keep(with_rules(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text"), "rules")
-    hosts = host_verdicts(stats, "host", most)
+    hosts = keep(host_verdicts(stats, "host", most), "hosts")  # a table, so that Spark can split a large host's rows in the join
     joined = stats.join(hosts.select("host", "host_docs", "host_rate", "host_rejected"), stats["host"].eqNullSafe(hosts["host"]), "left").drop(hosts["host"])
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
