@@ -5,6 +5,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -32,7 +33,7 @@ def differences(got, want) -> str:
     def rows(df):
         out = []
         for r in df[cols].itertuples(index=False):
-            out.append(tuple("null" if v is None or v != v else (format(float(v), ".6g") if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb" else str(v)) for v in r))
+            out.append(tuple("null" if v is None or pd.isna(v) else (format(float(v), ".6g") if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb" else str(v)) for v in r))
         return sorted(out)
 
     a, b = rows(got), rows(want)
