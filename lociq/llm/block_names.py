@@ -14,7 +14,7 @@ table: empty result. Other columns of the input are not touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.session import keep, release
@@ -40,7 +40,7 @@ def block_rows(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
 
 def identities(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """One row a document: row, doc_id, sha and its identity (depth, name)."""
-    rows = block_rows(docs, block, bits)
+    rows, whole = block_rows(docs, block, bits), []
     names = keep(_named(rows.select("route", "block").distinct(), ["block"]).select("route", "name"), "names")
     clashes = names.groupBy("route").count().filter("count > 1").select("route")
     slim = ["row", "doc_id", "sha", "n", "pos"]
@@ -49,13 +49,17 @@ def identities(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
     if clashes.isEmpty():
         current = found.join(names, "route").select(*slim, "name")
     else:
-        # Blocks that share a route are compared by content. Their names lie above all others.
-        clashes = keep(clashes, "clashes")
+        # Blocks that share a route are compared by content. Their names lie above all others. The rows are used twice
+        # here and must keep their numbers, so they are written first.
+        clashes, rows = keep(clashes, "clashes"), keep(rows, "rows")
+        whole.append(rows)
+        found = rows.select("row", "doc_id", sha, "n", "pos", "route")
         top = names.agg(F.max("name")).first()[0]
         several = keep(_named(rows.join(clashes, "route", "left_semi").select("block").distinct(), ["block"]), "clash-names").withColumn("name", F.col("name") + top)
         alone = found.join(names.join(clashes, "route", "left_anti"), "route").select(*slim, "name")
         current = alone.union(rows.withColumn("sha", sha).join(clashes, "route", "left_semi").join(several, "block").select(*slim, "name"))
     current = keep(current, "level0")
+    release(*whole)
     heads = current.filter("pos = 0").select("row", "doc_id", "sha")
     done, depth, old = current.filter("n = 1").select("row", F.lit(0).alias("depth"), "name"), 0, [names]
     level = current.filter("n > 1").select("row", "n", "pos", "name")
@@ -87,13 +91,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFra
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents that exact_groups keeps, with the columns of docs; one row of each text.
 
-    Rows are matched by doc_id and the text's digest, and of rows equal in both one stays.
+    Rows are matched by doc_id and the text's digest. Of rows equal in both, the one whose other columns hash lowest stays;
+    they are reduced to it before the shuffle, so many of them meet in no task.
     """
     def ids(d: DataFrame, digest: Column) -> list[Column]:
         return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), digest.alias("_sha")]
 
     kept = exact_groups(docs, block).filter("kept")
     kept = kept.select(*ids(kept, F.col("text_sha256")))
-    packed = docs.select(*ids(docs, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    one = Window.partitionBy("_id", "_sha").orderBy("_sha")
-    return packed.join(kept, ["_id", "_sha"], "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_doc.*")
+    named = ids(docs, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]  # maps have no hash
+    packed = docs.select(*named, F.xxhash64(F.lit(0), *others).alias("_order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    one = packed.groupBy("_id", "_sha").agg(F.min_by("_doc", "_order").alias("_doc"))
+    return one.join(kept, ["_id", "_sha"], "left_semi").select("_doc.*")

@@ -37,6 +37,13 @@ def groups(sets, t):
     return {k: root(k) for k in sets}
 
 
+def test_of_rows_alike_in_id_and_text_a_defined_one_stays(spark):
+    rows = [(None, "same text", f"h{k}", k) for k in range(60)] + [(1, "other", "h", 0), (1, "other", "h", 0), (2, None, "x", 1), (2, "", "y", 2)]
+    schema = "doc_id long, text string, source string, _order long"
+    found = [sorted(map(str, block_names.drop_copies(spark.createDataFrame(rows, schema).repartition(n)).collect())) for n in (1, 3, 5)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
 @pytest.mark.parametrize("bits", [64, 3])
 def test_exact_groups(plain_df, plain, bits):
     got = {r.doc_id: r for r in block_names.exact_groups(plain_df, block=16, bits=bits).collect()}
