@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.operators.windows import runs
+from lociq.operators.ordered import in_order, placed, tidy
+from lociq.operators.windows import gene_runs
 
 
 def _when_hit(column: str = "count") -> Column:
@@ -47,7 +48,7 @@ def site_tosses(site_gene: DataFrame) -> DataFrame:
 
 def max_runs(tosses: DataFrame) -> DataFrame:
     """(orf, max_run, gap_span): the longest run of empty sites of a gene, and the bases the last such run spans, plus 2."""
-    found = runs(tosses, ["orf"], F.col("hit") == 0)
+    found = gene_runs(tosses, F.col("hit") == 0)
     best = found.groupBy("orf").agg(F.max(F.struct("length", "run_id", (F.col("end_pos") - F.col("start_pos") + 2).alias("span"))).alias("b"))
     return best.select("orf", F.col("b.length").alias("max_run"), F.col("b.span").alias("gap_span"))
 
@@ -161,7 +162,8 @@ def qq_geometric(site_counts: DataFrame) -> DataFrame:
 
 
 def ranked_counts(site_counts: DataFrame) -> DataFrame:
-    return site_counts.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("count"), "position")))
+    laid = in_order(site_counts, ["sample_id"], [F.desc("count"), "position"], "counts")
+    return tidy(placed(laid, ["sample_id"], "rank")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def pairwise_points(values: DataFrame, a: str, b: str, key: str = "position", value: str = "count", log: bool = False) -> DataFrame:

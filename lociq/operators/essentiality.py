@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lociq.functions import special
 from lociq.operators.aggregates import regress
-from lociq.operators.joins import overlap_columns, overlaps, with_metadata
+from lociq.operators.joins import beside_each, overlap_columns, overlaps, small, with_metadata
+from lociq.operators.ordered import in_order, placed, running, tidy
 from lociq.operators.windows import bh_fdr, essentiality_thresholds
+from lociq.scratch import keep
 
 EULER = 0.5772156649015329
 
@@ -44,32 +46,50 @@ def variance_run(q: float) -> float:
     return float(np.pi**2 / (6 * np.log(1 / q) ** 2) + 1 / 12 + 0.00006 + 0.01)
 
 
-def griffin(blocks: DataFrame, theta: float) -> DataFrame:
-    """(orf, k, n, max_run, expected_run, pval): Gumbel tail of the longest run; exact expectations below 20 sites from a table of 20 values."""
-    q = 1 - theta
-    table = F.array(*[F.lit(float(x)) for x in (short_runs(theta) if q > 0 else np.zeros(SHORT))])
-    beta = 1 / np.log(1 / q)
+def griffin(blocks: DataFrame, theta: float | None) -> DataFrame:
+    """(orf, k, n, max_run, expected_run, pval): Gumbel tail of the longest run; exact expectations below 20 sites from a table of 20 values.
+
+    theta is the share of hit sites. Where all sites are hit the expected run is 0, where none is (or there are no sites) it is the
+    whole gene; a run as expected has p = 1, and there is no other then.
+    """
+    if not theta or theta >= 1:
+        sure = F.lit(0.0) if theta else F.col("n").cast("double")
+        return blocks.withColumn("expected_run", sure).withColumn("pval", F.lit(1.0)).select("orf", "k", "n", "max_run", "expected_run", "pval")
+    table = F.array(*[F.lit(float(x)) for x in short_runs(theta)])
+    beta = float(1 / np.log(1 / (1 - theta)))
     closed = F.log(F.col("n") * theta) * beta + EULER * beta - 0.5 + 0.000016 + 0.01
     out = blocks.withColumn("expected_run", F.when(F.col("n") < SHORT, F.get(table, F.col("n").cast("int"))).otherwise(closed))
     u = F.col("expected_run") - EULER * beta
     return out.withColumn("pval", F.when(F.col("n") > 0, 1 - F.exp(-F.exp((u - F.col("max_run")) / beta))).otherwise(1.0)).select("orf", "k", "n", "max_run", "expected_run", "pval")
 
 
-def gaps(runs: DataFrame, genes: DataFrame, n_sites: int, p_insertion: float) -> DataFrame:
-    """Genes with the run that overlaps them most: (orf, run_id, run_length, overlap, pval, padj, call). First run wins ties."""
-    beta = 1 / np.log(1 / (1 - p_insertion))
-    u = np.log(n_sites * p_insertion) * beta
-    pval = 1 - F.exp(-F.exp((F.lit(float(u)) - F.col("length")) / float(beta)))
-    met = overlap_columns(overlaps(runs, genes)).withColumn("pval", pval)
-    best = met.groupBy("orf").agg(F.max(F.struct("overlap", (-F.col("run_id")).alias("_r"), "length", "pval")).alias("b"))
-    out = genes.select("orf").join(best, "orf", "left").select("orf", (-F.col("b._r")).alias("run_id"), F.coalesce("b.length", F.lit(0)).alias("run_length"), F.coalesce("b.overlap", F.lit(0)).alias("overlap"), F.coalesce("b.pval", F.lit(1.0)).alias("pval"))
-    return bh_fdr(out).withColumn("call", F.when(F.col("padj") < 0.05, "Essential").otherwise("Non-essential"))
+def insertion_rates(track: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_sites, p_insertion) of counts: a row a sample."""
+    return track.groupBy(*keys).agg(F.count("*").alias("n_sites"), F.avg((F.col("count") > 0).cast("double")).alias("p_insertion"))
 
 
-def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma_s: float, sigma_r: float, samples: int, burnin: int, trim: int, seed: int) -> np.ndarray:
-    """Mean essential probability of each row (n, r, s, t, m) from a Metropolis-within-Gibbs chain.
+def gaps(runs: DataFrame, genes: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
+    """Each sample's genes with the run that overlaps them most: (keys, orf, run_id, run_length, overlap, pval, padj, call). First run wins ties.
 
-    A row stands for m genes with the same figures: how many of them are essential is drawn as one binomial.
+    runs has the samples' keys, and rates a row a sample (insertion_rates). A sample without any hit, or with all sites hit, says nothing
+    about its runs: p = 1. Corrected within each sample.
+    """
+    p = F.col("p_insertion")
+    rates = small(rates)
+    beta = 1 / F.log(1 / (1 - p))
+    tail = 1 - F.exp(-F.exp((F.log(F.col("n_sites") * p) * beta - F.col("length")) / beta))
+    met = overlap_columns(overlaps(runs, genes)).join(rates, keys).withColumn("pval", F.when((p > 0) & (p < 1), tail).otherwise(1.0))
+    best = met.groupBy(*keys, "orf").agg(F.max(F.struct("overlap", (-F.col("run_id")).alias("_r"), "length", "pval")).alias("b"))
+    out = beside_each(genes.select("orf"), rates.select(*keys)).join(best, [*keys, "orf"], "left")
+    out = out.select(*keys, "orf", (-F.col("b._r")).alias("run_id"), F.coalesce("b.length", F.lit(0)).alias("run_length"), F.coalesce("b.overlap", F.lit(0)).alias("overlap"), F.coalesce("b.pval", F.lit(1.0)).alias("pval"))
+    return bh_fdr(out, keys=keys).withColumn("call", F.when(F.col("padj") < 0.05, "Essential").otherwise("Non-essential"))
+
+
+def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma_s: float, sigma_r: float, samples: int, burnin: int, trim: int, seed: int, step: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances, [half, row], of the essential probability of each row (n, r, s, t, m) over both halves of a Metropolis-within-Gibbs chain.
+
+    A row stands for m genes with the same figures: how many of them are essential is drawn as one binomial. A longer chain with the
+    same seed begins with the shorter one.
     """
     rng = np.random.default_rng(seed)
     n, r, s, t, m = (rows[c].to_numpy(float) for c in ("n", "r", "s", "t", "m"))
@@ -88,10 +108,10 @@ def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma
     essential = sig * special.norm_pdf(r, mu_r * s, sigma_r)
     spread = special.norm_pdf(s, mu_s * r, sigma_s)
     w1, z = 0.15, rng.binomial(genes, 0.5)
-    total, kept = np.zeros(len(n)), 0
+    total, square, kept = np.zeros((2, len(n))), np.zeros((2, len(n))), np.zeros(2)
     now = log_gumbel(phi)
     for i in range(samples * trim + burnin):
-        new = phi + rng.normal(0, 0.01)
+        new = phi + rng.normal(0, step)
         if 0.01 < new < 0.99:
             other = log_gumbel(new)
             if np.log(rng.random()) < ((m - z) * (other - now)).sum():
@@ -102,15 +122,29 @@ def gumbel_chain(rows: pd.DataFrame, phi: float, mu_s: float, mu_r: float, sigma
         z = rng.binomial(genes, share)
         w1 = rng.beta(600 + z.sum(), 3400 + m.sum() - z.sum())
         if i >= burnin and (i - burnin) % trim == 0:
-            total += share
-            kept += 1
-    return total / max(kept, 1)
+            half = int(i - burnin >= samples * trim // 2)
+            total[half] += share
+            square[half] += share * share
+            kept[half] += 1
+    mean = total / np.maximum(kept, 1)[:, None]
+    return mean, np.maximum(square / np.maximum(kept, 1)[:, None] - mean * mean, 0)
+
 
+def variance_ratio(half: int) -> Column:
+    """The split-chain ratio over rows (mean, v) of half chains of `half` samples: the root of the pooled variance over that within; 1 where nothing varies."""
+    within, between = F.avg("v"), F.coalesce(F.var_samp("mean"), F.lit(0.0))
+    pooled = within * (half - 1) / half + between
+    return F.when(pooled < 1e-12, 1.0).otherwise(F.sqrt(pooled / F.greatest(within, F.lit(1e-15))))
 
-def gumbel(blocks: DataFrame, samples: int = 1000, burnin: int = 100, trim: int = 1, chains: int = 4, seed: int = 0) -> DataFrame:
-    """(orf, k, n, max_run, gap_span, zbar, call): E, EB, U, NE or S from blocks (orf, n, k, max_run, gap_span, span, theta).
 
-    Genes with n >= 3 and a span of 150 are analysed; chains run in parallel over the distinct (n, r, s, t) and are averaged.
+def gumbel(blocks: DataFrame, samples: int = 1000, burnin: int = 100, trim: int = 1, chains: int = 4, seed: int = 0, limit: float | None = 1.1, rounds: int = 3, step: float = 0.01, spread: float = 0.03) -> DataFrame:
+    """(orf, k, n, max_run, gap_span, zbar, ratio, call): E, EB, U, NE or S from blocks (orf, n, k, max_run, gap_span, span, theta).
+
+    Chains start `spread` apart in the share of empty sites.
+
+    Genes with n >= 3 and a span of 150 are analysed; chains run in parallel over the distinct (n, r, s, t) and are averaged. ratio is the
+    split-chain variance ratio of a gene's probability. While the largest one is above `limit`, all chains go on to twice their samples
+    (the same seeds give the same beginning); after `rounds` doublings that is an error. limit None: one round, only reported.
     """
     used = blocks.filter("n >= 3 AND span >= 150")
     total = used.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
@@ -118,22 +152,35 @@ def gumbel(blocks: DataFrame, samples: int = 1000, burnin: int = 100, trim: int
     fit = [regress(used, a, b).first() for a, b in (("max_run", "gap_span"), ("gap_span", "max_run"))]
     mu_s, mu_r = (f["slope"] or 1.0 for f in fit)
     sigma_s, sigma_r = (max(f["residual_sd"] or 1.0, 1e-3) for f in fit)
-    distinct = used.groupBy(F.col("n"), F.col("max_run").alias("r"), F.col("gap_span").alias("s"), F.col("span").alias("t")).agg(F.count("*").alias("m"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "r", "s", "t"])
-        zbar = gumbel_chain(rows, float(min(max(phi, 0.02), 0.98)), mu_s, mu_r, sigma_s, sigma_r, samples, burnin, trim, seed + int(rows["chain"].iloc[0]))
-        return rows[["n", "r", "s", "t"]].assign(zbar=zbar)
-
-    chained = distinct.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))).groupBy("chain").applyInPandas(run, "n long, r long, s long, t long, zbar double")
-    zbar = chained.groupBy("n", "r", "s", "t").agg(F.avg("zbar").alias("zbar"))
+    distinct = keep(used.groupBy(F.col("n"), F.col("max_run").alias("r"), F.col("gap_span").alias("s"), F.col("span").alias("t")).agg(F.count("*").alias("m")), "figures")
+
+    def chained(length: int) -> DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["n", "r", "s", "t"])
+            chain = int(rows["chain"].iloc[0])
+            start = phi + spread * (chain - (chains + 1) / 2)  # chains from different places, or their agreement would say little
+            mean, v = gumbel_chain(rows, float(min(max(start, 0.02), 0.98)), mu_s, mu_r, sigma_s, sigma_r, length, burnin, trim, seed + chain, step)
+            return pd.concat([rows[["n", "r", "s", "t"]].assign(mean=mean[h], v=v[h]) for h in (0, 1)])
+
+        dealt = distinct.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))).groupBy("chain")
+        halves = dealt.applyInPandas(run, "n long, r long, s long, t long, mean double, v double")
+        return keep(halves.groupBy("n", "r", "s", "t").agg(F.avg("mean").alias("zbar"), variance_ratio(max(length // 2, 1)).alias("ratio")), "chains")
+
+    zbar = chained(samples)
+    for k in range(1, rounds + 1 if limit else 1):
+        worst = zbar.agg(F.max("ratio")).first()[0]
+        if worst is None or worst <= limit:
+            break
+        zbar = chained(samples << k)
+        if k == rounds and zbar.agg(F.max("ratio")).first()[0] > limit:
+            raise RuntimeError(f"the chains do not agree after {samples << k} samples: the variance ratio is {worst:.3f}, above {limit}")
     out = blocks.join(zbar, (blocks["n"] == zbar["n"]) & (blocks["max_run"] == zbar["r"]) & (blocks["gap_span"] == zbar["s"]) & (blocks["span"] == zbar["t"]), "left").drop(zbar["n"]).drop("r", "s", "t")
-    out = out.withColumn("zbar", F.when((F.col("n") >= 3) & (F.col("span") >= 150), F.coalesce("zbar", F.lit(-1.0))).otherwise(-1.0))
+    out = keep(out.withColumn("zbar", F.when((F.col("n") >= 3) & (F.col("span") >= 150), F.coalesce("zbar", F.lit(-1.0))).otherwise(-1.0)), "posteriors")
     cut = essentiality_thresholds(out.filter("zbar >= 0"), "zbar").withColumn("_k", F.lit(1))
     out = out.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").drop("_k")  # one row
     long_enough = F.col("n") > float(np.log10(0.05) / np.log10(min(max(phi, 0.02), 0.98)))
     call = F.when(F.col("zbar") < 0, "S").when(F.col("zbar") > F.col("upper"), "E").when((F.col("theta") == 0) & long_enough, "EB").when(F.col("zbar") > F.col("lower"), "U").otherwise("NE")
-    return out.withColumn("call", call).select("orf", "k", "n", "max_run", "gap_span", "zbar", "call")
+    return out.withColumn("call", call).select("orf", "k", "n", "max_run", "gap_span", "zbar", "ratio", "call")
 
 
 STATES = ("ES", "GD", "NE", "GA")
@@ -141,23 +188,26 @@ STATES = ("ES", "GD", "NE", "GA")
 
 def hmm_parameters(track: DataFrame) -> DataFrame:
     """(condition, m, pins) of combined counts (condition, contig, position, count): the mean of the lowest 95 % of
-    non-zero counts, and the hit share without runs of 10 or more zeros and the trailing zeros."""
+    non-zero counts, and the hit share without runs of 10 or more zeros and the trailing zeros. Without hits m is 1 and pins 0."""
     hits = track.filter("count > 0").groupBy("condition", "count").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("condition").orderBy("count").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("condition").orderBy("count").rowsBetween(Window.unboundedPreceding, 0)  # a row a distinct count
     cut = F.floor(F.sum("c").over(Window.partitionBy("condition")) * 0.95)
     used = F.greatest(F.least(F.sum("c").over(upto), cut) - (F.sum("c").over(upto) - F.col("c")), F.lit(0))
-    means = hits.withColumn("_u", used).groupBy("condition").agg((F.sum(F.col("count") * F.col("_u")) / F.sum("_u")).alias("m"))
-    order = Window.partitionBy("condition", "contig").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    island = track.withColumn("_i", F.sum((F.col("count") > 0).cast("int")).over(order)).groupBy("condition", "contig", "_i").agg(F.count_if(F.col("count") == 0).alias("z"))
-    last = F.max("_i").over(Window.partitionBy("condition", "contig"))
-    kept = island.withColumn("_last", last).withColumn("z", F.when((F.col("z") >= 10) | (F.col("_i") == F.col("_last")), 0).otherwise(F.col("z")))
-    pins = kept.groupBy("condition").agg((F.count_if(F.col("_i") > 0) / (F.count_if(F.col("_i") > 0) + F.sum("z"))).alias("pins"))
-    return means.join(pins, "condition")
+    means = hits.withColumn("_u", used).groupBy("condition").agg((F.sum(F.col("count") * F.col("_u")) / F.nullif(F.sum("_u"), F.lit(0))).alias("m"), F.max("count").alias("top"))
+    keys = ["condition", "contig"]
+    laid = running(in_order(track.select(*keys, "position", "count"), keys, ["position"], "track"), keys, {"_i": (F.col("count") > 0).cast("int")})
+    island = laid.groupBy(*keys, "_i").agg(F.count_if(F.col("count") == 0).alias("z"))
+    last = island.groupBy(*keys).agg(F.max("_i").alias("_last"))
+    kept = island.join(last, keys).withColumn("z", F.when((F.col("z") >= 10) | (F.col("_i") == F.col("_last")), 0).otherwise(F.col("z")))
+    hit = F.count_if(F.col("_i") > 0)
+    pins = kept.groupBy("condition").agg(F.coalesce(hit / F.nullif(hit + F.sum("z"), F.lit(0)), F.lit(0.0)).alias("pins"))
+    return pins.join(means, "condition", "left").select("condition", F.coalesce("m", "top", F.lit(1.0)).alias("m"), "pins")
 
 
 def hmm_model(m: float, pins: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission parameters, log transitions and log start of the four states."""
-    p = 1 / np.array([1 / 0.99, 0.01 * m + 2, m, 5 * m])
+    """Emission parameters, log transitions and log start of the four states. No parameter is above that of the empty state, 0.99,
+    so that a mean of 1 is defined; a condition without hits is in that state throughout."""
+    p = np.minimum(1 / np.array([1 / 0.99, 0.01 * m + 2, m, 5 * m]), 0.99)
     r = 1
     while (1 - pins) ** r >= 0.01 and r < 10_000:
         r += 1
@@ -268,9 +318,10 @@ def hmm(track: DataFrame, block: int = 10_000) -> DataFrame:
     Blocks of sites give their 4x4 transfers in parallel; a short pass over the blocks of a contig carries them
     along; each block is then filled in by itself. The result is that of one pass over the contig.
     """
-    sized = with_metadata(track, hmm_parameters(track), "condition")  # a row a condition
-    order = Window.partitionBy("condition", "contig").orderBy("position")
-    cut = sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
+    keys = ["condition", "contig"]
+    laid = placed(in_order(track.select(*keys, "position", "count"), keys, ["position"], "track"), keys)
+    numbered = tidy(laid.withColumn("block", F.expr(f"(_n - 1) div {block}L")).drop("_n"))
+    cut = keep(with_metadata(numbered, hmm_parameters(track), "condition"), "blocks")  # a row a condition
 
     def transfer(rows: pd.DataFrame) -> pd.DataFrame:
         p, a, start = hmm_model(rows["m"].iloc[0], rows["pins"].iloc[0])
@@ -313,26 +364,37 @@ def hmm(track: DataFrame, block: int = 10_000) -> DataFrame:
     return cut.join(carried, ["condition", "contig", "block"]).groupBy("condition", "contig", "block").applyInPandas(fill, "condition string, contig string, position long, count double, state string, es double, gd double, ne double, ga double")
 
 
-def hmm_genes(sites: DataFrame, genes: DataFrame) -> DataFrame:
-    """(orf, n, es, gd, ne, ga, saturation, nz_mean, call) from sites (orf, state, count): ES if all sites are, else the most frequent state, later ones on ties."""
+def hmm_genes(sites: DataFrame, genes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """([groups' columns,] orf, n, es, gd, ne, ga, saturation, nz_mean, call) from sites (orf, state, count): ES if all sites are, else the most frequent state, later ones on ties.
+
+    groups (a row a sample or condition, its columns also in sites): every gene for each of them.
+    """
+    keys = groups.columns if groups is not None else []
     counted = {s.lower(): F.count_if(F.col("state") == s) for s in STATES}
-    each = sites.groupBy("orf").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counted.items()], F.avg((F.col("count") > 0).cast("double")).alias("saturation"), F.coalesce(F.avg(F.when(F.col("count") > 0, F.col("count"))), F.lit(0.0)).alias("nz_mean"))
-    out = genes.select("orf").join(each, "orf", "left").fillna(0)
+    each = sites.groupBy(*keys, "orf").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counted.items()], F.avg((F.col("count") > 0).cast("double")).alias("saturation"), F.coalesce(F.avg(F.when(F.col("count") > 0, F.col("count"))), F.lit(0.0)).alias("nz_mean"))
+    every = beside_each(genes.select("orf"), groups) if keys else genes.select("orf")
+    out = every.join(each, [*keys, "orf"], "left").fillna(0, ["n", "es", "gd", "ne", "ga", "saturation", "nz_mean"])
     most = F.greatest(*[F.struct(F.col(s.lower()).alias("c"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(STATES)])["s"]
     return out.withColumn("call", F.when(F.col("n") == 0, "N/A").when(F.col("es") == F.col("n"), "ES").otherwise(most))
 
 
-def hmm_confidence(genes: DataFrame, factor: float = 0.7314) -> DataFrame:
-    """Genes with consistency, the four states' probabilities, confidence and flag, from normal densities of saturation * nz_mean around each call's median."""
-    value = F.col("saturation") * F.col("nz_mean")
-    own = genes.filter("n > 0").withColumn("value", value)
-    spread = own.groupBy("call").agg(F.percentile("value", 0.5).alias("mid"), (factor * (F.percentile("value", 0.75) - F.percentile("value", 0.25))).alias("sd"))
-    centres = {r["call"]: (r["mid"], max(r["sd"], 1.0)) for r in spread.collect()}  # at most four rows
+def hmm_confidence(genes: DataFrame, factor: float = 0.7314, keys: list[str] | None = None) -> DataFrame:
+    """Genes with consistency, the four states' probabilities, confidence and flag, from normal densities of saturation * nz_mean around each call's median.
+
+    keys: each sample or condition by itself.
+    """
+    keys = keys or []
+    own = keep(genes.filter("n > 0").withColumn("value", F.col("saturation") * F.col("nz_mean")), "calls")
+    quarters = F.percentile("value", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
+    spread = own.groupBy(*keys, "call").agg(quarters.alias("_q")).select(*keys, "call", F.element_at("_q", 2).alias("mid"), F.greatest(factor * (F.element_at("_q", 3) - F.element_at("_q", 1)), F.lit(1.0)).alias("sd"))
+    centres = spread.groupBy(*[F.col(k) for k in keys], F.lit(0).alias("_one")).agg(F.map_from_entries(F.collect_list(F.struct("call", F.struct("mid", "sd")))).alias("_c"))  # at most four entries
+    out = with_metadata(own.withColumn("_one", F.lit(0)), centres, [*keys, "_one"]).drop("_one")
+
     def density(s: str) -> Column:
-        mid, sd = centres.get(s, (None, 1.0))
-        return F.exp(-0.5 * F.pow((F.col("value") - mid) / sd, 2)) / (sd * float(np.sqrt(2 * np.pi))) if mid is not None else F.lit(0.0)
+        mid, sd = F.col("_c")[s]["mid"], F.col("_c")[s]["sd"]
+        return F.coalesce(F.exp(-0.5 * F.pow((F.col("value") - mid) / sd, 2)) / (sd * float(np.sqrt(2 * np.pi))), F.lit(0.0))
 
-    out = own.withColumns({f"p_{s.lower()}": density(s) for s in STATES})
+    out = out.withColumns({f"p_{s.lower()}": density(s) for s in STATES}).drop("_c")
     total = F.nullif(sum((F.col(f"p_{s.lower()}") for s in STATES), F.lit(0.0)), F.lit(0.0))
     out = out.withColumn("_t", total).withColumns({f"p_{s.lower()}": F.coalesce(F.col(f"p_{s.lower()}") / F.col("_t"), F.lit(0.0)) for s in STATES})
     pick = lambda prefix: F.coalesce(*[F.when(F.col("call") == s, F.col(prefix + s.lower())) for s in STATES])

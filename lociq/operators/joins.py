@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociq.operators.filters import bounds_predicate
 
-BIN = 512
+LEVELS = 9
+#: Bins of level l are 2 ^ (9 + 3 l) bases wide: 512 at level 0, 8.6 billion at level 8.
+SHIFT = "9 + 3 * {level}"
 
 
-def _binned(intervals: DataFrame, start: str, end: str, bin_size: int) -> DataFrame:
-    """Intervals repeated for every bin of positions that they touch."""
-    return intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.col(end) / bin_size))))
+def _level(start: str, end: str) -> Column:
+    """The lowest level whose bins are wider than the interval, so that it touches two of them at most."""
+    size = F.col(end) - F.col(start)
+    return sum((F.when(size >= 1 << (9 + 3 * k), 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
 
 
-def assign_sites(sites: DataFrame, genes: DataFrame, n_terminus: float = 0, c_terminus: float = 0, ignore_codon: bool = True, variant: str = "A", bin_size: int = BIN) -> DataFrame:
+def _bins(start: str, end: str, level: str) -> Column:
+    at = [f"shiftright(cast(`{x}` AS bigint), {SHIFT.format(level=level)})" for x in (start, end)]
+    return F.explode(F.expr(f"sequence({at[0]}, {at[1]})"))
+
+
+def _in_own_bins(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals in the bins (_level, _bin) of their own level: two rows at most."""
+    return intervals.withColumn("_level", _level(start, end)).withColumn("_bin", _bins(start, end, "_level"))
+
+
+def _in_bins_above(intervals: DataFrame, start: str, end: str, levels: list[int], strictly: bool) -> DataFrame:
+    """Intervals in the bins of the given levels from their own on, or strictly above it: two rows a level at most."""
+    own = _level(start, end)
+    wanted = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k > own if strictly else k >= own)
+    return intervals.withColumn("_level", F.explode(wanted)).withColumn("_bin", _bins(start, end, "_level"))
+
+
+def _levels_of(intervals: DataFrame, start: str, end: str) -> list[int]:
+    return sorted(r["_level"] for r in intervals.select(_level(start, end).alias("_level")).distinct().collect())  # LEVELS at most
+
+
+def assign_sites(sites: DataFrame, genes: DataFrame, n_terminus: float = 0, c_terminus: float = 0, ignore_codon: bool = True, variant: str = "A") -> DataFrame:
     """Sites (contig, position, …) joined with every gene they count for; overlapping genes each get the site.
 
-    An equi-join on (contig, bin): no nested loop, and a bin holds a bounded number of positions.
+    An equi-join on (contig, level, bin), no nested loop: a gene lies in two bins of the level that fits its length, and a site
+    in one bin of each level that has genes.
     """
     rules = bounds_predicate(ignore_codon, n_terminus, c_terminus, variant)
-    left = sites.withColumn("_bin", F.floor(F.col("position") / bin_size))
-    return left.join(_binned(genes, "start", "end", bin_size), ["contig", "_bin"]).filter(rules).drop("_bin")
+    levels = F.array(*[F.lit(k) for k in _levels_of(genes, "start", "end")]).cast("array<int>")
+    left = sites.withColumn("_level", F.explode(levels)).withColumn("_bin", F.expr(f"shiftright(cast(position AS bigint), {SHIFT.format(level='_level')})"))
+    met = left.join(_in_own_bins(genes, "start", "end"), ["contig", "_level", "_bin"])
+    return met.filter(rules & (F.col("position") >= F.col("start")) & (F.col("position") <= F.col("end"))).drop("_level", "_bin")
 
 
 def keep_empty_genes(genes: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -31,10 +58,22 @@ def keep_empty_genes(genes: DataFrame, assigned: DataFrame) -> DataFrame:
     return genes.join(assigned.select(*new), "orf", "left")
 
 
-def with_metadata(rows: DataFrame, metadata: DataFrame, on: str = "sample_id", most: int = 100_000) -> DataFrame:
+def small(metadata: DataFrame, most: int = 100_000) -> DataFrame:
+    """metadata as a broadcast local table where it has at most `most` rows, computed once; else as it is."""
+    rows = metadata.limit(most + 1).toArrow()
+    return F.broadcast(metadata.sparkSession.createDataFrame(rows, metadata.schema)) if rows.num_rows <= most else metadata
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, on: str | list[str] = "sample_id", most: int = 100_000) -> DataFrame:
     """rows joined with metadata: by a broadcast only where metadata has at most `most` rows."""
-    small = metadata.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(metadata) if small else metadata, on)
+    return rows.join(small(metadata, most), on)
+
+
+def beside_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every row beside every group (groups are metadata, and few), the groups' columns in front."""
+    found = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(g, groups.schema.fields)]) for g in groups.distinct().collect()]
+    listed = F.array(*found) if found else F.array().cast(f"array<{groups.schema.simpleString()}>")
+    return rows.select(F.inline(listed), "*")
 
 
 def attach_conditions(site_counts: DataFrame, samples: DataFrame, flag: str = "FLAG-UNMAPPED-CONDITION-IN-WIG") -> DataFrame:
@@ -42,20 +81,22 @@ def attach_conditions(site_counts: DataFrame, samples: DataFrame, flag: str = "F
     return site_counts.join(samples.select("sample_id", "condition"), "sample_id", "left").withColumn("condition", F.coalesce("condition", F.lit(flag)))
 
 
-def overlaps(left: DataFrame, genes: DataFrame, bin_size: int = BIN) -> DataFrame:
+def overlaps(left: DataFrame, genes: DataFrame) -> DataFrame:
     """Intervals (contig, run_id, start_pos, end_pos, …) with all genes that overlap them.
 
-    A pair is kept in the one bin where its overlap begins, so it comes once.
+    Each interval lies in the bins of the level that fits its length; a pair meets at the level of the longer one, where the shorter
+    one is looked up, and is kept in the one bin where its overlap begins, so it comes once. A long interval is two rows a level, not a row a bin.
     """
-    a = _binned(left, "start_pos", "end_pos", bin_size)
-    b = _binned(genes, "start", "end", bin_size)
-    begins = F.floor(F.greatest("start_pos", "start") / bin_size)
-    return a.join(b, ["contig", "_bin"]).filter((F.col("start_pos") <= F.col("end")) & (F.col("start") <= F.col("end_pos")) & (begins == F.col("_bin"))).drop("_bin")
+    begins = F.expr(f"shiftright(cast(greatest(start_pos, start) AS bigint), {SHIFT.format(level='_level')})")
+    meet = lambda a, b: a.join(b, ["contig", "_level", "_bin"]).filter((F.col("start_pos") <= F.col("end")) & (F.col("start") <= F.col("end_pos")) & (begins == F.col("_bin")))
+    longer_gene = meet(_in_bins_above(left, "start_pos", "end_pos", _levels_of(genes, "start", "end"), False), _in_own_bins(genes, "start", "end"))
+    shorter_gene = meet(_in_own_bins(left, "start_pos", "end_pos"), _in_bins_above(genes, "start", "end", list(range(LEVELS)), True))
+    return longer_gene.unionByName(shorter_gene).drop("_level", "_bin")
 
 
-def genes_in_ranges(ranges: DataFrame, genes: DataFrame, bin_size: int = BIN, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+def genes_in_ranges(ranges: DataFrame, genes: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """(keys, orfs): the sorted set of genes that overlap each range."""
-    return overlaps(ranges, genes, bin_size).groupBy(*keys).agg(F.array_sort(F.collect_set("orf")).alias("orfs"))
+    return overlaps(ranges, genes).groupBy(*keys).agg(F.array_sort(F.collect_set("orf")).alias("orfs"))
 
 
 def overlap_columns(df: DataFrame) -> DataFrame:

@@ -21,26 +21,63 @@ def find_with_mismatches(text: Column, pattern: str, most: int = 0, legacy_range
     exact = F.instr(text, pattern) - 1
     if most == 0:
         return exact.cast("int")
-    want = np.frombuffer(pattern.encode(), np.uint8)
-
     @F.pandas_udf("int")
     def near(texts: pd.Series) -> pd.Series:
-        out = np.full(len(texts), -1, np.int32)
-        for i, x in enumerate(texts.tolist()):
-            if not x or len(x) < len(want):
-                continue
-            hit = x.find(pattern)
-            if hit < 0:
-                seen = np.lib.stride_tricks.sliding_window_view(np.frombuffer(x.encode("ascii", "replace"), np.uint8), len(want))
-                seen = seen[:-1] if legacy_range else seen
-                ok = np.flatnonzero((seen != want).sum(1) <= most) if len(seen) else []
-                hit = int(ok[0]) if len(ok) else -1
-            out[i] = hit
-        return pd.Series(out)
+        texts = texts.fillna("").tolist()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end, parts, lo = np.cumsum(size), [], 0
+        while lo < len(texts):  # runs of about RUN letters
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + RUN, "right")))
+            data = np.frombuffer("".join(texts[lo:hi]).encode("ascii", "replace"), np.uint8)
+            offs = np.concatenate([[0], np.cumsum(size[lo:hi])])
+            hit = first_hits(data, offs, pattern, 0)
+            missed = hit < 0
+            hit[missed] = first_hits(data, offs, pattern, most, int(legacy_range))[missed]
+            parts.append(hit)
+            lo = hi
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64)).astype("int32")
 
     return near(text)
 
 
+RUN = 1 << 22  # letters that are searched at once
+
+
+def mismatches_above(data: np.ndarray, pattern: str, most: int) -> np.ndarray:
+    """For each place of data, whether more than `most` letters of pattern differ there; 64 places a step.
+
+    Each letter of the pattern has a mask of the places that hold it. Shifted by the letter's place in the pattern, the masks of
+    misses are added up in bit planes: plane j says where more than j misses were seen.
+    """
+    words, n = len(data) // 64 + len(pattern) // 64 + 3, len(data)
+    masks = {}
+    for c in set(pattern.encode()):
+        bits = np.packbits(data == c, bitorder="little")
+        masks[c] = np.concatenate([bits, np.zeros(8 * words - len(bits), np.uint8)]).view("<u8")
+    planes = np.zeros((most + 1, words), np.uint64)
+    for i, c in enumerate(pattern.encode()):
+        skip, shift = divmod(i, 64)
+        held = np.zeros(words, np.uint64)
+        held[: words - skip] = masks[c][skip:] >> np.uint64(shift)
+        if shift:
+            held[: words - skip - 1] |= masks[c][skip + 1 :] << np.uint64(64 - shift)
+        for j in range(most, 0, -1):
+            planes[j] |= planes[j - 1] & ~held
+        planes[0] |= ~held
+    return np.unpackbits(planes[most].view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
+def first_hits(data: np.ndarray, offs: np.ndarray, pattern: str, most: int, less: int = 0) -> np.ndarray:
+    """The first place of pattern in each read data[offs[i]:offs[i + 1]] with `most` misses or fewer, -1 if none; the last `less` places do not count."""
+    out = np.full(len(offs) - 1, -1, np.int64)
+    at = np.flatnonzero(~mismatches_above(data, pattern, most))
+    row = np.searchsorted(offs, at, "right") - 1
+    inside = at + len(pattern) + less <= offs[row + 1]
+    rows, first = np.unique(row[inside], return_index=True)
+    out[rows] = at[inside][first] - offs[rows]
+    return out
+
+
 def trim_transposon_prefix(reads: DataFrame, prefix: str = PREFIX_HIMAR1, lo: int = 0, hi: int = 20, mismatches: int = 1, shortest: int = 20, adapter: str = ADAPTER2) -> DataFrame:
     """Reads with `insert` (the bases after the prefix, up to the adapter) and `kept`; failed reads stay, marked."""
     found = reads.withColumn("_at", find_with_mismatches(F.col("seq"), prefix, mismatches))

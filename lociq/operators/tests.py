@@ -14,7 +14,9 @@ from lociq.functions import special
 from lociq.operators.aggregates import global_stats_for_rep, log_fold_change
 from lociq.operators.filters import winsorize, winsorize_resampling
 from lociq.operators.joins import assign_sites, with_metadata
+from lociq.operators.ordered import in_order, running
 from lociq.operators.windows import average_ranks, bh_fdr
+from lociq.scratch import keep
 
 
 def anova(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, alpha: float = 1000.0, winz: bool = False) -> DataFrame:
@@ -119,45 +121,62 @@ def _permute(counts: np.ndarray, site: np.ndarray, library: np.ndarray, mode: st
     return out
 
 
-def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mode: str = "site", adaptive: bool = False, pseudo: float = 1.0, seed: int = 0, batch: int = 500, statistic: Callable = mean_difference, winz: bool = False) -> DataFrame:
+def _check_libraries(groups: DataFrame) -> None:
+    """A library letter that only one group has cannot be permuted between the groups."""
+    seen: dict[bool, set] = {True: set(), False: set()}
+    for r in groups.select("is_exp", "library").distinct().collect():  # metadata
+        seen[r["is_exp"]].add(r["library"])
+    if seen[True] != seen[False]:
+        raise ValueError(f"both groups need samples of the same libraries; the control has {sorted(map(str, seen[False]))}, the other {sorted(map(str, seen[True]))}")
+
+
+def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mode: str = "site", adaptive: bool = False, pseudo: float = 1.0, seed: int = 0, batch: int = 500, statistic: Callable = mean_difference, winz: bool = False, cells: int = 1_000_000, work: int = 50_000_000) -> DataFrame:
     """Permutation test of the mean difference per gene; groups is (sample_id, is_exp[, library]).
 
-    A gene's block is permuted in batches, each with a seed from gene, batch and seed, so results do not depend on
-    partitions. Adaptive: 1 %, 10 % and 100 % of the permutations; genes with round(times / 1000) exceedances, one at least, stop.
+    Permutations are made in batches of `batch`, or fewer where a gene has so many values that a batch would hold more than `cells`; each
+    has a seed from gene, first permutation and seed, so results do not depend on partitions. A row is a gene and as many of its batches as
+    make about `work` values, and rows are dealt to tasks by both: a large gene is many rows, and a task's memory is bounded by `cells`.
+    Adaptive: 1 %, 10 % and 100 % of the permutations; genes with round(times / 1000) exceedances, one at least, stop.
     winz: a gene's largest counts become the second, in each group. A gene's sites may differ between the groups (strain_sites).
+    Libraries must be the same in both groups where the mode is "library".
     """
     if "library" not in groups.columns:
         groups = groups.withColumn("library", F.lit("A"))
+    if mode == "library":
+        _check_libraries(groups)
     joined = with_metadata(site_gene, groups)
     if winz:
         joined = winsorize_resampling(joined, ["orf", "is_exp"])
-    blocks = joined.groupBy("orf").agg(
+    blocks = keep(joined.groupBy("orf").agg(
         F.sort_array(F.collect_list(F.struct("position", "sample_id", "count", "is_exp", "library"))).alias("b"), F.countDistinct("position").alias("sites"), F.sum(F.when(~F.col("is_exp"), F.col("count"))).alias("sum_ctrl"),
         F.sum(F.when(F.col("is_exp"), F.col("count"))).alias("sum_exp"), F.avg(F.when(~F.col("is_exp"), F.col("count"))).alias("mean_ctrl"), F.avg(F.when(F.col("is_exp"), F.col("count"))).alias("mean_exp"),
-    )  # a gene's sites and samples
-
-    def run(todo: DataFrame, first: int, last: int, used: int) -> DataFrame:
-        parts = [(i, min(batch, last - lo)) for i, lo in enumerate(range(first, last, batch), used)]
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found in batches:
-                rows = []
-                for orf, b in zip(found.column("orf").to_pylist(), found.column("b")):  # a gene at a time leaves Arrow
-                    counts, exp, site, library = (np.array(b.values.field(c).to_pylist()) for c in ("count", "is_exp", "position", "library"))
-                    counts = counts.astype(float)
-                    observed, sums = statistic(counts[~exp], counts[exp]), np.zeros(4, int)
-                    for part, size in parts:
-                        seen = _permute(counts, site, library, mode, size, np.random.default_rng([seed, part, *orf.encode()]))
-                        null = statistic(seen[:, ~exp], seen[:, exp])
-                        sums += [size, (np.abs(null) >= abs(observed) - 1e-12).sum(), (null <= observed + 1e-12).sum(), (null >= observed - 1e-12).sum()]
-                    rows.append({"orf": orf, **dict(zip(("done", "two", "low", "high"), sums.tolist()))})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("orf", pa.string()), *[(c, pa.int64()) for c in ("done", "two", "low", "high")]]))
-
-        return todo.select("orf", "b").mapInArrow(work, "orf string, done long, two long, low long, high long")
+    ), "blocks")  # a gene's sites and samples
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            rows = []
+            for orf, b, first, last, step in zip(found.column("orf").to_pylist(), found.column("b"), *(found.column(c).to_pylist() for c in ("first", "last", "step"))):  # a row at a time leaves Arrow
+                counts, exp, site, library = (np.array(b.values.field(c).to_pylist()) for c in ("count", "is_exp", "position", "library"))
+                counts = counts.astype(float)
+                observed, sums = statistic(counts[~exp], counts[exp]), np.zeros(4, int)
+                for lo in range(first, last, step):
+                    size = min(step, last - lo)
+                    seen = _permute(counts, site, library, mode, size, np.random.default_rng([seed, lo, *orf.encode()]))
+                    null = statistic(seen[:, ~exp], seen[:, exp])
+                    sums += [size, (np.abs(null) >= abs(observed) - 1e-12).sum(), (null <= observed + 1e-12).sum(), (null >= observed - 1e-12).sum()]
+                rows.append({"orf": orf, **dict(zip(("done", "two", "low", "high"), sums.tolist()))})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("orf", pa.string()), *[(c, pa.int64()) for c in ("done", "two", "low", "high")]]))
+
+    def run(todo: DataFrame, first: int, last: int) -> DataFrame:
+        size = F.size("b").cast("long")
+        sized = todo.select("orf", "b", F.greatest(F.least(F.lit(batch).cast("long"), F.floor(F.lit(cells) / size)), F.lit(1)).alias("step"), size.alias("_n"))
+        stride = F.greatest(F.floor(F.lit(work) / (F.col("_n") * F.col("step"))), F.lit(1)) * F.col("step")
+        parts = sized.withColumn("_s", stride).withColumn("first", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"), F.col("_s"))))
+        parts = parts.select("orf", "b", "step", "first", F.least(F.col("first") + F.col("_s"), F.lit(last)).alias("last"))
+        return parts.repartition("orf", "first").mapInArrow(permute, "orf string, done long, two long, low long, high long")
 
     live = blocks.filter("sum_ctrl + sum_exp > 0 AND sum_ctrl IS NOT NULL AND sum_exp IS NOT NULL")
     total = None
-    used = 0  # parts are numbered on from stage to stage: a number used twice would repeat its permutations
     bounds = [0, max(times // 100, 1), max(times // 10, 1), times] if adaptive else [0, times]
     for first, last in zip(bounds[:-1], bounds[1:]):
         if first == last:
@@ -165,9 +184,8 @@ def resampling(site_gene: DataFrame, groups: DataFrame, times: int = 10_000, mod
         todo = live
         if total is not None:
             todo = live.join(total.filter(F.col("two") >= max(1, round(times * 0.001))).select("orf"), "orf", "left_anti")
-        new = run(todo, first, last, used)
-        used += len(range(first, last, batch))
-        total = (new if total is None else total.union(new)).groupBy("orf").agg(*[F.sum(c).alias(c) for c in ("done", "two", "low", "high")])
+        new = run(todo, first, last)
+        total = keep((new if total is None else total.union(new)).groupBy("orf").agg(*[F.sum(c).alias(c) for c in ("done", "two", "low", "high")]), "permuted")
     tested = blocks.drop("b").join(total, "orf", "left")
     p = lambda c: F.coalesce(F.col(c) / F.col("done"), F.lit(1.0))
     out = tested.withColumns({"pval": p("two"), "pval_low": p("low"), "pval_high": p("high"), "delta_mean": F.col("mean_exp") - F.col("mean_ctrl"), "lfc": F.log2((F.col("mean_exp") + pseudo) / (F.col("mean_ctrl") + pseudo))})
@@ -181,25 +199,58 @@ def strain_sites(ctrl: DataFrame, ctrl_genes: DataFrame, exp: DataFrame, exp_gen
     return sides[0].union(sides[1]).join(both, "orf", "left_semi")
 
 
-def fitness_defect(blocks: DataFrame, background: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(orf, n, sum, expected, lfc, pval, padj): a gene's sum against draws of n sites from non-essential regions.
+def quantile_bins(background: DataFrame, keys: list[str], bins: int = 4096) -> DataFrame:
+    """(keys, count, n) of a histogram: as it is where a sample has at most `bins` distinct counts, else the means of about `bins` runs of equal size."""
+    each = background.groupBy(*keys, "count").agg(F.sum("n").alias("n"))
+    laid = running(in_order(each, keys, ["count"], "background"), keys, {"_upto": F.col("n")})
+    sizes = laid.groupBy(*keys).agg(F.count("*").alias("_values"), F.sum("n").alias("_all"))
+    sized = with_metadata(laid, sizes, keys) if keys else laid.withColumn("_one", F.lit(0)).join(F.broadcast(sizes.withColumn("_one", F.lit(0))), "_one")
+    part = F.when(F.col("_values") <= bins, F.col("_at")).otherwise(F.floor((F.col("_upto") - 1) * bins / F.col("_all")))
+    return sized.groupBy(*keys, part.alias("_bin")).agg((F.sum(F.col("count") * F.col("n")) / F.sum("n")).alias("count"), F.sum("n").alias("n")).drop("_bin")
+
+
+def random_sums(values: np.ndarray, weights: np.ndarray, n: int, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Sums of n items drawn without replacement from a histogram, `draws` times."""
+    edges = np.cumsum(weights)
+    total = int(edges[-1]) if len(edges) else 0
+    if n >= total:
+        return np.full(draws, float(values @ weights))
+    if n * n > 4 * total or n > 4 * len(values):
+        return rng.multivariate_hypergeometric(weights, n, size=draws, method="marginals") @ values
+    at = np.sort(rng.integers(0, total, (draws, n)), axis=1)
+    while len(again := np.flatnonzero((at[:, 1:] == at[:, :-1]).any(1))):  # an item drawn twice: that draw is made anew
+        at[again] = np.sort(rng.integers(0, total, (len(again), n)), axis=1)
+    return values[np.searchsorted(edges, at, "right")].sum(1)
 
-    blocks is (orf, n, sum); background is a histogram (count, n). The null depends on n alone: one kernel per distinct n.
+
+def fitness_defect(blocks: DataFrame, background: DataFrame, draws: int = 10_000, seed: int = 0, keys: list[str] | None = None, bins: int = 4096, most: int = 10_000) -> DataFrame:
+    """(keys, orf, n, sum, expected, lfc, pval, padj): a gene's sum against draws of n sites from non-essential regions.
+
+    blocks is (keys, orf, n, sum); background is a histogram (keys, count, n) of at most `bins` values a sample (quantile_bins), which is all that
+    the driver sees of it; keys name the sample. The null depends on the sample and n alone: one kernel for each. A sample without background has p = 1.
     """
-    histogram = background.groupBy("count").agg(F.sum("n").alias("n")).orderBy("count").toPandas()  # a row a distinct count
-    values, weights = histogram["count"].to_numpy(float), histogram["n"].to_numpy(np.int64)
+    keys = keys or []
+    columns = [background.schema[k].dataType.simpleString() for k in keys]
+    tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for own, rows in quantile_bins(background, keys, bins).toPandas().groupby(keys or (lambda _: 0)):  # at most `bins` rows a sample
+        rows = rows.sort_values("count")
+        tables[own if keys else ()] = rows["count"].to_numpy(float), rows["n"].to_numpy(np.int64)
 
     def null(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["n"].iloc[0])
-        rng = np.random.default_rng([seed, n])
-        sums = np.sort(rng.multivariate_hypergeometric(weights, n, size=draws, method="marginals") @ values if weights.sum() >= n else np.full(draws, values @ weights))
+        n, own = int(rows["n"].iloc[0]), tuple(rows[k].iloc[0] for k in keys)
+        values, weights = tables.get(own, (np.zeros(0), np.zeros(0, np.int64)))
+        sums = np.sort(random_sums(values, weights, n, draws, np.random.default_rng([seed, n])))
         low, high = np.searchsorted(sums, rows["sum"], "right") / draws, 1 - np.searchsorted(sums, rows["sum"], "left") / draws
-        return pd.DataFrame({"orf": rows["orf"], "n": n, "sum": rows["sum"], "expected": sums.mean(), "pval": np.minimum(1.0, np.minimum(low, high))})
-
-    # Genes of one length are cut into groups of their own, so that a common length is no single task.
-    salted = blocks.filter("n > 0").withColumn("_s", F.pmod(F.xxhash64("orf"), F.lit(16)))
-    tested = salted.groupBy("n", "_s").applyInPandas(null, "orf string, n long, sum double, expected double, pval double")
-    return bh_fdr(tested.withColumn("lfc", F.log2((F.col("sum") + 1) / (F.col("expected") + 1))))
+        pval = np.minimum(1.0, np.minimum(low, high)) if len(values) else 1.0
+        return pd.DataFrame({**{k: rows[k] for k in keys}, "orf": rows["orf"], "n": n, "sum": rows["sum"], "expected": sums.mean(), "pval": pval})
+
+    # A group draws once for all its genes. A common length is cut into groups of about `most` genes, so that it is no single task.
+    genes = keep(blocks.filter("n > 0"), "genes")
+    shares = genes.groupBy(*keys, "n").agg((1 + F.floor(F.count("*") / most)).alias("_groups"))
+    salted = genes.join(shares, [*keys, "n"]).withColumn("_s", F.pmod(F.xxhash64("orf"), F.col("_groups"))).drop("_groups")
+    named = "".join(f"{k} {c}, " for k, c in zip(keys, columns))
+    tested = salted.groupBy(*keys, "n", "_s").applyInPandas(null, f"{named}orf string, n long, sum double, expected double, pval double")
+    return bh_fdr(tested.withColumn("lfc", F.log2((F.col("sum") + 1) / (F.col("expected") + 1))), keys=keys)
 
 
 def _zinb_log_likelihood(params: np.ndarray, x: np.ndarray, z: np.ndarray | None, y: np.ndarray, w: np.ndarray, mu_off: np.ndarray, z_off: np.ndarray) -> np.ndarray:

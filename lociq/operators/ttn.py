@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import special
+from lociq.operators.joins import with_metadata
 from lociq.operators.windows import bh_fdr
+from lociq.scratch import keep
 
 
 def ttn_features(sites: DataFrame, context: str = "context") -> DataFrame:
@@ -19,54 +21,48 @@ def ttn_features(sites: DataFrame, context: str = "context") -> DataFrame:
     return sites.withColumn("_after", after).withColumn("up", code(F.col(context))).withColumn("down", code(F.col("_after"))).drop("_after")
 
 
-def ttn_fitness(rows: DataFrame, ridge: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
-    """Gene effects of log10(count + 0.5), centred, on genes and 256 tetranucleotides, from rows (orf, count, up, down).
+def ttn_fitness(rows: DataFrame, keys: list[str] | None = None, ridge: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """Gene effects of log10(count + 0.5), centred, on genes and 256 tetranucleotides, from rows (keys, orf, count, up, down).
 
-    By demeaning within genes (Frisch-Waugh) the 256 x 256 normal equations are all that reaches the driver; the
-    free direction between genes and tetranucleotides is settled by the minimum-norm solution there.
-    Returns (orf, n, coef, pval, padj, ratio, call) and the tetranucleotide coefficients.
+    keys: each sample by itself. By demeaning within genes (Frisch-Waugh) a sample's 256 x 256 normal equations are sums over its rows and
+    genes; one task a sample solves them, from at most 256 x 257 rows. The free direction between genes and tetranucleotides is
+    settled by the minimum-norm solution there.
+    Returns (keys, orf, n, coef, pval, padj, ratio, call) and the coefficients (keys, beta), an array of 256.
     """
-    centre = rows.agg(F.avg(F.log10(F.col("count") + 0.5)).alias("m")).first()["m"] or 0.0
-    y = rows.select("orf", (F.log10(F.col("count") + 0.5) - centre).alias("y"), "up", "down")
-    gene = y.groupBy("orf").agg(F.count("*").alias("n"), F.avg("y").alias("my"))
+    own = keys or ["_all"]
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    logs = rows.select(*own, "orf", F.log10(F.col("count") + 0.5).alias("y"), "up", "down")
+    y = keep(logs, "logs")
+    y = with_metadata(y, y.groupBy(*own).agg(F.avg("y").alias("_m")), own).withColumn("y", F.col("y") - F.col("_m")).drop("_m")
+    gene = y.groupBy(*own, "orf").agg(F.count("*").alias("n"), F.avg("y").alias("my"))
     # Entries of the raw Gram matrix and of the genes' column sums, as sparse rows.
-    cells = y.select("orf", "y", F.explode(F.array("up", "down")).alias("i"), "up", "down")
-    gram = cells.select("i", F.explode(F.array("up", "down")).alias("j")).groupBy("i", "j").agg(F.count("*").cast("double").alias("v"))
-    sums = cells.groupBy("orf", "i").agg(F.count("*").cast("double").alias("c"))
-    xy = cells.groupBy("i").agg(F.sum("y").alias("v"))
-    per_gene = sums.join(gene, "orf").groupBy("orf", "n", "my").agg(F.collect_list(F.struct("i", "c")).alias("x"))  # at most 256 a gene
+    cells = y.select(*own, "orf", "y", F.explode(F.array("up", "down")).alias("i"), "up", "down")
+    gram = cells.select(*own, "i", F.explode(F.array("up", "down")).alias("j")).groupBy(*own, "i", "j").agg(F.count("*").cast("double").alias("v"))
+    xy = cells.groupBy(*own, "i", F.lit(-1).alias("j")).agg(F.sum("y").alias("v"))
+    sums = cells.groupBy(*own, "orf", "i").agg(F.count("*").cast("double").alias("c"))
+    per_gene = sums.join(gene, [*own, "orf"])
+    mine = per_gene.groupBy(*own, "orf", "n", "my").agg(F.collect_list(F.struct("i", "c")).alias("x"))  # at most 256 a gene
+    pairs = mine.select(*own, "orf", "n", "x", F.explode("x").alias("a")).select(*own, "n", "a", F.explode("x").alias("b"))
+    between = pairs.groupBy(*own, F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg((-F.sum(F.col("a.c") * F.col("b.c") / F.col("n"))).alias("v"))
+    between_y = per_gene.groupBy(*own, "i", F.lit(-1).alias("j")).agg((-F.sum(F.col("c") * F.col("my"))).alias("v"))
+    equations = gram.unionByName(xy).unionByName(between).unionByName(between_y).groupBy(*own, "i", "j").agg(F.sum("v").alias("v"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in own)
 
-    def between(frames):
+    def solve(cell: pd.DataFrame) -> pd.DataFrame:
         m, v = np.zeros((256, 256)), np.zeros(256)
-        for f in frames:
-            for n, my, x in zip(f["n"], f["my"], f["x"]):
-                i, c = np.array([e["i"] for e in x]), np.array([e["c"] for e in x])
-                m[np.ix_(i, i)] += np.outer(c, c) / n
-                v[i] += c * my
-        a, b = np.nonzero(m)
-        yield pd.DataFrame({"i": np.concatenate([a, np.arange(256)]), "j": np.concatenate([b, np.full(256, -1)]), "v": np.concatenate([m[a, b], v])})
+        right = cell["j"] < 0
+        v[cell.loc[right, "i"]] = cell.loc[right, "v"]
+        m[cell.loc[~right, "i"], cell.loc[~right, "j"]] = cell.loc[~right, "v"]
+        beta = np.linalg.lstsq(m + ridge * np.eye(256), v, rcond=1e-10)[0]
+        return pd.DataFrame({**{k: [cell[k].iloc[0]] for k in own}, "beta": [beta.tolist()]})
 
-    def square(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        m, v = np.zeros((256, 256)), np.zeros(256)
-        for r in df.collect():  # at most 256 x 257 rows
-            if r["j"] < 0:
-                v[r["i"]] += r["v"]
-            else:
-                m[r["i"], r["j"]] += r["v"]
-        return m, v
-
-    raw, _ = square(gram)
-    _, raw_y = square(xy.select("i", F.lit(-1).alias("j"), "v"))
-    mid, mid_y = square(per_gene.mapInPandas(between, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")))
-    beta = np.linalg.lstsq(raw - mid + ridge * np.eye(256), raw_y - mid_y, rcond=1e-10)[0]
-    table = F.array(*[F.lit(float(b)) for b in beta])
-    part = F.get(table, F.col("up")) + F.get(table, F.col("down"))
-    left = y.withColumn("r", F.col("y") - part)
-    fit = left.groupBy("orf").agg(F.count("*").alias("n"), F.avg("r").alias("coef"), F.var_pop("r").alias("v"))
-    total = fit.agg(F.sum(F.col("v") * F.col("n")).alias("sse"), F.sum("n").alias("n"), F.count("*").alias("g"), F.percentile("coef", 0.5).alias("mid")).first()
-    df = max((total["n"] or 0) - (total["g"] or 0) - 255, 1)
-    sigma2 = (total["sse"] or 0.0) / df
-    stat = F.col("coef") / F.sqrt(F.lit(max(sigma2, 1e-12)) / F.col("n"))
-    out = bh_fdr(fit.withColumn("pval", special.t_sf2_column(stat, F.lit(float(df)))))
-    out = out.withColumn("ratio", F.exp(F.col("coef") - (total["mid"] or 0.0)))
-    return out.withColumn("call", F.when(F.col("padj") >= 0.05, "NE").when(F.col("coef") > 0, "GA").otherwise("GD")).select("orf", "n", "coef", "pval", "padj", "ratio", "call"), beta
+    beta = keep(equations.groupBy(*own).applyInPandas(solve, f"{kinds}, beta array<double>"), "coefficients")  # a row a sample
+    left = with_metadata(y, beta, own).withColumn("r", F.col("y") - F.get("beta", F.col("up")) - F.get("beta", F.col("down")))
+    fit = keep(left.groupBy(*own, "orf").agg(F.count("*").alias("n"), F.avg("r").alias("coef"), F.var_pop("r").alias("v")), "effects")
+    total = fit.groupBy(*own).agg(F.sum(F.col("v") * F.col("n")).alias("sse"), F.sum("n").alias("_n"), F.count("*").alias("g"), F.percentile("coef", 0.5).alias("mid"))
+    df = F.greatest(F.col("_n") - F.col("g") - 255, F.lit(1)).cast("double")
+    out = with_metadata(fit, total, own)
+    stat = F.col("coef") / F.sqrt(F.greatest(F.col("sse") / df, F.lit(1e-12)) / F.col("n"))
+    out = bh_fdr(out.withColumn("pval", special.t_sf2_column(stat, df)).withColumn("ratio", F.exp(F.col("coef") - F.col("mid"))), keys=keys)
+    call = F.when(F.col("padj") >= 0.05, "NE").when(F.col("coef") > 0, "GA").otherwise("GD")
+    return out.withColumn("call", call).select(*(keys or []), "orf", "n", "coef", "pval", "padj", "ratio", "call"), beta.select(*(keys or []), "beta")

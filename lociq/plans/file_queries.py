@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lociq.operators import reads as rd
 from lociq.plans import tables as t
 from lociq.plans.queries import query
 from lociq.plans.read_queries import TEMPLATES_SQL
+from lociq.scratch import folder as _folder
 from lociq.sources import readers, writers
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; on a local master without one, in a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-lociq-")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _written(df, name: str) -> str:
     """df (value) as lines of text files in a new folder."""
     path = _folder(df.sparkSession, name)

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociq.operators import aggregates as agg
-from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, tests, ttn, windows
+from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, ordered, tests, ttn, windows
 from lociq.operators import reads as rd
 from lociq.plans import tables as t
 from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, query, r6, site_gene
-
-
-def _each_sample(spark, d, f):
-    """f(sample_id) of every sample, one below the other, with sample_id in front; samples are metadata."""
-    names = sorted(r["sample_id"] for r in t.samples(spark, d).select("sample_id").collect())
-    return reduce(DataFrame.unionByName, [f(n).select(F.lit(n).alias("sample_id"), "*") for n in names])
+from lociq.scratch import keep
 
 
 def _groups(spark, d):
     """Samples of conditions N (control) and A."""
-    return t.samples(spark, d).filter("condition IN ('N', 'A')").select("sample_id", (F.col("condition") == "A").alias("is_exp"), F.col("status").alias("library"))
+    return t.samples(spark, d).filter("condition IN ('N', 'A')").select("sample_id", (F.col("condition") == "A").alias("is_exp"), F.col("replicate").alias("library"))
 
 
 ANOVA_SQL = """, e AS (SELECT orf, condition, count(*) AS n, sum(count) AS s, sum(count * count) AS ss, count(DISTINCT position) AS sites FROM site_gene_b JOIN samples USING (sample_id) GROUP BY 1, 2),
@@ -40,7 +33,7 @@ BH_SQL = "bh AS (SELECT *, pval * count(*) OVER () / count(*) OVER (ORDER BY pva
 
 
 def _ttr_site_gene(spark, d):
-    counts = normalise.normalize(t.site_counts(spark, d), "TTR")
+    counts = normalise.normalize(keep(t.site_counts(spark, d), "track"), "TTR")  # read for the factors and for the counts
     return joins.assign_sites(counts, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
 
 
@@ -79,6 +72,24 @@ def m2_resampling_adaptive(spark, d):
     return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=10_000, mode="library", adaptive=True)
 
 
+def _shifted_genes(spark, d):
+    """The annotation of a second strain: the same genes 40 bases on, without every seventh."""
+    return t.genes(spark, d).filter("gene_order % 7 <> 0").withColumns({"start": F.col("start") + 40, "end": F.col("end") + 40})
+
+
+@query(""", g2 AS (SELECT contig, orf, start + 40 AS start, "end" + 40 AS "end", strand FROM genes WHERE gene_order % 7 <> 0),
+ sg AS (SELECT a.orf, a.position, a.count, false AS x FROM site_gene_a a JOIN samples s USING (sample_id) JOIN g2 ON g2.orf = a.orf WHERE s.condition = 'N'
+  UNION ALL SELECT g.orf, s.position, s.count, true FROM site_counts s JOIN samples m USING (sample_id) JOIN g2 g ON s.position BETWEEN g.start AND g."end" AND (CASE WHEN g.strand = '+' THEN s.position <= g."end" - 3 ELSE s.position >= g.start + 3 END) WHERE m.condition = 'A')
+ SELECT orf, count(DISTINCT position) AS sites, sum(count) FILTER (NOT x) AS sum_ctrl, sum(count) FILTER (x) AS sum_exp, round(avg(count) FILTER (NOT x), 6) + 0 AS mean_ctrl, round(avg(count) FILTER (x), 6) + 0 AS mean_exp,
+  round(avg(count) FILTER (x) - avg(count) FILTER (NOT x), 6) + 0 AS delta_mean, round(log2((avg(count) FILTER (x) + 1) / (avg(count) FILTER (NOT x) + 1)), 6) + 0 AS lfc FROM sg GROUP BY 1""")
+def m2_two_strain_statistics(spark, d):
+    """Control and experiment in two strains, each with its own annotation: what the permutation test reports beside its p."""
+    counts = keep(t.site_counts(spark, d), "track")
+    both = tests.strain_sites(counts.filter("sample_id LIKE 'N%'"), t.genes(spark, d), counts.filter("sample_id LIKE 'A%'"), _shifted_genes(spark, d))
+    found = tests.resampling(both, _groups(spark, d), times=10_000, mode="pooled")
+    return found.select("orf", "sites", "sum_ctrl", "sum_exp", *r6("mean_ctrl", "mean_exp", "delta_mean", "lfc"))
+
+
 @query(""", g AS (SELECT orf, count, s.condition = 'A' AS x FROM site_gene_a JOIN samples s USING (sample_id) WHERE s.condition IN ('N', 'A')), r AS (SELECT *, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS rk FROM g)
  SELECT orf, sum(CASE WHEN NOT x THEN rk END) - count(*) FILTER (NOT x) * (count(*) FILTER (NOT x) + 1) / 2 AS u, round(avg(count) FILTER (NOT x), 6) + 0 AS mean_ctrl, round(avg(count) FILTER (x), 6) + 0 AS mean_exp FROM r GROUP BY 1""")
 def m3_utest_statistics(spark, d):
@@ -150,14 +161,10 @@ GAPS_SQL = RUNS_SQL + """, g AS (SELECT sample_id, avg((count > 0)::int) AS p, c
 
 @query(GAPS_SQL + "SELECT sample_id, orf, run_id, run_length, overlap, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj, CASE WHEN padj < 0.05 THEN 'Essential' ELSE 'Non-essential' END AS call FROM q")
 def m7_tn5gaps(spark, d):
-    """Every sample by itself."""
-    return _each_sample(spark, d, lambda sample: _gaps(spark, d, sample))
-
-
-def _gaps(spark, d, sample):
-    track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
-    one = track.agg(F.avg((F.col("count") > 0).cast("double")).alias("p"), F.count("*").alias("n")).first()
-    return essentiality.gaps(windows.runs(track, ["sample_id", "contig"]), t.genes(spark, d), one["n"], one["p"]).select("orf", "run_id", "run_length", "overlap", *r6("pval", "padj"), "call")
+    """Every sample by itself, in one plan; the zero-filled track is written once."""
+    track = keep(t.site_counts(spark, d), "track")
+    found = essentiality.gaps(windows.runs(track, ["sample_id", "contig"]), t.genes(spark, d), essentiality.insertion_rates(track, ["sample_id"]), ["sample_id"])
+    return found.select("sample_id", "orf", "run_id", "run_length", "overlap", *r6("pval", "padj"), "call")
 
 
 def _track(spark, d):
@@ -171,9 +178,9 @@ def m8_hmm(spark, d):
 
 
 def _hmm_genes(spark, d):
-    states = essentiality.hmm(_track(spark, d).filter("condition = 'N'"), block=2000)
+    states = essentiality.hmm(_track(spark, d), block=2000)
     assigned = joins.assign_sites(states, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), ignore_codon=False)
-    return essentiality.hmm_genes(assigned, t.genes(spark, d))
+    return essentiality.hmm_genes(assigned, t.genes(spark, d), t.samples(spark, d).select("condition"))
 
 
 @query(None)
@@ -197,21 +204,17 @@ def m10_confidence_of_calls(spark, d):
 
 @query(None)
 def m10_hmm_confidence(spark, d):
-    return essentiality.hmm_confidence(_hmm_genes(spark, d))
+    return essentiality.hmm_confidence(_hmm_genes(spark, d), keys=["condition"])
 
 
 @query(""", st AS (SELECT sample_id, orf, CASE WHEN count = 0 THEN 'ES' WHEN count < 20 THEN 'GD' WHEN count < 40 THEN 'NE' ELSE 'GA' END AS state, count FROM site_gene_a),
  c AS (SELECT sample_id, orf, count(*) AS n, count(*) FILTER (state = 'ES') AS es, count(*) FILTER (state = 'GD') AS gd, count(*) FILTER (state = 'NE') AS ne, count(*) FILTER (state = 'GA') AS ga FROM st GROUP BY 1, 2)
  SELECT s.sample_id, g.orf, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'N/A' WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM genes g CROSS JOIN samples s LEFT JOIN c ON c.orf = g.orf AND c.sample_id = s.sample_id""")
 def m9_hmm_gene_calls(spark, d):
-    """Calls of every sample by itself."""
-    return _each_sample(spark, d, lambda sample: _gene_calls(spark, d, sample))
-
-
-def _gene_calls(spark, d, sample):
+    """Calls of every sample by itself, in one plan."""
     x = F.col("count")
-    states = site_gene(spark, d).filter(F.col("sample_id") == sample).withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
-    return essentiality.hmm_genes(states, t.genes(spark, d)).select("orf", "n", "call")
+    states = site_gene(spark, d).withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
+    return essentiality.hmm_genes(states, t.genes(spark, d), t.samples(spark, d).select("sample_id")).select("sample_id", "orf", "n", "call")
 
 
 @query(None)
@@ -220,18 +223,17 @@ def m11_genetic_interactions(spark, d):
     return interactions.genetic_interactions(site_gene(spark, d), cells.select("sample_id", "cell"), samples=10_000)
 
 
-def _ttn_rows(spark, d, sample):
+def _ttn_rows(spark, d):
     letters = F.array(*[F.lit(c) for c in "ACGT"])
     base = lambda k: F.get(letters, F.pmod(F.xxhash64((F.col("position") + k)), F.lit(4)).cast("int"))
     context = F.concat(*[base(k) for k in (-4, -3, -2, -1)], F.lit("TA"), *[base(k) for k in (2, 3, 4, 5)])
-    sites = t.site_counts(spark, d).filter(F.col("sample_id") == sample).withColumn("context", context)
-    assigned = joins.assign_sites(sites, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
-    return ttn.ttn_features(assigned).select("orf", "count", "up", "down")
+    assigned = joins.assign_sites(t.site_counts(spark, d).withColumn("context", context), t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
+    return ttn.ttn_features(assigned).select("sample_id", "orf", "count", "up", "down")
 
 
 @query(None)
 def m12_ttn_fitness(spark, d):
-    return _each_sample(spark, d, lambda sample: ttn.ttn_fitness(_ttn_rows(spark, d, sample))[0])
+    return ttn.ttn_fitness(_ttn_rows(spark, d), ["sample_id"])[0]
 
 
 @query(""", ta AS (SELECT read_id, i AS position, substr(seq, i::int - 4, 10) AS c FROM (SELECT read_id, seq, unnest(range(5, length(seq) - 4)) AS i FROM reads) WHERE substr(seq, i::int, 2) = 'TA')
@@ -247,22 +249,20 @@ def m12_ttn_features(spark, d):
 
 @query(None)
 def m13_fitness_defect(spark, d):
-    return _each_sample(spark, d, lambda sample: _fitness_defect(spark, d, sample))
-
-
-def _fitness_defect(spark, d, sample):
-    track = t.site_counts(spark, d).filter(F.col("sample_id") == sample)
-    background = windows.state_runs(track, ["sample_id"]).filter("state = 'NE'").groupBy("count").agg(F.count("*").alias("n"))
-    blocks = site_gene(spark, d).filter(F.col("sample_id") == sample).groupBy("orf").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
-    return tests.fitness_defect(blocks, background, draws=10_000)
+    """Every sample by itself, in one plan."""
+    track = keep(t.site_counts(spark, d), "track")
+    background = windows.state_runs(track, ["sample_id"]).filter("state = 'NE'").groupBy("sample_id", "count").agg(F.count("*").alias("n"))
+    assigned = joins.assign_sites(track, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
+    blocks = assigned.groupBy("sample_id", "orf").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
+    return tests.fitness_defect(blocks, background, draws=10_000, keys=["sample_id"])
 
 
 HITS_SQL = ", res AS (SELECT orf, avg(count) AS m FROM site_gene_a GROUP BY 1), hits AS (SELECT orf FROM res WHERE m > 8.5) "
 
 
 def _hits(spark, d):
-    """All genes with sites, and those whose mean count is above 8.5."""
-    means = site_gene(spark, d).groupBy("orf").agg(F.avg("count").alias("m"))
+    """All genes with sites, and those whose mean count is above 8.5; the means are written once."""
+    means = keep(site_gene(spark, d).groupBy("orf").agg(F.avg("count").alias("m")), "means")
     return means.select("orf"), means.filter("m > 8.5").select("orf")
 
 
@@ -316,7 +316,7 @@ RANK_SQL = ", m AS (SELECT orf, avg(count) AS score FROM site_gene_a GROUP BY 1)
  SELECT term, round(max(abs(i / sz - (rank - i) / ((SELECT count(*) FROM rk) - sz))), 6) + 0 AS es, max(sz) AS n_members FROM h GROUP BY 1""")
 def w6_running_enrichment(spark, d):
     means = site_gene(spark, d).groupBy("orf").agg(F.avg("count").alias("score"))
-    ranked = means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "orf")))
+    ranked = ordered.tidy(ordered.placed(ordered.in_order(means, [], [F.desc("score"), "orf"]), [], "rank"))
     return windows.running_enrichment(ranked, t.associations(spark, d)).select("term", *r6("es"), "n_members")
 
 

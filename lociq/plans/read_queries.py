@@ -34,6 +34,25 @@ def rd3_template_barcodes(spark, d):
     return rd.extract_template_barcodes(t.reads(spark, d), "ACT", "TTC", "GAA", 0).select("read_id", "barcode", "genomic")
 
 
+def _near_sql(text: str, pattern: str) -> str:
+    """The first place with one mismatch at most, an exact one before all others, as SQL."""
+    misses = " + ".join(f"({text}[i + {k + 1}] <> '{c}')::int" for k, c in enumerate(pattern))
+    return f"CASE WHEN instr({text}, '{pattern}') > 0 THEN instr({text}, '{pattern}') - 1 ELSE coalesce(list_filter(range(0, length({text}) - {len(pattern) - 1}), lambda i: {misses} <= 1)[1], -1) END"
+
+
+@query(f""", a AS (SELECT read_id, seq, {_near_sql('seq', 'TTACAT')} AS a FROM reads), b AS (SELECT read_id, CASE WHEN a BETWEEN 0 AND 40 THEN substr(seq, a + 7) END AS rest FROM a),
+ c AS (SELECT read_id, rest, {_near_sql("coalesce(rest, '')", 'GATTCA')} AS cut FROM b), d AS (SELECT read_id, CASE WHEN cut >= 0 THEN substr(rest, 1, cut) ELSE rest END AS insert FROM c) SELECT read_id, insert, coalesce(length(insert) >= 20, false) AS kept FROM d""")
+def rd2_trim_prefix_mme1(spark, d):
+    return rd.trim_transposon_prefix(t.reads(spark, d), "TTACAT", 0, 40, 1, 20, "GATTCA").select("read_id", "insert", "kept")
+
+
+@query(f""", a AS (SELECT read_id, seq, {_near_sql('seq', 'ACTAC')} AS a FROM reads), b AS (SELECT read_id, CASE WHEN a >= 0 THEN substr(seq, a + 6) ELSE '' END AS tail FROM a), c AS (SELECT *, {_near_sql('tail', 'TTCAG')} AS b FROM b),
+ e AS (SELECT *, CASE WHEN b >= 0 THEN substr(tail, b + 6) ELSE '' END AS gen FROM c), f AS (SELECT *, {_near_sql('gen', 'GAAGA')} AS c FROM e)
+ SELECT read_id, CASE WHEN b BETWEEN 5 AND 15 THEN substr(tail, 1, b) ELSE 'XXXXXXXXXX' END AS barcode, CASE WHEN c >= 0 THEN substr(gen, 1, c) ELSE gen END AS genomic FROM f""")
+def rd3_template_barcodes_mme1(spark, d):
+    return rd.extract_template_barcodes(t.reads(spark, d), "ACTAC", "TTCAG", "GAAGA", 1).select("read_id", "barcode", "genomic")
+
+
 @query("""SELECT read_id, CASE WHEN a > 0 AND instr(tail, 'TTA') - 1 BETWEEN 5 AND 25 THEN substr(tail, 1, instr(tail, 'TTA') - 1) ELSE 'XXXXXXXXXX' END AS barcode FROM (SELECT read_id, instr(seq, 'CAT') AS a, substr(seq, instr(seq, 'CAT') + 3) AS tail FROM reads)""")
 def rd4_barseq(spark, d):
     return rd.extract_between(t.reads(spark, d), "CAT", "TTA", 5, 25).select("read_id", "barcode")

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -58,7 +60,7 @@ def test_interval_joins_against_loops(spark):
                 codon = True if variant == "B" else (p <= b - 3 if strand == "+" else p >= a + 3)
                 if x <= p <= y and codon and y > x and 0.05 <= (p - x) / (y - x) <= 0.9:
                     want.add((p, orf))
-        got = {(r.position, r.orf) for r in joins.assign_sites(s, g, 5, 10, True, variant, bin_size=64).collect()}
+        got = {(r.position, r.orf) for r in joins.assign_sites(s, g, 5, 10, True, variant).collect()}
         assert got == want
 
 
@@ -157,6 +159,14 @@ def test_resampling(spark):
         assert sum(got[f"g{i}"].pval < 0.05 for i in range(5)) >= 4 and np.mean([r.pval for k, r in got.items() if int(k[1:]) >= 5]) > 0.2
     fast = {r.orf: r.done for r in tests.resampling(sg, groups, 1000, "site", adaptive=True, batch=100).collect()}
     assert min(fast.values()) < 1000 < max(fast.values()) + 1
+    # A gene's permutations may be many rows of few values each: the p values do not depend on how they are dealt.
+    few = {r.orf: r.pval for r in tests.resampling(sg, groups, 300, "site", cells=2000, work=1).collect()}
+    assert few == {r.orf: r.pval for r in tests.resampling(sg.repartition(5), groups, 300, "site", cells=2000).collect()}
+    try:
+        tests.resampling(sg, groups.withColumn("library", F.when(F.col("is_exp"), "A").otherwise("B")), 100, "library")
+        raise AssertionError("libraries that only one group has were accepted")
+    except ValueError:
+        pass
     own = tests.resampling(sg, groups, 100, "site", statistic=lambda a, b: np.median(b, axis=-1) - np.median(a, axis=-1))
     assert own.count() == 12
 
@@ -173,8 +183,8 @@ def test_adaptive_resampling_goes_on_with_new_permutations(spark):
     for orf, rows in sg.toPandas().sort_values(["position", "sample_id"]).groupby("orf"):
         counts, x = rows["count"].to_numpy(), rows["sample_id"].map(exp).to_numpy(bool)
         observed, done, two = abs(counts[x].mean() - counts[~x].mean()), 0, 0
-        for part, size in enumerate((20, 180, 500, 500, 500, 300)):
-            seen = tests._permute(counts, x, x, "pooled", size, np.random.default_rng([0, part, *orf.encode()]))
+        for lo, size in ((0, 20), (20, 180), (200, 500), (700, 500), (1200, 500), (1700, 300)):
+            seen = tests._permute(counts, x, x, "pooled", size, np.random.default_rng([0, lo, *orf.encode()]))
             done, two = done + size, two + int((abs(seen[:, x].mean(axis=1) - seen[:, ~x].mean(axis=1)) >= observed - 1e-12).sum())
             if done in (20, 200) and two >= 2:
                 break
@@ -250,8 +260,17 @@ def test_gumbel_and_gaps(spark):
     rows = [(f"g{i}", 40, int(x), int(r), int(r * 20), 800, float(x / 40)) for i, (x, r) in enumerate(zip(rng.integers(15, 30, 60), rng.integers(2, 6, 60)))]
     rows += [(f"e{i}", 40, 0, 40, 800, 800, 0.0) for i in range(6)] + [("tiny", 1, 0, 1, 2, 2, 0.0)]
     blocks = frame(spark, rows, "orf string, n long, k long, max_run long, gap_span long, span long, theta double")
-    got = {r.orf: r for r in essentiality.gumbel(blocks, samples=100, burnin=20, chains=2).collect()}
+    got = {r.orf: r for r in essentiality.gumbel(blocks, samples=100, burnin=20, chains=2, limit=None).collect()}
     assert got["tiny"].call == "S" and all(got[f"e{i}"].zbar > 0.9 for i in range(6)) and np.mean([got[f"g{i}"].zbar for i in range(60)]) < 0.1
+    assert all(r.ratio is None if r.call == "S" else r.ratio >= 0.9 for r in got.values())
+    fine = essentiality.gumbel(blocks, samples=400, burnin=50, rounds=4)
+    assert fine.agg(F.max("ratio")).first()[0] <= 1.1
+    try:  # steps so small that no chain leaves its start
+        between = frame(spark, [(f"m{i}", 40, 9, 8 + i, 160 + 20 * i, 800, 0.2) for i in range(12)], "orf string, n long, k long, max_run long, gap_span long, span long, theta double")
+        essentiality.gumbel(blocks.union(between), samples=20, burnin=0, limit=1.1, rounds=1, step=1e-9)
+        raise AssertionError("chains that do not mix were accepted")
+    except RuntimeError:
+        pass
     p = {r.orf: r.pval for r in essentiality.griffin(blocks, 0.5).collect()}
     assert p["e0"] < 1e-6 < p["g0"]
 
@@ -280,8 +299,15 @@ def test_ttn_against_least_squares(spark):
     np.add.at(x, (np.arange(len(pdf)), pdf.down), 1)
     full = np.column_stack([g.to_numpy(), x])
     want = full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    beta = np.array(beta.first()["beta"])
     fit = np.array([coef[o] for o in pdf.orf]) + beta[pdf.up] + beta[pdf.down]
     assert np.allclose(fit, want, atol=1e-5)
+    # Two samples in one plan are two samples by themselves.
+    both = [(s, g, c * k, u, d) for s, k in (("a", 1), ("b", 3)) for g, c, u, d in rows]
+    keyed = {(r.sample_id, r.orf): (r.coef, r.pval, r.padj) for r in ttn.ttn_fitness(frame(spark, both, "sample_id string, orf string, count double, up int, down int"), ["sample_id"])[0].collect()}
+    for s, k in (("a", 1), ("b", 3)):
+        for r in ttn.ttn_fitness(frame(spark, [(g, c * k, u, d) for g, c, u, d in rows], "orf string, count double, up int, down int"))[0].collect():
+            assert np.allclose(keyed[s, r.orf], (r.coef, r.pval, r.padj), atol=1e-6)
 
 
 def test_gene_sets(spark):
@@ -318,6 +344,26 @@ def test_mismatch_search(spark):
     assert near == {"a": 3, "b": 3, "c": -1, "d": 2, "e": -1}
     old = {r.id: r.at for r in rows.select("id", reads.find_with_mismatches(F.col("seq"), "ACTT", 1, legacy_range=True).alias("at")).collect()}
     assert old["d"] == -1
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("ACGT"), int(n))) for n in rng.integers(0, 150, 200)] + ["", "é" + "ACGT" * 40]
+    for pattern in ("ACG", "ACGTAC", "A" * 5 + "C", "ACGT" * 18):
+        for most in (0, 1, 2):
+            data, offs = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+            for less in (0, 1):
+                want = [next((i for i in range(len(x) - len(pattern) + 1 - less) if sum(a != b for a, b in zip(x[i:], pattern)) <= most), -1) for x in texts]
+                assert reads.first_hits(data, offs, pattern, most, less).tolist() == want
+
+
+def test_intervals_of_all_lengths_meet_once(spark):
+    rng = np.random.default_rng(3)
+    spans = lambda n: [(int(a), int(a + 10 ** rng.uniform(0, 7))) for a in rng.integers(0, 3_000_000, n)]
+    left, right = spans(120) + [(0, 100_000_000), (511, 512), (4095, 4096)], spans(120) + [(0, 90_000_000), (512, 512), (4096, 9000)]
+    a = frame(spark, [("c1", i, s, e) for i, (s, e) in enumerate(left)], "contig string, run_id int, start_pos long, end_pos long")
+    b = frame(spark, [("c1", f"g{i}", s, e) for i, (s, e) in enumerate(right)], "contig string, orf string, start long, end long")
+    got = Counter((r.run_id, r.orf) for r in joins.overlaps(a, b).collect())
+    assert got == Counter((i, f"g{j}") for i, (s, e) in enumerate(left) for j, (x, y) in enumerate(right) if s <= y and x <= e)
+    assert joins._in_bins_above(a, "start_pos", "end_pos", list(range(joins.LEVELS)), False).count() <= 2 * joins.LEVELS * len(left)
+    assert joins._in_own_bins(a, "start_pos", "end_pos").count() <= 2 * len(left)
 
 
 def test_normalisations(spark):
@@ -389,10 +435,8 @@ def test_site_reports_have_every_site(spark):
     assert queries["rd12_preprocess_stats"](spark, d).first().sites == len(want)
 
 
-def test_queries_take_every_sample_and_gene(spark, monkeypatch):
+def test_queries_take_every_sample_and_gene(spark):
     import __spark_entry__ as e
-    from lociq.plans import model_queries
-
     d, queries = "/root/testdata/sf0.001", e.queries()
     rows = lambda name: {tuple(r) for r in queries[name](spark, d).collect()}
     samples = {r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus", F.lit("_"), (F.col("l_linenumber") % 2).cast("string"))).distinct().collect()}
@@ -400,15 +444,15 @@ def test_queries_take_every_sample_and_gene(spark, monkeypatch):
     for name in ("j4_genes_in_ranges", "j5_overlap"):
         assert {r[0] for r in rows(name)} == samples, name
     assert len({r[0] for r in rows("w10_average_ranks")}) == len({r[0] for r in rows("a5_tosses")})
-    # The models themselves are tested above; here each sample must reach them.
-    seen = []
-    one = lambda sample: spark.range(1).select(F.lit("g").alias("orf"))
-    for name in ("_gaps", "_gene_calls", "_fitness_defect", "_ttn_rows"):
-        monkeypatch.setattr(model_queries, name, lambda spark, d, sample, name=name: seen.append((name, sample)) or one(sample))
-    monkeypatch.setattr(model_queries.ttn, "ttn_fitness", lambda rows: (rows, None))
-    for name in ("m7_tn5gaps", "m9_hmm_gene_calls", "m12_ttn_fitness", "m13_fitness_defect"):
-        assert {r.sample_id for r in queries[name](spark, d).collect()} == samples, name
-    assert len(set(seen)) == 4 * len(samples)
+    genes = spark.read.parquet(f"{d}/part.parquet").count()
+    for name in ("m7_tn5gaps", "m9_hmm_gene_calls"):
+        assert {r[0] for r in rows(name)} == samples and len(rows(name)) == len(samples) * genes, name
+    for name in ("m12_ttn_fitness", "m13_fitness_defect"):
+        assert {r.sample_id for r in queries[name](spark, d).select("sample_id").distinct().collect()} == samples, name
+    assert {r.condition for r in queries["m9_hmm_genes"](spark, d).select("condition").distinct().collect()} == {x[0] for x in samples}
+    # What a plan reads of the given tables is read when it is built; then come the written tables of runs, calls and corrections.
+    scans = lambda name: queries[name](spark, d)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans("m9_hmm_gene_calls") <= 4 and all(scans(name) <= 8 for name in ("m7_tn5gaps", "m14_fet", "m16_ontology_enrichment"))
 
 
 def test_models_use_all_draws_counts_and_depths(spark, monkeypatch):
@@ -418,16 +462,46 @@ def test_models_use_all_draws_counts_and_depths(spark, monkeypatch):
     for module, name in ((m.tests, "resampling"), (m.essentiality, "gumbel"), (m.interactions, "genetic_interactions"), (m.tests, "fitness_defect"), (m.genesets, "gsea")):
         monkeypatch.setattr(module, name, lambda *a, name=name, **k: given.update({name: k}) or spark.range(1))
     for name in ("_blocks", "_ranked", "_groups", "site_gene"):
-        monkeypatch.setattr(m, name, lambda *a: spark.range(1).selectExpr("'N' sample_id", "'g' orf", "0 k", "0 n", "0 max_run", "0 gap_span", "0 span", "0 theta", "0D count"))
+        monkeypatch.setattr(m, name, lambda *a, **k: spark.range(1).selectExpr("'N' sample_id", "'g' orf", "0 k", "0 n", "0 max_run", "0 gap_span", "0 span", "0 theta", "0D count"))
     d = "/root/testdata/sf0.001"
-    for f in (m.m2_resampling, m.m5_gumbel, m.m11_genetic_interactions, m.m15_gsea):
+    for f in (m.m2_resampling, m.m5_gumbel, m.m11_genetic_interactions, m.m13_fitness_defect, m.m15_gsea):
         f(spark, d)
-    m._fitness_defect(spark, d, "NO_1")
     assert given["resampling"]["times"] == given["genetic_interactions"]["samples"] == given["fitness_defect"]["draws"] == given["gsea"]["n_perm"] == 10_000
     assert given["gumbel"]["samples"] == 10_000 and given["gumbel"]["burnin"] == 500 and given["gumbel"].get("chains", 4) == 4
     monkeypatch.undo()
     counts = spark.range(1_000_000).select(F.col("id").cast("double").alias("count"), F.lit(1).alias("n")).union(frame(spark, [(2e6, 900_000_000)], "count double, n long"))
     found = tests.fitness_defect(frame(spark, [("g", 1, 5.0)], "orf string, n long, sum double"), counts, draws=10).first()
     assert found.expected > 1e6
+    began = time.perf_counter()
     chain = frame(spark, [(f"t{i}", f"t{i + 1}") for i in range(100)], "child string, parent string")
     assert genesets.ancestors(chain).count() == 101 * 102 // 2
+    ring = frame(spark, [(f"t{i}", f"t{(i + 1) % 9}") for i in range(9)] + [("x", "t0"), ("t3", "t3")], "child string, parent string")
+    closed = genesets.ancestors(ring)
+    assert closed.count() == closed.distinct().count() == 9 * 9 + 10 and time.perf_counter() - began < 90
+
+
+def test_samples_without_hits_or_gaps(spark):
+    """Each keeps all its rows, with defined values, and does not touch the others."""
+    rng = np.random.default_rng(8)
+    good = [float((rng.random() < 0.4) * rng.geometric(0.1)) for _ in range(60)]
+    tracks = {"good": good, "none": [0.0] * 60, "full": [float(rng.geometric(0.1)) for _ in range(60)], "ones": [1.0] * 60}
+    rows = [(k, "c1", 10 * i, v) for k, values in tracks.items() for i, v in enumerate(values)]
+    track = frame(spark, rows, "condition string, contig string, position long, count double")
+    alone = essentiality.hmm(track.filter("condition = 'good'"), 20).orderBy("position").toPandas()
+    found = essentiality.hmm(track, 20).orderBy("position").toPandas()
+    assert found.groupby("condition").size().to_dict() == dict.fromkeys(tracks, 60)
+    assert found[["es", "gd", "ne", "ga"]].notna().all().all() and np.allclose(found[["es", "gd", "ne", "ga"]].sum(1), 1)
+    assert (found[found.condition == "none"].state == "ES").all() and np.allclose(found[found.condition == "good"][["es", "ne"]].to_numpy(), alone[["es", "ne"]].to_numpy())
+    par = {r.condition: (r.m, r.pins) for r in essentiality.hmm_parameters(track).collect()}
+    assert par["none"] == (1.0, 0.0) and par["full"][1] == 1.0 and essentiality.hmm(track.limit(0), 20).count() == 0
+
+    genes = frame(spark, [("c1", "g1", 0, 95), ("c1", "g2", 300, 420), ("c1", "off", 9000, 9100)], "contig string, orf string, start long, end long")
+    own = track.withColumnRenamed("condition", "sample_id")
+    got = {(r.sample_id, r.orf): r for r in essentiality.gaps(windows.runs(own, ["sample_id", "contig"]), genes, essentiality.insertion_rates(own, ["sample_id"]), ["sample_id"]).collect()}
+    assert len(got) == 12 and all(math.isfinite(r.pval) and math.isfinite(r.padj) for r in got.values())
+    assert all(got[s, g].pval == 1 and got[s, g].call == "Non-essential" for s in ("none", "full", "ones") for g in ("g1", "g2", "off")) and got["none", "g1"].run_length == 60
+
+    blocks = frame(spark, [("a", 30, 30, 0), ("b", 5, 5, 0), ("e", 0, 0, 0)], "orf string, k long, n long, max_run long")
+    for theta, want in ((1.0, {"a": 0, "b": 0, "e": 0}), (0.0, {"a": 30, "b": 5, "e": 0}), (None, {"a": 30, "b": 5, "e": 0})):
+        seen = essentiality.griffin(blocks, theta).collect()
+        assert {r.orf: r.expected_run for r in seen} == want and all(r.pval == 1 for r in seen)
