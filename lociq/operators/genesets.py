@@ -95,7 +95,10 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def ontology_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFrame, smallest: int = 2, largest: int = 300) -> DataFrame:
-    """(term, n_parents, m, q, p, b, pval, enrichment, padj) by the parent-child union: b of m term genes are hits, against p of q in the union of the direct parents."""
+    """(term, n_parents, m, q, p, b, pval, enrichment, padj) by the parent-child union: b of m term genes are hits, against p of q in the union of the direct parents.
+
+    enrichment: the share of the union's hits that the term holds over the share of its genes, 1 added to each of the four.
+    """
     edges = keep(edges.distinct(), "ontology")
     genes = associations.select("orf", "term").distinct().join(ancestors(edges), "term").select("orf", F.col("ancestor").alias("term")).distinct()
     marked = keep(genes.join(hits.select("orf").distinct().withColumn("_hit", F.lit(1)), "orf", "left").fillna(0, ["_hit"]), "marked")
@@ -106,4 +109,4 @@ def ontology_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFra
     count = parents.groupBy("child").agg(F.count("*").alias("n_parents"))
     out = own.join(union.withColumnRenamed("child", "term"), "term").join(count.withColumnRenamed("child", "term"), "term")
     p = special.hypergeom_sf_column(*[x.cast("double") for x in (F.col("b") - 1, F.col("q"), F.col("m"), F.col("p"))])
-    return bh_fdr(out.withColumn("pval", p).withColumn("enrichment", (F.col("b") + 1) / (F.col("p") * F.col("m") / F.col("q") + 1)))
+    return bh_fdr(out.withColumn("pval", p).withColumn("enrichment", ((F.col("b") + 1) / (F.col("p") + 1)) / ((F.col("m") + 1) / (F.col("q") + 1))))

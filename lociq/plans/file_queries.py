@@ -170,7 +170,7 @@ def snk3_export_igv(spark, d):
     return back.select(F.col("Start").cast("long"), F.col("End").cast("long"), "Feature", F.col("NO_0").cast("double"), F.col("AF_0").cast("double"))
 
 
-@query("SELECT sample_id, round(sum(round(count * f.factor, 1)), 3) AS total, count(*) AS n FROM site_counts JOIN (SELECT sample_id, 64 / avg(count) AS factor FROM site_counts GROUP BY 1) f USING (sample_id) GROUP BY 1")
+@query("SELECT sample_id, position, round(count * f.factor, 1) AS count FROM site_counts JOIN (SELECT sample_id, 64 / avg(count) AS factor FROM site_counts GROUP BY 1) f USING (sample_id)")
 def snk4_export_normalized(spark, d):
     """Normalised tracks with a decimal, read back; counts and factors are scaled so that few halves are to be rounded."""
     from lociq.operators import normalise
@@ -178,7 +178,7 @@ def snk4_export_normalized(spark, d):
     path, scaled = _folder(spark, "normalised"), normalise.normalize(t.site_counts(spark, d), "target", target=64.0)
     writers.export_normalized(scaled, path, "nonorm")
     back = readers.read_wig(spark, path, sample=r"sample_id=([^/]+)/")
-    return back.groupBy("sample_id").agg(F.round(F.sum("count"), 3).alias("total"), F.count("*").alias("n"))
+    return back.select("sample_id", "position", "count")
 
 
 @query(TEMPLATES_SQL + "SELECT position, fwd_rd_ct, fwd_templ_ct, rev_rd_ct, rev_templ_ct, tot_rd_ct, tot_templ_ct, tot_templ_ct AS wig FROM tc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lociq.functions import special
 from lociq.operators import aggregates as agg
 from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, ordered, tests, ttn, windows
 from lociq.operators import reads as rd
@@ -329,7 +330,7 @@ def m16_ancestors(spark, d):
  mk AS (SELECT DISTINCT a.orf, c.ancestor AS term, h.orf IS NOT NULL AS hit FROM associations a JOIN ca c ON c.term = a.term LEFT JOIN hits h ON h.orf = a.orf), ow AS (SELECT term, count(*) AS m, count(*) FILTER (hit) AS b FROM mk GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (hit) >= 1),
  un AS (SELECT child, count(*) AS q, count(*) FILTER (hit) AS p FROM (SELECT DISTINCT e.child, mk.orf, mk.hit FROM term_edges e JOIN mk ON mk.term = e.parent) GROUP BY 1), pc AS (SELECT child, count(*) AS n_parents FROM term_edges GROUP BY 1),
  f AS (SELECT ow.term, n_parents, m, q AS total, p AS drawn, b, b - 1 AS kk FROM ow JOIN un ON un.child = ow.term JOIN pc ON pc.child = ow.term), p AS (SELECT *, """ + _hypergeom_sql("kk", "total", "m", "drawn") + " AS pval FROM f), " + BH_SQL
-       + "SELECT term, n_parents, m, total AS q, drawn AS p, b, round(pval, 6) + 0 AS pval, round((b + 1) / (drawn * m / total + 1), 6) + 0 AS enrichment, round(padj, 6) + 0 AS padj FROM q")
+       + "SELECT term, n_parents, m, total AS q, drawn AS p, b, round(pval, 6) + 0 AS pval, round(((b + 1) / (drawn + 1)) / ((m + 1) / (total + 1)), 6) + 0 AS enrichment, round(padj, 6) + 0 AS padj FROM q")
 def m16_ontology_enrichment(spark, d):
     found = genesets.ontology_enrichment(_hits(spark, d)[1], t.associations(spark, d), t.term_edges(spark, d), largest=1_000_000)
     return found.select("term", "n_parents", "m", "q", "p", "b", *r6("pval", "enrichment", "padj"))
@@ -360,6 +361,47 @@ def m18_dose_response_coefficients(spark, d):
     return crispri.dose_response(_points(spark, d)).select("orf", "n", *r6("coef_efficacy", "coef_dose"))
 
 
+#: Two-sided p of Student's t with whole degrees of freedom v: finite sums over the angle whose tangent is |t| / sqrt(v).
+def _t_sql(stat: str, v: str) -> str:
+    angle = f"atan(abs({stat}) / sqrt({v}))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(1, ({v} - 1)::bigint // 2 + 1), lambda j: sqrt(pi()) / 2 * exp(lgamma(j) - lgamma(j + 0.5)) * power(cos({angle}), 2 * j - 1))), 0))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, ({v})::bigint // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * power(cos({angle}), 2 * j)))"
+    return f"(1 - CASE WHEN ({v})::bigint % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def _erf_sql(x: str) -> str:
+    return f"(exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 200), lambda n: CASE WHEN ({x}) = 0 THEN 0 ELSE exp((2 * n + 1) * ln(abs({x})) - lgamma(n + 1.5)) END)))"
+
+
+@query(f", v AS (SELECT o_orderkey, (o_totalprice % 997) / 150 AS x, o_custkey % 30 + 1 AS v FROM orders) SELECT o_orderkey, round({_t_sql('x', 'v')}, 6) + 0 AS p FROM v")
+def s1_t_tail(spark, d):
+    o = t.read(spark, d, "orders")
+    return o.select("o_orderkey", (F.round(special.t_sf2_column((F.col("o_totalprice") % 997) / 150, (F.col("o_custkey") % 30 + 1).cast("double")), 6) + F.lit(0.0)).alias("p"))
+
+
+@query(f""", v AS (SELECT o_orderkey, (o_totalprice % 997) / 20 AS x, o_custkey % 12 + 1 AS v FROM orders)
+ SELECT o_orderkey, round(CASE WHEN v % 2 = 0 THEN exp(-x / 2) * list_sum(list_transform(range(0, v // 2), lambda j: power(x / 2, j) / gamma(j + 1)))
+  ELSE 1 - {_erf_sql('sqrt(x / 2)')} + exp(-x / 2) * coalesce(list_sum(list_transform(range(1, (v - 1) // 2 + 1), lambda j: power(x / 2, j - 0.5) / gamma(j + 0.5))), 0) END, 6) + 0 AS p FROM v""")
+def s3_chi2_tail(spark, d):
+    o = t.read(spark, d, "orders")
+    return o.select("o_orderkey", (F.round(special.chi2_sf_column((F.col("o_totalprice") % 997) / 20, (F.col("o_custkey") % 12 + 1).cast("double")), 6) + F.lit(0.0)).alias("p"))
+
+
+@query(f", v AS (SELECT o_orderkey, (o_totalprice % 997) / 180 AS x FROM orders) SELECT o_orderkey, round(0.5 * (1 - {_erf_sql('x / sqrt(2)')}), 6) + 0 AS p FROM v")
+def s5_normal_tail(spark, d):
+    o = t.read(spark, d, "orders")
+    return o.select("o_orderkey", (F.round(special.norm_sf_column((F.col("o_totalprice") % 997) / 180), 6) + F.lit(0.0)).alias("p"))
+
+
+@query(""", ab AS (SELECT orf, efficacy AS a, log2(CASE WHEN dose = 0 THEN 0.125 ELSE dose END) AS b, count / max(count) OVER (PARTITION BY dose) AS x FROM abundances), y AS (SELECT orf, a, b, log10((0.01 + 0.99 * tanh(x)) / (1 - (0.01 + 0.99 * tanh(x)))) AS y FROM ab),
+ m AS (SELECT orf, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM y GROUP BY 1), s AS (SELECT orf, n, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) AS bb, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS "by", sum((y - my) * (y - my)) AS yy FROM y JOIN m USING (orf) GROUP BY 1, 2),
+ c AS (SELECT *, (bb * ay - ab * "by") / (aa * bb - ab * ab) AS ca, (aa * "by" - ab * ay) / (aa * bb - ab * ab) AS cb FROM s), e AS (SELECT *, greatest(yy - ca * ay - cb * "by", 0) / (n - 3) AS v FROM c),
+ f AS (SELECT orf, n - 3 AS df, ca / sqrt(v * bb / (aa * bb - ab * ab)) AS ta, cb / sqrt(v * aa / (aa * bb - ab * ab)) AS tb FROM e), p AS (SELECT orf, """ + _t_sql("ta", "df") + " AS p_efficacy, " + _t_sql("tb", "df") + " AS pval FROM f), " + BH_SQL
+       + "SELECT orf, round(p_efficacy, 6) + 0 AS p_efficacy, round(pval, 6) + 0 AS p_dose, round(padj, 6) + 0 AS padj FROM q")
+def m18_dose_response_pvalues(spark, d):
+    return crispri.dose_response(_points(spark, d)).select("orf", *r6("p_efficacy", "p_dose", "padj"))
+
+
 @query(None)
 def m18_dose_response(spark, d):
     return crispri.significant_interactions(crispri.dose_response(_points(spark, d)))

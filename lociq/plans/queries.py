@@ -66,27 +66,27 @@ def f5_lookup(spark, d):
     return filters.lookup(t.samples(spark, d), "sample_id", condition="N", replicate="1")
 
 
-@query("SELECT sample_id, sum(CASE WHEN count < 20 THEN 0 ELSE count END) AS reads FROM site_counts GROUP BY 1")
+@query("SELECT sample_id, position, CASE WHEN count < 20 THEN 0 ELSE count END AS count FROM site_counts")
 def f6_min_read_filter(spark, d):
-    return filters.min_read_filter(t.site_counts(spark, d), 20).groupBy("sample_id").agg(F.sum("count").alias("reads"))
+    return filters.min_read_filter(t.site_counts(spark, d), 20).select("sample_id", "position", "count")
 
 
-@query("""SELECT sample_id, orf, sum(count) AS reads FROM (SELECT s.*, g.orf FROM site_counts s JOIN genes g ON s.position BETWEEN g.start AND g."end"
- AND (CASE WHEN strand = '+' THEN s.position <= g."end" - 3 ELSE s.position >= g.start + 3 END) AND (s.position - g.start) / (g."end" - g.start) BETWEEN 0.05 AND 0.9) GROUP BY 1, 2""")
+@query("""SELECT sample_id, orf, position, count FROM (SELECT s.*, g.orf FROM site_counts s JOIN genes g ON s.position BETWEEN g.start AND g."end"
+ AND (CASE WHEN strand = '+' THEN s.position <= g."end" - 3 ELSE s.position >= g.start + 3 END) AND (s.position - g.start) / (g."end" - g.start) BETWEEN 0.05 AND 0.9)""")
 def f7_terminus_trim(spark, d):
-    return joins.assign_sites(t.site_counts(spark, d), t.genes(spark, d).drop("name", "description"), 5, 10).groupBy("sample_id", "orf").agg(F.sum("count").alias("reads"))
+    return joins.assign_sites(t.site_counts(spark, d), t.genes(spark, d).drop("name", "description"), 5, 10).select("sample_id", "orf", "position", "count")
 
 
 @query(""", r AS (SELECT *, dense_rank() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k FROM site_gene_a), s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r)
- SELECT orf, sample_id, sum(CASE WHEN k = 1 AND second IS NOT NULL THEN second ELSE count END) AS reads FROM s GROUP BY 1, 2""")
+ SELECT orf, sample_id, position, CASE WHEN k = 1 AND second IS NOT NULL THEN second ELSE count END AS count FROM s""")
 def f8_winsorize(spark, d):
-    return filters.winsorize(site_gene(spark, d), ["orf", "sample_id"]).groupBy("orf", "sample_id").agg(F.sum("count").alias("reads"))
+    return filters.winsorize(site_gene(spark, d), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
 
 
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k, max(count) OVER (PARTITION BY orf, sample_id) AS m, count(*) OVER (PARTITION BY orf, sample_id) AS n FROM site_gene_a),
- s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r) SELECT orf, sample_id, sum(CASE WHEN n >= 3 AND second <> 0 AND count = m THEN second ELSE count END) AS reads FROM s GROUP BY 1, 2""")
+ s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r) SELECT orf, sample_id, position, CASE WHEN n >= 3 AND second <> 0 AND count = m THEN second ELSE count END AS count FROM s""")
 def f9_winsorize_resampling(spark, d):
-    return filters.winsorize_resampling(site_gene(spark, d), ["orf", "sample_id"]).groupBy("orf", "sample_id").agg(F.sum("count").alias("reads"))
+    return filters.winsorize_resampling(site_gene(spark, d), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
 
 
 @query("SELECT a.condition, b.status, count(s.sample_id) AS n_samples FROM (SELECT DISTINCT condition FROM samples) a CROSS JOIN (SELECT DISTINCT status FROM samples) b LEFT JOIN samples s ON s.condition = a.condition AND s.status = b.status GROUP BY 1, 2")
@@ -378,16 +378,17 @@ def w13_bucket_sums(spark, d):
 
 
 def _norm_sql(factor: str, extra: str = "") -> str:
-    return f"{extra or ', one AS (SELECT 1)'}, f AS ({factor}) SELECT sample_id, round(sum(s.count * f.factor), 4) AS total, round(max(s.count * f.factor), 4) AS top FROM site_counts s JOIN f USING (sample_id) GROUP BY 1"
+    return f"{extra or ', one AS (SELECT 1)'}, f AS ({factor}) SELECT sample_id, position, round(s.count * f.factor, 4) + 0 AS count FROM site_counts s JOIN f USING (sample_id)"
 
 
-def _totals(df):
-    return df.groupBy("sample_id").agg(F.round(F.sum("count"), 4).alias("total"), F.round(F.max("count"), 4).alias("top"))
+def _sites(df, digits: int = 4):
+    """Every site's count."""
+    return df.select("sample_id", "position", (F.round("count", digits) + F.lit(0.0)).alias("count"))
 
 
-@query("SELECT sample_id, round(sum(count), 4) AS total, round(max(count), 4) AS top FROM site_counts GROUP BY 1")
+@query("SELECT sample_id, position, round(count, 4) + 0 AS count FROM site_counts")
 def n1_nonorm(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "nonorm"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "nonorm"))
 
 
 TTR_SQL = """, v AS (SELECT sample_id, count, row_number() OVER (PARTITION BY sample_id ORDER BY count) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM site_counts WHERE count > 0),
@@ -397,7 +398,7 @@ TTR_SQL = """, v AS (SELECT sample_id, count, row_number() OVER (PARTITION BY sa
 
 @query(_norm_sql("SELECT * FROM ttr", TTR_SQL))
 def n2_ttr(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "TTR"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "TTR"))
 
 
 @query(_norm_sql("SELECT sample_id, 50 / (avg((count > 10)::int) * quantile_cont(count, 0.5) FILTER (count > 0)) AS factor FROM site_counts GROUP BY 1"))
@@ -405,57 +406,57 @@ def n2_ttr_with_estimators(spark, d):
     """TTR with other estimators of density and mean, and another target."""
     counts, hit = t.site_counts(spark, d), F.when(F.col("count") > 0, F.col("count"))
     factors = normalise.ttr_factors(counts, density=F.avg((F.col("count") > 10).cast("double")), mean=F.percentile(hit, 0.5), target=50.0)
-    return _totals(normalise.scaled(counts, factors))
+    return _sites(normalise.scaled(counts, factors))
 
 
 @query(_norm_sql("SELECT sample_id, avg(m) OVER () / m AS factor FROM (SELECT sample_id, avg(count) AS m FROM site_counts WHERE count > 0 GROUP BY 1)"))
 def n3_nzmean(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "nzmean"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "nzmean"))
 
 
 @query(_norm_sql("SELECT sample_id, avg(m) OVER () / m AS factor FROM (SELECT sample_id, avg(count) AS m FROM site_counts GROUP BY 1)"))
 def n4_totreads(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "totreads"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "totreads"))
 
 
 @query(None)
 def n5_emphist(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "emphist", site_gene(spark, d), "NO_0"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "emphist", site_gene(spark, d), "NO_0"))
 
 
 @query(None)
 def n6_zinfnb(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "zinfnb"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "zinfnb"))
 
 
 @query(""", x AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY count, position) AS i, dense_rank() OVER (PARTITION BY sample_id ORDER BY count) AS r FROM site_counts),
- mm AS (SELECT m, dense_rank() OVER (ORDER BY m) AS r FROM (SELECT DISTINCT m FROM (SELECT i, avg(count) AS m FROM x GROUP BY 1))) SELECT sample_id, round(sum(m), 4) AS total, round(max(m), 4) AS top FROM x JOIN mm USING (r) GROUP BY 1""")
+ mm AS (SELECT m, dense_rank() OVER (ORDER BY m) AS r FROM (SELECT DISTINCT m FROM (SELECT i, avg(count) AS m FROM x GROUP BY 1))) SELECT sample_id, position, round(m, 4) + 0 AS count FROM x JOIN mm USING (r)""")
 def n7_quantile(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "quantile"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "quantile"))
 
 
 @query(None)
 def n8_betageom(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "betageom"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "betageom"))
 
 
 @query(None)
 def n9_abgc(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "aBGC"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "aBGC"))
 
 
 @query(_norm_sql("SELECT sample_id, 100 / avg(count) AS factor FROM site_counts GROUP BY 1"))
 def n10_target(spark, d):
-    return _totals(normalise.normalize(t.site_counts(spark, d), "target"))
+    return _sites(normalise.normalize(t.site_counts(spark, d), "target"))
 
 
 @query(""", b AS (SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY position) - 1) // 100 AS bucket, position, count FROM site_counts), w AS (SELECT sample_id, bucket, min(position) AS position, sum(count) AS count FROM b GROUP BY 1, 2),
  n AS (SELECT a.sample_id, a.bucket, a.position, c.position::double AS x, c.count AS y, power(1 - power(abs(c.position - a.position) / 10000.0, 3), 3) AS w FROM w a JOIN w c ON a.sample_id = c.sample_id AND abs(a.position - c.position) <= 10000),
  s AS (SELECT sample_id, bucket, position, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy, sum(w * x * y) AS swxy, sum(x * x) AS sxx FROM n GROUP BY 1, 2, 3),
  g AS (SELECT *, coalesce((sw * swxy - swx * swy) / nullif(sw * sxx - swx * swx, 0), 0) AS slope FROM s), h AS (SELECT sample_id, bucket, (swy - slope * swx) / sw + slope * position AS smooth FROM g),
- f AS (SELECT sample_id, bucket, smooth / avg(smooth) OVER (PARTITION BY sample_id) AS factor FROM h) SELECT sample_id, round(sum(count / factor), 3) AS total, round(max(count / factor), 3) AS top FROM b JOIN f USING (sample_id, bucket) GROUP BY 1""")
+ f AS (SELECT sample_id, bucket, smooth / avg(smooth) OVER (PARTITION BY sample_id) AS factor FROM h) SELECT sample_id, position, round(count / factor, 3) + 0 AS count FROM b JOIN f USING (sample_id, bucket)""")
 def n11_loess(spark, d):
-    return normalise.loess_correction(t.site_counts(spark, d)).groupBy("sample_id").agg(F.round(F.sum("count"), 3).alias("total"), F.round(F.max("count"), 3).alias("top"))
+    return _sites(normalise.loess_correction(t.site_counts(spark, d)), 3)
 
 
 @query(TTR_SQL + "SELECT sample_id, round(d, 6) + 0 AS theta, round(m, 6) + 0 AS mu FROM tm JOIN de USING (sample_id)")
