@@ -156,9 +156,9 @@ def src15_read_galign(spark, d):
     return readers.read_galign(spark, _written(made, "galign"))
 
 
-@query("SELECT read_id, substr(seq, 1, 20) AS barcode FROM reads WHERE seq <> ''")
+@query("SELECT read_id, translate(substr(md5(seq), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode FROM reads WHERE seq <> ''")
 def src16_read_barcode_fasta(spark, d):
-    kept = t.reads(spark, d).filter("seq <> ''").select(F.concat(F.lit(">"), "read_id", F.lit("\n"), F.substring("seq", 1, 20)).alias("value"))
+    kept = t.reads(spark, d).filter("seq <> ''").select(F.concat(F.lit(">"), "read_id", F.lit("\n"), t.letters_of("seq", 20)).alias("value"))
     return readers.read_barcode_fasta(spark, _written(kept, "barcodes"))
 
 

@@ -127,9 +127,8 @@ def m4_zinb(spark, d):
 
 
 def _blocks(spark, d):
-    """Gene blocks of one condition's samples, on whole genes."""
-    kept = site_gene(spark, d).filter("sample_id IN ('NO_0', 'NO_1')")
-    return agg.gene_block_stats(kept, t.genes(spark, d))
+    """Gene blocks of all samples together, on whole genes."""
+    return keep(agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d)), "blocks")
 
 
 @query(None)

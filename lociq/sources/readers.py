@@ -100,8 +100,8 @@ def gff_is_gff3(spark: SparkSession, path: str) -> bool:
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """(contig, seq), a row a record."""
-    raw = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
+    """(contig, seq), a row a record. A record starts at a line break before >: a > within a header is part of it."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter("trim(value) <> ''")
     lines = F.split("value", "\r?\n")
     seq = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), "")
     return raw.select(F.split(F.trim(lines[0]), r"\s")[0].alias("contig"), (F.upper(seq) if upper else seq).alias("seq"))

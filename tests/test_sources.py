@@ -47,7 +47,7 @@ def test_metadata_and_annotation(spark, tmp_path):
 
 
 def test_sequences(spark, tmp_path):
-    fa = write(tmp_path / "g.fa", ">c1 note\nacta\nTTaa\n>c2\nTATA\n")
+    fa = write(tmp_path / "g.fa", ">c1 note > inside\nacta\nTTaa\n>c2\nTATA\n")
     genome = r.read_fasta(spark, fa)
     assert {x.contig: x.seq for x in genome.collect()} == {"c1": "ACTATTAA", "c2": "TATA"}
     for size in (3, 100):
