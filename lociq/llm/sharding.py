@@ -55,7 +55,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, stratum: str
         slots = keep(places(keyed.select(F.col("key").alias("id"), F.col(f"_rest.`{stratum}`").alias("stratum"), (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")), shards, seed), "slots")
         return keyed.join(slots.select(F.col("id").alias("key"), "shard", "slot"), "key")
 
-    names = [c for c in docs.columns if c != "text"]
     found = by_key(docs, work, carry=True)
     whole = found.select("shard", "slot", F.struct(*[F.when(F.col("_void"), None).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns]).alias("doc"))
     run = F.expr(f"slot div {rows_a_file}L")
