@@ -11,7 +11,8 @@ from lociq.operators import crispri, essentiality, filters, genesets, interactio
 from lociq.operators import reads as rd
 from lociq.plans import tables as t
 from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, query, r6, site_gene
-from lociq.scratch import keep
+from lociq.scratch import folder, keep
+from lociq.sources import readers
 
 
 def _groups(spark, d):
@@ -98,9 +99,6 @@ def m3_utest_statistics(spark, d):
     return found.select("orf", "u", *r6("mean_ctrl", "mean_exp"))
 
 
-@query(None)
-def m3_utest(spark, d):
-    return tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
 
 
 @query(""", gs AS (SELECT b.orf, s.status || '_' || s.condition AS g, count AS c FROM site_gene_b b JOIN samples s USING (sample_id)), rk AS (SELECT *, dense_rank() OVER (PARTITION BY orf, g ORDER BY c DESC) AS k FROM gs), w AS (SELECT *, max(CASE WHEN k = 2 THEN c END) OVER (PARTITION BY orf, g) AS second FROM rk),
@@ -401,6 +399,23 @@ def m18_dose_response_pvalues(spark, d):
     return crispri.dose_response(_points(spark, d)).select("orf", *r6("p_efficacy", "p_dose", "padj"))
 
 
+# Exact distribution of a rank sum: w has the number of ways to choose k of the ranks 1 to i with sum s.
+M3_SQL = """, g AS (SELECT orf, position, count, s.condition = 'A' AS x FROM site_gene_a JOIN samples s USING (sample_id) WHERE s.condition IN ('N', 'A')),
+ r AS (SELECT *, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS rk, count(*) OVER (PARTITION BY orf, count) AS ties FROM g),
+ a AS (SELECT orf, count(DISTINCT position) AS sites, avg(count) FILTER (NOT x) AS mean_ctrl, avg(count) FILTER (x) AS mean_exp, count(*) FILTER (NOT x) AS n1, count(*) FILTER (x) AS n2, sum(rk) FILTER (NOT x) AS r1, sum(ties * ties - 1) AS tie_sum, max(count) AS top FROM r GROUP BY 1),
+ u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12 * (n1 + n2 + 1 - tie_sum / ((n1 + n2) * (n1 + n2 - 1))) AS v FROM a), z AS (SELECT *, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(nullif(v, 0)) AS z FROM u),
+ w AS (SELECT 0 AS i, 0 AS k, 0 AS s, 1::hugeint AS c UNION ALL SELECT i + 1, k + b, s + b * (i + 1), sum(c) FROM w, (VALUES (0), (1)) t(b) WHERE i < 60 AND k + b <= 8 GROUP BY ALL),
+ e AS (SELECT z.orf, least(1, 2 * sum(c) FILTER (w.s - k * (k + 1) // 2 <= floor(least(u, n1 * n2 - u))) / sum(c)) AS exact FROM z JOIN w ON w.i = n1 + n2 AND w.k = least(n1, n2) WHERE tie_sum = 0 AND least(n1, n2) <= 8 GROUP BY 1),
+ p AS (SELECT orf, sites, mean_ctrl, mean_exp, CASE WHEN mean_ctrl > 0 AND mean_exp > 0 THEN log2(mean_exp / mean_ctrl) ELSE log2((mean_exp + 1) / (mean_ctrl + 1)) END AS lfc, u,
+  CASE WHEN top = 0 THEN 1 WHEN exact IS NOT NULL THEN exact WHEN z IS NULL OR z <= 0 THEN 1 WHEN z > 9 THEN 0 ELSE 1 - """ + _erf_sql("z / sqrt(2)") + " END AS pval FROM z LEFT JOIN e USING (orf)), " + BH_SQL
+
+
+@query(M3_SQL + "SELECT orf, sites, round(mean_ctrl, 6) + 0 AS mean_ctrl, round(mean_exp, 6) + 0 AS mean_exp, round(lfc, 6) + 0 AS lfc, u, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q")
+def m3_utest(spark, d):
+    found = tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
+    return found.select("orf", "sites", *r6("mean_ctrl", "mean_exp", "lfc"), "u", *r6("pval", "padj"))
+
+
 @query(None)
 def m18_dose_response(spark, d):
     return crispri.significant_interactions(crispri.dose_response(_points(spark, d)))
@@ -480,6 +495,14 @@ def a25_call_summary(spark, d):
     return agg.call_summary(j11_attach_calls(spark, d))
 
 
+@query("SELECT least(count(*), 500) AS n FROM reads WHERE seq <> ''")
+def t3_max_reads(spark, d):
+    """A reader that stops after so many reads."""
+    path = folder(spark, "fastq")
+    t.reads(spark, d).filter("seq <> ''").select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "I")).alias("value")).write.text(path)
+    return readers.read_fastq(spark, path, maxreads=500).agg(F.count("*").alias("n"))
+
+
 @query("SELECT orf FROM (SELECT orf FROM genes ORDER BY (\"end\" - start) DESC, orf LIMIT 20)")
 def t2_top_k(spark, d):
     return t.genes(spark, d).orderBy(F.desc(F.col("end") - F.col("start")), "orf").limit(20).select("orf")
