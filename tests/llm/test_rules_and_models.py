@@ -39,7 +39,7 @@ def test_bad_host_is_rejected(spark):
     assert 1000 not in kept and 1 in kept and kept == {r.doc_id for r in host_rules.drop_rejected(df).collect()}
 
 
-def test_language_model(plain_df, plain, hard, empty):
+def test_language_model(plain_df, plain, hard, hard_rows, empty):
     got = {r.doc_id: r for r in class_lm.class_scores(plain_df, classes=8, seeds=64, block_tokens=1000).collect()}
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in plain}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
@@ -50,7 +50,14 @@ def test_language_model(plain_df, plain, hard, empty):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), total)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t), rel_tol=1e-9)
         assert r.score <= 0 and r.perplexity >= 1
-    assert class_lm.class_scores(hard, classes=8, seeds=64).count() == hard.count() and class_lm.class_scores(empty).count() == 0
+    # Null and repeated ids: each row by its own text, a null id hashed as empty text.
+    rows = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in hard_rows]
+    counts = Counter(w for _, out, t in rows if not out for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    want = Counter((i, out, len(t), sum(counts[w] > 0 for w in t), total, f"{sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t):.8g}") for i, out, t in rows)
+    found = class_lm.class_scores(hard, classes=8, seeds=64).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.8g}") for r in found) == want and all(math.isfinite(r.score) and r.score <= 0 for r in found)
+    assert class_lm.class_scores(empty).count() == 0
 
 
 def test_class_counts_and_scores_by_hand(spark, plain):
@@ -178,7 +185,12 @@ def test_toxicity_and_quality(spark, hard, empty):
     scored = [r for r in quality_qda.quality(docs, marks).collect() if r.held_out]
     assert np.mean([r.predicted == want[r.doc_id][0] for r in scored]) > 0.95
     for f in (toxicity.toxicity, quality_qda.quality):
-        assert f(hard, marks).count() == hard.count() and f(empty, marks).count() == 0
+        # Equal texts have equal scores, whatever their ids and other columns are; empty texts have one too.
+        found, texts = f(hard, marks).collect(), {}
+        assert len(found) == hard.count() and all(0 <= r.score <= 1 for r in found) and f(empty, marks).count() == 0
+        for i in (1, 2, 12):
+            texts[i] = {r.score for r in found if r.doc_id == i}
+        assert texts[1] == texts[2] and len(texts[12]) == 1 and texts[12] == {r.score for r in found if r.doc_id == 10}
         assert f(docs, marks.limit(0)).count() == 400
 
 
