@@ -29,6 +29,22 @@ def anova(site_gene: DataFrame, samples: DataFrame, genes: DataFrame, alpha: flo
     if winz:
         each = winsorize(each, ["orf"])
     sums = each.groupBy("orf", "condition").agg(F.count("*").alias("n"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("ss"), F.countDistinct("position").alias("sites"))
+    return _moderated(sums, genes, alpha)
+
+
+def anova_of_counts(counts: DataFrame, samples: DataFrame, genes: DataFrame, alpha: float = 1000.0, **bounds) -> DataFrame:
+    """anova() of counts (sample_id, contig, position, count), each sample with a count at every site.
+
+    Sums are made by site and condition before sites meet genes, so the join sees a row a condition and not a row a sample.
+    """
+    x = F.col("count")
+    each = with_metadata(counts, samples.select("sample_id", "condition")).groupBy("contig", "position", "condition").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
+    met = assign_sites(each, genes.select("contig", "orf", "start", "end", "strand"), **bounds)
+    return _moderated(met.groupBy("orf", "condition").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.count("*").alias("sites")), genes, alpha)
+
+
+def _moderated(sums: DataFrame, genes: DataFrame, alpha: float) -> DataFrame:
+    """The table of anova() from (orf, condition, n, s, ss, sites)."""
     total = sums.groupBy("orf").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.count("*").alias("k"), F.max("sites").alias("n_sites"))
     msr = (F.col("between") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1)
     mse = (F.col("ss") - F.col("between")) / (F.col("n") - F.col("k")) + alpha

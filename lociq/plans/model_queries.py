@@ -34,9 +34,12 @@ def m1_anova_statistics(spark, d):
 BH_SQL = "bh AS (SELECT *, pval * count(*) OVER () / count(*) OVER (ORDER BY pval) AS raw FROM p), q AS (SELECT *, least(min(raw) OVER (ORDER BY pval DESC), 1) AS padj FROM bh) "
 
 
+def _ttr(spark, d):
+    return normalise.normalize(keep(t.site_counts(spark, d), "track"), "TTR")  # read for the factors and for the counts
+
+
 def _ttr_site_gene(spark, d):
-    counts = normalise.normalize(keep(t.site_counts(spark, d), "track"), "TTR")  # read for the factors and for the counts
-    return joins.assign_sites(counts, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
+    return joins.assign_sites(_ttr(spark, d), t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
 
 
 # Three conditions: the F distribution with 2 and m degrees of freedom has the tail (1 + 2 f / m) ^ (-m / 2).
@@ -50,7 +53,7 @@ M1_SQL = TTR_SQL + """, sg AS (SELECT orf, position, condition, b.count * factor
 @query(M1_SQL + "SELECT orf, n_sites, status, round(msr, 3) + 0 AS msr, round(mse_alpha, 3) + 0 AS mse_alpha, round(fstat, 6) + 0 AS fstat, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q")
 def m1_anova(spark, d):
     """The flagship: TTR, sites to genes, moderated ANOVA and BH."""
-    found = tests.anova(_ttr_site_gene(spark, d), t.samples(spark, d), t.genes(spark, d))
+    found = tests.anova_of_counts(_ttr(spark, d), t.samples(spark, d), t.genes(spark, d), variant="B")
     return found.select("orf", "n_sites", "status", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("msr", "mse_alpha")], *r6("fstat", "pval", "padj"))
 
 
@@ -260,7 +263,9 @@ HITS_SQL = ", res AS (SELECT orf, avg(count) AS m FROM site_gene_a GROUP BY 1),
 
 def _hits(spark, d):
     """All genes with sites, and those whose mean count is above 8.5; the means are written once."""
-    means = keep(site_gene(spark, d).groupBy("orf").agg(F.avg("count").alias("m")), "means")
+    sites = t.site_counts(spark, d).groupBy("contig", "position").agg(F.count("*").alias("n"), F.sum("count").alias("s"))  # before sites meet genes
+    assigned = joins.assign_sites(sites, t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
+    means = keep(assigned.groupBy("orf").agg((F.sum("s") / F.sum("n")).alias("m")), "means")
     return means.select("orf"), means.filter("m > 8.5").select("orf")
 
 

@@ -446,7 +446,8 @@ def test_queries_take_every_sample_and_gene(spark):
     assert len({r[0] for r in rows("w10_average_ranks")}) == len({r[0] for r in rows("a5_tosses")})
     genes = spark.read.parquet(f"{d}/part.parquet").count()
     for name in ("m7_tn5gaps", "m9_hmm_gene_calls"):
-        assert {r[0] for r in rows(name)} == samples and len(rows(name)) == len(samples) * genes, name
+        found = rows(name)
+        assert {r[0] for r in found} == samples and len(found) == len(samples) * genes, name
     for name in ("m12_ttn_fitness", "m13_fitness_defect"):
         assert {r.sample_id for r in queries[name](spark, d).select("sample_id").distinct().collect()} == samples, name
     assert {r.condition for r in queries["m9_hmm_genes"](spark, d).select("condition").distinct().collect()} == {x[0] for x in samples}
