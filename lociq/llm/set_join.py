@@ -12,7 +12,10 @@ segments, and only they are joined in those buckets, so no link is lost.
 
 Buckets of up to `whole` sets give all their pairs. Larger buckets first give a star around their
 smallest set; after the star's links are verified, only pairs of different components are left to
-compare, so a group of near copies costs a row each, not a row a pair. What is left of a large bucket, and
+compare, so a group of near copies costs a row each, not a row a pair. A bucket of more than about `hot` sets
+is dealt to cells of that size before anything is shuffled, and its star is made by aggregation, so that no
+task reads such a bucket; a sample of the sets, by hash, finds these buckets. It decides where rows go
+and nothing else: a hot bucket that it misses is read by one task, with the same result. What is left of a large bucket, and
 large buckets of empty segments, are compared in tiles of at most about `tile` by `tile` sets, each a group
 of its own, so that no task holds a bucket; only pairs that sizes and sketches allow leave a tile.
 Candidate pairs are pruned by size and by an exact bound from parity sketches, then verified on the whole
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,9 @@ from lociq.llm.text import U64, mix, pieces, row_sums, shingle_sets, signed, tab
 
 HOME, NEEDY = U64(1) << U64(63), U64(1) << U64(62)
 ENTITY = NEEDY - U64(1)
+EMPTY, CELL = U64(1), U64(2)  # the low bits of a bucket id: a bucket of empty segments; a cell of a hot bucket
+MOST_HOT = 1_000_000  # hot buckets at most: the largest ones
+MOST_BROADCAST = 200_000  # rows a broadcast table of buckets has at most
 
 
 def bands(largest: int, t: int) -> list[tuple[int, int, int]]:
@@ -76,10 +83,7 @@ def allocate(lo: int, hi: int, h: int, members: int) -> tuple[int, int]:
 
 
 def segment_rows(values: np.ndarray, at: np.ndarray, scheme: np.ndarray, m: np.ndarray, k: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket ids and rows of the sets values[at[i]:at[i+1]] (ascending) under per-row schemes; and the rows that fall short.
-
-    The low bit of a bucket id tells the buckets of empty segments.
-    """
+    """Bucket ids and rows of the sets values[at[i]:at[i+1]] (ascending) under per-row schemes; and the rows that fall short."""
     rows = len(at) - 1
     size = np.diff(at)
     row = np.repeat(np.arange(rows), size)
@@ -94,7 +98,7 @@ def segment_rows(values: np.ndarray, at: np.ndarray, scheme: np.ndarray, m: np.n
 
     def bucket(content: np.ndarray, n: np.ndarray, own: np.ndarray, which: np.ndarray) -> np.ndarray:
         place = mix(scheme[own].astype(U64) * U64(0x9E3779B97F4A7C15) + which.astype(U64))
-        return mix(mix(content + n.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) ^ place) & ~U64(1)
+        return mix(mix(content + n.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) ^ place) & ~(EMPTY | CELL)
 
     near = (local < k[owner]) & (count >= 2)
     full = bucket(total, count, owner, local)
@@ -109,7 +113,7 @@ def segment_rows(values: np.ndarray, at: np.ndarray, scheme: np.ndarray, m: np.n
     hole = np.flatnonzero(~filled)
     hole_row = np.searchsorted(first, hole, "right") - 1
     hole_local = hole - first[:-1][hole_row]
-    holes = bucket(np.zeros(len(hole), U64), np.zeros(len(hole), np.int64), hole_row, hole_local) | U64(1)
+    holes = bucket(np.zeros(len(hole), U64), np.zeros(len(hole), np.int64), hole_row, hole_local) | EMPTY
     return np.concatenate([full, less, holes]), np.concatenate([owner, owner[e], hole_row]), short
 
 
@@ -136,8 +140,54 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(work, "key long, n long, entity long, sketch binary")
 
 
-def index_rows(docs: DataFrame, width: int, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """(bucket, tag): each set under its own band's scheme, and as the larger partner under the scheme below."""
+@dataclass
+class Hot:
+    """Hot buckets (ascending ids) and their numbers of cells."""
+
+    names: np.ndarray
+    cells: np.ndarray
+
+    @staticmethod
+    def _cell(bucket: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix(bucket ^ mix(salt + U64(1))) & ~(EMPTY | CELL) | bucket & EMPTY | CELL
+
+    def deal(self, bucket: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Bucket ids, those of hot buckets replaced by their cells. A set lies in one cell of a bucket."""
+        if not len(self.names) or not len(bucket):
+            return bucket
+        at = np.minimum(np.searchsorted(self.names, bucket), len(self.names) - 1)
+        hit = np.flatnonzero(self.names[at] == bucket)
+        bucket[hit] = self._cell(bucket[hit], mix(tag[hit] & ENTITY) % self.cells[at[hit]].astype(U64))
+        return bucket
+
+    def all_cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all cells, ascending, and their buckets."""
+        bucket = np.repeat(self.names, self.cells)
+        salt = np.arange(len(bucket)) - np.repeat(np.cumsum(self.cells) - self.cells, self.cells)
+        cell = self._cell(bucket, salt.astype(U64))
+        order = np.argsort(cell)
+        return cell[order], bucket[order]
+
+
+NONE_HOT = Hot(np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def find_hot(docs: DataFrame, width: int, plan: list[tuple[int, int, int, int, int]], hot: int) -> Hot:
+    """The buckets of more than about `hot` sets, from the sets of the texts whose hash is divisible by up to 64; the MOST_HOT largest of them.
+
+    At most MOST_HOT rows reach the driver, and every bucket that is left out holds less than that part of the index.
+    """
+    rate = max(1, min(64, hot // 500))
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0)
+    counted = index_rows(some, width, plan, NONE_HOT).distinct().groupBy("bucket").agg((F.count("*") * rate).alias("n")).filter(F.col("n") > hot)
+    rows = counted.orderBy(F.desc("n"), "bucket").limit(MOST_HOT).toArrow()
+    names, n = rows.column("bucket").to_numpy().view(U64), rows.column("n").to_numpy()
+    order = np.argsort(names)
+    return Hot(names[order], -(-n[order] // hot))
+
+
+def index_rows(docs: DataFrame, width: int, plan: list[tuple[int, int, int, int, int]], hot: Hot) -> DataFrame:
+    """(bucket, tag): each set under its own band's scheme, and as the larger partner under the scheme below; hot buckets by cell."""
     lo = np.array([p[0] for p in plan])
     need, m, k = (np.array([p[i] for p in plan]) for i in (2, 3, 4))
     need = need + 1
@@ -168,8 +218,8 @@ def index_rows(docs: DataFrame, width: int, plan: list[tuple[int, int, int, int,
                 v, a = values[np.repeat(ok, n)], np.concatenate([[0], np.cumsum(n[ok])])
                 s = scheme[ok]
                 ids, row, short = segment_rows(v, a, s, m[s], k[s], need[s])
-                tag = names[ok] | (U64(0) if guest else HOME) | np.where(short, NEEDY, U64(0))
-                yield table(bucket=signed(ids), tag=signed(tag[row]))
+                tag = (names[ok] | (U64(0) if guest else HOME) | np.where(short, NEEDY, U64(0)))[row]
+                yield table(bucket=signed(hot.deal(ids, tag)), tag=signed(tag))
 
     return docs.select("text").mapInArrow(work, "bucket long, tag long")
 
@@ -202,10 +252,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def candidates(index: DataFrame, whole: int) -> DataFrame:
-    """(kind, a, b): kind 0 a pair to compare, kind 1 the tag b as a member of the large bucket a."""
+def candidates(index: DataFrame, whole: int, hot: Hot) -> DataFrame:
+    """(kind, a, b): kind 0 a pair to compare, kind 1 the tag b as a member of the large bucket a, kind 2 of the hot bucket a."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, bucket_of = hot.all_cells()
         for run in _runs(batches, "bucket"):
             bucket, tag = run["bucket"].view(U64), run["tag"].view(U64)
             new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (tag[1:] != tag[:-1])])  # copies from other tasks
@@ -214,9 +265,13 @@ def candidates(index: DataFrame, whole: int) -> DataFrame:
             size = np.diff(np.concatenate([start, [len(bucket)]]))
             home = (tag & HOME) > 0
             # Signed order puts a bucket's home sets first; a bucket of guests only is compared under their own scheme.
-            live = (size > 1) & home[start]
-            empty = (bucket[start] & U64(1)) > 0
-            left, right, members = [], [], []
+            in_cells = (bucket[start] & CELL) > 0
+            live = (size > 1) & home[start] & ~in_cells
+            empty = (bucket[start] & EMPTY) > 0
+            left, right, members, hot_members = [], [], [], []
+            for g in np.flatnonzero(in_cells).tolist():
+                s, n = int(start[g]), int(size[g])
+                hot_members.append((np.full(n, bucket_of[np.searchsorted(cells, bucket[s])]), tag[s : s + n]))
             for step in range(1, min(whole, int(size.max()))):  # all pairs of small buckets, by distance
                 pick = live & ~empty & (size <= whole) & (size > step)
                 n = size[pick] - step
@@ -244,12 +299,21 @@ def candidates(index: DataFrame, whole: int) -> DataFrame:
                 a, b = _pairs(np.concatenate(left), np.concatenate(right))
                 for lo in range(0, len(a), 200_000):
                     yield table(kind=np.zeros(len(a[lo : lo + 200_000]), np.int32), a=signed(a[lo : lo + 200_000]), b=signed(b[lo : lo + 200_000]))
-            for where, tags in members:
-                yield table(kind=np.ones(len(tags), np.int32), a=signed(where), b=signed(tags))
+            for kind, rows in ((1, members), (2, hot_members)):
+                for where, tags in rows:
+                    yield table(kind=np.full(len(tags), kind, np.int32), a=signed(where), b=signed(tags))
 
     return index.repartition("bucket").sortWithinPartitions("bucket", "tag").mapInArrow(work, "kind int, a long, b long")
 
 
+def hot_stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the smallest set that is at home in each hot bucket (bucket, tag) of non-empty segments with all others there."""
+    full = members.filter(F.col("bucket").bitwiseAND(int(EMPTY)) == 0)
+    middle = full.groupBy("bucket").agg(F.min("tag").alias("middle")).filter("middle < 0")  # tags at home are negative; MOST_HOT rows at most
+    own, other = F.col("middle").bitwiseAND(int(ENTITY)), F.col("tag").bitwiseAND(int(ENTITY))
+    return full.join(middle, "bucket").select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).filter("a <> b")
+
+
 def _widths(width: np.ndarray, sketch: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By sketch width in words: the sets at least that wide, and their sketches folded to it."""
     out = {}
@@ -266,10 +330,12 @@ def crowded(placed: DataFrame, entities: DataFrame, tile: int) -> DataFrame:
     needy = F.col("tag").bitwiseAND(int(NEEDY)) != 0
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(needy.cast("long")).alias("needy"))
     sizes = shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"), F.sum("needy").alias("needy"), F.count("*").alias("several")).filter("several > 1")
-    empty = F.col("bucket").bitwiseAND(1) != 0
+    empty = F.col("bucket").bitwiseAND(int(EMPTY)) != 0
+    sizes = sizes.filter(~empty | (F.col("needy") > 0))  # nothing is compared where no set falls short
     firsts = F.when(empty, F.col("needy")).otherwise(F.col("size") - F.col("main.n"))
     sizes = keep(sizes.select("bucket", F.col("main.component").alias("main"), F.greatest(F.ceil(firsts / tile), F.lit(1)).alias("rows"), F.ceil(F.col("size") / tile).alias("columns")), "crowded")
-    joined = placed.join(sizes, "bucket").join(entities.select("entity", "n", "sketch"), "entity")
+    few = sizes.count() <= MOST_BROADCAST  # else a shuffle by bucket, whose large keys the adaptive plan splits
+    joined = placed.join(F.broadcast(sizes) if few else sizes, "bucket").join(entities.select("entity", "n", "sketch"), "entity")
     return joined.select("bucket", "tag", "component", "n", "sketch", "rows", "columns", F.when(empty, needy).otherwise(F.col("component") != F.col("main")).alias("first"))
 
 
@@ -370,7 +436,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024, hot: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The described documents (key, n, entity), verified links (a, b) that connect all linked entities, and the components (entity, component) they make."""
     described = keep(describe(docs, width), "sets")
     entities = keep(described.filter("n > 0").groupBy("entity").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "entities")
@@ -379,9 +445,13 @@ def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile
     edges = F.array(*[F.lit(lo) for lo, _, _ in plan]) if plan else F.array(F.lit(1))
     held = {r["band"]: r["count"] for r in entities.groupBy(F.size(F.filter(edges, lambda x: x <= F.col("n"))).alias("band")).count().collect()}  # a row a band
     plan = [(*p, *allocate(*p, held.get(i + 1, 0))) for i, p in enumerate(plan)]
-    found = keep(candidates(index_rows(docs, width, plan), whole), "candidates")
-    pairs = keep(prune(found.filter("kind = 0").select("a", "b").distinct(), entities, t), "pairs")
-    members = found.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("tag"), F.col("b").bitwiseAND(int(ENTITY)).alias("entity"))
+    crowds = find_hot(docs, width, plan, hot)
+    found = keep(candidates(index_rows(docs, width, plan, crowds), whole, crowds), "candidates")
+    near = found.filter("kind = 0").select("a", "b")
+    if len(crowds.names):
+        near = near.unionByName(hot_stars(found.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("tag"))))
+    pairs = keep(prune(near.distinct(), entities, t), "pairs")
+    members = found.filter("kind > 0").select(F.col("a").alias("bucket"), F.col("b").alias("tag"), F.col("b").bitwiseAND(int(ENTITY)).alias("entity"))
     wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).union(members.select("entity")).distinct()
     wanted = entities.join(wanted, "entity").select("entity", "key")
     texts = keep(docs.select("key", "text").join(wanted, "key").select("entity", "text"), "texts")
@@ -411,9 +481,9 @@ def set_links(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile
     return described.drop("sketch"), links, placed_by
 
 
-def _grouped(keyed: DataFrame, width: int, t: int, whole: int, tile: int) -> DataFrame:
+def _grouped(keyed: DataFrame, width: int, t: int, whole: int, tile: int, hot: int) -> DataFrame:
     """(key, n_shingles, component_id) of documents with unique keys."""
-    described, links, placed_by = set_links(keyed, width, t, whole, tile)
+    described, links, placed_by = set_links(keyed, width, t, whole, tile, hot)
     joined = described.join(placed_by, "entity", "left")
     named = keep(joined.select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "entity")).alias("component")), "components")
     release(described, links)
@@ -421,19 +491,19 @@ def _grouped(keyed: DataFrame, width: int, t: int, whole: int, tile: int) -> Dat
     return named.join(least, "component", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def near_groups(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 4, t: int = 85, whole: int = 8, tile: int = 1024, hot: int = 50_000) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    return by_key(docs, lambda keyed: _grouped(keyed, width, t, whole, tile), ("component_id",))
+    return by_key(docs, lambda keyed: _grouped(keyed, width, t, whole, tile, hot), ("component_id",))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, t: int = 80, whole: int = 8, tile: int = 1024) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, t: int = 80, whole: int = 8, tile: int = 1024, hot: int = 50_000) -> DataFrame:
     """The rows of docs that lead their group, with the columns of docs.
 
     The verdict is that of the row: among rows of one id, or without an id, each is judged by its own text (see by_key).
     """
 
     def work(keyed: DataFrame) -> DataFrame:
-        leads = _grouped(keyed.select("key", "text", "id_text"), width, t, whole, tile).filter("key = component_id").select("key")
+        leads = _grouped(keyed.select("key", "text", "id_text"), width, t, whole, tile, hot).filter("key = component_id").select("key")
         return keyed.select("key", F.when(~F.col("_void"), F.col("text")).alias("text"), "_rest").join(leads, "key", "left_semi")
 
     kept = by_key(docs, work, carry=True)

@@ -63,8 +63,8 @@ def test_exact_on_hard_rows(hard, hard_rows, empty):
     assert block_names.exact_groups(empty).count() == 0 and block_names.drop_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize(("whole", "tile"), [(2, 2), (2, 1000), (8, 1000)])
-def test_near_groups(plain_df, plain, spark, whole, tile):
+@pytest.mark.parametrize(("whole", "tile", "hot"), [(2, 2, 50_000), (2, 1000, 3), (8, 1000, 50_000)])
+def test_near_groups(plain_df, plain, spark, whole, tile, hot):
     many = list(plain)
     base = words(plain[7][1])
     for k in range(30):  # a chain of near copies, each a few words from the last
@@ -75,7 +75,7 @@ def test_near_groups(plain_df, plain, spark, whole, tile):
     df = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
     want = {i: shingles(t, 4) for i, t in many}
     comp = groups(want, 85)
-    for r in set_join.near_groups(df, 4, 85, whole, tile).collect():
+    for r in set_join.near_groups(df, 4, 85, whole, tile, hot).collect():
         assert (r.n_shingles, r.component_id) == (len(want[r.doc_id]), comp[r.doc_id])
 
 
@@ -96,11 +96,32 @@ def test_crowded_buckets(spark):
         rows.append((len(rows), " ".join(few[: rng.randint(5, 14)] + [word() for _ in range(rng.randint(0, 2))])))
     comp = groups({i: shingles(t, 4) for i, t in rows}, 85)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for whole, tile in ((2, 3), (3, 500)):
-        assert {r.doc_id: r.component_id for r in set_join.near_groups(df, 4, 85, whole, tile).collect()} == comp
+    for whole, tile, hot in ((2, 3, 50_000), (3, 500, 50_000), (3, 4, 1), (2, 500, 4)):
+        assert {r.doc_id: r.component_id for r in set_join.near_groups(df, 4, 85, whole, tile, hot).collect()} == comp
     assert 12 <= len(set(comp.values())) < 90
 
 
+def test_hot_buckets_in_cells(spark):
+    """Every bucket of more than `hot` sets is found, dealt to several cells, and named again as it was."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{shared} a{i} b{i} c{i}") for i in range(40)], "key long, text string").repartition(3)
+    plan = [(*p, p[2] + 1, 0) for p in set_join.bands(100, 85)]
+    buckets = lambda rows: Counter((r.bucket, r.tag) for r in rows)
+    plain_rows = set_join.index_rows(df, 4, plan, set_join.NONE_HOT).distinct().collect()
+    hot = set_join.find_hot(df, 4, plan, 10)
+    large = {b: n for b, n in Counter(r.bucket for r in plain_rows).items() if n > 10}
+    assert dict(zip(hot.names.view("int64").tolist(), hot.cells.tolist())) == {b: -(-n // 10) for b, n in large.items()} and len(large) > 5
+    dealt = set_join.index_rows(df, 4, plan, hot)
+    assert max(Counter(r.bucket for r in dealt.distinct().collect()).values()) < 25
+    found = set_join.candidates(dealt, 8, hot).filter("kind = 2").selectExpr("a AS bucket", "b AS tag")
+    assert buckets(found.collect()) == buckets(r for r in plain_rows if r.bucket in large)
+    want, entity = set(), int(set_join.ENTITY)
+    for b in (b for b in large if not b & 1):
+        tags = sorted(r.tag for r in plain_rows if r.bucket == b)
+        want |= {tuple(sorted((tags[0] & entity, x & entity))) for x in tags[1:] if tags[0] < 0}
+    assert {tuple(r) for r in set_join.hot_stars(found).collect()} == want and len(want) >= 39
+
+
 def test_segments_cover_every_link():
     """Random pairs at the threshold share a bucket under the smaller one's scheme, for every allocation."""
     rng = np.random.default_rng(0)
