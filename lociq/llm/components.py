@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = keep(large.filter("u <> v").distinct(), "large-star")
+        large = keep(large.filter("u <> v"), "large-star")  # a row an edge at most; equal ones go after the small star
         small = _to_minimum(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         after = keep(small.filter("u <> v").distinct(), "small-star")
