@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.operators.joins import zero_fill
+from lociq.operators.joins import by_sample, sample_ids, site_matrix
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,15 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.lit("c1").alias("contig"), (F.col("o_orderkey") + 1).alias("position")).distinct()
 
 
+def site_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(contig, position, counts), a row a site with the counts of all samples, and the samples' ids in the order of counts."""
+    ids = sample_ids(samples(spark, sf_dir))
+    lines = read(spark, sf_dir, "lineitem").select(_sample_id().alias("sample_id"), F.lit("c1").alias("contig"), (F.col("l_orderkey") + 1).alias("position"), F.col("l_quantity").alias("count"))
+    return site_matrix(grid(spark, sf_dir), lines, ids), ids
+
+
 def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zero_fill(grid(spark, sf_dir), raw_counts(spark, sf_dir), samples(spark, sf_dir))
+    return by_sample(*site_table(spark, sf_dir)).select("sample_id", "contig", "position", "count")
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -506,3 +506,17 @@ def test_samples_without_hits_or_gaps(spark):
     for theta, want in ((1.0, {"a": 0, "b": 0, "e": 0}), (0.0, {"a": 30, "b": 5, "e": 0}), (None, {"a": 30, "b": 5, "e": 0})):
         seen = essentiality.griffin(blocks, theta).collect()
         assert {r.orf: r.expected_run for r in seen} == want and all(r.pval == 1 for r in seen)
+
+
+def test_joins_of_sites_and_genes_broadcast_no_side(spark):
+    """The planner took the grid times the samples, and all genes, for small."""
+    grid = frame(spark, [("c", i) for i in range(1, 40)], "contig string, position long")
+    counts = frame(spark, [("s1", "c", 3, 2.0), ("s2", "c", 3, 5.0), ("s1", "c", 99, 1.0), ("other", "c", 4, 1.0)], "sample_id string, contig string, position long, count double")
+    filled = joins.zero_fill(grid, counts, frame(spark, [("s1",), ("s2",), ("s3",)], "sample_id string"))
+    assert filled.count() == 39 * 3 and sorted(map(tuple, filled.filter("count > 0").collect())) == [("s1", "c", 3, 2.0), ("s2", "c", 3, 5.0)]
+    assert "BuildLeft" not in filled.filter("count > 0")._jdf.queryExecution().executedPlan().toString()
+    genes = frame(spark, [("c", "g1", 2, 12, "+"), ("c", "g2", 3, 30, "-")], "contig string, orf string, start long, end long, strand string")
+    runs = frame(spark, [("c", 0, 1, 5)], "contig string, run_id long, start_pos long, end_pos long")
+    for df in (joins.assign_sites(grid, genes), joins.overlaps(runs, genes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
