@@ -10,7 +10,7 @@ from lociq.operators import aggregates as agg
 from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, ordered, tests, ttn, windows
 from lociq.operators import reads as rd
 from lociq.plans import tables as t
-from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, query, r6, site_gene
+from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, blocks, query, r6, site_gene
 from lociq.scratch import folder, keep
 from lociq.sources import readers
 
@@ -129,13 +129,13 @@ def m4_zinb(spark, d):
 
 def _blocks(spark, d):
     """Gene blocks of all samples together, on whole genes."""
-    return keep(agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d)), "blocks")
+    return keep(blocks(spark, d), "blocks")
 
 
 @query(None)
 def m5_gumbel(spark, d):
-    blocks = _blocks(spark, d).select("orf", "k", "n", F.col("max_run").cast("long").alias("max_run"), F.col("gap_span").cast("long").alias("gap_span"), F.col("span").cast("long").alias("span"), "theta")
-    return essentiality.gumbel(blocks, samples=10_000, burnin=500)
+    found = _blocks(spark, d).select("orf", "k", "n", F.col("max_run").cast("long").alias("max_run"), F.col("gap_span").cast("long").alias("gap_span"), F.col("span").cast("long").alias("span"), "theta")
+    return essentiality.gumbel(found, samples=10_000, burnin=500)
 
 
 # Up to 19 sites the expected longest run is exact: the sum over r of P(longest >= r), where P(longest < r) of n sites is b(n) - q^r b(n - r)
@@ -149,9 +149,9 @@ EXPECTED_SQL = """, th AS (SELECT sum(k) / sum(n) AS p FROM blocks), nr AS (SELE
 @query(BLOCKS_SQL + EXPECTED_SQL + """, u AS (SELECT b.orf, b.n, max_run, p, CASE WHEN b.n = 0 THEN 0 WHEN b.n < 20 THEN sm.e ELSE ln(b.n * p) / ln(1 / (1 - p)) + 0.5772156649015329 / ln(1 / (1 - p)) - 0.5 + 0.000016 + 0.01 END AS e FROM blocks b CROSS JOIN th LEFT JOIN sm ON sm.n = b.n)
  SELECT orf, round(e, 6) + 0 AS expected_run, CASE WHEN n = 0 THEN 1 ELSE round(1 - exp(-exp((e - 0.5772156649015329 / ln(1 / (1 - p)) - max_run) * ln(1 / (1 - p)))), 6) + 0 END AS pval FROM u""")
 def m6_griffin(spark, d):
-    blocks = agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d))
-    theta = blocks.agg((F.sum("k") / F.sum("n")).alias("p")).first()["p"]
-    return essentiality.griffin(blocks, theta).select("orf", *r6("expected_run", "pval"))
+    found = _blocks(spark, d)  # read for the share of hits and for the genes
+    theta = found.agg((F.sum("k") / F.sum("n")).alias("p")).first()["p"]
+    return essentiality.griffin(found, theta).select("orf", *r6("expected_run", "pval"))
 
 
 GAPS_SQL = RUNS_SQL + """, g AS (SELECT sample_id, avg((count > 0)::int) AS p, count(*) AS n FROM site_counts GROUP BY 1), mt AS (SELECT r.sample_id, ge.orf, r.run_id, r.length, greatest(least(r.end_pos, ge."end") - greatest(r.start_pos, ge.start), 0) AS ov FROM runs r JOIN genes ge ON r.start_pos <= ge."end" AND ge.start <= r.end_pos),

@@ -34,8 +34,18 @@ def r6(*columns: str):
 
 
 def site_gene(spark: SparkSession, sf_dir: str, variant: str = "A") -> DataFrame:
-    assigned = joins.assign_sites(t.site_counts(spark, sf_dir), t.genes(spark, sf_dir).select("contig", "orf", "start", "end", "strand"), variant=variant)
-    return assigned.select("sample_id", "contig", "position", "count", "orf")
+    """Sites meet genes once for all samples, which become rows after that."""
+    table, ids = t.site_table(spark, sf_dir)
+    assigned = joins.assign_sites(table, t.genes(spark, sf_dir).select("contig", "orf", "start", "end", "strand"), variant=variant)
+    return joins.by_sample(assigned.select("contig", "position", "counts", "orf"), ids).select("sample_id", "contig", "position", "count", "orf")
+
+
+def tosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.tosses_of_sites(t.site_table(spark, sf_dir)[0], t.genes(spark, sf_dir))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.block_stats(tosses(spark, sf_dir), t.genes(spark, sf_dir))
 
 
 # Filters and projections
@@ -232,22 +242,22 @@ BLOCKS_SQL = """, toss AS (SELECT orf, position, sum(count) AS total, (sum(count
 
 @query(BLOCKS_SQL + "SELECT orf, n, k, reads, span, round(mean, 6) + 0 AS mean, round(nz_mean, 6) + 0 AS nz_mean, round(theta, 6) + 0 AS theta, round(1 - theta, 6) + 0 AS phi FROM blocks")
 def a4_gene_block_stats(spark, d):
-    return agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d)).select("orf", "n", "k", "reads", "span", *r6("mean", "nz_mean", "theta", "phi"))
+    return blocks(spark, d).select("orf", "n", "k", "reads", "span", *r6("mean", "nz_mean", "theta", "phi"))
 
 
 @query(BLOCKS_SQL + "SELECT orf, position, total, hit FROM toss")
 def a5_tosses(spark, d):
-    return agg.site_tosses(site_gene(spark, d))
+    return tosses(spark, d).select("orf", "position", "total", "hit")
 
 
 @query(BLOCKS_SQL + "SELECT orf, max_run, gap_span FROM best")
 def a6_max_runs(spark, d):
-    return agg.max_runs(agg.site_tosses(site_gene(spark, d)))
+    return agg.max_runs(tosses(spark, d))
 
 
 @query(BLOCKS_SQL + "SELECT sum(k)::bigint AS insertions, sum(n)::bigint AS sites, max(max_run) AS max_run, sum(reads) AS reads, round(sum(k) / sum(n), 6) + 0 AS theta FROM blocks")
 def a7_genome_stats(spark, d):
-    return agg.genome_stats(agg.gene_block_stats(site_gene(spark, d), t.genes(spark, d))).select("insertions", "sites", "max_run", "reads", *r6("theta"))
+    return agg.genome_stats(blocks(spark, d)).select("insertions", "sites", "max_run", "reads", *r6("theta"))
 
 
 def _conditioned(spark, d):

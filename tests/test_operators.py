@@ -520,3 +520,18 @@ def test_joins_of_sites_and_genes_broadcast_no_side(spark):
     for df in (joins.assign_sites(grid, genes), joins.overlaps(runs, genes)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_blocks_from_sites_are_those_from_rows(spark):
+    """Samples are added up before sites meet genes: no shuffle by gene and site."""
+    grid = frame(spark, [("c", i) for i in range(1, 60)], "contig string, position long")
+    counts = frame(spark, [(s, "c", i, float(i % 4)) for s, step in (("s1", 5), ("s2", 7)) for i in range(2, 60, step)], "sample_id string, contig string, position long, count double")
+    genes = frame(spark, [("c", "g1", 2, 22, "+"), ("c", "g2", 10, 50, "-"), ("c", "far", 500, 600, "+")], "contig string, orf string, start long, end long, strand string")
+    table = joins.site_matrix(grid, counts, ["s1", "s2"])
+    rows = joins.assign_sites(joins.by_sample(table, ["s1", "s2"]), genes).select("sample_id", "orf", "position", "count")
+    tosses = aggregates.tosses_of_sites(table, genes)
+    assert sorted(map(tuple, tosses.select("orf", "position", "total", "hit").collect())) == sorted(map(tuple, aggregates.site_tosses(rows).collect()))
+    found, want = (sorted(map(tuple, df.collect())) for df in (aggregates.block_stats(tosses, genes), aggregates.gene_block_stats(rows, genes)))
+    assert found == want and len(found) == 3
+    runs = {r.orf: (r.max_run, r.gap_span) for r in aggregates.max_runs(tosses).collect()}
+    assert all((r[found_at], r[found_at + 1]) == runs[r[0]] for r in found if r[0] != "far" for found_at in [aggregates.block_stats(tosses, genes).columns.index("max_run")])
