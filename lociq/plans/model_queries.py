@@ -98,7 +98,7 @@ def m2_two_strain_statistics(spark, d):
 @query(""", g AS (SELECT orf, count, s.condition = 'A' AS x FROM site_gene_a JOIN samples s USING (sample_id) WHERE s.condition IN ('N', 'A')), r AS (SELECT *, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS rk FROM g)
  SELECT orf, sum(CASE WHEN NOT x THEN rk END) - count(*) FILTER (NOT x) * (count(*) FILTER (NOT x) + 1) / 2 AS u, round(avg(count) FILTER (NOT x), 6) + 0 AS mean_ctrl, round(avg(count) FILTER (x), 6) + 0 AS mean_exp FROM r GROUP BY 1""")
 def m3_utest_statistics(spark, d):
-    found = tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
+    found = tests.utest(site_gene(spark, d, whole_genes=True), _groups(spark, d).select("sample_id", "is_exp"))
     return found.select("orf", "u", *r6("mean_ctrl", "mean_exp"))
 
 

@@ -33,11 +33,15 @@ def r6(*columns: str):
     return [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns]
 
 
-def site_gene(spark: SparkSession, sf_dir: str, variant: str = "A") -> DataFrame:
-    """Sites meet genes once for all samples, which become rows after that."""
+def site_gene(spark: SparkSession, sf_dir: str, variant: str = "A", whole_genes: bool = False) -> DataFrame:
+    """Sites meet genes once for all samples, which become rows after that.
+
+    whole_genes: for windows over genes, rows are dealt by gene while they still hold all samples, and not shuffled as rows a sample.
+    """
     table, ids = t.site_table(spark, sf_dir)
     assigned = joins.assign_sites(table, t.genes(spark, sf_dir).select("contig", "orf", "start", "end", "strand"), variant=variant)
-    return joins.by_sample(assigned.select("contig", "position", "counts", "orf"), ids).select("sample_id", "contig", "position", "count", "orf")
+    assigned = assigned.select("contig", "position", "counts", "orf")
+    return joins.by_sample(assigned.repartition("orf") if whole_genes else assigned, ids).select("sample_id", "contig", "position", "count", "orf")
 
 
 def tosses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +94,13 @@ def f7_terminus_trim(spark, d):
 @query(""", r AS (SELECT *, dense_rank() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k FROM site_gene_a), s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r)
  SELECT orf, sample_id, position, CASE WHEN k = 1 AND second IS NOT NULL THEN second ELSE count END AS count FROM s""")
 def f8_winsorize(spark, d):
-    return filters.winsorize(site_gene(spark, d), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
+    return filters.winsorize(site_gene(spark, d, whole_genes=True), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
 
 
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k, max(count) OVER (PARTITION BY orf, sample_id) AS m, count(*) OVER (PARTITION BY orf, sample_id) AS n FROM site_gene_a),
  s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r) SELECT orf, sample_id, position, CASE WHEN n >= 3 AND second <> 0 AND count = m THEN second ELSE count END AS count FROM s""")
 def f9_winsorize_resampling(spark, d):
-    return filters.winsorize_resampling(site_gene(spark, d), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
+    return filters.winsorize_resampling(site_gene(spark, d, whole_genes=True), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
 
 
 @query("SELECT a.condition, b.status, count(s.sample_id) AS n_samples FROM (SELECT DISTINCT condition FROM samples) a CROSS JOIN (SELECT DISTINCT status FROM samples) b LEFT JOIN samples s ON s.condition = a.condition AND s.status = b.status GROUP BY 1, 2")
@@ -376,7 +380,7 @@ def w9_trimmed_mean(spark, d):
 
 @query("SELECT orf, sample_id, position, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS avg_rank FROM site_gene_a")
 def w10_average_ranks(spark, d):
-    return windows.average_ranks(site_gene(spark, d), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
+    return windows.average_ranks(site_gene(spark, d, whole_genes=True), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
 
 
 @query("SELECT sample_id, bucket, min(position) AS position, sum(count) AS count FROM (SELECT *, cast((row_number() OVER (PARTITION BY sample_id ORDER BY position) - 1) // 100 AS bigint) AS bucket FROM site_counts) GROUP BY 1, 2")

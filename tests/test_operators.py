@@ -555,3 +555,12 @@ def test_null_differences_are_those_of_permutations():
         assert fast < slow
     two = np.unique(tests._null_differences(np.array([1.0, 2.0, 4.0, 7.0]), np.array([False, True, False, True]), np.array([0, 0, 1, 1]), 500, rng))
     assert two.tolist() == [-2.0, -1.0, 1.0, 2.0]  # every split, and no other
+
+
+def test_windows_over_genes_shuffle_no_rows_a_sample(spark):
+    """Rows are dealt by gene before samples become rows, and no exchange lies above that."""
+    from lociq.plans import queries as plans
+
+    for name in ("f8_winsorize", "f9_winsorize_resampling", "w10_average_ranks"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("posexplode(")], name
