@@ -34,7 +34,7 @@ def before_ranges(laid: DataFrame, keys: list[str], totals: dict[str, tuple[str,
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return laid.join(offsets, same).drop("_r", *[f"_k{i}" for i in range(len(keys))])
+    return laid.join(F.broadcast(offsets), same).drop("_r", *[f"_k{i}" for i in range(len(keys))])  # a row a range and key: laid is not shuffled to meet them
 
 
 def placed(laid: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
@@ -46,7 +46,7 @@ def placed(laid: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return laid.join(offsets, same).withColumn(name, F.col("_at") + F.col("_lo")).drop("_r", "_lo", *[f"_k{i}" for i in range(len(keys))])
+    return laid.join(F.broadcast(offsets), same).withColumn(name, F.col("_at") + F.col("_lo")).drop("_r", "_lo", *[f"_k{i}" for i in range(len(keys))])
 
 
 def running(laid: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
