@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions import special
 from lociq.operators.aggregates import regress
-from lociq.operators.joins import beside_each, overlap_columns, overlaps, small, with_metadata
+from lociq.operators.joins import beside_each, dealt, overlap_columns, overlaps, small, with_metadata
 from lociq.operators.ordered import in_order, placed, running, tidy
 from lociq.operators.windows import bh_fdr, essentiality_thresholds
 from lociq.scratch import keep
@@ -359,9 +359,10 @@ def hmm(track: DataFrame, block: int = 10_000) -> DataFrame:
             out[name] = post[:, i]
         return out
 
-    transfers = cut.groupBy("condition", "contig", "block").applyInPandas(transfer, "condition string, contig string, block long, total array<double>, best array<double>")
+    each = ["condition", "contig", "block"]
+    transfers = dealt(cut, *each).groupBy(*each).applyInPandas(transfer, "condition string, contig string, block long, total array<double>, best array<double>")
     carried = transfers.groupBy("condition", "contig").applyInPandas(carry, "condition string, contig string, block long, alpha array<double>, delta array<double>, beta array<double>, leave int")
-    return cut.join(carried, ["condition", "contig", "block"]).groupBy("condition", "contig", "block").applyInPandas(fill, "condition string, contig string, position long, count double, state string, es double, gd double, ne double, ga double")
+    return dealt(cut, *each).join(carried, each).groupBy(*each).applyInPandas(fill, "condition string, contig string, position long, count double, state string, es double, gd double, ne double, ga double")
 
 
 def hmm_genes(sites: DataFrame, genes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -373,7 +374,11 @@ def hmm_genes(sites: DataFrame, genes: DataFrame, groups: DataFrame | None = Non
     counted = {s.lower(): F.count_if(F.col("state") == s) for s in STATES}
     each = sites.groupBy(*keys, "orf").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counted.items()], F.avg((F.col("count") > 0).cast("double")).alias("saturation"), F.coalesce(F.avg(F.when(F.col("count") > 0, F.col("count"))), F.lit(0.0)).alias("nz_mean"))
     every = beside_each(genes.select("orf"), groups) if keys else genes.select("orf")
-    out = every.join(each, [*keys, "orf"], "left").fillna(0, ["n", "es", "gd", "ne", "ga", "saturation", "nz_mean"])
+    return hmm_calls(every.join(each, [*keys, "orf"], "left").fillna(0, ["n", "es", "gd", "ne", "ga", "saturation", "nz_mean"]))
+
+
+def hmm_calls(out: DataFrame) -> DataFrame:
+    """Genes (n, es, gd, ne, ga, …) with their call: N/A without sites."""
     most = F.greatest(*[F.struct(F.col(s.lower()).alias("c"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(STATES)])["s"]
     return out.withColumn("call", F.when(F.col("n") == 0, "N/A").when(F.col("es") == F.col("n"), "ES").otherwise(most))
 

@@ -110,3 +110,13 @@ def ontology_enrichment(hits: DataFrame, associations: DataFrame, edges: DataFra
     out = own.join(union.withColumnRenamed("child", "term"), "term").join(count.withColumnRenamed("child", "term"), "term")
     p = special.hypergeom_sf_column(*[x.cast("double") for x in (F.col("b") - 1, F.col("q"), F.col("m"), F.col("p"))])
     return bh_fdr(out.withColumn("pval", p).withColumn("enrichment", ((F.col("b") + 1) / (F.col("p") + 1)) / ((F.col("m") + 1) / (F.col("q") + 1))))
+
+
+def parent_unions(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(child, n): the number of different genes in a child's parents taken together; members is (parent, orf), edges (child, parent).
+
+    Genes that lie in the same parents are one row with their number before they meet the edges: rows are a child and such a set, not a child and gene.
+    """
+    alike = members.filter("orf IS NOT NULL").groupBy("orf").agg(F.array_sort(F.collect_set("parent")).alias("_parents")).groupBy("_parents").agg(F.count("*").alias("n"))
+    met = alike.withColumn("parent", F.explode("_parents")).join(edges, "parent").select("child", "_parents", "n").distinct()
+    return met.groupBy("child").agg(F.sum("n").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import special
-from lociq.operators.joins import with_metadata
+from lociq.operators.joins import dealt, with_metadata
 from lociq.operators.windows import bfdr, fwer_bayes, trimmed_mean
 
 
@@ -38,6 +38,11 @@ def genetic_interactions(site_gene: DataFrame, groups: DataFrame, samples: int =
     groups is (sample_id, cell) with cells A1, A2 (strain A in conditions 1 and 2), B1 and B2. Priors come from 1 % trimmed means over genes.
     """
     each = with_metadata(site_gene, groups).groupBy("orf", "cell").agg(F.count("*").alias("n"), F.avg("count").alias("m"), F.var_pop("count").alias("v"), F.countDistinct("position").alias("sites"))
+    return interactions_of_cells(each, samples, rope, signif, seed, pseudo)
+
+
+def interactions_of_cells(each: DataFrame, samples: int = 10_000, rope: float = 0.5, signif: str = "HDI", seed: int = 0, pseudo: float = 1e-6) -> DataFrame:
+    """genetic_interactions() from (orf, cell, n, m, v, sites): number, mean and variance of a gene's counts in a cell, and its sites."""
     many = each.filter("n > 1")
     prior_m = trimmed_mean(many, ["cell"], "m", 0.01).withColumnRenamed("trimmed_mean", "mu0")
     prior_v = trimmed_mean(many, ["cell"], "v", 0.01).withColumnRenamed("trimmed_mean", "s20")
@@ -56,7 +61,8 @@ def genetic_interactions(site_gene: DataFrame, groups: DataFrame, samples: int =
                 out.append((r["orf"], r["A1_sites"], *(float(d[c].mean()) for c in ("A1", "A2", "B1", "B2")), float(a.mean()), float(b.mean()), float(delta.mean()), lo, hi, bool(hi < -rope or lo > rope), float((np.abs(delta) <= rope).mean())))
             yield pd.DataFrame(out, columns=["orf", "n_sites", "a1", "a2", "b1", "b2", "lfc_a", "lfc_b", "delta", "lower", "upper", "outside", "prob_rope"])
 
-    found = wide.mapInPandas(kernel, "orf string, n_sites long, a1 double, a2 double, b1 double, b2 double, lfc_a double, lfc_b double, delta double, lower double, upper double, outside boolean, prob_rope double")
+    # By a hash: rows that lie by gene already would not be dealt anew.
+    found = dealt(wide, F.xxhash64("orf")).mapInPandas(kernel, "orf string, n_sites long, a1 double, a2 double, b1 double, b2 double, lfc_a double, lfc_b double, delta double, lower double, upper double, outside boolean, prob_rope double")
     if signif == "BFDR":
         found = bfdr(found, "prob_rope").withColumnRenamed("bfdr", "adjusted").withColumn("outside", F.col("adjusted") < 0.05)
     elif signif == "FWER":

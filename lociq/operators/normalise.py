@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.joins import small
 from lociq.operators.windows import bucket_sums, trimmed_mean
 
 METHODS = ("nonorm", "TTR", "nzmean", "totreads", "zinfnb", "quantile", "betageom", "aBGC", "emphist", "target")
@@ -14,7 +15,7 @@ METHODS = ("nonorm", "TTR", "nzmean", "totreads", "zinfnb", "quantile", "betageo
 
 def scaled(site_counts: DataFrame, factors: DataFrame) -> DataFrame:
     """Counts times their sample's factor; factors has a row a sample. A sample without hits has no factor and keeps its zeros."""
-    return site_counts.join(factors, "sample_id", "left").withColumn("count", F.col("count") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    return site_counts.join(small(factors), "sample_id", "left").withColumn("count", F.col("count") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
 def ttr_factors(site_counts: DataFrame, trim: float = 0.05, density: Column | None = None, mean: Column | None = None, target: float = 100.0) -> DataFrame:

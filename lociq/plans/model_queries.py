@@ -10,7 +10,7 @@ from lociq.operators import aggregates as agg
 from lociq.operators import crispri, essentiality, filters, genesets, interactions, joins, normalise, ordered, tests, ttn, windows
 from lociq.operators import reads as rd
 from lociq.plans import tables as t
-from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, blocks, query, r6, site_gene
+from lociq.plans.queries import BLOCKS_SQL, RUNS_SQL, SQL, TTR_SQL, blocks, gene_sums, query, r6, site_gene
 from lociq.scratch import folder, keep
 from lociq.sources import readers
 
@@ -26,7 +26,8 @@ ANOVA_SQL = """, e AS (SELECT orf, condition, count(*) AS n, sum(count) AS s, su
 
 @query(ANOVA_SQL + "SELECT orf, n_sites, round((between_ss - s * s / n) / (k - 1), 6) + 0 AS msr, round((ss - between_ss) / (n - k) + 1000, 6) + 0 AS mse_alpha FROM tot WHERE n_sites > 1 AND s > 0")
 def m1_anova_statistics(spark, d):
-    found = tests.anova(site_gene(spark, d, "B"), t.samples(spark, d), t.genes(spark, d))
+    sums = agg.sums_by_group(gene_sums(spark, d, "B", ss=lambda x: x * x), t.samples(spark, d), ["condition"])
+    found = tests.anova_of_sums(sums.withColumnRenamed("reads", "s"), t.genes(spark, d))
     return found.filter("status = '-'").select("orf", "n_sites", *r6("msr", "mse_alpha"))
 
 
@@ -213,15 +214,18 @@ def m10_hmm_confidence(spark, d):
  SELECT s.sample_id, g.orf, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'N/A' WHEN es = n THEN 'ES' WHEN ga >= greatest(es, gd, ne) THEN 'GA' WHEN ne >= greatest(es, gd) THEN 'NE' WHEN gd >= es THEN 'GD' ELSE 'ES' END AS call FROM genes g CROSS JOIN samples s LEFT JOIN c ON c.orf = g.orf AND c.sample_id = s.sample_id""")
 def m9_hmm_gene_calls(spark, d):
     """Calls of every sample by itself, in one plan."""
-    x = F.col("count")
-    states = site_gene(spark, d).withColumn("state", F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA"))
-    return essentiality.hmm_genes(states, t.genes(spark, d), t.samples(spark, d).select("sample_id")).select("sample_id", "orf", "n", "call")
+    state = lambda x: F.when(x == 0, "ES").when(x < 20, "GD").when(x < 40, "NE").otherwise("GA")
+    counted = {s.lower(): (lambda x, s=s: (state(x) == s).cast("long")) for s in essentiality.STATES}
+    return essentiality.hmm_calls(gene_sums(spark, d, genes=t.genes(spark, d), **counted)).select("sample_id", "orf", "n", "call")
 
 
 @query(None)
 def m11_genetic_interactions(spark, d):
     cells = t.samples(spark, d).filter("condition IN ('N', 'A', 'R')").withColumn("cell", F.when(F.col("condition") == "N", F.concat(F.lit("A"), F.col("replicate").cast("int") + 1)).otherwise(F.concat(F.lit("B"), F.col("replicate").cast("int") + 1)))
-    return interactions.genetic_interactions(site_gene(spark, d), cells.select("sample_id", "cell"), samples=10_000)
+    sums = agg.sums_by_group(gene_sums(spark, d, ss=lambda x: x * x), cells, ["cell"])
+    mean = F.col("reads") / F.col("n")
+    each = sums.select("orf", "cell", "n", mean.alias("m"), F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)).alias("v"), "sites")
+    return interactions.interactions_of_cells(each, samples=10_000)
 
 
 def _ttn_rows(spark, d):
@@ -521,7 +525,7 @@ def set1_intersection(spark, d):
 @query("SELECT e.child, count(DISTINCT p2.orf) AS n FROM term_edges e JOIN (SELECT p_type AS parent, 'g' || p_partkey AS orf FROM part) p2 ON p2.parent = e.parent GROUP BY 1")
 def set2_parent_union(spark, d):
     members = t.read(spark, d, "part").select(F.col("p_type").alias("parent"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("orf"))
-    return t.term_edges(spark, d).join(members, "parent").select("child", "orf").distinct().groupBy("child").agg(F.count("*").alias("n"))
+    return genesets.parent_unions(members, t.term_edges(spark, d))
 
 
 @query("SELECT orf FROM genes EXCEPT SELECT orf FROM associations WHERE term LIKE '%1'")

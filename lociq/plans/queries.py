@@ -33,14 +33,27 @@ def r6(*columns: str):
     return [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns]
 
 
+def _assigned(spark: SparkSession, sf_dir: str, variant: str) -> tuple[DataFrame, list[str]]:
+    table, ids = t.site_table(spark, sf_dir)
+    assigned = joins.assign_sites(table, t.genes(spark, sf_dir).select("contig", "orf", "start", "end", "strand"), variant=variant)
+    return assigned.select("contig", "position", "counts", "orf"), ids
+
+
+def gene_sums(spark: SparkSession, sf_dir: str, variant: str = "A", genes: DataFrame | None = None, **sums) -> DataFrame:
+    """(orf, sample_id, n, reads, and what else is named) of each gene and sample."""
+    return agg.sums_by_sample(*_assigned(spark, sf_dir, variant), {"reads": lambda x: x, **sums}, genes)
+
+
+def gene_means(spark: SparkSession, sf_dir: str, variant: str = "A") -> DataFrame:
+    return gene_sums(spark, sf_dir, variant).select("orf", "sample_id", (F.col("reads") / F.col("n")).alias("mean"))
+
+
 def site_gene(spark: SparkSession, sf_dir: str, variant: str = "A", whole_genes: bool = False) -> DataFrame:
-    """Sites meet genes once for all samples, which become rows after that.
+    """Sites meet genes once for all samples, which become rows after that. What needs only sums of a gene takes gene_sums().
 
     whole_genes: for windows over genes, rows are dealt by gene while they still hold all samples, and not shuffled as rows a sample.
     """
-    table, ids = t.site_table(spark, sf_dir)
-    assigned = joins.assign_sites(table, t.genes(spark, sf_dir).select("contig", "orf", "start", "end", "strand"), variant=variant)
-    assigned = assigned.select("contig", "position", "counts", "orf")
+    assigned, ids = _assigned(spark, sf_dir, variant)
     return joins.by_sample(assigned.repartition("orf") if whole_genes else assigned, ids).select("sample_id", "contig", "position", "count", "orf")
 
 
@@ -132,12 +145,12 @@ def f14_transposon_type(spark, d):
 
 @query("SELECT sample_id, orf, count(*) AS n, sum(count) AS reads FROM site_gene_a GROUP BY 1, 2")
 def j1_assign_sites(spark, d):
-    return site_gene(spark, d).groupBy("sample_id", "orf").agg(F.count("*").alias("n"), F.sum("count").alias("reads"))
+    return gene_sums(spark, d).select("sample_id", "orf", "n", "reads")
 
 
 @query("SELECT sample_id, orf, count(*) AS n, sum(count) AS reads FROM site_gene_b GROUP BY 1, 2")
 def j2_assign_sites_rv(spark, d):
-    return site_gene(spark, d, "B").groupBy("sample_id", "orf").agg(F.count("*").alias("n"), F.sum("count").alias("reads"))
+    return gene_sums(spark, d, "B").select("sample_id", "orf", "n", "reads")
 
 
 @query("SELECT coalesce(m.condition, 'FLAG-UNMAPPED-CONDITION-IN-WIG') AS condition, sum(s.count) AS reads FROM site_counts s LEFT JOIN (SELECT * FROM samples WHERE condition <> 'R') m ON m.sample_id = s.sample_id GROUP BY 1")
@@ -163,7 +176,7 @@ def j5_overlap(spark, d):
 
 @query(", m AS (SELECT orf, sample_id, avg(count) AS mean FROM site_gene_a GROUP BY 1, 2) SELECT a.orf, round(a.mean, 6) + 0 AS ctrl, round(b.mean, 6) + 0 AS exp FROM m a JOIN m b ON a.orf = b.orf WHERE a.sample_id = 'NO_0' AND b.sample_id = 'AF_0'")
 def j6_join_strains(spark, d):
-    means = site_gene(spark, d).groupBy("orf", "sample_id").agg(F.avg("count").alias("mean"))
+    means = gene_means(spark, d)
     ctrl, exp = (means.filter(F.col("sample_id") == s).select("orf", F.col("mean").alias(n)) for s, n in (("NO_0", "ctrl"), ("AF_0", "exp")))
     return joins.join_strains(ctrl, exp, different_strains=True).select("orf", *r6("ctrl", "exp"))
 
@@ -280,18 +293,20 @@ def a9_summed_by_condition(spark, d):
 
 @query("SELECT orf, condition, round(sum(count) / count(*), 6) + 0 AS mean_count FROM site_gene_a JOIN samples USING (sample_id) GROUP BY 1, 2")
 def a10_averaged(spark, d):
-    return agg.averaged(joins.attach_conditions(site_gene(spark, d), t.samples(spark, d)), ["orf", "condition"]).select("orf", "condition", *r6("mean_count"))
+    sums = agg.sums_by_group(gene_sums(spark, d), t.samples(spark, d), ["condition"])
+    return sums.withColumn("mean_count", F.col("reads") / F.col("n")).select("orf", "condition", *r6("mean_count"))
 
 
 @query("SELECT orf, condition, round(avg(mean), 6) + 0 AS mean FROM (SELECT orf, sample_id, avg(count) AS mean FROM site_gene_a GROUP BY 1, 2) JOIN samples USING (sample_id) GROUP BY 1, 2")
 def a11_gene_means(spark, d):
-    return agg.gene_means(site_gene(spark, d), t.genes(spark, d), t.samples(spark, d)).select("orf", "condition", *r6("mean"))
+    means = joins.with_metadata(gene_means(spark, d), t.samples(spark, d).select("sample_id", "condition"))
+    return means.groupBy("orf", "condition").agg(F.avg("mean").alias("mean")).select("orf", "condition", *r6("mean"))
 
 
 @query("SELECT orf, condition, status, round(avg(count), 6) + 0 AS mean, round(coalesce(avg(count) FILTER (count > 0), 0), 6) + 0 AS nz_mean, round(avg((count > 0)::int), 6) + 0 AS nz_perc FROM site_gene_b JOIN samples USING (sample_id) GROUP BY 1, 2, 3")
 def a12_stats_for_gene(spark, d):
-    joined = site_gene(spark, d, "B").join(t.samples(spark, d).select("sample_id", "condition", "status"), "sample_id")
-    return agg.stats_for_gene(joined, ["condition", "status"]).select("orf", "condition", "status", *r6("mean", "nz_mean", "nz_perc"))
+    sums = gene_sums(spark, d, "B", hits=lambda x: (x > 0).cast("long"))  # counts are not below 0, so their sum is that of the hits
+    return agg.stats_of_sums(agg.sums_by_group(sums, t.samples(spark, d), ["condition", "status"])).select("orf", "condition", "status", *r6("mean", "nz_mean", "nz_perc"))
 
 
 @query("SELECT sample_id, round(ln(avg((count = 0)::int) / (1 - avg((count = 0)::int))), 6) + 0 AS logit_z_perc, round(avg(count) FILTER (count > 0), 6) + 0 AS nz_mean FROM site_counts GROUP BY 1")
@@ -301,14 +316,13 @@ def a13_global_stats_for_rep(spark, d):
 
 @query(", m AS (SELECT orf, condition, avg(count) AS mean FROM site_gene_b JOIN samples USING (sample_id) GROUP BY 1, 2) SELECT orf, condition, round(log2((mean + 5) / (avg(mean) OVER (PARTITION BY orf) + 5)), 6) + 0 AS lfc FROM m")
 def a14_log_fold_change(spark, d):
-    means = joins.attach_conditions(site_gene(spark, d, "B"), t.samples(spark, d)).groupBy("orf", "condition").agg(F.avg("count").alias("mean"))
-    return agg.log_fold_change(means).select("orf", "condition", *r6("lfc"))
+    sums = agg.sums_by_group(gene_sums(spark, d, "B"), t.samples(spark, d), ["condition"])
+    return agg.log_fold_change(sums.withColumn("mean", F.col("reads") / F.col("n"))).select("orf", "condition", *r6("lfc"))
 
 
 @query(", m AS (SELECT orf, sample_id, avg(count) AS mean FROM site_gene_a GROUP BY 1, 2) SELECT x.sample_id AS a, y.sample_id AS b, round(corr(x.mean, y.mean), 6) + 0 AS r FROM m x JOIN m y ON x.orf = y.orf AND x.sample_id <= y.sample_id GROUP BY 1, 2")
 def a15_sample_correlation(spark, d):
-    means = site_gene(spark, d).groupBy("orf", "sample_id").agg(F.avg("count").alias("mean"))
-    return agg.sample_correlation(means).select("a", "b", *r6("r"))
+    return agg.sample_correlation(gene_means(spark, d)).select("a", "b", *r6("r"))
 
 
 @query(", x AS (SELECT a.position, a.count > 0 AS x, b.count > 0 AS y FROM site_counts a JOIN site_counts b ON a.position = b.position AND a.sample_id = 'NO_0' AND b.sample_id = 'NO_1'), c AS (SELECT sum((x AND y)::int) AS a, sum((x AND NOT y)::int) AS b, sum((NOT x AND y)::int) AS c, sum((NOT x AND NOT y)::int) AS d FROM x) SELECT round((a * d - b * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d)), 6) + 0 AS phi FROM c")
