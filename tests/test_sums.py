@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from lociq.functions import special
 from lociq.operators import aggregates, essentiality, genesets, interactions, joins, ordered, tests
 from pyspark.sql import functions as F
 
@@ -97,3 +98,12 @@ def test_parent_unions(spark):
     edges = [("x", "p"), ("x", "q"), ("y", "q"), ("y", "q"), ("z", "none")]
     found = genesets.parent_unions(spark.createDataFrame(members, "parent string, orf string"), spark.createDataFrame(edges, "child string, parent string"))
     assert sorted((r.child, r.n) for r in found.collect()) == [("x", 3), ("y", 2)]
+
+
+def test_quantiles_take_one_tail_a_step(monkeypatch):
+    seen, plain = [], special.norm_sf
+    monkeypatch.setattr(special, "norm_sf", lambda x: seen.append(np.size(x)) or plain(x))
+    p = np.linspace(1e-9, 1 - 1e-9, 101)
+    x = special.norm_ppf(p)
+    assert sum(seen) == 4 * 101
+    assert np.allclose(np.where(p < 0.5, plain(-x), 1 - plain(x)), p, rtol=1e-9, atol=0)
