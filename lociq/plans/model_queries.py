@@ -39,10 +39,6 @@ def _ttr(spark, d):
     return normalise.normalize(keep(t.site_counts(spark, d), "track"), "TTR")  # read for the factors and for the counts
 
 
-def _ttr_site_gene(spark, d):
-    return joins.assign_sites(_ttr(spark, d), t.genes(spark, d).select("contig", "orf", "start", "end", "strand"), variant="B").select("sample_id", "position", "count", "orf")
-
-
 # Three conditions: the F distribution with 2 and m degrees of freedom has the tail (1 + 2 f / m) ^ (-m / 2).
 M1_SQL = TTR_SQL + """, sg AS (SELECT orf, position, condition, b.count * factor AS c FROM site_gene_b b JOIN ttr USING (sample_id) JOIN samples USING (sample_id)),
  e AS (SELECT orf, condition, count(*) AS n, sum(c) AS s, sum(c * c) AS ss, count(DISTINCT position) AS sites FROM sg GROUP BY 1, 2),
@@ -64,7 +60,10 @@ def m1_anova(spark, d):
  SELECT q.orf, round(n, 4) + 0 AS "Mean N", round(a, 4) + 0 AS "Mean A", round(r, 4) + 0 AS "Mean R", round(log2((n + 5) / (n + 5)), 6) + 0 AS "Log 2 FC N", round(log2((a + 5) / (n + 5)), 6) + 0 AS "Log 2 FC A", round(log2((r + 5) / (n + 5)), 6) + 0 AS "Log 2 FC R", n_sites, status, round(pval, 6) + 0 AS pval, round(padj, 6) + 0 AS padj FROM q JOIN wide USING (orf)""")
 def m1_anova_report(spark, d):
     """The whole result table, in gene order, with N as the reference."""
-    found = tests.anova_report(_ttr_site_gene(spark, d), t.samples(spark, d), t.genes(spark, d), ["N", "A", "R"], refs=["N"])
+    table, ids = t.site_table(spark, d)
+    sites = keep(table, "sites")  # read for the factors and for the sums
+    factors = {r["sample_id"]: r["factor"] for r in normalise.ttr_factors(joins.by_sample(sites, ids)).filter("factor IS NOT NULL").collect()}  # a row a sample
+    found = tests.anova_report_of_sites(sites, ids, t.samples(spark, d), t.genes(spark, d), ["N", "A", "R"], refs=["N"], factors=factors)
     return found.select("orf", *[(F.round(f"Mean {c}", 4) + F.lit(0.0)).alias(f"Mean {c}") for c in "NAR"], *r6(*[f"Log 2 FC {c}" for c in "NAR"]), "n_sites", "status", *r6("pval", "padj"))
 
 
