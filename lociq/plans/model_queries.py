@@ -69,12 +69,14 @@ def m1_anova_report(spark, d):
 
 @query(None)
 def m2_resampling(spark, d):
-    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=10_000, mode="site")
+    sites, ids = t.site_table(spark, d)
+    return tests.resampling(sites, _groups(spark, d), times=10_000, mode="site", genes=t.genes(spark, d), ids=ids)
 
 
 @query(None)
 def m2_resampling_adaptive(spark, d):
-    return tests.resampling(site_gene(spark, d).filter("sample_id LIKE 'N%' OR sample_id LIKE 'A%'"), _groups(spark, d), times=10_000, mode="library", adaptive=True)
+    sites, ids = t.site_table(spark, d)
+    return tests.resampling(sites, _groups(spark, d), times=10_000, mode="library", adaptive=True, genes=t.genes(spark, d), ids=ids)
 
 
 def _shifted_genes(spark, d):
