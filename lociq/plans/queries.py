@@ -62,7 +62,8 @@ def tosses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.block_stats(tosses(spark, sf_dir), t.genes(spark, sf_dir))
+    table, ids = t.site_table(spark, sf_dir)
+    return agg.block_stats_of_sites(table, t.genes(spark, sf_dir), len(ids))
 
 
 # Filters and projections
@@ -269,7 +270,7 @@ def a5_tosses(spark, d):
 
 @query(BLOCKS_SQL + "SELECT orf, max_run, gap_span FROM best")
 def a6_max_runs(spark, d):
-    return agg.max_runs(tosses(spark, d))
+    return blocks(spark, d).filter("max_run > 0").select("orf", "max_run", "gap_span")
 
 
 @query(BLOCKS_SQL + "SELECT sum(k)::bigint AS insertions, sum(n)::bigint AS sites, max(max_run) AS max_run, sum(reads) AS reads, round(sum(k) / sum(n), 6) + 0 AS theta FROM blocks")
