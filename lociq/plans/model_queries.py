@@ -229,17 +229,14 @@ def m11_genetic_interactions(spark, d):
     return interactions.interactions_of_cells(each, samples=10_000)
 
 
-def _ttn_rows(spark, d):
+@query(None)
+def m12_ttn_fitness(spark, d):
     letters = F.array(*[F.lit(c) for c in "ACGT"])
     base = lambda k: F.get(letters, F.pmod(F.xxhash64((F.col("position") + k)), F.lit(4)).cast("int"))
     context = F.concat(*[base(k) for k in (-4, -3, -2, -1)], F.lit("TA"), *[base(k) for k in (2, 3, 4, 5)])
-    assigned = joins.assign_sites(t.site_counts(spark, d).withColumn("context", context), t.genes(spark, d).select("contig", "orf", "start", "end", "strand"))
-    return ttn.ttn_features(assigned).select("sample_id", "orf", "count", "up", "down")
-
-
-@query(None)
-def m12_ttn_fitness(spark, d):
-    return ttn.ttn_fitness(_ttn_rows(spark, d), ["sample_id"])[0]
+    table, ids = t.site_table(spark, d)
+    sites = keep(ttn.ttn_features(table.withColumn("context", context)).drop("context"), "sites")  # read for the equations and for the effects
+    return ttn.ttn_fitness_of_sites(sites, ids, t.genes(spark, d))
 
 
 @query(""", ta AS (SELECT read_id, i AS position, substr(seq, i::int - 4, 10) AS c FROM (SELECT read_id, seq, unnest(range(5, length(seq) - 4)) AS i FROM reads) WHERE substr(seq, i::int, 2) = 'TA')
