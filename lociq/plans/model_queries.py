@@ -121,12 +121,14 @@ def m4_group_table(spark, d):
 def m4_zinb_interactions(spark, d):
     """Condition by status: samples with both levels of status in each condition do not exist here, so the test is on batches (replicates)."""
     samples = t.samples(spark, d).filter("condition IN ('A', 'R', 'N')")
-    return tests.zinb_report(site_gene(spark, d, "B"), t.site_counts(spark, d), samples, t.genes(spark, d), ["N", "A", "R"], interactions=["replicate"])
+    table, ids = t.site_table(spark, d)
+    return tests.zinb_report_of_sites(table, ids, t.site_counts(spark, d), samples, t.genes(spark, d), ["N", "A", "R"], interactions=["replicate"])
 
 
 @query(None)
 def m4_zinb(spark, d):
-    return tests.zinb(site_gene(spark, d, "B"), t.site_counts(spark, d), t.samples(spark, d))
+    table, ids = t.site_table(spark, d)
+    return tests.zinb_of_sites(table, ids, t.site_counts(spark, d), t.samples(spark, d), t.genes(spark, d))
 
 
 def _blocks(spark, d):
