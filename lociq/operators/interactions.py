@@ -13,14 +13,25 @@ from lociq.operators.windows import bfdr, fwer_bayes, trimmed_mean
 
 
 def truncated_posterior(n: float, mean: float, var: float, mu0: float, s20: float, size: int, rng: np.random.Generator) -> np.ndarray:
-    """Draws of the mean, at least 0, under a normal with unknown mean and variance (k0 = nu0 = 1)."""
+    """Draws of the mean, at least 0, under a normal with unknown mean and variance (k0 = nu0 = 1).
+
+    A draw below 0 is made anew under its own variance, which leaves the truncated law; what is left after some rounds takes quantiles of it.
+    """
     kn, nun = 1 + n, 1 + n
     mun = (mu0 + n * mean) / kn
     s2n = max((s20 + max(n - 1, 0) * var + n / kn * (mean - mu0) ** 2) / nun, 1e-12)
     s2 = 1 / rng.gamma(nun / 2, 2 / (s2n * nun), size)
     sd = np.sqrt(s2 / kn)
-    low = special.norm_sf(mun / sd)  # mass below 0
-    return np.maximum(mun + sd * special.norm_ppf(np.clip(low + rng.random(size) * (1 - low), 1e-15, 1 - 1e-15)), 0)
+    found = mun + sd * rng.standard_normal(size)
+    left = np.flatnonzero(found < 0)
+    for _ in range(8):
+        if not len(left):
+            return found
+        found[left] = mun + sd[left] * rng.standard_normal(len(left))
+        left = left[found[left] < 0]
+    low = special.norm_sf(mun / sd[left])  # mass below 0
+    found[left] = np.maximum(mun + sd[left] * special.norm_ppf(np.clip(low + rng.random(len(left)) * (1 - low), 1e-15, 1 - 1e-15)), 0)
+    return found
 
 
 def hdi(draws: np.ndarray, mass: float = 0.95) -> tuple[float, float]:
@@ -32,11 +43,14 @@ def hdi(draws: np.ndarray, mass: float = 0.95) -> tuple[float, float]:
     return float(x[i]), float(x[i + n - 1])
 
 
-def genetic_interactions(site_gene: DataFrame, groups: DataFrame, samples: int = 10_000, rope: float = 0.5, signif: str = "HDI", seed: int = 0, pseudo: float = 1e-6) -> DataFrame:
+def genetic_interactions(site_gene: DataFrame, groups: DataFrame | None, samples: int = 10_000, rope: float = 0.5, signif: str = "HDI", seed: int = 0, pseudo: float = 1e-6) -> DataFrame:
     """(orf, n_sites, a1, a2, b1, b2, lfc_a, lfc_b, delta, lower, upper, outside, prob_rope, adjusted, type).
 
     groups is (sample_id, cell) with cells A1, A2 (strain A in conditions 1 and 2), B1 and B2. Priors come from 1 % trimmed means over genes.
+    Without groups, site_gene is (orf, cell, n, m, v, sites) of interactions_of_cells() already.
     """
+    if groups is None:
+        return interactions_of_cells(site_gene, samples, rope, signif, seed, pseudo)
     each = with_metadata(site_gene, groups).groupBy("orf", "cell").agg(F.count("*").alias("n"), F.avg("count").alias("m"), F.var_pop("count").alias("v"), F.countDistinct("position").alias("sites"))
     return interactions_of_cells(each, samples, rope, signif, seed, pseudo)
 

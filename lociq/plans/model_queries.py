@@ -228,7 +228,7 @@ def m11_genetic_interactions(spark, d):
     sums = agg.sums_by_group(gene_sums(spark, d, ss=lambda x: x * x), cells, ["cell"])
     mean = F.col("reads") / F.col("n")
     each = sums.select("orf", "cell", "n", mean.alias("m"), F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)).alias("v"), "sites")
-    return interactions.interactions_of_cells(each, samples=10_000)
+    return interactions.genetic_interactions(each, None, samples=10_000)
 
 
 @query(None)
