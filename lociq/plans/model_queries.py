@@ -91,9 +91,8 @@ def _shifted_genes(spark, d):
   round(avg(count) FILTER (x) - avg(count) FILTER (NOT x), 6) + 0 AS delta_mean, round(log2((avg(count) FILTER (x) + 1) / (avg(count) FILTER (NOT x) + 1)), 6) + 0 AS lfc FROM sg GROUP BY 1""")
 def m2_two_strain_statistics(spark, d):
     """Control and experiment in two strains, each with its own annotation: what the permutation test reports beside its p."""
-    counts = keep(t.site_counts(spark, d), "track")
-    both = tests.strain_sites(counts.filter("sample_id LIKE 'N%'"), t.genes(spark, d), counts.filter("sample_id LIKE 'A%'"), _shifted_genes(spark, d))
-    found = tests.resampling(both, _groups(spark, d), times=10_000, mode="pooled")
+    table, ids = t.site_table(spark, d)
+    found = tests.resampling_of_strains(keep(table, "sites"), ids, _groups(spark, d), t.genes(spark, d), _shifted_genes(spark, d), times=10_000, mode="pooled")
     return found.select("orf", "sites", "sum_ctrl", "sum_exp", *r6("mean_ctrl", "mean_exp", "delta_mean", "lfc"))
 
 

@@ -52,3 +52,22 @@ def test_laws_of_splits_are_those_of_all_permutations():
             want = [(np.abs(null) >= abs(observed) - 1e-9).mean(), (null <= observed + 1e-9).mean(), (null >= observed - 1e-9).mean()]
             assert np.allclose([law[tests.OUTCOMES & bit > 0].sum() for bit in (1, 2, 4)], want, atol=1e-12), g
     assert tests._split_laws(counts + 0.5, exp, lo, hi, 100_000) == {} and tests._split_laws(counts, exp, lo, hi, 1) == {}
+
+
+def test_drawn_sums_are_those_of_samples_without_replacement():
+    rng = np.random.default_rng(2)
+    for values, k in ((np.array([0.0] * 9 + [1, 2, 2, 5, 7, 11, 3, 4, 9, 2.5]), 9), (np.array([3.0] * 6 + [1, 1, 8]), 4), (np.arange(12.0), 3), (np.array([0.0] * 20 + [4, 6]), 21), (np.full(5, 2.0), 3)):
+        got = tests._drawn_sums(values, k, 20_000, rng)
+        want = np.array([rng.permutation(values)[:k].sum() for _ in range(20_000)])
+        assert len(got) == 20_000 and set(np.round(got, 9)) <= {round(float(x), 9) for x in ([sum(c) for c in itertools.combinations(values, k)] if len(values) < 20 else want)}
+        assert all(abs((got <= x).mean() - (want <= x).mean()) < 0.02 for x in np.quantile(want, np.linspace(0, 1, 21)))
+
+
+def test_large_cells_draw_no_number_of_each_count():
+    class Plain(np.random.Generator):
+        def multivariate_hypergeometric(self, *a, **k):
+            raise AssertionError("numbers of each distinct count were drawn")
+
+    rng = np.random.default_rng(1)
+    counts = np.floor(rng.random(840) * 50) * (rng.random(840) < 0.3)
+    assert len(tests._null_differences(counts, np.tile(np.arange(8) >= 4, 105), np.zeros(840, int), 500, Plain(np.random.PCG64(0)))) == 500
