@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def winsorize(blocks: DataFrame, keys: list[str], count: str = "count") -> DataF
     return ranked.withColumn(count, F.when((F.col("_rank") == 1) & second.isNotNull(), second).otherwise(F.col(count))).drop("_rank")
 
 
+def _below_largest(x: np.ndarray, gene: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which counts are the largest of their gene and sample, how many these are [gene, sample], and the largest of the others, -inf if there is none."""
+    largest = x == np.maximum.reduceat(x, starts, axis=0)[gene]
+    return largest, np.add.reduceat(largest, starts, axis=0, dtype=np.int64), np.maximum.reduceat(np.where(largest, -np.inf, x), starts, axis=0)
+
+
+def winsorized(x: np.ndarray, gene: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """winsorize() of each gene and sample, for changed_over_genes()."""
+    largest, _, second = _below_largest(x, gene, starts)
+    return np.where(largest & np.isfinite(second)[gene], second[gene], x)
+
+
 def winsorize_resampling(blocks: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
     """Values equal to the largest become the second value in sorted order, duplicates counted; no change below three values or if it is 0."""
     at = Window.partitionBy(*keys)

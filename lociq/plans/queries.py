@@ -57,6 +57,12 @@ def site_gene(spark: SparkSession, sf_dir: str, variant: str = "A", whole_genes:
     return joins.by_sample(assigned.repartition("orf") if whole_genes else assigned, ids).select("sample_id", "contig", "position", "count", "orf")
 
 
+def _changed(spark: SparkSession, sf_dir: str, change: Callable, name: str = "count") -> DataFrame:
+    """(orf, sample_id, position, name) of counts changed where a gene's sites lie; samples become rows after that."""
+    table, ids = t.site_table(spark, sf_dir)
+    return joins.by_sample(joins.changed_over_genes(table, t.genes(spark, sf_dir), change, len(ids)), ids).select("orf", "sample_id", "position", F.col("count").alias(name))
+
+
 def tosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.tosses_of_sites(t.site_table(spark, sf_dir)[0], t.genes(spark, sf_dir))
 
@@ -108,7 +114,7 @@ def f7_terminus_trim(spark, d):
 @query(""", r AS (SELECT *, dense_rank() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k FROM site_gene_a), s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r)
  SELECT orf, sample_id, position, CASE WHEN k = 1 AND second IS NOT NULL THEN second ELSE count END AS count FROM s""")
 def f8_winsorize(spark, d):
-    return filters.winsorize(site_gene(spark, d, whole_genes=True), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
+    return _changed(spark, d, filters.winsorized)
 
 
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k, max(count) OVER (PARTITION BY orf, sample_id) AS m, count(*) OVER (PARTITION BY orf, sample_id) AS n FROM site_gene_a),
