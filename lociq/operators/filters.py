@@ -80,6 +80,13 @@ def winsorized(x: np.ndarray, gene: np.ndarray, starts: np.ndarray) -> np.ndarra
     return np.where(largest & np.isfinite(second)[gene], second[gene], x)
 
 
+def winsorized_resampling(x: np.ndarray, gene: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """winsorize_resampling() of each gene and sample, for changed_over_genes(): a largest count that is there twice is its own second."""
+    largest, times, second = _below_largest(x, gene, starts)
+    use = (times == 1) & (np.diff(np.r_[starts, len(x)]) >= 3)[:, None] & (second != 0)
+    return np.where(largest & use[gene], second[gene], x)
+
+
 def winsorize_resampling(blocks: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
     """Values equal to the largest become the second value in sorted order, duplicates counted; no change below three values or if it is 0."""
     at = Window.partitionBy(*keys)

@@ -120,7 +120,7 @@ def f8_winsorize(spark, d):
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY orf, sample_id ORDER BY count DESC) AS k, max(count) OVER (PARTITION BY orf, sample_id) AS m, count(*) OVER (PARTITION BY orf, sample_id) AS n FROM site_gene_a),
  s AS (SELECT *, max(CASE WHEN k = 2 THEN count END) OVER (PARTITION BY orf, sample_id) AS second FROM r) SELECT orf, sample_id, position, CASE WHEN n >= 3 AND second <> 0 AND count = m THEN second ELSE count END AS count FROM s""")
 def f9_winsorize_resampling(spark, d):
-    return filters.winsorize_resampling(site_gene(spark, d, whole_genes=True), ["orf", "sample_id"]).select("orf", "sample_id", "position", "count")
+    return _changed(spark, d, filters.winsorized_resampling)
 
 
 @query("SELECT a.condition, b.status, count(s.sample_id) AS n_samples FROM (SELECT DISTINCT condition FROM samples) a CROSS JOIN (SELECT DISTINCT status FROM samples) b LEFT JOIN samples s ON s.condition = a.condition AND s.status = b.status GROUP BY 1, 2")
