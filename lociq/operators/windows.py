@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +147,30 @@ def average_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.withColumn("ties", ties).withColumn("avg_rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.col("ties") - 1) / 2)
 
 
+def tie_counts(x: np.ndarray, gene: np.ndarray, starts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Of some genes at a time: which pairs and genes these are, the place of each count of x [pair, sample] among the distinct ones, and how often a gene has each [gene, distinct].
+
+    A table of a gene and distinct count has about `most` entries, or is that of one gene.
+    """
+    distinct, code = np.unique(x, return_inverse=True)
+    code, ends = code.reshape(x.shape), np.r_[starts[1:], len(x)]
+    step = max(most // len(distinct), 1)
+    for first in range(0, len(starts), step):
+        genes = slice(first, min(first + step, len(starts)))
+        pairs = slice(starts[first], ends[genes.stop - 1])
+        own = code[pairs]
+        flat = ((gene[pairs] - first)[:, None] * len(distinct) + own).ravel()
+        yield pairs, genes, own, np.bincount(flat, minlength=(genes.stop - first) * len(distinct)).reshape(-1, len(distinct))
+
+
+def ranked_counts(x: np.ndarray, gene: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """average_ranks() of a gene's counts of all samples, for changed_over_genes()."""
+    ranks = np.empty(x.shape)
+    for pairs, genes, code, times in tie_counts(x, gene, starts):
+        ranks[pairs] = (np.cumsum(times, axis=1) - (times - 1) / 2)[(gene[pairs] - genes.start)[:, None], code]
+    return ranks
+
+
 def essentiality_thresholds(posteriors: DataFrame, z: str = "zbar", alpha: float = 0.05) -> DataFrame:
     """One row (lower, upper): cut-offs on sorted posterior means that hold the false discovery rate.
 

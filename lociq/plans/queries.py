@@ -401,7 +401,7 @@ def w9_trimmed_mean(spark, d):
 
 @query("SELECT orf, sample_id, position, rank() OVER (PARTITION BY orf ORDER BY count) + (count(*) OVER (PARTITION BY orf, count) - 1) / 2 AS avg_rank FROM site_gene_a")
 def w10_average_ranks(spark, d):
-    return windows.average_ranks(site_gene(spark, d, whole_genes=True), ["orf"], "count").select("orf", "sample_id", "position", "avg_rank")
+    return _changed(spark, d, windows.ranked_counts, "avg_rank")
 
 
 @query("SELECT sample_id, bucket, min(position) AS position, sum(count) AS count FROM (SELECT *, cast((row_number() OVER (PARTITION BY sample_id ORDER BY position) - 1) // 100 AS bigint) AS bucket FROM site_counts) GROUP BY 1, 2")
