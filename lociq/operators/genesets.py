@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import special
+from lociq.operators.joins import dealt
 from lociq.operators.windows import bh_fdr, running_enrichment
 from lociq.scratch import keep
 
@@ -29,12 +30,32 @@ def fet(results: DataFrame, hits: DataFrame, associations: DataFrame, pseudo: in
     return bh_fdr(out.withColumn("pval", p))
 
 
+def random_places(n: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A random set of `size` of n places, in order: the first `size` different ones of a sequence, or all but such a set where that is smaller."""
+    few, kind = min(size, n - size), np.int32 if n < 2**31 else np.int64
+    at = np.sort(rng.integers(0, n, few, kind))
+    at = at[np.r_[True, at[1:] != at[:-1]]] if few else at
+    more = at[:0]
+    while left := few - len(at) - len(more):  # in place of those that came twice
+        new = np.union1d(more, rng.integers(0, n, left, kind))
+        more = new[at[np.minimum(np.searchsorted(at, new), len(at) - 1)] != new]
+    at = np.sort(np.concatenate([at, more]), kind="stable")
+    return at if few == size else np.delete(np.arange(n), at)
+
+
 def random_gaps(n: int, size: int, draws: int, weights: np.ndarray | None, rng: np.random.Generator) -> np.ndarray:
-    """The enrichment statistic of `draws` random sets of `size` of n ranked genes."""
-    at = np.sort([rng.choice(n, size, replace=False, shuffle=False) for _ in range(draws)], axis=1)
-    w = np.ones(at.shape) if weights is None else weights[at]
-    hit = np.cumsum(w, 1) / np.maximum(w.sum(1, keepdims=True), 1e-300)
-    return np.abs(hit - (at + 1 - np.arange(1, size + 1)) / max(n - size, 1)).max(1)
+    """The enrichment statistic of `draws` random sets of `size` of n ranked genes, a set at a time."""
+    found, i = np.zeros(draws), np.arange(1, size + 1)
+    even = i / size
+    for k in range(draws):
+        at = random_places(n, size, rng)
+        if weights is None:
+            hit = even
+        else:
+            w = weights[at]
+            hit = np.cumsum(w) / max(w.sum(), 1e-300)
+        found[k] = np.abs(hit - (at + 1 - i) / max(n - size, 1)).max()
+    return found
 
 
 def gsea(ranked: DataFrame, associations: DataFrame, p: float = 0.0, n_perm: int = 10_000, seed: int = 0, max_genes: int = 2_000_000, batch: int = 100) -> DataFrame:
@@ -64,7 +85,7 @@ def gsea(ranked: DataFrame, associations: DataFrame, p: float = 0.0, n_perm: int
     def run(statistics: DataFrame, first: int, last: int) -> DataFrame:
         lo = F.explode(F.sequence(F.lit(first), F.lit(last - 1), F.lit(batch)))
         parts = statistics.withColumn("part", lo).withColumn("draws", F.least(F.lit(batch), last - F.col("part")))
-        return parts.groupBy("n_members", "part").applyInPandas(null, "es double, n_members long, draws long, reached long")
+        return dealt(parts, "n_members", "part").groupBy("n_members", "part").applyInPandas(null, "es double, n_members long, draws long, reached long")
 
     values = found.select("n_members", "es").distinct()
     first = max(min(n_perm, batch), n_perm // 10)

@@ -299,7 +299,8 @@ def m14_fet(spark, d):
 
 
 def _ranked(spark, d):
-    found = tests.utest(site_gene(spark, d), _groups(spark, d).select("sample_id", "is_exp"))
+    table, ids = t.site_table(spark, d)
+    found = tests.utest_of_sites(table, ids, _groups(spark, d).select("sample_id", "is_exp"), t.genes(spark, d))
     return windows.rank_scores(found, "LFC")
 
 

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 from lociq.functions import special
-from lociq.operators import interactions, tests
+from lociq.operators import genesets, interactions, tests
 
 
 def _truncated(mun, sd, rng):
@@ -71,3 +71,27 @@ def test_large_cells_draw_no_number_of_each_count():
     rng = np.random.default_rng(1)
     counts = np.floor(rng.random(840) * 50) * (rng.random(840) < 0.3)
     assert len(tests._null_differences(counts, np.tile(np.arange(8) >= 4, 105), np.zeros(840, int), 500, Plain(np.random.PCG64(0)))) == 500
+
+
+def test_random_places_are_all_as_likely():
+    rng = np.random.default_rng(3)
+    for n, size in ((6, 2), (6, 4), (200, 2), (200, 199), (5, 5)):
+        found = [tuple(genesets.random_places(n, size, rng).tolist()) for _ in range(3000)]
+        assert all(len(set(x)) == size and list(x) == sorted(x) and 0 <= x[0] and x[-1] < n for x in found)
+        if n == 6:
+            sets, times = np.unique(found, axis=0, return_counts=True)
+            assert len(sets) == 15 and ((times - 200) ** 2 / 200).sum() < 40
+        assert abs(np.mean([np.mean(x) for x in found]) - (n - 1) / 2) < 0.05 * n
+
+
+def test_draws_of_gene_sets_keep_all_partitions(spark, monkeypatch):
+    """Few bytes that make much work: adaptive execution does not join them into one task."""
+    from pyspark.sql import DataFrame
+
+    plans, plain = [], genesets.keep
+    monkeypatch.setattr(genesets, "keep", lambda df, name: (plans.append((name, df)), plain(df, name))[1])
+    ranked = spark.range(1, 41).selectExpr("concat('g', id) orf", "cast(id AS int) rank", "cast(20 - id AS double) score")
+    sets = spark.range(1, 41).selectExpr("concat('g', id) orf", "concat('t', id % 4) term")
+    assert genesets.gsea(ranked, sets, n_perm=1000).count() == 4
+    drawn = next(df for name, df in plans if name == "drawn")
+    assert isinstance(drawn, DataFrame) and "REPARTITION_BY_NUM" in drawn._jdf.queryExecution().executedPlan().toString()
